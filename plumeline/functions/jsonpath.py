@@ -20,7 +20,8 @@ WAIT_KEYS = ("timeReadingMicros", "timeWritingMicros", "timeWaitingMicros")
 # Stages that may stand ahead of the filter of a pipeline.
 SKIPPED_STAGES = ("$addFields", "$set")
 
-WAIT_DEPTH = 4
+# Levels of sub-documents searched for wait counters; server logs use two.
+WAIT_DEPTH = 3
 
 
 def head(json_text: Column) -> Column:

@@ -77,7 +77,7 @@ def with_order_key(nodes: DataFrame) -> DataFrame:
         F.array_sort(F.collect_list(part)).alias("__parts")
     )
     return keyed.select(
-        "node", "depth", "total", F.transform("__parts", lambda p: F.struct(p.neg_total, p.name)).alias("order_key")
+        "node", "depth", "total", F.transform("__parts", lambda p: F.struct(p["neg_total"], p["name"])).alias("order_key")
     )
 
 

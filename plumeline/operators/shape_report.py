@@ -194,7 +194,7 @@ def report_cells(ranked: DataFrame, section: str) -> DataFrame:
     router = "max_shards" in ranked.columns
 
     def default(name: str, value) -> Column:
-        return F.coalesce(F.col(name), F.lit(value)).cast("string").alias(name)
+        return F.coalesce(F.col(name).cast("string"), F.lit(str(value))).alias(name)
 
     cells = [
         F.lit(TITLES[section]).alias("section"),

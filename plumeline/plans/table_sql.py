@@ -181,10 +181,10 @@ WHERE ts > TIMESTAMP '2024-01-05 00:00:00' AND ts < TIMESTAMP '2024-01-10 12:00:
 SELECT source, count(*) AS docs, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents
 WHERE source IN ('src1', 'src2', 'src3') GROUP BY source""",
     "range_stop_per_group": """
-WITH n AS (SELECT user_id, event_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY value, event_id) AS at FROM events),
-stop AS (SELECT user_id, min(at) AS at FROM n WHERE ts > TIMESTAMP '2024-01-25 00:00:00' GROUP BY user_id)
+WITH n AS (SELECT user_id, event_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY value, event_id) AS pos FROM events),
+stop AS (SELECT user_id, min(pos) AS pos FROM n WHERE ts > TIMESTAMP '2024-01-25 00:00:00' GROUP BY user_id)
 SELECT n.user_id, n.event_id, n.ts FROM n LEFT JOIN stop ON n.user_id = stop.user_id
-WHERE stop.at IS NULL OR n.at < stop.at""",
+WHERE stop.pos IS NULL OR n.pos < stop.pos""",
     "ratio_modes": """
 WITH r AS (SELECT l_orderkey, l_linenumber, l_partkey, floor(l_extendedprice) AS d, floor(l_quantity - 5) AS n FROM lineitem)
 SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN n <> 0 THEN d / n END AS ratio_double,
@@ -320,7 +320,7 @@ WITH f AS (
                    CASE WHEN o_orderpriority = '1-URGENT' THEN 'true' ELSE o_orderpriority END FROM orders),
 tot AS (SELECT path, level, count(*) AS n FROM f GROUP BY ALL),
 typ AS (SELECT path, type, count(*) AS n FROM f GROUP BY ALL),
-dup AS (SELECT path, coalesce(max(n) > 1, false) AS d FROM (SELECT path, type, v, CASE WHEN v IS NULL THEN 0 ELSE count(*) END AS n FROM f GROUP BY ALL) GROUP BY path)
+dup AS (SELECT path, coalesce(max(n) > 1, false) AS d FROM (SELECT path, type, v, count(v) AS n FROM f GROUP BY path, type, v) GROUP BY path)
 SELECT tot.path AS path, tot.level AS level, tot.n AS count, round(tot.n / CAST((SELECT count(*) FROM orders) AS DOUBLE), 9) AS probability,
        string_agg(typ.type || ':' || CAST(CAST(round(typ.n * 100 / CAST(tot.n AS DOUBLE), 4) AS DECIMAL(18,4)) AS VARCHAR), ',' ORDER BY typ.type) AS types,
        any_value(dup.d) AS has_duplicates
