@@ -11,17 +11,8 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window, fu
 from plumeline.functions.times import between_inclusive
 from plumeline.operators.entries import stop_after_end
 from plumeline.sources import audit, structured, textlog
-from plumeline.sources.lines import (
-    BROADCAST_BLOCKS,
-    LATIN,
-    UTF8,
-    checked_broadcast,
-    entry_format,
-    node_type,
-    read_lines,
-    short_name,
-    stitch_files,
-)
+from plumeline.session import staged
+from plumeline.sources.lines import LATIN, UTF8, node_type, read_lines, short_name, stitch_files
 
 
 @dataclass(frozen=True)
@@ -48,24 +39,28 @@ class Ingested:
     rejects: DataFrame
 
 
-def _with_host(rows: DataFrame, parsed_json: DataFrame, blocks: DataFrame) -> DataFrame:
-    """Host of the last process header at or before each row of the same file.
+def _block_hosts(parsed_json: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Process headers folded to one row per block.
 
-    Headers are folded into a table with one row per block: the host in force at
-    the block start and the changes inside the block.
+    ``before`` is the host in force at the block start, ``changes`` are the
+    headers inside the block.
     """
     starts = parsed_json.filter((F.col("e.c") == "CONTROL") & (F.col("e.msg") == "Process Details")).select(
         "infile", "block", F.struct("lineno", F.col("a.host").alias("host")).alias("h")
     )
     inside = starts.groupBy("infile", "block").agg(F.array_sort(F.collect_list("h")).alias("changes"))
     along = Window.partitionBy("infile").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    table = (
+    return (
         blocks.join(inside, ["infile", "block"], "left")
         .withColumn("before", F.last(F.element_at("changes", -1)["host"], ignorenulls=True).over(along))
         .filter(F.col("before").isNotNull() | F.col("changes").isNotNull())
         .select("infile", "block", "before", "changes")
     )
-    known = rows.join(checked_broadcast(table, BROADCAST_BLOCKS), ["infile", "block"], "left")
+
+
+def _with_host(rows: DataFrame, block_hosts: DataFrame) -> DataFrame:
+    """Host of the last process header at or before each row of the same file."""
+    known = rows.join(block_hosts, ["infile", "block"], "left")
     passed = F.filter("changes", lambda c: c["lineno"] <= F.col("lineno"))
     return known.withColumn(
         "host", F.coalesce(F.when(F.size(passed) > 0, F.element_at(passed, -1)["host"]), F.col("before"))
@@ -79,7 +74,7 @@ def ingest_logs(spark: SparkSession, paths: Sequence[str], options: IngestOption
     in_range = between_inclusive(F.col("ts"), o.start, o.end)
     lines = read_lines(spark, paths, UTF8 if o.utf8 else LATIN, o.gzip_paths)
     stitched = stitch_files(lines, o.wrapper)
-    routed = stitched.entries.withColumn("format", entry_format(F.col("entry")))
+    routed = stitched.entries
 
     def of(fmt: str) -> DataFrame:
         return routed.filter(F.col("format") == fmt)
@@ -106,6 +101,7 @@ def ingest_logs(spark: SparkSession, paths: Sequence[str], options: IngestOption
     )
     good = {n: p.filter(F.col("ts").isNotNull()) for n, p in parsed.items()}
     headers = structured.log_headers(good["json"])
+    hosts = stitched.per_block(staged(_block_hosts(good["json"], stitched.blocks), "block-hosts"))
 
     def ranged(df: DataFrame) -> DataFrame:
         if o.stop_at_end and o.end is not None:
@@ -116,11 +112,11 @@ def ingest_logs(spark: SparkSession, paths: Sequence[str], options: IngestOption
     text, text_rejects = textlog.text_events(ranged(good["text"]), base)
     syslog, syslog_rejects = textlog.text_events(ranged(good["syslog"]), {**base, "host": F.col("syslog_host")})
     events = [
-        structured.structured_events(_with_host(ranged(good["json"]), good["json"], stitched.blocks), hosted),
+        structured.structured_events(_with_host(ranged(good["json"]), hosts), hosted),
         text,
         syslog,
         audit.audit_events(ranged(good["audit"]), base),
-        audit.search_events(_with_host(ranged(good["search"]), good["json"], stitched.blocks), hosted),
+        audit.search_events(_with_host(ranged(good["search"]), hosts), hosted),
     ]
     broken = [
         r.select("infile", "lineno", F.col("entry").alias("raw"), F.lit("unreadable document").alias("error"))

@@ -33,7 +33,9 @@ ROUTER = "mongos"
 # A block table below this many rows may travel to every executor (about 100 MB).
 BROADCAST_BLOCKS = 500_000
 
-_PIECES = "infile string, block bigint, first bigint, last bigint, head boolean, tail boolean, entry string"
+_PIECES = (
+    "infile string, block bigint, first bigint, last bigint, head boolean, tail boolean, format string, entry string"
+)
 
 
 def gzip_without_suffix(spark: SparkSession, paths: Sequence[str]) -> list[str]:
@@ -113,7 +115,7 @@ def _join_pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     held: dict | None = None
 
     def rows(piece: dict, tail: bool) -> pd.DataFrame:
-        done = {k: piece[k] for k in ("infile", "block", "first", "last", "head")}
+        done = {k: piece[k] for k in ("infile", "block", "first", "last", "head", "format")}
         return pd.DataFrame([{**done, "tail": tail, "entry": "\n".join(piece["parts"])}])
 
     for pdf in batches:
@@ -121,7 +123,8 @@ def _join_pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         if n == 0:
             continue
         infile, block = pdf["infile"].to_numpy(), pdf["block"].to_numpy()
-        start, value = pdf["is_start"].to_numpy(), pdf["value"].to_numpy()
+        kind, value = pdf["format"].to_numpy(), pdf["value"].to_numpy()
+        start = pdf["format"].notna().to_numpy()
         fresh = np.empty(n, dtype=bool)
         fresh[1:] = (block[1:] != block[:-1]) | (infile[1:] != infile[:-1])
         fresh[0] = held is None or held["block"] != block[0] or held["infile"] != infile[0]
@@ -150,11 +153,12 @@ def _join_pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 "last": line[ends - 1],
                 "head": ~start[begins],
                 "tail": np.append(fresh[begins[1:]], False),
+                "format": kind[begins],
                 "entry": entry,
             }
         )
         final = out.iloc[-1]
-        held = {k: final[k] for k in ("infile", "block", "first", "last", "head")} | {
+        held = {k: final[k] for k in ("infile", "block", "first", "last", "head", "format")} | {
             "parts": list(value[begins[-1] :])
         }
         yield out.iloc[:-1]
@@ -166,62 +170,72 @@ def _join_pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 class Entries:
     """Stitched entries and the table of blocks they came from."""
 
-    entries: DataFrame  # infile, block, lineno, n_lines, entry
+    entries: DataFrame  # infile, block, lineno, n_lines, format, entry
     blocks: DataFrame  # infile, block, offset, n_lines
+    few_blocks: bool  # whether one row per block may be broadcast
+
+    def per_block(self, table: DataFrame) -> DataFrame:
+        """A table with at most one row per block, broadcast while that is small."""
+        return F.broadcast(table) if self.few_blocks else table
 
 
 def stitch_files(lines: DataFrame, wrapper: str | None = None) -> Entries:
     """Entries of all files; a line that starts no entry belongs to the entry before.
 
     ``lineno`` is the last physical line of an entry.  The pieces are written
-    once to the shared folder, so every later step sees the same blocks.
+    once to the shared folder, apart by format and by whether they lie at a
+    block edge, so every later step sees the same blocks and reads its own part.
     """
     stripped = lines.select("infile", "block", strip_wrapper(F.col("value"), wrapper).alias("value"))
-    starts = F.coalesce(entry_format(F.col("value")).isNotNull(), F.lit(False))
     pieces = staged(
-        stripped.select("infile", "block", starts.alias("is_start"), "value").mapInPandas(_join_pieces, _PIECES),
+        stripped.select("infile", "block", entry_format(F.col("value")).alias("format"), "value")
+        .mapInPandas(_join_pieces, _PIECES)
+        .withColumn("edge", F.col("head") | F.col("tail")),
         "pieces",
+        ("edge", "format"),
     )
+    edges = pieces.filter(F.col("edge"))
     before = Window.partitionBy("infile").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = (
-        pieces.groupBy("infile", "block")
-        .agg(F.max("last").alias("n_lines"))
-        .withColumn("offset", F.coalesce(F.sum("n_lines").over(before), F.lit(0)))
+    # The last piece of a block ends on its last line.
+    blocks = edges.filter(F.col("tail")).select("infile", "block", F.col("last").alias("n_lines")).withColumn(
+        "offset", F.coalesce(F.sum("n_lines").over(before), F.lit(0))
+    )
+    inner = pieces.filter(~F.col("edge")).select(
+        "infile",
+        "block",
+        "last",
+        (F.col("last") - F.col("first") + 1).alias("n_lines"),
+        "format",
+        "entry",
+        F.col("block").alias("last_block"),
     )
-    edge = F.col("head") | F.col("tail")
-    inner = pieces.filter(~edge).select("infile", "block", "last", (F.col("last") - F.col("first") + 1).alias("n_lines"), "entry", F.col("block").alias("last_block"))
     # Two pieces per block at most: number their entries on the keys alone.
     along = Window.partitionBy("infile").orderBy("block", "first")
-    numbered = pieces.filter(edge).select("infile", "block", "first", "head").withColumn(
+    numbered = edges.select("infile", "block", "first", "head").withColumn(
         "entry_no", F.sum(F.when(F.col("head"), 0).otherwise(1)).over(along)
     )
-    piece = F.struct("block", "first", "last", "entry")
     joined = (
-        pieces.filter(edge)
-        .join(numbered.drop("head"), ["infile", "block", "first"])
+        edges.join(numbered.drop("head"), ["infile", "block", "first"])
         .groupBy("infile", "entry_no")
-        .agg(F.array_sort(F.collect_list(piece)).alias("p"))
+        .agg(F.array_sort(F.collect_list(F.struct("block", "first", "last", "format", "entry"))).alias("p"))
         .select(
             "infile",
             F.get("p", F.lit(0))["block"].alias("block"),
             F.element_at("p", -1)["last"].alias("last"),
             F.aggregate("p", F.lit(0).cast("bigint"), lambda a, x: a + x["last"] - x["first"] + 1).alias("n_lines"),
+            F.get("p", F.lit(0))["format"].alias("format"),
             F.array_join(F.transform("p", lambda x: x["entry"]), "\n").alias("entry"),
             F.element_at("p", -1)["block"].alias("last_block"),
         )
     )
+    few = edges.filter(F.col("tail")).limit(BROADCAST_BLOCKS + 1).count() <= BROADCAST_BLOCKS
     offsets = blocks.select("infile", F.col("block").alias("last_block"), "offset")
     entries = (
         inner.unionByName(joined)
-        .join(checked_broadcast(offsets, BROADCAST_BLOCKS), ["infile", "last_block"])
-        .select("infile", "block", (F.col("offset") + F.col("last")).alias("lineno"), "n_lines", "entry")
+        .join(F.broadcast(offsets) if few else offsets, ["infile", "last_block"])
+        .select("infile", "block", (F.col("offset") + F.col("last")).alias("lineno"), "n_lines", "format", "entry")
     )
-    return Entries(entries, blocks.select("infile", "block", "offset", "n_lines"))
-
-
-def checked_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
-    """``df`` marked for broadcast when it holds at most ``max_rows``, else as it is."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+    return Entries(entries, blocks.select("infile", "block", "offset", "n_lines"), few)
 
 
 def number_lines(lines: DataFrame) -> DataFrame:
