@@ -109,18 +109,16 @@ def ingest_logs(spark: SparkSession, paths: Sequence[str], options: IngestOption
         return df.filter(in_range)
 
     hosted = {**base, "host": F.col("host")}
-    text, text_rejects = textlog.text_events(ranged(good["text"]), base)
-    syslog, syslog_rejects = textlog.text_events(ranged(good["syslog"]), {**base, "host": F.col("syslog_host")})
+    lines_of_text = ranged(good["text"]).withColumn("host", F.lit(None).cast("string"))
+    text, text_rejects = textlog.text_events(lines_of_text.unionByName(ranged(good["syslog"])), hosted)
     events = [
         structured.structured_events(_with_host(ranged(good["json"]), hosts), hosted),
         text,
-        syslog,
         audit.audit_events(ranged(good["audit"]), base),
         audit.search_events(_with_host(ranged(good["search"]), hosts), hosted),
     ]
     broken = [
-        r.select("infile", "lineno", F.col("entry").alias("raw"), F.lit("unreadable document").alias("error"))
-        for r in (text_rejects, syslog_rejects)
+        text_rejects.select("infile", "lineno", F.col("entry").alias("raw"), F.lit("unreadable document").alias("error"))
     ]
 
     def union(frames: list[DataFrame]) -> DataFrame:

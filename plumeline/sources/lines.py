@@ -102,10 +102,10 @@ def node_type(path: Column, given: str | None = None) -> Column:
     return F.lit(given) if given else F.when(path.contains(ROUTER), F.lit(ROUTER))
 
 
-def entry_format(entry: Column) -> Column:
+def entry_format(entry: Column, patterns: dict[str, str] = ENTRY_PATTERNS) -> Column:
     """Format an entry starts like, NULL for none."""
     out = None
-    for name, pattern in ENTRY_PATTERNS.items():
+    for name, pattern in patterns.items():
         out = F.when(entry.rlike(pattern), name) if out is None else out.when(entry.rlike(pattern), name)
     return out
 
@@ -179,7 +179,9 @@ class Entries:
         return F.broadcast(table) if self.few_blocks else table
 
 
-def stitch_files(lines: DataFrame, wrapper: str | None = None) -> Entries:
+def stitch_files(
+    lines: DataFrame, wrapper: str | None = None, patterns: dict[str, str] = ENTRY_PATTERNS
+) -> Entries:
     """Entries of all files; a line that starts no entry belongs to the entry before.
 
     ``lineno`` is the last physical line of an entry.  The pieces are written
@@ -188,7 +190,7 @@ def stitch_files(lines: DataFrame, wrapper: str | None = None) -> Entries:
     """
     stripped = lines.select("infile", "block", strip_wrapper(F.col("value"), wrapper).alias("value"))
     pieces = staged(
-        stripped.select("infile", "block", entry_format(F.col("value")).alias("format"), "value")
+        stripped.select("infile", "block", entry_format(F.col("value"), patterns).alias("format"), "value")
         .mapInPandas(_join_pieces, _PIECES)
         .withColumn("edge", F.col("head") | F.col("tail")),
         "pieces",

@@ -99,7 +99,7 @@ def parse_syslog(entries: DataFrame, default_year: int) -> DataFrame:
             "component": F.lit("COMMAND"),
             "ctx": part["ctx"],
             "body": part["body"],
-            "syslog_host": part["host"],
+            "host": part["host"],
         }
     )
 
