@@ -23,6 +23,7 @@ _TOKEN = re.compile(
     re.VERBOSE | re.DOTALL,
 )
 _NUMBER = re.compile(r"-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?\Z")
+_COLON = re.compile(r"\s*:")
 _BARE = {"true", "false", "null"}
 
 
@@ -53,26 +54,31 @@ def _emit(m: re.Match, is_key: bool) -> str:
     return json.dumps(text, ensure_ascii=False)
 
 
+def _canonical(text: str) -> str | None:
+    """Compact JSON of a document or list, None for any other text."""
+    try:
+        value = json.loads(text)
+    except ValueError:
+        return None
+    return json.dumps(value, ensure_ascii=False, separators=(",", ":")) if isinstance(value, (dict, list)) else None
+
+
 def _normalise(text: str | None) -> str | None:
     """JSON text of the document, None when it cannot be read to its end."""
     if text is None:
         return None
-    try:
-        return json.dumps(json.loads(text), ensure_ascii=False, separators=(",", ":"))
-    except ValueError:
-        pass
+    strict = _canonical(text)
+    if strict is not None:
+        return strict
     out, at = [], 0
     while at < len(text):
         m = _TOKEN.match(text, at)
         if m is None:
             return None
         at = m.end()
-        after = re.match(r"\s*:", text[at:]) if m["mark"] is None else None
-        out.append(_emit(m, after is not None))
-    try:
-        return json.dumps(json.loads("".join(out)), ensure_ascii=False, separators=(",", ":"))
-    except ValueError:
-        return None
+        is_key = m["mark"] is None and _COLON.match(text, at) is not None
+        out.append(_emit(m, is_key))
+    return _canonical("".join(out))
 
 
 @F.pandas_udf(T.StringType())

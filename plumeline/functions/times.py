@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 # Accepted date texts (day, second, fraction with offset).
-DATE_FORMATS = ("yyyy-MM-dd", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss[.SSS][.SSSSSS]XX")
+DATE_FORMATS = ("yyyy-MM-dd", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][.SSS][XXX][XX]")
 
 
 def parse_date(text: Column) -> Column:

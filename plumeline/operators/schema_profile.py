@@ -130,7 +130,7 @@ def to_json_schema(
             F.when(F.col("type").isin("Document", "Object") & F.col("props").isNotNull(), _properties()),
         )
         node = here.select(
-            F.slice("path", F.lit(1), F.size("path") - 1).alias("path"),
+            F.slice("path", F.lit(1), F.greatest(F.size("path") - 1, F.lit(0))).alias("path"),
             F.element_at("path", -1).alias("name"),
             F.concat(F.lit("{"), body, F.lit("}")).alias("node"),
             "required",
