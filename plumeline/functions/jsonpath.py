@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+import json
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, functions as F, types as T
 
 # Where each command keeps its filter.
 FILTER_LOCATIONS = {
@@ -20,8 +24,9 @@ WAIT_KEYS = ("timeReadingMicros", "timeWritingMicros", "timeWaitingMicros")
 # Stages that may stand ahead of the filter of a pipeline.
 SKIPPED_STAGES = ("$addFields", "$set")
 
-# Levels of sub-documents searched for wait counters; server logs use two.
-WAIT_DEPTH = 3
+WAITS = T.StructType(
+    [T.StructField("total_micros", T.LongType()), T.StructField("locks", T.ArrayType(T.StringType()))]
+)
 
 
 def head(json_text: Column) -> Column:
@@ -81,44 +86,41 @@ def txn_number(attr: Column) -> Column:
     ).try_cast("bigint")
 
 
-def _wait_leaves(document: Column, path: Column, depth: int) -> Column:
-    """``array<struct<name, micros>>`` of the wait counters below one document."""
-
-    def measured(e):
-        inner = F.map_entries(F.from_json(e["value"], "map<string,bigint>"))
-        per_lock = F.transform(
-            inner,
-            lambda x: F.struct(F.concat_ws(".", path, x["key"], e["key"]).alias("name"), x["value"].alias("micros")),
-        )
-        plain = F.array(
-            F.struct(F.concat_ws(".", path, e["key"]).alias("name"), e["value"].try_cast("bigint").alias("micros"))
-        )
-        return F.when(e["value"].startswith("{"), per_lock).otherwise(plain)
-
-    def below(e):
-        out = F.when(e["key"].isin(*WAIT_KEYS), measured(e))
-        if depth > 1:
-            out = out.when(
-                e["value"].startswith("{"), _wait_leaves(e["value"], F.concat_ws(".", path, e["key"]), depth - 1)
-            )
-        return out
-
-    found = F.transform(F.map_entries(F.from_json(document, "map<string,string>")), below)
-    return F.flatten(F.filter(found, lambda a: a.isNotNull()))
+def _wait_leaves(document: dict, path: str) -> Iterator[tuple[str, int]]:
+    """(name, micros) of every wait counter below a document, each counted once."""
+    for key, value in document.items():
+        if key not in WAIT_KEYS:
+            if isinstance(value, dict):
+                yield from _wait_leaves(value, f"{path}.{key}")
+        elif isinstance(value, dict):
+            yield from ((f"{path}.{lock}.{key}", micros) for lock, micros in value.items())
+        else:
+            yield f"{path}.{key}", value
+
+
+@F.pandas_udf(WAITS)
+def _sum_waits(locks: pd.Series, storage: pd.Series) -> pd.DataFrame:
+    totals, names = [], []
+    for texts in zip(locks, storage):
+        found = [
+            leaf
+            for root, text in zip(("locks", "storage"), texts)
+            if text is not None
+            for leaf in _wait_leaves(json.loads(text), root)
+        ]
+        totals.append(sum(int(micros) for _, micros in found))
+        names.append([name for name, _ in found])
+    return pd.DataFrame({"total_micros": totals, "locks": names})
 
 
 def waits(locks: Column, storage: Column) -> Column:
-    """``struct<total_micros, locks>`` over lock and storage counters, NULL without any."""
-    leaves = F.concat(
-        *[
-            F.coalesce(_wait_leaves(doc, F.lit(root), WAIT_DEPTH), F.array().cast("array<struct<name:string,micros:bigint>>"))
-            for doc, root in ((locks, "locks"), (storage, "storage"))
-        ]
-    )
-    total = F.aggregate(leaves, F.lit(0).cast("bigint"), lambda acc, x: acc + F.coalesce(x["micros"], F.lit(0)))
-    return F.when(
-        F.size(leaves) > 0, F.struct(total.alias("total_micros"), F.transform(leaves, lambda x: x["name"]).alias("locks"))
-    )
+    """``struct<total_micros, locks>`` over lock and storage counters, NULL without any.
+
+    The search inside the JVM spares documents without counters the trip to Python.
+    """
+    named = "|".join(WAIT_KEYS)
+    relevant = [F.when(doc.rlike(f'"(?:{named})"'), doc) for doc in (locks, storage)]
+    return F.when(relevant[0].isNotNull() | relevant[1].isNotNull(), _sum_waits(*relevant))
 
 
 def key_values(text: Column, pattern: str) -> Column:

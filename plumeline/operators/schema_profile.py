@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from plumeline.functions.flatten import MAX_DEPTH, array_parts_as_any, flatten_json
+from plumeline.session import staged
 
 # Profile type names, and the schema type each stands for.
 PROFILE_TYPES = {
@@ -117,6 +118,8 @@ def to_json_schema(
         (F.col("probability") >= required_from if "probability" in cols else F.lit(False)).alias("required"),
         (F.col("description") if "description" in cols else F.lit(None).cast("string")).alias("description"),
     ).withColumn("depth", F.size("path"))
+    # One row per field, read once per level.
+    nodes = staged(nodes, "schema-nodes")
     deepest = nodes.agg(F.max("depth")).first()[0] or 0
     empty = "path array<string>, props string, req array<string>, items string"
     below = choice.sparkSession.createDataFrame([], empty)

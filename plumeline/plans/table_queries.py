@@ -39,7 +39,8 @@ def ts_hourly_metrics(spark: SparkSession, sf: str) -> DataFrame:
         ts.Metric("Slowest", "value", "slowest", "$max", "value"),
         ts.Metric("Fastest", "value", "fastest", "$min", "value"),
     ]
-    return ts.time_metrics(read(spark, sf, "events"), HOUR, metrics)
+    out = ts.time_metrics(read(spark, sf, "events"), HOUR, metrics)
+    return out.withColumn("cost", F.col("cost").cast("double"))
 
 
 def ts_minute_metrics(spark: SparkSession, sf: str) -> DataFrame:

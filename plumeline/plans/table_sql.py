@@ -145,7 +145,7 @@ SQL: dict[str, str] = {
     "ts_hourly_metrics": _spine(
         "hour",
         "sum(CAST(value AS DECIMAL(18,2))) AS cost, max(value) AS slowest, min(value) AS fastest, count(*) AS total",
-        'coalesce(cost, 0) AS cost, coalesce(slowest, 0) AS slowest, coalesce(fastest, 0) AS fastest, coalesce(total, 0) AS "Total"',
+        'CAST(coalesce(cost, 0) AS DOUBLE) AS cost, coalesce(slowest, 0) AS slowest, coalesce(fastest, 0) AS fastest, coalesce(total, 0) AS "Total"',
     ),
     "ts_minute_metrics": """
 SELECT date_trunc('minute', ts) AS "Time", min_by(event_id, ts) AS first_id, max_by(event_id, ts) AS last_id,
