@@ -10,6 +10,9 @@ MAX_DEPTH = 8
 # Names of leaf types.
 TYPE_NAMES = {
     "VOID": "null",
+    "OBJECT": "object",
+    "ARRAY": "array",
+    "DECIMAL": "number",
     "BOOLEAN": "boolean",
     "BIGINT": "Integer64",
     "DOUBLE": "number",
@@ -24,20 +27,9 @@ TYPE_NAMES = {
 
 def type_name(variant: Column) -> Column:
     """Name of the type a variant holds."""
-    schema = F.schema_of_variant(variant)
-    out = (
-        F.when(schema.startswith("OBJECT"), "object")
-        .when(schema.startswith("ARRAY"), "array")
-        .when(schema.startswith("DECIMAL"), "number")
-    )
-    for name, label in TYPE_NAMES.items():
-        out = out.when(schema == name, label)
-    return out.otherwise(F.lower(schema))
-
-
-def is_container(variant: Column) -> Column:
-    schema = F.schema_of_variant(variant)
-    return schema.startswith("OBJECT") | schema.startswith("ARRAY")
+    kind = F.regexp_extract(F.schema_of_variant(variant), r"^([A-Z_]+)", 1)
+    names = F.create_map(*[F.lit(x) for pair in TYPE_NAMES.items() for x in pair])
+    return F.element_at(names, kind)
 
 
 def flatten_json(
@@ -51,47 +43,56 @@ def flatten_json(
     """``keep`` columns plus ``path ARRAY<STRING>``, ``type`` and ``value``.
 
     An array element adds the path part ``[i]``.  Empty containers are leaves.
-    With ``containers`` every opened object and array gets a row of its own.
-    Parts named in ``skip_parts`` are left out of the path.  All levels are
-    opened in one narrow pass; nothing is shuffled.
+    With ``containers`` every opened object and array gets a row of its own,
+    without a value.  Parts named in ``skip_parts`` are left out of the path.
+    All levels are opened in one narrow pass; nothing is shuffled.
     """
     spark = df.sparkSession
-    parsed = F.try_parse_json(F.col(json_col))
-    # Each step carries the rows found so far; a row is open while its value is
-    # a container with elements.
-    rows = df.filter(parsed.isNotNull()).select(
+    inner = "array<struct<path:array<string>,type:string>>"
+    rows = df.select(
         *keep,
         F.array().cast("array<string>").alias("path"),
-        parsed.alias("v"),
+        F.try_parse_json(F.col(json_col)).alias("v"),
         F.lit(False).alias("done"),
+        *([F.array().cast(inner).alias("opened")] if containers else []),
     )
     for _ in range(max_depth):
-        step = rows.withColumn("o", F.when(~F.col("done") & is_container(F.col("v")), F.col("v")))
+        # A scalar or an empty container opens to nothing: its row stays and is done.
+        step = rows.withColumn("o", F.when(~F.col("done"), F.col("v")))
         exploded = step.lateralJoin(spark.tvf.variant_explode_outer(F.col("o").outer()).toDF("pos", "key", "item"))
         part = F.coalesce("key", F.concat(F.lit("["), F.col("pos").cast("string"), F.lit("]")))
         grown = F.concat("path", F.array(part))
         if skip_parts:
             grown = F.when(part.isin(*skip_parts), F.col("path")).otherwise(grown)
-        opened = F.col("pos").isNotNull()
-        child = F.struct(grown.alias("path"), F.col("item").alias("v"), F.lit(False).alias("done"))
-        here = F.struct("path", "v", F.lit(True).alias("done"))
+        is_child = F.col("pos").isNotNull()
+        columns = {
+            "path": F.when(is_child, grown).otherwise(F.col("path")),
+            "v": F.when(is_child, F.col("item")).otherwise(F.col("v")),
+            "done": ~is_child,
+        }
         if containers:
-            # The opened container is kept once, next to its first element.
-            found = F.explode(
-                F.when(opened & (F.col("pos") == 0), F.array(here, child)).otherwise(
-                    F.array(F.when(opened, child).otherwise(here))
-                )
+            # The first element carries the containers that were opened to reach it.
+            kind = F.when(F.col("key").isNotNull(), "object").otherwise("array")
+            own = F.array(F.struct(F.col("path"), kind.alias("type")))
+            columns["opened"] = (
+                F.when(~is_child, F.col("opened"))
+                .when(F.col("pos") == 0, F.concat("opened", own))
+                .otherwise(F.array().cast(inner))
             )
-        else:
-            found = F.when(opened, child).otherwise(here)
-        rows = exploded.select(*keep, found.alias("r")).select(*keep, "r.*")
+        rows = exploded.select(*keep, *[c.alias(n) for n, c in columns.items()])
     scalar_text = F.coalesce(F.try_variant_get("v", "$", "string"), F.to_json("v"))
-    return rows.select(
+    leaves = rows.filter(F.col("v").isNotNull()).select(
         *keep,
         "path",
         type_name(F.col("v")).alias("type"),
-        F.when(F.schema_of_variant("v") == "VOID", F.lit(None)).otherwise(scalar_text).alias("value"),
+        F.when(~F.is_variant_null("v"), scalar_text).alias("value"),
+        *(["opened"] if containers else []),
     )
+    if not containers:
+        return leaves
+    leaf = F.struct("path", "type", "value")
+    above = F.transform("opened", lambda o: F.struct(o["path"], o["type"], F.lit(None).cast("string").alias("value")))
+    return leaves.select(*keep, F.explode(F.concat(F.array(leaf), above)).alias("r")).select(*keep, "r.*")
 
 
 def array_parts_as_any(path: Column) -> Column:

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from plumeline.functions.times import seconds_between
+from plumeline.session import staged
 
 # Report constants.
 ID_INDEX = "_id_"
@@ -93,7 +94,8 @@ def index_report(
 
     With ``hosts`` (host, shard) ops are added up per shard, without it per host.
     """
-    stats = measured(snapshots)
+    # Read for all four tables.
+    stats = staged(measured(snapshots), "snapshots")
     ops = index_ops(stats)
     if hosts is None:
         ops = ops.withColumn("shard", F.coalesce("stat_shard", "host", F.lit("")))
@@ -190,8 +192,12 @@ def index_sizes(snapshots: DataFrame) -> DataFrame:
 
 def index_usage(snapshots: DataFrame) -> DataFrame:
     """Usage of every index over all hosts of a server."""
+    return _usage(with_namespace(snapshots))
+
+
+def _usage(named: DataFrame) -> DataFrame:
     period = seconds_between(F.col("ran_at"), F.col("s.accesses.since"))
-    rows = with_namespace(snapshots).select("server", "collection", "ran_at", F.explode("indexStats").alias("s"))
+    rows = named.select("server", "collection", "ran_at", F.explode("indexStats").alias("s"))
     return (
         rows.select(
             "server",
@@ -216,11 +222,12 @@ def index_usage(snapshots: DataFrame) -> DataFrame:
 
 def merged_index_table(snapshots: DataFrame) -> DataFrame:
     """Size of every index with its usage; an index without usage keeps NULLs."""
-    sizes = with_namespace(snapshots).select(
+    named = staged(with_namespace(snapshots), "namespaces")
+    sizes = named.select(
         "server", "db", "coll", "collection", F.explode("indexSizes").alias("index", "size")
     )
     sizes = sizes.withColumn("name", F.concat_ws(".", "collection", "index"))
-    return sizes.join(index_usage(snapshots), ["server", "name"], "left").select(
+    return sizes.join(_usage(named), ["server", "name"], "left").select(
         "server", "name", "index", "size", "ops", "db", F.col("coll").alias("collection"),
         "unused", "is_id", "days", "n_shards", "index_versions",
     )

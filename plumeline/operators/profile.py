@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from plumeline.session import staged
+
 # Prune threshold, hot marker, root of reversed stacks.
 PRUNE = 0.01
 HOT_MARK = ":hot"
@@ -87,8 +89,6 @@ def tree_order(nodes: DataFrame) -> DataFrame:
     Sorted by range partitions; each partition numbers its own rows and a table
     with one row per partition gives the offset.
     """
-    from plumeline.session import staged
-
     keyed = with_order_key(nodes)
     numbered = staged(
         keyed.orderBy("order_key").withColumns(
@@ -117,7 +117,8 @@ def profile_tree(
     """
     if style not in ("percent", "threads"):
         raise ValueError(f"unknown style {style!r}")
-    tree = tree_rollup(samples, reverse, temperature)
+    # Far smaller than the samples, and read for totals, shares and pruning.
+    tree = staged(tree_rollup(samples, reverse, temperature), "tree")
     keys = with_order_key(node_totals(tree)).select("node", "order_key")
     if style == "percent":
         rows = prune(with_share(tree), threshold).withColumns({"value": F.col("share"), "hot": F.col("hot_share")})

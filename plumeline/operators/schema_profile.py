@@ -70,22 +70,25 @@ def profile_schema(df: DataFrame, body: str = "body", row_key: str = "id", max_d
         F.coalesce(F.max("most") > 1, F.lit(False)).alias("has_duplicates"),
         F.array_sort(F.collect_list(F.struct("type", "n"))).alias("__types"),
     )
-    # One row per (document, path) first: an array may repeat a path.
+    # A path outside arrays occurs once per document, so its values count its
+    # documents; only paths inside arrays need the distinct documents.
+    in_array = F.array_contains("path", "[]")
     holders = (
-        flat.groupBy("path", row_key).agg(F.lit(1).alias("one")).groupBy("path").agg(F.count("*").alias("docs"))
+        flat.filter(in_array)
+        .groupBy("path", row_key)
+        .agg(F.lit(1).alias("one"))
+        .groupBy("path")
+        .agg(F.count("*").alias("docs"))
     )
-    return (
-        by_path.join(holders, "path")
-        .select(
-            "path",
-            F.size("path").alias("level"),
-            "count",
-            (F.col("docs") / docs).alias("probability"),
-            F.transform(
-                "__types", lambda t: F.struct(t.type.alias("type"), (t.n * 100 / F.col("count")).alias("percent"))
-            ).alias("types"),
-            "has_duplicates",
-        )
+    return by_path.join(holders, "path", "left").select(
+        "path",
+        F.size("path").alias("level"),
+        "count",
+        (F.coalesce("docs", "count") / docs).alias("probability"),
+        F.transform(
+            "__types", lambda t: F.struct(t["type"].alias("type"), (t["n"] * 100 / F.col("count")).alias("percent"))
+        ).alias("types"),
+        "has_duplicates",
     )
 
 

@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from plumeline.functions.times import bucket_start
+from plumeline.session import staged
 
 # Accumulator names a metric may use.
 ACCUMULATORS = ("$sum", "$avg", "$min", "$max", "$first", "$last", "$push", "$addToSet")
@@ -75,10 +76,13 @@ def time_metrics(
 def fill_gaps(buckets: DataFrame, time: str, seconds: int) -> DataFrame:
     """Add the empty buckets between the first and the last one, numbers as 0.
 
-    ``buckets`` holds one row per bucket.  The time line is spread day by day
-    over the cluster, so seconds over years do not come from one task.
+    ``buckets`` holds one row per bucket.  It is written once, so the log rows
+    behind it are read once and not again for the first and last bucket.  The
+    time line is spread day by day over the cluster, so seconds over years do
+    not come from one task.
     """
     spark = buckets.sparkSession
+    buckets = staged(buckets, "buckets")
     day = F.window(F.col("lo"), f"{_DAY} seconds").getField("start") if seconds < _DAY else F.col("lo")
     step = max(seconds, _DAY)
     days = (

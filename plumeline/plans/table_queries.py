@@ -21,6 +21,7 @@ from plumeline.operators import timeseries as ts
 from plumeline.operators.docdiff import diff_documents, diff_lines, key_difference
 from plumeline.plans import tables as tb
 from plumeline.plans.tables import read
+from plumeline.session import staged
 
 HOUR, DAY = 3600, 86400
 KINDS = ["view", "signup", "purchase", "click", "error"]
@@ -537,8 +538,8 @@ def tree_share(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def tree_prune(spark: SparkSession, sf: str) -> DataFrame:
-    out = pr.prune(pr.with_share(pr.tree_rollup(tb.stacks(spark, sf), reverse=True)), 0.08)
-    return _tree_text(out).select("ts", "node", "weight")
+    tree = staged(pr.tree_rollup(tb.stacks(spark, sf), reverse=True), "tree")
+    return _tree_text(pr.prune(pr.with_share(tree), 0.08)).select("ts", "node", "weight")
 
 
 def tree_order(spark: SparkSession, sf: str) -> DataFrame:
