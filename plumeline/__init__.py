@@ -1,3 +1,11 @@
 """Spark jobs for the operational exhaust of document databases."""
 
+import sys
+
+from pyspark import cloudpickle
+
 __version__ = "0.1.0"
+
+# Batch functions travel to the executors by value, so a cluster needs no copy
+# of this package on its Python path.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -42,10 +42,13 @@ def first_key(document: Column) -> Column:
 
 def filter_of(command: Column, document: Column) -> Column:
     """Filter text of a command document; a list counts as its first element."""
+    parts = sorted({path.split(".")[0] for path in FILTER_LOCATIONS.values()})
+    parsed = F.from_json(document, ", ".join(f"{p} string" for p in parts))
     out = None
     for name, path in FILTER_LOCATIONS.items():
-        value = document
-        for part in path.split("."):
+        first, *rest = path.split(".")
+        value = head(parsed[first])
+        for part in rest:
             value = head(F.get_json_object(value, f"$.{part}"))
         out = F.when(command == name, value) if out is None else out.when(command == name, value)
     return out
@@ -132,7 +135,8 @@ def key_values(text: Column, pattern: str) -> Column:
         pairs,
         lambda p, i: F.array_position(F.slice(keys, i + 2, F.greatest(F.size(keys) - i - 1, F.lit(0))), p["k"]) == 0,
     )
-    return F.map_from_entries(last)
+    plain = F.size(F.array_distinct(keys)) == F.size(keys)
+    return F.when(plain, F.map_from_arrays(keys, values)).otherwise(F.map_from_entries(last))
 
 
 def oversize_number(text: Column) -> Column:

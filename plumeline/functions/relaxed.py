@@ -11,74 +11,80 @@ from pyspark.sql import functions as F, types as T
 # The tokens a shell document is made of, longest reading first.
 _TOKEN = re.compile(
     r"""
-      (?P<string>"(?:[^"\\]|\\.)*"|'(?:[^'\\]|\\.)*')
-    | (?P<date>(?:new\s*)?(?:Date|ISODate)\(\s*(?P<at>[^)]*)\))
-    | (?P<long>Number(?:Long|Int)\(\s*["']?(?P<int>-?\d+)["']?\s*\))
+      (?P<space>\s+)
+    | (?P<mark>[{}\[\],:])
+    | (?P<string>"(?:[^"\\]|\\.)*"|'(?:[^'\\]|\\.)*')
+    | (?P<date>(?:new\s*)?(?:Date|ISODate)\(([^)]*)\))
+    | (?P<long>Number(?:Long|Int)\(\s*["']?(-?\d+)["']?\s*\))
     | (?P<call>(?:new\s+)?[A-Za-z]\w*\([^)]*\))
     | (?P<regex>/(?:[^/\\]|\\.)+/[a-z]*(?=\s*[,}\]]))
-    | (?P<mark>[{}\[\],:])
-    | (?P<space>\s+)
     | (?P<word>[^\s{}\[\],:"']+(?:[:'"](?=[^\s{}\[\],])[^\s{}\[\],:"']*)*)
     """,
     re.VERBOSE | re.DOTALL,
 )
 _NUMBER = re.compile(r"-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?\Z")
-_COLON = re.compile(r"\s*:")
-_BARE = {"true", "false", "null"}
+_INNER = re.compile(r"\((?:\s*[\"']?)(.*?)(?:[\"']?\s*)\)\Z", re.DOTALL)
+_BARE = {"true": "true", "false": "false", "null": "null", "undefined": "null"}
 
 
-def _emit(m: re.Match, is_key: bool) -> str:
-    """One token as JSON text."""
-    text = m.group()
-    if m["string"] is not None:
-        body = text[1:-1]
-        if text[0] == "'":
-            body = body.replace('"', '\\"').replace("\\'", "'")
-        try:
-            return json.dumps(json.loads(f'"{body}"', strict=False), ensure_ascii=False)
-        except ValueError:
-            return json.dumps(body, ensure_ascii=False)
-    if m["mark"] is not None or m["space"] is not None:
-        return text
-    if is_key:
-        return json.dumps(text, ensure_ascii=False)
-    if m["date"] is not None:
-        at = m["at"].strip("\"' ")
-        return json.dumps({"$date": int(at) if re.fullmatch(r"-?\d+", at) else at})
-    if m["long"] is not None:
-        return m["int"]
-    if text in _BARE or _NUMBER.match(text):
-        return text
-    if text == "undefined":
-        return "null"
-    return json.dumps(text, ensure_ascii=False)
+def _string(text: str) -> str:
+    """A quoted token as a JSON string."""
+    body = text[1:-1]
+    if "\\" not in body and '"' not in body and body.isprintable():
+        return f'"{body}"'
+    if text[0] == "'":
+        body = body.replace("\\'", "'").replace('"', '\\"')
+    try:
+        body = json.loads(f'"{body}"', strict=False)
+    except ValueError:
+        pass
+    return json.dumps(body, ensure_ascii=False)
 
 
-def _canonical(text: str) -> str | None:
-    """Compact JSON of a document or list, None for any other text."""
+def _value(kind: str, text: str) -> str:
+    """Any other token as a JSON value."""
+    if kind == "date":
+        at = _INNER.search(text)[1]
+        return f'{{"$date":{at if at.lstrip("-").isdigit() else json.dumps(at)}}}'
+    if kind == "long":
+        return _INNER.search(text)[1]
+    if text in _BARE:
+        return _BARE[text]
+    return text if _NUMBER.match(text) else json.dumps(text, ensure_ascii=False)
+
+
+def _is_document(text: str) -> bool:
     try:
-        value = json.loads(text)
+        return isinstance(json.loads(text), (dict, list))
     except ValueError:
-        return None
-    return json.dumps(value, ensure_ascii=False, separators=(",", ":")) if isinstance(value, (dict, list)) else None
+        return False
 
 
 def _normalise(text: str | None) -> str | None:
-    """JSON text of the document, None when it cannot be read to its end."""
+    """Compact JSON of the document, None when it cannot be read to its end."""
     if text is None:
         return None
-    strict = _canonical(text)
-    if strict is not None:
-        return strict
-    out, at = [], 0
-    while at < len(text):
-        m = _TOKEN.match(text, at)
-        if m is None:
+    out, at, before = [], 0, ""
+    for m in _TOKEN.finditer(text):
+        if m.start() != at:
             return None
-        at = m.end()
-        is_key = m["mark"] is None and _COLON.match(text, at) is not None
-        out.append(_emit(m, is_key))
-    return _canonical("".join(out))
+        kind, token, at = m.lastgroup, m.group(), m.end()
+        if kind == "space":
+            continue
+        if kind == "mark":
+            # What stands ahead of a colon is a key, whatever it looks like.
+            if token == ":" and before:
+                out[-1] = json.dumps(before, ensure_ascii=False)
+            out.append(token)
+            before = ""
+        elif kind == "string":
+            out.append(_string(token))
+            before = ""
+        else:
+            out.append(_value(kind, token))
+            before = token
+    joined = "".join(out)
+    return joined if at == len(text) and _is_document(joined) else None
 
 
 @F.pandas_udf(T.StringType())

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, functions as F
 
 from plumeline.functions import jsonpath as jp
@@ -102,7 +100,9 @@ def structured_events(parsed: DataFrame, base: dict[str, Column]) -> DataFrame:
     own = jp.filter_of(F.col("op_of_filter"), F.col("op_doc"))
     opened = F.when(F.col("op_name") == "getMore", jp.getmore_filter(a["originatingCommand"]))
     rows = rows.withColumn("filter_text", F.when(slow, F.coalesce(own, opened)))
-    rows = rows.withColumn("q", query_shape("filter_text"))
+    rows = rows.withColumns(
+        {"q": query_shape("filter_text"), "w": jp.waits(F.when(slow, a["locks"]), F.when(slow, a["storage"]))}
+    )
     has_filter = F.col("filter_text").isNotNull()
 
     details_of = c.isin(*DETAIL_COMPONENTS)
@@ -158,7 +158,7 @@ def structured_events(parsed: DataFrame, base: dict[str, Column]) -> DataFrame:
             "has_sort_stage": F.when(slow, a["hasSortStage"]),
             "ratio": F.when(slow, ratio(a["docsExamined"], a["nreturned"])),
             "start_ts": F.when(slow, minus_millis(F.col("ts"), a["durationMillis"])),
-            "waits": F.when(slow, jp.waits(a["locks"], a["storage"])),
+            "waits": F.col("w"),
             "session_id": jp.session_id(session_doc),
             "txn_number": jp.txn_number(session_doc),
             "originating_command": F.when(slow, a["originatingCommand"]),

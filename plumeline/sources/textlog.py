@@ -181,9 +181,10 @@ def text_events(parsed: DataFrame, base: dict[str, Column]) -> tuple[DataFrame,
         }
     )
     tail = F.col("tail")
+    # All documents of a line go to Python in one batch.
     rows = rows.withColumns(
         {
-            "origin_text": _found(tail, _ORIGIN),
+            "origin_json": relaxed_to_json(_found(tail, _ORIGIN)),
             "cmd_json": relaxed_to_json(F.col("cmd_text")),
             "info_json": relaxed_to_json(
                 F.when(client | repl | F.col("message_doc") | F.col("admin"), _found(body, r"(?s)(\{.*\})"))
@@ -192,7 +193,6 @@ def text_events(parsed: DataFrame, base: dict[str, Column]) -> tuple[DataFrame,
             "storage_json": relaxed_to_json(_segment(tail, "storage")),
         }
     )
-    rows = rows.withColumn("origin_json", relaxed_to_json(F.col("origin_text")))
     rejects = rows.filter(F.col("cmd_text").isNotNull() & F.col("cmd_json").isNull())
     rows = rows.filter(F.col("cmd_text").isNull() | F.col("cmd_json").isNotNull())
 
@@ -204,7 +204,13 @@ def text_events(parsed: DataFrame, base: dict[str, Column]) -> tuple[DataFrame,
         F.coalesce(F.get_json_object(origin, "$.filter"), F.get_json_object(origin, "$.pipeline[0].$match")),
     )
     rows = rows.withColumns({"op_name": command, "filter_text": F.coalesce(own, opened)})
-    rows = rows.withColumns({"q": query_shape("filter_text"), "tokens": _tokens(body)})
+    rows = rows.withColumns(
+        {
+            "q": query_shape("filter_text"),
+            "w": jp.waits(F.col("locks_json"), F.col("storage_json")),
+            "tokens": F.when(shard | access | F.col("admin"), _tokens(body)),
+        }
+    )
     has_filter = F.col("filter_text").isNotNull()
 
     docs, returned = _number(tail, "docsExamined"), _number(tail, "nreturned")
@@ -273,7 +279,7 @@ def text_events(parsed: DataFrame, base: dict[str, Column]) -> tuple[DataFrame,
             "originating_command": origin,
             "locks": F.col("locks_json"),
             "storage": F.col("storage_json"),
-            "waits": jp.waits(F.col("locks_json"), F.col("storage_json")),
+            "waits": F.col("w"),
             "truncated": F.col("long_line"),
             "log_date": F.to_date("ts"),
         },
