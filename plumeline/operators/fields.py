@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from plumeline.functions.flatten import array_parts_as_any, dotted, flatten_json
 
@@ -19,8 +19,6 @@ def first_n_per_group(df: DataFrame, group: Sequence[str], order: Sequence[Colum
     A hot group is ranked in two steps: every salt bucket keeps its first ``n``,
     then the group ranks what is left, at most ``n * SALTS`` rows.
     """
-    from pyspark.sql import Window
-
     salted = df.withColumn("__salt", F.pmod(F.xxhash64(row_key), F.lit(SALTS)))
     inner = Window.partitionBy(*group, "__salt").orderBy(*order)
     outer = Window.partitionBy(*group).orderBy(*order)
@@ -74,6 +72,11 @@ def array_field(df: DataFrame, body: str, path: str) -> DataFrame:
     return df.filter(F.get_json_object(F.col(body), path).startswith("["))
 
 
+def of_type(df: DataFrame, body: str, path: str, value: str) -> DataFrame:
+    """Documents whose value at a JSON path, such as ``$.events[0].kind``, is ``value``."""
+    return df.filter(F.get_json_object(F.col(body), path) == value)
+
+
 def count_array_keys(df: DataFrame, key: Column) -> DataFrame:
     """Count by an array-valued key; ``type`` is its first element."""
     return (

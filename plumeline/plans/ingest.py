@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window, fu
 
 from plumeline.functions.times import between_inclusive
 from plumeline.operators.entries import stop_after_end
+from plumeline.operators.shape_report import selection
 from plumeline.sources import audit, structured, textlog
 from plumeline.session import staged
 from plumeline.sources.lines import LATIN, UTF8, node_type, read_lines, short_name, stitch_files
@@ -142,6 +143,21 @@ def write_ingested(out: Ingested, path: str) -> Observation:
     return counted
 
 
+def read_events(
+    spark: SparkSession, path: str, files: Sequence[str] | None = None, start=None, end=None
+) -> DataFrame:
+    """Stored events, optionally of some files and strictly between two dates.
+
+    The date range also prunes the partitions by day.
+    """
+    events = spark.read.parquet(f"{path}/events").filter(selection(files, start, end))
+    if start is not None:
+        events = events.filter(F.col("log_date") >= F.to_date(F.lit(start)))
+    if end is not None:
+        events = events.filter(F.col("log_date") <= F.to_date(F.lit(end)))
+    return events
+
+
 def slow_ops(events: DataFrame) -> DataFrame:
     """The slow operations among the events."""
     return events.filter(F.col("type").isin("COMMAND", "WRITE") & F.col("command").isNotNull())

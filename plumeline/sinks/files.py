@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from plumeline.operators.indexes import IndexReport, nested_paths
-from plumeline.operators.profile import caption, with_order_key
+from plumeline.operators.profile import caption
 from plumeline.operators.timeseries import Metric
 
 # Columns of the merged index export.

@@ -8,6 +8,7 @@ from plumeline.functions import jsonpath as jp
 from plumeline.functions.shape import query_shape
 from plumeline.functions.times import minus_millis
 from plumeline.operators.commands import ratio
+from plumeline.operators.running import RunningSum, with_running
 from plumeline.schemas import as_log_events
 
 # Fields of an entry and of its attributes.
@@ -177,11 +178,12 @@ def oversize_lengths(events: DataFrame) -> DataFrame:
     return events.filter(F.col("message") == "recv(): message mstLen is invalid.").select("infile", "lineno", length.alias("msg_len"))
 
 
-def log_headers(parsed: DataFrame, blocks_key: list[str] | None = None) -> DataFrame:
+def log_headers(parsed: DataFrame) -> DataFrame:
     """One row per process start with what it reported until the next one."""
-    from plumeline.operators.running import RunningSum, with_running
-
-    rows = header_rows(parsed).select("infile", "block", "lineno", "ts", F.col("e.msg").alias("msg"), F.col("e.attr").alias("attr"), F.col("a.host").alias("host"))
+    rows = header_rows(parsed).select(
+        "infile", "block", "lineno", "ts",
+        F.col("e.msg").alias("msg"), F.col("e.attr").alias("attr"), F.col("a.host").alias("host"),
+    )
     start = F.when(F.col("msg") == "Process Details", 1).otherwise(0)
     numbered = with_running(rows, ["infile"], ["lineno"], F.col("block"), [RunningSum(start, "restart_id")])
     fields = [

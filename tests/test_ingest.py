@@ -4,7 +4,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from plumeline.plans.ingest import IngestOptions, ingest_logs, slow_ops, write_ingested
+from plumeline.plans.ingest import IngestOptions, ingest_logs, read_events, slow_ops, write_ingested
 from plumeline.sources.lines import gzip_without_suffix, read_lines, short_name, stitch_files
 
 
@@ -132,6 +132,9 @@ def test_range_and_write(spark, tmp_path):
     back = spark.read.parquet(str(tmp_path / "out" / "events"))
     assert sorted(r["lineno"] for r in back.collect()) == [15, 16, 17]
     assert seen.get["rows"] == 3
+    again = read_events(spark, str(tmp_path / "out"), start=at(1), end=at(3))
+    assert [r["lineno"] for r in again.collect()] == [16]
+    assert "PartitionFilters: [isnotnull(log_date" in again._jdf.queryExecution().toString()
     assert slow_ops(back).count() == 3
     with pytest.raises(ValueError):
         ingest_logs(spark, [str(p)], IngestOptions(start=at(3), end=at(1)))

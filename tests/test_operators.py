@@ -6,14 +6,13 @@ import pytest
 from pyspark.sql import Window, functions as F
 
 from plumeline.functions import jsonpath as jp
-from plumeline.functions.flatten import dotted, flatten_json
+from plumeline.functions.flatten import flatten_json
 from plumeline.functions.relaxed import relaxed_to_json
 from plumeline.functions.shape import query_shape, shallow_shape
 from plumeline.functions.text import cell, clean_function_name
 from plumeline.functions.times import iso_duration, parse_date
 from plumeline.operators import commands as cm
 from plumeline.operators import fields as fi
-from plumeline.operators import indexes as ix
 from plumeline.operators import lookups as lk
 from plumeline.operators import profile as pr
 from plumeline.operators import running as rn
@@ -293,6 +292,7 @@ def test_find_fields(spark):
     assert every["Name"] == 20
     assert [r["ns"] for r in fi.without_matches(df, fi.find_fields(df, "name")).collect()] == ["c2"]
     assert fi.array_field(df, "body", "$.l").count() == 20
+    assert fi.of_type(df, "body", "$.l[1].name", "2").count() == 20
     assert fi.sample_documents(df, ["ns"], "id", 3, seed=1).count() == 4
 
 
