@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -32,18 +31,11 @@ def build_session(app_name: str = "plumeline", master: str | None = None, **conf
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach, as the cluster names it.
-
-    Only a session without ``spark.checkpoint.dir`` (tests, notebooks) gets a
-    temporary folder, and only when it runs in local mode.
-    """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="plumeline-"))
-    return spark.conf.get("spark.checkpoint.dir")
+    """The folder every executor can reach: ``spark.checkpoint.dir``, or the one given to ``setCheckpointDir``."""
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not configured:
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return configured
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
