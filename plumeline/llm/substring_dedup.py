@@ -6,14 +6,16 @@ document with a smaller id.  All windows are hashed (64-bit Rabin-Karp, mixed) a
 1. Each task hashes the windows of a group of documents.  Inside a group a hash keeps the windows of its smallest
    document; windows of later documents are hits at once, so a passage that many documents share reaches the shuffle
    once per group.
-2. The rest is packed: one row per group and hash range with seven hash bytes and about one position byte a window.  A
-   range holds about ``RANGE_WINDOWS`` windows; the number of ranges follows the input.
+2. The rest is packed: one row per group and range with seven hash bytes a window.  The range of a window is that of
+   its anchor, the least hash of all runs of ``ANCHOR`` words in it: equal windows have equal anchors, and windows that
+   follow each other mostly share one, so their places and the hits of a document stay together.  A range holds about
+   ``RANGE_WINDOWS`` windows; the number of ranges follows the input.
 3. A task per range sorts its hashes and returns the windows whose hash has a smaller first document.
 4. Hits meet the texts by document; overlapping windows merge into maximal intervals of words to remove.
 
 Rows with one id but different texts are told apart by a hash of the text.  A null id counts as larger than all others.
-A null text has no words.  Hashes have 56 bits and the bits of the range (at least ``MIN_RANGES``): the chance of any
-false hit is below n**2 / 2**(57 + range bits) for n windows.
+A null text has no words.  Windows meet if 56 bits of their hash and the range of their anchor agree (at least ``MIN_RANGES``): the
+chance of any false hit is below n**2 / 2**(57 + range bits) for n windows.
 """
 
 from __future__ import annotations
@@ -31,6 +33,7 @@ from plumeline.llm import words as W
 #: Windows that one hash range should hold; a task needs about 60 bytes of memory for each.
 RANGE_WINDOWS = 4_000_000
 MIN_RANGES = 16
+ANCHOR = 8
 _LAST = (1 << 63) - 1
 _CELL = "range int, docs binary, hashes binary, steps binary, doc_id long, text_key int, starts binary"
 
@@ -71,6 +74,13 @@ def _hit_rows(ids, keys, first, begin, docs) -> list[tuple]:
     return out
 
 
+def _anchors(words: np.ndarray, size: int) -> np.ndarray:
+    """For the window from each word: the least hash of its runs of ANCHOR words, scrambled."""
+    run = min(ANCHOR, size)
+    at = np.arange(max(len(words) - run + 1, 0))
+    return W.mix(W.sliding_min(W.mix(W.span_hashes(words, at, at + run, W.STEP)), size - run + 1), 1)
+
+
 def _cells(size: int, ranges: int):
     bits = (ranges - 1).bit_length()
 
@@ -87,9 +97,11 @@ def _cells(size: int, ranges: int):
             for lo, hi, part, offs in W.groups(buf, offsets):
                 ids, keys = all_ids[lo:hi], all_keys[lo:hi]
                 starts, ends, first = W.find_words(part, offs)
-                hashes, begin, docs = W.window_hashes(W.word_hashes(part, starts, ends), first, size)
+                words = W.word_hashes(part, starts, ends)
+                hashes, begin, docs = W.window_hashes(words, first, size)
                 if not len(hashes):
                     continue
+                anchor = _anchors(words, size)[begin]
                 order = np.argsort(hashes, kind="stable")
                 lead = np.zeros(len(order), np.int64)
                 lead[1:] = np.where(hashes[order[1:]] == hashes[order[:-1]], 0, np.arange(1, len(order)))
@@ -102,8 +114,8 @@ def _cells(size: int, ranges: int):
                     for i, k, s in _hit_rows(ids, keys, first, begin[repeat], docs[repeat])
                 ]
                 table = _pack_table(ids, keys, first)
-                hashes, begin = hashes[~repeat], begin[~repeat]
-                target = (hashes >> np.uint64(64 - bits)).astype(np.int64)
+                hashes, begin, anchor = hashes[~repeat], begin[~repeat], anchor[~repeat]
+                target = (anchor >> np.uint64(64 - bits)).astype(np.int64)
                 order = np.argsort(target, kind="stable")
                 edges = np.searchsorted(target[order], np.arange(ranges + 1))
                 low = hashes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :7]

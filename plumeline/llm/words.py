@@ -14,7 +14,7 @@ import pyarrow as pa
 GROUP_BYTES = 2 << 20
 
 _BASE = 0x9E3779B97F4A7C15
-_STEP = 0xD1342543DE82EF95
+STEP = 0xD1342543DE82EF95
 
 
 def whitespace() -> np.ndarray:
@@ -97,7 +97,17 @@ def window_hashes(words: np.ndarray, first: np.ndarray, size: int) -> tuple[np.n
     counts = np.maximum(np.diff(first) - size + 1, 0)
     docs = np.repeat(np.arange(len(counts)), counts)
     begin = np.arange(len(docs)) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(first[:-1], counts)
-    return mix(span_hashes(words, begin, begin + size, _STEP)), begin, docs
+    return mix(span_hashes(words, begin, begin + size, STEP)), begin, docs
+
+
+def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
+    """The least of ``values[i : i + width]`` for every i, by doubling; the end counts as full of large values."""
+    out, done = values.copy(), 1
+    while done < width:
+        step = min(done, width - done)
+        out[:-step] = np.minimum(out[:-step], out[step:]) if step < len(out) else out[:-step]
+        done += step
+    return out
 
 
 def lower_ascii(buf: np.ndarray) -> np.ndarray:
