@@ -2,97 +2,118 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+import json
+from collections.abc import Callable, Iterator
+from decimal import Decimal
 
-# Levels opened by default; a deeper container stays one row with its JSON text.
-MAX_DEPTH = 8
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 # Names of leaf types.
-TYPE_NAMES = {
-    "VOID": "null",
-    "OBJECT": "object",
-    "ARRAY": "array",
-    "DECIMAL": "number",
-    "BOOLEAN": "boolean",
-    "BIGINT": "Integer64",
-    "DOUBLE": "number",
-    "FLOAT": "number",
-    "STRING": "string",
-    "TIMESTAMP": "date",
-    "TIMESTAMP_NTZ": "date",
-    "DATE": "date",
-    "BINARY": "binary",
-}
-
-
-def type_name(variant: Column) -> Column:
-    """Name of the type a variant holds."""
-    kind = F.regexp_extract(F.schema_of_variant(variant), r"^([A-Z_]+)", 1)
-    names = F.create_map(*[F.lit(x) for pair in TYPE_NAMES.items() for x in pair])
-    return F.element_at(names, kind)
+OBJECT, ARRAY, NULL, BOOLEAN, LONG, NUMBER, STRING = "object", "array", "null", "boolean", "Integer64", "number", "string"
+
+_LEAF = T.StructType(
+    [T.StructField("path", T.ArrayType(T.StringType())), T.StructField("type", T.StringType()), T.StructField("value", T.StringType())]
+)
+
+
+class _Real(str):
+    """A number with a fraction or an exponent, as it is written."""
+
+
+def _no_constant(name: str):
+    raise ValueError(name)
+
+
+def parse(text: str | None):
+    """The document in ``text``; raises ValueError for text that is no JSON.  The last of equal keys counts."""
+    if text is None:
+        raise ValueError("no text")
+    try:
+        return json.loads(text, parse_float=_Real, parse_constant=_no_constant)
+    except RecursionError as problem:
+        raise ValueError("nested too deep to parse") from problem
+
+
+def _real_text(value: _Real) -> tuple[str, str]:
+    if "e" not in value and "E" not in value:
+        number = Decimal(value)
+        return NUMBER, format(number.normalize(), "f") if number else "0"
+    return NUMBER, repr(float(value))
+
+
+def _scalar(value) -> tuple[str, str | None]:
+    """Type and text of a leaf."""
+    if value is None:
+        return NULL, None
+    if value is True or value is False:
+        return BOOLEAN, "true" if value else "false"
+    if isinstance(value, int):
+        return (LONG if -(1 << 63) <= value < 1 << 63 else NUMBER), str(value)
+    if isinstance(value, _Real):
+        return _real_text(value)
+    if isinstance(value, str):
+        return STRING, value
+    return (OBJECT, "{}") if isinstance(value, dict) else (ARRAY, "[]")
+
+
+def leaves(document, skip_parts: tuple[str, ...] = (), containers: bool = False) -> Iterator[tuple[tuple[str, ...], str, str | None]]:
+    """``(path, type, value)`` of every leaf, in document order, at any depth."""
+    waiting = [((), document)]
+    while waiting:
+        path, value = waiting.pop()
+        if not (isinstance(value, (dict, list)) and value):
+            yield (path, *_scalar(value))
+            continue
+        is_object = isinstance(value, dict)
+        if containers:
+            yield path, OBJECT if is_object else ARRAY, None
+        inner = value.items() if is_object else ((f"[{i}]", v) for i, v in enumerate(value))
+        waiting += reversed([(path if k in skip_parts else (*path, k), v) for k, v in inner])
+
+
+def walk_json(df: DataFrame, json_col: str, keep: list[str], walk: Callable, columns: T.StructType) -> DataFrame:
+    """``keep`` and the ``columns`` of the rows that ``walk(document)`` yields as tuples; one narrow pass."""
+    kinds = [T.StructField(f.name, f.dataType) for f in df.select(*keep).schema]
+    schema = T.StructType([*kinds, *columns.fields])
+    names = [f.name for f in schema]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_type
+
+        arrow = [to_arrow_type(f.dataType) for f in columns]
+        for batch in batches:
+            texts = batch.column(len(keep))
+            at, found = [], []
+            for i, text in enumerate(texts.to_pylist()):
+                try:
+                    rows = list(walk(parse(text)))
+                except ValueError:
+                    continue
+                at += [i] * len(rows)
+                found += rows
+            made = [pa.array([r[k] for r in found], kind) for k, kind in enumerate(arrow)]
+            kept = [batch.column(k).take(pa.array(at, pa.int64())) for k in range(len(keep))]
+            yield pa.RecordBatch.from_arrays([*kept, *made], names)
+
+    return df.select(*keep, F.col(json_col).alias("__json")).mapInArrow(run, schema)
 
 
 def flatten_json(
-    df: DataFrame,
-    json_col: str,
-    keep: list[str],
-    max_depth: int = MAX_DEPTH,
-    containers: bool = False,
-    skip_parts: tuple[str, ...] = (),
+    df: DataFrame, json_col: str, keep: list[str], containers: bool = False, skip_parts: tuple[str, ...] = ()
 ) -> DataFrame:
     """``keep`` columns plus ``path ARRAY<STRING>``, ``type`` and ``value``.
 
     An array element adds the path part ``[i]``.  Empty containers are leaves.
-    With ``containers`` every opened object and array gets a row of its own,
+    With ``containers`` every other object and array gets a row of its own,
     without a value.  Parts named in ``skip_parts`` are left out of the path.
-    All levels are opened in one narrow pass; nothing is shuffled.
+    Containers are opened until none is left; nothing is shuffled.
     """
-    spark = df.sparkSession
-    inner = "array<struct<path:array<string>,type:string>>"
-    rows = df.select(
-        *keep,
-        F.array().cast("array<string>").alias("path"),
-        F.try_parse_json(F.col(json_col)).alias("v"),
-        F.lit(False).alias("done"),
-        *([F.array().cast(inner).alias("opened")] if containers else []),
-    )
-    for _ in range(max_depth):
-        # A scalar or an empty container opens to nothing: its row stays and is done.
-        step = rows.withColumn("o", F.when(~F.col("done"), F.col("v")))
-        exploded = step.lateralJoin(spark.tvf.variant_explode_outer(F.col("o").outer()).toDF("pos", "key", "item"))
-        part = F.coalesce("key", F.concat(F.lit("["), F.col("pos").cast("string"), F.lit("]")))
-        grown = F.concat("path", F.array(part))
-        if skip_parts:
-            grown = F.when(part.isin(*skip_parts), F.col("path")).otherwise(grown)
-        is_child = F.col("pos").isNotNull()
-        columns = {
-            "path": F.when(is_child, grown).otherwise(F.col("path")),
-            "v": F.when(is_child, F.col("item")).otherwise(F.col("v")),
-            "done": ~is_child,
-        }
-        if containers:
-            # The first element carries the containers that were opened to reach it.
-            kind = F.when(F.col("key").isNotNull(), "object").otherwise("array")
-            own = F.array(F.struct(F.col("path"), kind.alias("type")))
-            columns["opened"] = (
-                F.when(~is_child, F.col("opened"))
-                .when(F.col("pos") == 0, F.concat("opened", own))
-                .otherwise(F.array().cast(inner))
-            )
-        rows = exploded.select(*keep, *[c.alias(n) for n, c in columns.items()])
-    scalar_text = F.coalesce(F.try_variant_get("v", "$", "string"), F.to_json("v"))
-    leaves = rows.filter(F.col("v").isNotNull()).select(
-        *keep,
-        "path",
-        type_name(F.col("v")).alias("type"),
-        F.when(~F.is_variant_null("v"), scalar_text).alias("value"),
-        *(["opened"] if containers else []),
-    )
-    if not containers:
-        return leaves
-    leaf = F.struct("path", "type", "value")
-    above = F.transform("opened", lambda o: F.struct(o["path"], o["type"], F.lit(None).cast("string").alias("value")))
-    return leaves.select(*keep, F.explode(F.concat(F.array(leaf), above)).alias("r")).select(*keep, "r.*")
+
+    def walk(document) -> Iterator[tuple]:
+        return ((list(path), kind, value) for path, kind, value in leaves(document, skip_parts, containers))
+
+    return walk_json(df, json_col, keep, walk, _LEAF)
 
 
 def array_parts_as_any(path: Column) -> Column:

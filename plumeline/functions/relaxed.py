@@ -13,9 +13,11 @@ _TOKEN = re.compile(
     r"""
       (?P<space>\s+)
     | (?P<mark>[{}\[\],:])
-    | (?P<string>"(?:[^"\\]|\\.)*"|'(?:[^'\\]|\\.)*')
+    | (?P<string>"(?:[^"\\]|\\.|"(?!\s*(?:[,:}\]]|\Z)))*"|'(?:[^'\\]|\\.)*')
     | (?P<date>(?:new\s*)?(?:Date|ISODate)\(([^)]*)\))
     | (?P<long>Number(?:Long|Int)\(\s*["']?(-?\d+)["']?\s*\))
+    | (?P<binary>BinData\([^()]*\))
+    | (?P<stamp>Timestamp\s+\d+\|\d+)
     | (?P<call>(?:new\s+)?[A-Za-z]\w*\([^)]*\))
     | (?P<regex>/(?:[^/\\]|\\.)+/[a-z]*(?=\s*[,}\]]))
     | (?P<word>[^\s{}\[\],:"']+(?:[:'"](?=[^\s{}\[\],])[^\s{}\[\],:"']*)*)
@@ -32,6 +34,9 @@ def _string(text: str) -> str:
     body = text[1:-1]
     if "\\" not in body and '"' not in body and body.isprintable():
         return f'"{body}"'
+    if text[0] == '"' and re.search(r'(?<!\\)"', body):
+        # Quotes inside, with no escape in front.
+        body = re.sub(r'(?<!\\)"', r'\\"', body)
     if text[0] == "'":
         body = body.replace("\\'", "'").replace('"', '\\"')
     try:
@@ -41,13 +46,19 @@ def _string(text: str) -> str:
     return json.dumps(body, ensure_ascii=False)
 
 
-def _value(kind: str, text: str) -> str:
-    """Any other token as a JSON value."""
+def _value(kind: str, text: str, payload: bool) -> str:
+    """Any other token as a JSON value; with ``payload`` a binary is its data alone."""
     if kind == "date":
         at = _INNER.search(text)[1]
         return f'{{"$date":{at if at.lstrip("-").isdigit() else json.dumps(at)}}}'
     if kind == "long":
         return _INNER.search(text)[1]
+    if kind == "binary" and payload:
+        # The payload, which is the last argument.
+        return json.dumps(_INNER.search(text)[1].split(",")[-1].strip(" \"'"))
+    if kind == "stamp":
+        millis, step = text.split()[1].split("|")
+        return f'"Timestamp({int(millis) // 1000},{step})"'
     if text in _BARE:
         return _BARE[text]
     return text if _NUMBER.match(text) else json.dumps(text, ensure_ascii=False)
@@ -60,7 +71,7 @@ def _is_document(text: str) -> bool:
         return False
 
 
-def _normalise(text: str | None) -> str | None:
+def _normalise(text: str | None, payload: bool = False) -> str | None:
     """Compact JSON of the document, None when it cannot be read to its end."""
     if text is None:
         return None
@@ -81,7 +92,7 @@ def _normalise(text: str | None) -> str | None:
             out.append(_string(token))
             before = ""
         else:
-            out.append(_value(kind, token))
+            out.append(_value(kind, token, payload))
             before = token
     joined = "".join(out)
     return joined if at == len(text) and _is_document(joined) else None
@@ -91,3 +102,9 @@ def _normalise(text: str | None) -> str | None:
 def relaxed_to_json(documents: pd.Series) -> pd.Series:
     """JSON text of shell-style documents; NULL marks text that is none."""
     return pd.Series([_normalise(d) for d in documents], dtype=object)
+
+
+@F.pandas_udf(T.StringType())
+def stored_to_json(documents: pd.Series) -> pd.Series:
+    """JSON text of stored command documents: as ``relaxed_to_json``, binaries as their data."""
+    return pd.Series([_normalise(d, payload=True) for d in documents], dtype=object)

@@ -4,10 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-# Nesting that one name may hold per bracket pair; deeper text stays as it is.
-BRACKET_DEPTH = 8
-
-
 def cell(values: Column, default: str = "") -> Column:
     """One element as itself, none as empty text, more as a JSON list."""
     return (
@@ -38,14 +34,37 @@ def rename_dollar_keys(json_text: Column) -> Column:
 
 
 def strip_nested(name: Column, left: str, right: str, replacement: str = "") -> Column:
-    """Replace every outermost ``left…right`` group, inner groups included."""
-    lt, rt = f"\\{left}", f"\\{right}"
-    mark = "\u0001"
-    out = name
-    for _ in range(BRACKET_DEPTH):
-        out = F.regexp_replace(out, f"{lt}[^{lt}{rt}]*{rt}", mark)
-    out = F.regexp_replace(out, mark, replacement.replace("$", r"\$"))
-    return out
+    """Text outside all ``left…right`` groups, ``replacement`` where an outermost group opens.
+
+    One pass over the characters counts the depth, so any nesting is followed.
+    Only text at depth 0 stays: nothing is kept behind a bracket that is never
+    closed, nor between a closing bracket without partner and the next opening.
+    """
+    start = F.struct(F.lit(0).alias("depth"), F.lit("").alias("out"))
+
+    def step(state: Column, char: Column) -> Column:
+        opens, closes = char == left, char == right
+        depth = state["depth"] + F.when(opens, 1).when(closes, -1).otherwise(0)
+        added = F.when(opens, F.lit(replacement)).when(closes, F.lit("")).otherwise(char)
+        return F.struct(depth.alias("depth"), F.when(state["depth"] == 0, F.concat(state["out"], added)).otherwise(state["out"]).alias("out"))
+
+    text = F.trim(name)
+    walked = F.aggregate(F.split(text, ""), start, step)["out"]
+    return F.when(text.contains(left) | text.contains(right), walked).otherwise(text)
+
+
+def outer_groups(text: Column, left: str, right: str) -> Column:
+    """The outermost ``left…right`` groups of a text, with all that is in them."""
+    start = F.struct(F.lit(0).alias("depth"), F.lit("").alias("group"), F.array().cast("array<string>").alias("found"))
+
+    def step(state: Column, char: Column) -> Column:
+        depth = state["depth"] + F.when(char == left, 1).when((char == right) & (state["depth"] > 0), -1).otherwise(0)
+        group = F.when((state["depth"] > 0) | (depth > 0), F.concat(state["group"], char)).otherwise(F.lit(""))
+        closed = (state["depth"] > 0) & (depth == 0)
+        found = F.when(closed, F.array_append(state["found"], group)).otherwise(state["found"])
+        return F.struct(depth.alias("depth"), F.when(closed, F.lit("")).otherwise(group).alias("group"), found.alias("found"))
+
+    return F.when(text.contains(left), F.aggregate(F.split(text, ""), start, step)["found"])
 
 
 def clean_function_name(name: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from plumeline.functions.jsonpath import any_match
-from plumeline.functions.relaxed import relaxed_to_json
+from plumeline.functions.relaxed import relaxed_to_json, stored_to_json
 from plumeline.functions.shape import has_operator, query_shape, shallow_shape
 from plumeline.functions.text import literal_text
 from plumeline.functions.times import iso_duration
@@ -15,27 +15,6 @@ from plumeline.operators.lookups import join_with_fallback
 WRITE_COMMANDS = ("insert", "update", "remove", "findAndModify")
 DEFAULT_CONCERN = '{"w":"default"}'
 
-# Repairs of stored command text, applied in order.
-COMMAND_REPAIRS = (
-    # keys with dots
-    (r"([{,] *)([^.:{}, \"]*\.[^: },\"]*):", r'$1"$2":'),
-    # binary literals
-    (r"BinData\([0-9], ([0-9A-F.]*)\)", r'"$1"'),
-    # timestamps written as seconds|increment
-    (r"Timestamp ([0-9]*)000\|([0-9]*)([ ,}])", r"Timestamp($1,$2)$3"),
-    # a quoted list of documents that holds quotes itself
-    (r'"(\[\{[^"}]*(?:"[^"}]*)*)"', r"'$1'"),
-)
-UPDATE_REPAIRS = (
-    (r"([^.:{}, \"]*\.[^: },\"]*):", r'"$1":'),
-    # a value with quotes inside
-    (r': *("[^"]*"[^"]*")([,}])', r": '$1'$2"),
-    # exponents with a fraction
-    (r": *([+-]?[0-9]+e-?[0-9]+.[0-9]+)", ": 0.01"),
-    (r"BinData\([0-9], ([0-9A-F.]*)\)", r'"$1"'),
-)
-
-
 def ratio(docs: Column, returned: Column, mode: str = "double") -> Column:
     """Documents examined per document returned.
 
@@ -50,13 +29,6 @@ def ratio(docs: Column, returned: Column, mode: str = "double") -> Column:
     raise ValueError(f"unknown ratio mode {mode!r}")
 
 
-def repair(text: Column, repairs: tuple[tuple[str, str], ...]) -> Column:
-    """Apply a list of text repairs."""
-    for pattern, replacement in repairs:
-        text = F.regexp_replace(text, pattern, replacement)
-    return text
-
-
 def normalise_commands(df: DataFrame, ratio_mode: str = "integer") -> tuple[DataFrame, DataFrame]:
     """Stored ``Command`` strings to shapes and options.
 
@@ -72,7 +44,7 @@ def normalise_commands(df: DataFrame, ratio_mode: str = "integer") -> tuple[Data
         df.filter(F.col("Command").isNotNull())
         .withColumns({"cmd_type": name, "__body": body})
         .filter(F.col("__body").isNotNull())
-        .withColumn("__doc", relaxed_to_json(repair(F.col("__body"), COMMAND_REPAIRS)))
+        .withColumn("__doc", stored_to_json(F.col("__body")))
     )
     rejects = rows.filter(F.col("__doc").isNull()).select(
         "id", F.col("__body").alias("raw"), F.lit("not a document").alias("error")
@@ -117,8 +89,8 @@ def normalise_updates(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Stored ``Update`` and ``Query`` strings to filter, set and insert shapes."""
     rows = df.filter(F.col("Update").isNotNull()).withColumns(
         {
-            "__doc": relaxed_to_json(repair(F.col("Update"), UPDATE_REPAIRS)),
-            "__filter": relaxed_to_json(repair(F.col("Query"), COMMAND_REPAIRS[1:2])),
+            "__doc": stored_to_json(F.col("Update")),
+            "__filter": stored_to_json(F.col("Query")),
         }
     )
     rejects = rows.filter(F.col("__doc").isNull()).select(
@@ -186,7 +158,8 @@ def extract_parameters(ranked: DataFrame, samples: DataFrame, run_time) -> tuple
     ``ranked``: ``ns, filter, stage_rank, prd_rank``; ``samples``: ``id, object,
     collection, filter_shape, filter_params``.  A shape without samples is tried
     with ``[ N ]`` read as ``[ 1 ]`` against the collection column.  Dates become
-    the distance to ``run_time``.  Second result: ranked shapes without data.
+    the distance to ``run_time``.  Rows are in order of ``prd_rank``.  Second
+    result: ranked shapes without data.
     """
     wanted = ranked.filter(F.col("stage_rank").isNotNull()).withColumn("shape_id", F.xxhash64("ns", "filter"))
     single = F.replace("filter", F.lit("[ N ]"), F.lit("[ 1 ]"))
@@ -218,4 +191,4 @@ def extract_parameters(ranked: DataFrame, samples: DataFrame, run_time) -> tuple
         F.transform(shifts, lambda v: v["text"]).alias("shifts"),
     )
     missing = wanted.join(params.select("shape_id").distinct(), "shape_id", "left_anti").select("ns", "filter", "prd_rank")
-    return params, missing
+    return params.orderBy("prd_rank", "ns", "filter", "sample_id"), missing.orderBy("prd_rank", "ns", "filter")

@@ -2,36 +2,59 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from collections.abc import Iterator
 
-from plumeline.functions.flatten import MAX_DEPTH, dotted, flatten_json
+import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F, types as T
 
+from plumeline.functions.flatten import dotted, leaves, parse
 
-def diff_documents(
-    left: DataFrame, right: DataFrame, key: str = "id", body: str = "body", max_depth: int = MAX_DEPTH
-) -> DataFrame:
+
+_DIFF = T.StructType(
+    [T.StructField("path", T.ArrayType(T.StringType()))]
+    + [T.StructField(n, T.StringType()) for n in ("change", "left_type", "left_value", "right_type", "right_value")]
+)
+
+
+def _differences(left: dict, right: dict) -> Iterator[tuple]:
+    """Differences of two documents given as path to (type, value)."""
+    for path in [*left, *(p for p in right if p not in left)]:
+        a, b = left.get(path), right.get(path)
+        if a != b:
+            change = "only_left" if b is None else "only_right" if a is None else "type" if a[0] != b[0] else "value"
+            yield (list(path), change, *(a or (None, None)), *(b or (None, None)))
+
+
+def diff_documents(left: DataFrame, right: DataFrame, key: str = "id", body: str = "body") -> DataFrame:
     """One row per difference: ``key, path, change, left_type, left_value, right_type, right_value``.
 
-    ``change`` is ``only_left``, ``only_right``, ``type`` or ``value``.  Both
-    sides are shuffled once, on (key, path), so one huge document is spread too.
+    ``change`` is ``only_left``, ``only_right``, ``type`` or ``value``.  The raw
+    documents meet on ``key``, which is unique on either side; equal texts go at
+    once, and only the others are opened, each pair in one place.
     """
+    both = left.select(key, F.col(body).alias("__left")).join(right.select(key, F.col(body).alias("__right")), key, "full_outer")
+    unequal = both.filter(~F.col("__left").eqNullSafe(F.col("__right")))
+    schema = T.StructType([unequal.schema[key], *_DIFF.fields])
+    names = schema.names
 
-    def side(df: DataFrame, tag: str) -> DataFrame:
-        flat = flatten_json(df, body, [key], max_depth)
-        return flat.select(
-            key, F.col("path"), F.col("type").alias(f"{tag}_type"), F.col("value").alias(f"{tag}_value")
-        )
+    def opened(text: str | None) -> dict:
+        try:
+            return {path: (kind, value) for path, kind, value in leaves(parse(text))}
+        except ValueError:
+            return {}
 
-    both = side(left, "left").join(side(right, "right"), [key, "path"], "full_outer")
-    change = (
-        F.when(F.col("right_type").isNull(), "only_left")
-        .when(F.col("left_type").isNull(), "only_right")
-        .when(F.col("left_type") != F.col("right_type"), "type")
-        .when(~F.col("left_value").eqNullSafe(F.col("right_value")), "value")
-    )
-    return both.withColumn("change", change).filter(F.col("change").isNotNull()).select(
-        key, "path", "change", "left_type", "left_value", "right_type", "right_value"
-    )
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.list_(pa.string()), *[pa.string()] * 5]
+        for batch in batches:
+            at, found = [], []
+            for i, (a, b) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+                rows = list(_differences(opened(a), opened(b)))
+                at += [i] * len(rows)
+                found += rows
+            made = [pa.array([r[k] for r in found], kind) for k, kind in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *made], names)
+
+    return unequal.select(key, "__left", "__right").mapInArrow(run, schema)
 
 
 def diff_lines(diff: DataFrame, key: str = "id") -> DataFrame:

@@ -4,44 +4,43 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-# Split points kept as literals in the plan of a range join.
-MAX_SPLITS = 512
+# Leading values are told apart up to this size; beyond it only the exact test does.
+_FAR = 2.0**62
+_FINEST = -20
 
 
 def range_join(
     points: DataFrame, ranges: DataFrame, key: Column, low: Column, high: Column,
     lead_key: Column, lead_low: Column, lead_high: Column, on: dict[str, str] | None = None,
-    rows_per_block: int = 256,
 ) -> DataFrame:
     """Join points to ranges ``[low, high)`` without comparing all pairs.
 
     ``key``, ``low`` and ``high`` may be structs for composite keys; the
-    ``lead_*`` columns are their numeric leading parts.  Quantiles of the range
-    starts cut the key axis into blocks of about ``rows_per_block`` ranges; a
-    range is listed under every block it touches, so the join is an equi-join on
-    the block with the exact comparison on top.  ``on`` maps further equal
-    columns of points to ranges (a namespace).
+    ``lead_*`` columns are their numeric leading parts.  A range of width w
+    belongs to the level of bins that are at least w wide, by powers of two, and
+    touches two of them at most.  A point is looked up once per level that has
+    ranges (84 levels at most, usually a few), so the join is an equi-join on
+    level and bin, with the exact comparison on top, at any number of ranges.
+    ``on`` maps further equal columns of points to ranges (a namespace).
     """
-    n = ranges.count()
-    parts = min(MAX_SPLITS, max(1, n // rows_per_block))
-    splits: list[float] = []
-    if parts > 1:
-        shares = [i / parts for i in range(1, parts)]
-        row = ranges.agg(F.percentile_approx(lead_low.cast("double"), shares, 10_000).alias("s")).first()
-        splits = sorted(set(row["s"] or []))
-
-    def block(value: Column) -> Column:
-        if not splits:
-            return F.lit(0)
-        at = F.array(*[F.lit(float(s)) for s in splits])
-        return F.size(F.filter(at, lambda s: s <= value.cast("double")))
-
-    listed = ranges.withColumn("__block", F.explode(F.sequence(block(lead_low), block(lead_high))))
-    located = points.withColumn("__block", block(lead_key))
-    cond = (located["__block"] == listed["__block"]) & (low <= key) & (key < high)
+
+    def near(value: Column) -> Column:
+        return F.greatest(F.least(value.cast("double"), F.lit(_FAR)), F.lit(-_FAR))
+
+    def bin_of(value: Column, level: Column) -> Column:
+        return F.floor(near(value) / F.pow(F.lit(2.0), level)).cast("bigint")
+
+    width = near(lead_high) - near(lead_low)
+    level = F.when(width > 0, F.greatest(F.ceil(F.log2(width)).cast("int"), F.lit(_FINEST))).otherwise(F.lit(0))
+    listed = ranges.withColumn("__level", level).filter(F.col("__level").isNotNull() & lead_low.isNotNull() & lead_high.isNotNull())
+    levels = sorted(r[0] for r in listed.select("__level").distinct().collect())
+    listed = listed.withColumn("__bin", F.explode(F.sequence(bin_of(lead_low, F.col("__level")), bin_of(lead_high, F.col("__level")))))
+    at = F.array(*[F.lit(x) for x in levels]).cast("array<int>")
+    located = points.withColumn("__at", F.explode(at)).withColumn("__in", bin_of(lead_key, F.col("__at")))
+    cond = (F.col("__at") == F.col("__level")) & (F.col("__in") == F.col("__bin")) & (low <= key) & (key < high)
     for mine, theirs in (on or {}).items():
         cond = cond & (located[mine] == listed[theirs])
-    return located.join(listed, cond).drop("__block")
+    return located.join(listed, cond).drop("__at", "__in", "__level", "__bin")
 
 
 def with_dictionary(rows: DataFrame, dictionary: DataFrame, key: str) -> DataFrame:

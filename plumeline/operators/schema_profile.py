@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from plumeline.functions.flatten import MAX_DEPTH, array_parts_as_any, flatten_json
+from plumeline.functions.flatten import array_parts_as_any, flatten_json
 from plumeline.session import staged
 
 # Profile type names, and the schema type each stands for.
@@ -47,44 +47,54 @@ def _mapped(column: Column, table: dict[str, str]) -> Column:
     return F.element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), column)
 
 
-def profile_schema(df: DataFrame, body: str = "body", row_key: str = "id", max_depth: int = MAX_DEPTH) -> DataFrame:
+def profile_schema(df: DataFrame, body: str = "body", row_key: str = "id") -> DataFrame:
     """``path, level, count, probability, types, has_duplicates`` per field.
 
-    ``count`` is the number of values, ``probability`` the share of documents
-    that hold the field.  Values are counted per distinct value first, so a hot
-    field is spread over many reducers.
+    ``count`` is the number of values, ``probability`` the share of readable
+    documents that hold the field.  A value is known by 128 bits of hashes, so
+    no text is shuffled; values are counted first, so a hot field is spread
+    over many reducers.
     """
-    docs = F.lit(df.count())
-    flat = (
-        flatten_json(df, body, [row_key], max_depth, containers=True)
-        .filter(F.size("path") > 0)
-        .select(row_key, array_parts_as_any(F.col("path")).alias("path"), _mapped(F.col("type"), PROFILE_TYPES).alias("type"), "value")
+    flat = flatten_json(df, body, [row_key], containers=True).select(
+        row_key, array_parts_as_any(F.col("path")).alias("path"), _mapped(F.col("type"), PROFILE_TYPES).alias("type"), "value"
     )
-    leaf_value = F.when(F.col("type").isin("Document", "Array"), F.lit(None)).otherwise(F.col("value"))
-    by_value = flat.groupBy("path", "type", leaf_value.alias("value")).agg(F.count("*").alias("n"))
+    scalar = ~F.col("type").isin("Document", "Array") & F.col("value").isNotNull()
+    hashes = [F.when(scalar, F.xxhash64(F.lit(seed), "value")).alias(f"h{seed}") for seed in (1, 2)]
+    by_value = flat.groupBy("path", "type", *hashes).agg(F.count("*").alias("n"))
     by_type = by_value.groupBy("path", "type").agg(
-        F.sum("n").alias("n"), F.max(F.when(F.col("value").isNotNull(), F.col("n"))).alias("most")
+        F.sum("n").alias("n"), F.max(F.when(F.col("h1").isNotNull(), F.col("n"))).alias("most")
     )
-    by_path = by_type.groupBy("path").agg(
-        F.sum("n").alias("count"),
-        F.coalesce(F.max("most") > 1, F.lit(False)).alias("has_duplicates"),
-        F.array_sort(F.collect_list(F.struct("type", "n"))).alias("__types"),
+    by_path = staged(
+        by_type.groupBy("path").agg(
+            F.sum("n").alias("count"),
+            F.coalesce(F.max("most") > 1, F.lit(False)).alias("has_duplicates"),
+            F.array_sort(F.collect_list(F.struct("type", "n"))).alias("__types"),
+        ),
+        "profile",
     )
+    # Every readable document has one root.
+    total = by_path.filter(F.size("path") == 0).agg(F.coalesce(F.sum("count"), F.lit(0)).alias("docs"))
+    docs = F.lit(total.first()["docs"])
     # A path outside arrays occurs once per document, so its values count its
     # documents; only paths inside arrays need the distinct documents.
-    in_array = F.array_contains("path", "[]")
-    holders = (
-        flat.filter(in_array)
-        .groupBy("path", row_key)
-        .agg(F.lit(1).alias("one"))
-        .groupBy("path")
-        .agg(F.count("*").alias("docs"))
-    )
-    return by_path.join(holders, "path", "left").select(
+    inside = by_path.filter(F.array_contains("path", "[]")).limit(1).count()
+    out = by_path.filter(F.size("path") > 0)
+    if inside:
+        holders = (
+            flat.filter(F.array_contains("path", "[]"))
+            .groupBy("path", row_key)
+            .agg(F.lit(1).alias("one"))
+            .groupBy("path")
+            .agg(F.count("*").alias("holders"))
+        )
+        out = out.join(holders, "path", "left")
+    else:
+        out = out.withColumn("holders", F.lit(None).cast("bigint"))
+    return out.select(
         "path",
         F.size("path").alias("level"),
         "count",
-        (F.coalesce("docs", "count") / docs).alias("probability"),
+        (F.coalesce("holders", "count") / docs).alias("probability"),
         F.transform(
             "__types", lambda t: F.struct(t["type"].alias("type"), (t["n"] * 100 / F.col("count")).alias("percent"))
         ).alias("types"),

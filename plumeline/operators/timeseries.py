@@ -13,6 +13,9 @@ from plumeline.session import staged
 # Accumulator names a metric may use.
 ACCUMULATORS = ("$sum", "$avg", "$min", "$max", "$first", "$last", "$push", "$addToSet")
 
+# Fixed value: where absent and unlisted items are counted.
+OTHER = "Other"
+
 _DAY = 86400
 
 
@@ -37,9 +40,9 @@ class Metric:
             raise ValueError(f"expected name|unit|var or name|unit|var|op|field, got {text!r}")
         return cls(*parts)
 
-    def aggregate(self, ts: str) -> Column:
+    def aggregate(self, order: Sequence[str]) -> Column:
         value = F.expr(self.field)
-        at = F.col(ts)
+        at = F.struct(*order)
         table = {
             "$sum": lambda: F.coalesce(F.sum(value), F.lit(0)),
             "$avg": lambda: F.avg(value),
@@ -63,10 +66,16 @@ def time_metrics(
     ts: str = "ts",
     fill: bool = True,
     ordered: bool = True,
+    tie_break: Sequence[str] | None = None,
 ) -> DataFrame:
-    """``Time``, one column per metric and ``Total`` for every bucket."""
+    """``Time``, one column per metric and ``Total`` for every bucket.
+
+    Rows of one time are in order of ``tie_break``: file and line by default, if
+    the table has them.
+    """
     rows = df.filter(predicate) if predicate else df
-    aggs = [m.aggregate(ts) for m in metrics if m.op]
+    ties = tie_break if tie_break is not None else [c for c in ("infile", "lineno") if c in df.columns]
+    aggs = [m.aggregate([ts, *ties]) for m in metrics if m.op]
     out = rows.groupBy(bucket_start(F.col(ts), seconds).alias("Time")).agg(*aggs, F.count("*").alias("Total"))
     if fill:
         out = fill_gaps(out, "Time", seconds)
@@ -112,7 +121,7 @@ def crosstab_long(df: DataFrame, item: str, seconds: int, predicate: str | None
     rows = df.filter(predicate) if predicate else df
     return rows.groupBy(
         bucket_start(F.col(ts), seconds).alias("Time"),
-        F.coalesce(F.expr(item).cast("string"), F.lit("Other")).alias("Item"),
+        F.coalesce(F.expr(item).cast("string"), F.lit(OTHER)).alias("Item"),
     ).agg(F.count("*").alias("Total"))
 
 
@@ -140,9 +149,15 @@ def crosstab(
     ts: str = "ts",
     fill: bool = True,
 ) -> DataFrame:
-    """One row per bucket, one column per item."""
+    """One row per bucket, one column per item.
+
+    With a given list, items that are not on it are counted under ``Other``.
+    """
+    if items is not None:
+        listed = ", ".join("'" + i.replace("\\", "\\\\").replace("'", "\\'") + "'" for i in items)
+        item = f"case when ({item}) in ({listed}) then ({item}) end" if items else "cast(null as string)"
     long = crosstab_long(df, item, seconds, predicate, ts)
-    names = list(items) if items is not None else crosstab_items(long)
+    names = list(dict.fromkeys([*items, OTHER])) if items is not None else crosstab_items(long)
     wide = long.groupBy("Time").pivot("Item", names).agg(F.sum("Total")).fillna(0)
     if fill:
         wide = fill_gaps(wide, "Time", seconds)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window, functions as F
@@ -13,7 +13,7 @@ from plumeline.operators.entries import stop_after_end
 from plumeline.operators.shape_report import selection
 from plumeline.sources import audit, structured, textlog
 from plumeline.session import staged
-from plumeline.sources.lines import LATIN, UTF8, node_type, read_lines, short_name, stitch_files
+from plumeline.sources.lines import GZIP_MAGIC, LATIN, UTF8, leading_bytes, node_type, read_lines, short_name, stitch_files, unmatched_lines
 
 
 @dataclass(frozen=True)
@@ -27,7 +27,7 @@ class IngestOptions:
     wrapper: str | None = None
     name_pattern: str | None = None
     node_type: str | None = None
-    gzip_paths: Sequence[str] = field(default_factory=tuple)
+    gzip_paths: Sequence[str] | None = None
     default_year: int = 2000
 
 
@@ -38,6 +38,7 @@ class Ingested:
     events: DataFrame
     headers: DataFrame
     rejects: DataFrame
+    unmatched: DataFrame | None = None
 
 
 def _block_hosts(parsed_json: DataFrame, blocks: DataFrame) -> DataFrame:
@@ -69,11 +70,23 @@ def _with_host(rows: DataFrame, block_hosts: DataFrame) -> DataFrame:
 
 
 def ingest_logs(spark: SparkSession, paths: Sequence[str], options: IngestOptions = IngestOptions()) -> Ingested:
-    """Read, stitch, route, parse and enrich log files of any mix of formats."""
+    """Read, stitch, route, parse and enrich log files of any mix of formats.
+
+    Gzip files without suffix are found by their first bytes, unless
+    ``gzip_paths`` names them.  With a wrapper ``unmatched`` counts the lines it
+    does not match.
+    """
     o = options
     # Fails early when the range is upside down.
     in_range = between_inclusive(F.col("ts"), o.start, o.end)
-    lines = read_lines(spark, paths, UTF8 if o.utf8 else LATIN, o.gzip_paths)
+    if o.gzip_paths is None:
+        heads = leading_bytes(spark, paths, len(GZIP_MAGIC))
+        packed = [p for p, head in heads.items() if head == GZIP_MAGIC and not p.endswith(".gz")]
+        # Files are named one by one only if some of them must be read in another way.
+        paths = list(heads) if packed else paths
+    else:
+        packed = list(o.gzip_paths)
+    lines = read_lines(spark, paths, UTF8 if o.utf8 else LATIN, packed)
     stitched = stitch_files(lines, o.wrapper)
     routed = stitched.entries
 
@@ -125,7 +138,7 @@ def ingest_logs(spark: SparkSession, paths: Sequence[str], options: IngestOption
     def union(frames: list[DataFrame]) -> DataFrame:
         return reduce(lambda a, b: a.unionByName(b), frames)
 
-    return Ingested(union(events), headers, union(unreadable + broken))
+    return Ingested(union(events), headers, union(unreadable + broken), unmatched_lines(lines, o.wrapper) if o.wrapper else None)
 
 
 def write_ingested(out: Ingested, path: str) -> Observation:

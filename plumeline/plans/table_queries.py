@@ -24,7 +24,8 @@ from plumeline.plans.tables import read
 from plumeline.session import staged
 
 HOUR, DAY = 3600, 86400
-KINDS = ["view", "signup", "purchase", "click", "error"]
+# Items listed in a crosstab; the others are counted together.
+KINDS = ["view", "signup", "purchase"]
 
 
 def _money(column: str) -> F.col:
@@ -50,7 +51,7 @@ def ts_minute_metrics(spark: SparkSession, sf: str) -> DataFrame:
         ts.Metric.parse("Last|id|last_id|$last|event_id"),
         ts.Metric.parse("Kinds|n|kinds|$addToSet|event_type"),
     ]
-    out = ts.time_metrics(read(spark, sf, "events"), 60, metrics, fill=False)
+    out = ts.time_metrics(read(spark, sf, "events"), 60, metrics, fill=False, tie_break=["event_id"])
     return out.withColumn("kinds", F.array_join("kinds", ","))
 
 
@@ -63,7 +64,7 @@ def ts_minute_filled(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def crosstab_day_type(spark: SparkSession, sf: str) -> DataFrame:
-    return ts.crosstab(read(spark, sf, "events"), "event_type", DAY, items=KINDS)
+    return ts.crosstab(read(spark, sf, "events"), "event_type", DAY)
 
 
 def crosstab_other(spark: SparkSession, sf: str) -> DataFrame:
@@ -130,8 +131,7 @@ def report_union(spark: SparkSession, sf: str) -> DataFrame:
 def date_range_strict(spark: SparkSession, sf: str) -> DataFrame:
     start = parse_date(F.lit("2024-01-05")).cast("timestamp_ntz")
     end = parse_date(F.lit("2024-01-10T12:00:00")).cast("timestamp_ntz")
-    events = read(spark, sf, "events")
-    return events.filter((F.col("ts") > start) & (F.col("ts") < end)).select("event_id", "ts", "event_type")
+    return read(spark, sf, "events").filter(sr.selection(start=start, end=end)).select("event_id", "ts", "event_type")
 
 
 def file_in(spark: SparkSession, sf: str) -> DataFrame:
@@ -189,8 +189,16 @@ def wait_sum(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def topn_user_value(spark: SparkSession, sf: str) -> DataFrame:
-    orders = read(spark, sf, "orders")
-    return orders.select("o_orderkey", "o_totalprice").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(50)
+    # Orders as operations of their customers: the 50 most expensive customers and priorities.
+    ops = read(spark, sf, "orders").select(
+        F.col("o_orderdate").alias("ts"), F.lit("orders").alias("infile"), F.col("o_orderkey").alias("lineno"),
+        F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("col_name"), F.col("o_orderpriority").alias("shape"),
+        F.floor("o_totalprice").cast("bigint").alias("tms"), F.lit(1.0).alias("ratio"), F.lit(1).cast("bigint").alias("docs_examined"),
+        F.lit(1).cast("bigint").alias("nreturned"), F.col("o_orderpriority").alias("filter_shape"), F.col("o_orderstatus").alias("command"),
+        F.lit(None).cast("string").alias("sort"), F.lit(None).cast("string").alias("plan_summary"),
+    )
+    out = sr.rank_shapes(ops, top=50, limit=False, sample=False)
+    return out.select("col", "shape", "cnt", "cost", "max_time", F.array_join("operations", "|").alias("operations"))
 
 
 # --- indexes ----------------------------------------------------------------
@@ -214,9 +222,9 @@ def index_merge_lookup(spark: SparkSession, sf: str) -> DataFrame:
 
 def _shard_map(spark: SparkSession, sf: str) -> DataFrame:
     part = read(spark, sf, "part")
-    return part.filter(F.col("p_brand").isin("Brand#1", "Brand#2", "Brand#3")).groupBy("p_brand", "p_type").agg(
+    return part.groupBy(F.col("p_brand").alias("db"), tb.part_collection().alias("collection")).agg(
         F.concat(F.lit('{"'), F.split_part(F.min("p_name"), F.lit(" "), F.lit(1)), F.lit('":1}')).alias("shard_key")
-    ).withColumnsRenamed({"p_brand": "db", "p_type": "collection"})
+    )
 
 
 def index_report_indexes(spark: SparkSession, sf: str) -> DataFrame:
@@ -247,8 +255,8 @@ def shard_key_lookup(spark: SparkSession, sf: str) -> DataFrame:
     nation = read(spark, sf, "nation").select(
         F.col("n_name").alias("collection"), F.col("n_regionkey").cast("string").alias("db")
     )
-    region = read(spark, sf, "region").filter("r_name like 'A%'").select(
-        F.col("r_regionkey").cast("string").alias("db"), F.col("r_name").alias("shard_key")
+    region = read(spark, sf, "region").select(
+        F.col("r_regionkey").cast("string").alias("db"), F.when(F.col("r_name").startswith("A"), F.col("r_name")).alias("shard_key")
     )
     keys = region.join(nation, "db").select("db", "collection", "shard_key")
     return ix.with_shard_key(nation, keys)
@@ -270,35 +278,54 @@ def nested_export(spark: SparkSession, sf: str) -> DataFrame:
 # --- joins ------------------------------------------------------------------
 
 
+def _bands(spark: SparkSession, sf: str) -> DataFrame:
+    """Price bands of four widths over all orders."""
+    price = F.floor("o_totalprice").cast("bigint")
+    widths = F.array(*[F.lit(w).cast("bigint") for w in (500, 3000, 70_000, 1_000_000)])
+    bands = read(spark, sf, "orders").select(F.explode(widths).alias("w"), price.alias("p")).select(
+        (F.col("p") - F.col("p") % F.col("w")).alias("lo"), "w"
+    )
+    return bands.distinct().select("lo", (F.col("lo") + F.col("w")).alias("hi"))
+
+
 def range_join_chunk(spark: SparkSession, sf: str) -> DataFrame:
-    # Chunks: price bands that start at the retail price of every part.
-    part = read(spark, sf, "part").select((F.col("p_retailprice") * 100).cast("bigint").alias("lo")).distinct()
-    bands = part.withColumn("hi", F.lead("lo").over(Window.partitionBy(F.floor(F.col("lo") / 1000)).orderBy("lo")))
-    bands = bands.filter(F.col("hi").isNotNull())
     points = read(spark, sf, "orders").select("o_orderkey", F.floor("o_totalprice").cast("bigint").alias("k"))
-    out = lk.range_join(points, bands, F.col("k"), F.col("lo"), F.col("hi"), F.col("k"), F.col("lo"), F.col("hi"))
+    out = lk.range_join(points, _bands(spark, sf), F.col("k"), F.col("lo"), F.col("hi"), F.col("k"), F.col("lo"), F.col("hi"))
     return out.select("o_orderkey", "k", "lo", "hi")
 
 
+def range_join_composite(spark: SparkSession, sf: str) -> DataFrame:
+    # Chunks of a compound key (customer, order) within a priority: each ends where the next one starts.
+    orders = read(spark, sf, "orders").select("o_orderkey", "o_custkey", F.col("o_orderpriority").alias("ns"))
+    cuts = orders.filter("o_orderkey % 7 = 0").select("ns", F.struct("o_custkey", "o_orderkey").alias("lo"))
+    follows = F.lead("lo").over(Window.partitionBy("ns", F.floor(F.col("lo.o_custkey") / 50)).orderBy("lo"))
+    end = F.struct(((F.floor(F.col("lo.o_custkey") / 50) + 1) * 50).cast("bigint").alias("o_custkey"), F.lit(0).cast("bigint").alias("o_orderkey"))
+    chunks = cuts.withColumn("hi", F.coalesce(follows, end)).withColumnRenamed("ns", "range_ns")
+    points = orders.select("o_orderkey", "ns", F.struct("o_custkey", "o_orderkey").alias("k"))
+    out = lk.range_join(
+        points, chunks, F.col("k"), F.col("lo"), F.col("hi"), F.col("k.o_custkey"), F.col("lo.o_custkey"), F.col("hi.o_custkey"), {"ns": "range_ns"}
+    )
+    return out.select("o_orderkey", "ns", F.col("lo.o_custkey").alias("lo_cust"), F.col("lo.o_orderkey").alias("lo_order"))
+
+
 def semi_has_data(spark: SparkSession, sf: str) -> DataFrame:
     orders = read(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey"))
     return lk.rows_with_match(read(spark, sf, "customer").select("c_custkey", "c_name"), orders, ["c_custkey"])
 
 
 def anti_no_data(spark: SparkSession, sf: str) -> DataFrame:
-    orders = read(spark, sf, "orders").filter("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey"))
-    return lk.rows_without_match(read(spark, sf, "customer").select("c_custkey", "c_name"), orders, ["c_custkey"])
+    docs = read(spark, sf, "documents").select("doc_id", "lang")
+    return lk.rows_without_match(docs, read(spark, sf, "labels"), ["doc_id"])
 
 
 def param_join_fallback(spark: SparkSession, sf: str) -> DataFrame:
-    # Ranked: the biggest brands and types; samples: parts, some found by brand only.
-    ranked = read(spark, sf, "part").groupBy("p_brand", F.col("p_size").alias("size")).agg(F.count("*").alias("parts"))
-    samples = read(spark, sf, "part").filter("p_type = 'PROMO'").select(
-        F.col("p_brand").alias("brand"), F.col("p_size").alias("psize"), F.col("p_partkey").alias("sample")
-    )
-    fallback = samples.groupBy("brand", "psize").agg(F.min("sample").alias("sample"), F.count("*").alias("n"))
+    # Ranked: brands and sizes; samples: parts by even size, so odd sizes are found by brand only.
+    part = read(spark, sf, "part")
+    ranked = part.groupBy("p_brand", F.col("p_size").alias("size")).agg(F.count("*").alias("parts"))
+    even = (F.col("p_size") - F.col("p_size") % 2).alias("psize")
+    samples = part.groupBy(F.col("p_brand").alias("brand"), even).agg(F.min("p_partkey").alias("sample"), F.count("*").alias("n"))
     out = lk.join_with_fallback(
-        ranked, fallback, [("p_brand", "brand"), ("size", "psize")], [(F.col("p_brand"), "brand"), (F.lit(1), "psize")]
+        ranked, samples, [("p_brand", "brand"), ("size", "psize")], [(F.col("p_brand"), "brand"), (F.lit(2), "psize")]
     )
     return out.select("p_brand", "size", "parts", "sample", "n", "match")
 
@@ -413,8 +440,8 @@ def doc_diff_lines(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def key_difference_sides(spark: SparkSession, sf: str) -> DataFrame:
-    docs = read(spark, sf, "documents").filter("n_chars > 1500").select("doc_id")
-    return key_difference(docs, read(spark, sf, "labels"), ["doc_id"])
+    vectors = read(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"))
+    return key_difference(read(spark, sf, "labels"), vectors, ["doc_id"])
 
 
 def array_key_count(spark: SparkSession, sf: str) -> DataFrame:
@@ -434,8 +461,7 @@ def flatten_paths(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def token_frequency(spark: SparkSession, sf: str) -> DataFrame:
-    out = fr.token_frequency(read(spark, sf, "documents"), F.col("text"))
-    return out.orderBy(F.desc("count"), "token").limit(50)
+    return fr.token_frequency(read(spark, sf, "conversations"), F.col("text"))
 
 
 def token_counts_all(spark: SparkSession, sf: str) -> DataFrame:

@@ -59,17 +59,19 @@ def _cells(title: str, where: str, order: str) -> str:
 FROM ops WHERE {where} GROUP BY obj, shape ORDER BY {order} LIMIT 20)"""
 
 
-_SIZES = """
+_COLL = "p_type || '-' || CAST(p_partkey // 64 AS VARCHAR)"
+
+_SIZES = f"""
 sizes AS (
-  SELECT p_brand AS db, p_type AS coll, p_name AS idx, CAST(sum(p_size) AS BIGINT) AS bytes
+  SELECT p_brand AS db, {_COLL} AS coll, p_name AS idx, CAST(sum(p_size) AS BIGINT) AS bytes
   FROM part GROUP BY ALL
 ), docs AS (
-  SELECT p_brand AS db, p_type AS coll, count(*) AS docs, CAST(sum(floor(p_retailprice)) AS BIGINT) AS datasize
+  SELECT p_brand AS db, {_COLL} AS coll, count(*) AS docs, CAST(sum(floor(p_retailprice)) AS BIGINT) AS datasize
   FROM part GROUP BY ALL
 )"""
 
 _USAGE = f"""{_SIZES}, hosts AS (
-  SELECT p_brand AS db, p_type AS coll, p_name AS idx, l_returnflag AS host,
+  SELECT p_brand AS db, {_COLL} AS coll, p_name AS idx, l_returnflag AS host,
          CASE WHEN l_returnflag = 'A' THEN 's0' ELSE 's1' END AS shard,
          CAST(sum(CASE WHEN l_quantity > 45 THEN 1 ELSE 0 END) AS BIGINT) AS ops,
          min(l_shipdate) AS since, min(l_suppkey) AS supp
@@ -132,6 +134,10 @@ _COUNTS = ", ".join(
 )
 _ZEROS = ", ".join(f"coalesce({t}, 0) AS {t}" for t in ("view", "signup", "purchase", "click", "error"))
 
+_LISTED = ", ".join(f"count(*) FILTER (event_type = '{t}') AS {t}" for t in ("view", "signup", "purchase")) + """,
+       count(*) FILTER (event_type IS NULL OR event_type NOT IN ('view', 'signup', 'purchase')) AS other"""
+_LISTED_ZEROS = ", ".join(f"coalesce({t}, 0) AS {t}" for t in ("view", "signup", "purchase")) + ', coalesce(other, 0) AS "Other"'
+
 
 def _spine(unit: str, inner: str, columns: str) -> str:
     return f"""
@@ -148,7 +154,7 @@ SQL: dict[str, str] = {
         'CAST(coalesce(cost, 0) AS DOUBLE) AS cost, coalesce(slowest, 0) AS slowest, coalesce(fastest, 0) AS fastest, coalesce(total, 0) AS "Total"',
     ),
     "ts_minute_metrics": """
-SELECT date_trunc('minute', ts) AS "Time", min_by(event_id, ts) AS first_id, max_by(event_id, ts) AS last_id,
+SELECT date_trunc('minute', ts) AS "Time", first(event_id ORDER BY ts, event_id) AS first_id, last(event_id ORDER BY ts, event_id) AS last_id,
        string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS kinds, count(*) AS "Total"
 FROM events GROUP BY 1""",
     "ts_second_totals": """
@@ -158,7 +164,7 @@ SELECT date_trunc('second', ts) AS "Time", count(*) AS "Total" FROM events WHERE
     "crosstab_other": """
 SELECT date_trunc('hour', ts) AS "Time", coalesce(CASE WHEN value > 10 THEN event_type END, 'Other') AS "Item",
        count(*) AS "Total" FROM events GROUP BY 1, 2""",
-    "crosstab_minute_filled": _spine("minute", _COUNTS, _ZEROS),
+    "crosstab_minute_filled": _spine("minute", _LISTED, _LISTED_ZEROS),
     "shape_overall_cost": _shape_sql("ratio > 1", "cost DESC, col, shape"),
     "shape_collscan": _shape_sql("plan = 'COLLSCAN'", "cost DESC, col, shape"),
     "shape_long_running": _shape_sql("tms > 1000", "max_time DESC, col, shape"),
@@ -195,7 +201,11 @@ SELECT event_id, ts - to_milliseconds(CAST(floor(value * 100) AS BIGINT)) AS sta
 SELECT l_orderkey, l_linenumber, l_partkey, CAST(2 * floor(l_quantity) + l_linenumber AS BIGINT) AS total_micros,
        'locks.Global.' || l_returnflag || '.timeWaitingMicros|storage.data.timeReadingMicros|storage.timeWritingMicros' AS locks
 FROM lineitem""",
-    "topn_user_value": "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 50",
+    "topn_user_value": """
+SELECT 'c' || CAST(o_custkey AS VARCHAR) AS col, o_orderpriority AS shape, count(*) AS cnt,
+       CAST(sum(CAST(floor(o_totalprice) AS BIGINT)) AS BIGINT) AS cost, max(CAST(floor(o_totalprice) AS BIGINT)) AS max_time,
+       string_agg(DISTINCT o_orderstatus, '|' ORDER BY o_orderstatus) AS operations
+FROM orders GROUP BY ALL ORDER BY cost DESC, col, shape LIMIT 50""",
     "index_sizes_rollup": f"""WITH {_SIZES}
 SELECT 's' AS server, db, db || '.' || coll AS collection, CAST(sum(bytes) AS BIGINT) AS total_size, count(*) AS index_count
 FROM sizes GROUP BY db, coll""",
@@ -210,8 +220,8 @@ SELECT 's' AS server, s.db || '.' || s.coll || '.' || s.idx AS name, s.idx AS in
        s.coll AS collection, u.unused, CASE WHEN u.idx IS NOT NULL THEN false END AS is_id, u.days, u.n_shards
 FROM sizes s LEFT JOIN usage u ON s.db = u.db AND s.coll = u.coll AND s.idx = u.idx""",
     "index_report_indexes": f"""WITH {_INDEX}, keys AS (
-  SELECT p_brand AS db, p_type AS coll, '{{"' || split_part(min(p_name), ' ', 1) || '":1}}' AS shard_key FROM part
-  WHERE p_brand IN ('Brand#1', 'Brand#2', 'Brand#3') GROUP BY ALL)
+  SELECT p_brand AS db, {_COLL} AS coll, '{{"' || split_part(min(p_name), ' ', 1) || '":1}}' AS shard_key FROM part
+  GROUP BY ALL)
 SELECT s.coll || '.' || s.idx AS name, 's' AS server, s.db AS db, s.coll AS collection, s.idx AS index_name,
        s.bytes AS size, d.docs AS docs, round(u.total_ops * 1e6, 6) AS total_ops,
        round(CASE WHEN u.idx IS NULL THEN -1 WHEN d.docs > 0 THEN s.bytes / CAST(d.docs AS DOUBLE) ELSE 0 END, 6) AS key_size,
@@ -248,22 +258,27 @@ FROM events GROUP BY event_type""",
 SELECT 's' AS server, d.db AS db, d.coll AS coll, f.idx AS first_index, f.ops AS first_ops
 FROM docs d LEFT JOIN f ON d.db = f.db AND d.coll = f.coll AND f.rn = 1""",
     "range_join_chunk": """
-WITH lows AS (SELECT DISTINCT CAST(p_retailprice * 100 AS BIGINT) AS lo FROM part),
-bands AS (SELECT lo, lead(lo) OVER (PARTITION BY floor(lo / 1000) ORDER BY lo) AS hi FROM lows),
-pts AS (SELECT o_orderkey, CAST(floor(o_totalprice) AS BIGINT) AS k FROM orders)
-SELECT o_orderkey, k, lo, hi FROM pts JOIN bands ON k >= lo AND k < hi WHERE hi IS NOT NULL""",
+WITH pts AS (SELECT o_orderkey, CAST(floor(o_totalprice) AS BIGINT) AS k FROM orders),
+bands AS (SELECT DISTINCT k - k % w AS lo, k - k % w + w AS hi FROM pts, (SELECT unnest([500, 3000, 70000, 1000000]::BIGINT[]) AS w))
+SELECT o_orderkey, k, lo, hi FROM pts JOIN bands ON k >= lo AND k < hi""",
+    "range_join_composite": """
+WITH cuts AS (
+  SELECT o_orderpriority AS ns, o_custkey AS c, o_orderkey AS o, o_custkey // 50 AS b FROM orders WHERE o_orderkey % 7 = 0),
+chunks AS (
+  SELECT *, coalesce(lead(c) OVER w, (b + 1) * 50) AS hc, coalesce(lead(o) OVER w, 0) AS ho
+  FROM cuts WINDOW w AS (PARTITION BY ns, b ORDER BY c, o))
+SELECT p.o_orderkey, p.o_orderpriority AS ns, c AS lo_cust, o AS lo_order FROM orders p JOIN chunks
+  ON p.o_orderpriority = ns AND (p.o_custkey, p.o_orderkey) >= (c, o) AND (p.o_custkey, p.o_orderkey) < (hc, ho)""",
     "semi_has_data": "SELECT c_custkey, c_name FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)",
     "anti_no_data": """
-SELECT c_custkey, c_name FROM customer
-WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')""",
+SELECT doc_id, lang FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)""",
     "param_join_fallback": """
 WITH ranked AS (SELECT p_brand, p_size AS size, count(*) AS parts FROM part GROUP BY ALL),
-samples AS (SELECT p_brand AS brand, p_size AS psize, min(p_partkey) AS sample, count(*) AS n
-            FROM part WHERE p_type = 'PROMO' GROUP BY ALL),
+samples AS (SELECT p_brand AS brand, p_size - p_size % 2 AS psize, min(p_partkey) AS sample, count(*) AS n FROM part GROUP BY ALL),
 first AS (SELECT r.*, s.sample, s.n, 'exact' AS match FROM ranked r JOIN samples s ON r.p_brand = s.brand AND r.size = s.psize),
 rest AS (SELECT * FROM ranked r WHERE NOT EXISTS (SELECT 1 FROM samples s WHERE r.p_brand = s.brand AND r.size = s.psize))
 SELECT * FROM first UNION ALL
-SELECT r.*, s.sample, s.n, 'fallback' FROM rest r JOIN samples s ON r.p_brand = s.brand AND s.psize = 1""",
+SELECT r.*, s.sample, s.n, 'fallback' FROM rest r JOIN samples s ON r.p_brand = s.brand AND s.psize = 2""",
     "dictionary_lookup": """
 SELECT s_suppkey, s_nationkey, n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey""",
     "carry_forward": """
@@ -334,7 +349,7 @@ UNION ALL
 SELECT id, 1, CASE WHEN change = 'type' THEN '>' || p || right_type ELSE '>' || p || right_value END FROM l
 WHERE change IN ('type', 'value')""",
     "key_difference_sides": """
-WITH a AS (SELECT DISTINCT doc_id FROM documents WHERE n_chars > 1500), b AS (SELECT DISTINCT doc_id FROM labels)
+WITH a AS (SELECT DISTINCT doc_id FROM labels), b AS (SELECT DISTINCT vec_id AS doc_id FROM embeddings)
 SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, CASE WHEN a.doc_id IS NULL THEN 'right' ELSE 'left' END AS side
 FROM a FULL JOIN b ON a.doc_id = b.doc_id WHERE a.doc_id IS NULL OR b.doc_id IS NULL""",
     "array_key_count": """
@@ -342,7 +357,7 @@ WITH k AS (SELECT conv_id, string_agg(role, ',' ORDER BY turn, role) AS key, min
 SELECT key, min(type) AS type, count(*) AS count FROM k GROUP BY key""",
     "flatten_paths": f"""
 SELECT event_id, 'k' AS path, 'Integer64' AS type, json_extract_string(props, '$.k') AS value FROM events""",
-    "token_frequency": f"WITH {_TOKENS} SELECT * FROM counted ORDER BY count DESC, token LIMIT 50",
+    "token_frequency": f"WITH {_TOKENS.replace('documents', 'conversations')} SELECT * FROM counted",
     "token_counts_all": f"WITH {_TOKENS} SELECT * FROM counted",
     "command_counts": """
 SELECT 'command' AS kind, coalesce(CASE WHEN value > 5 THEN event_type || '_x' END, 'Missing') AS token, count(*) AS count

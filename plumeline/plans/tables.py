@@ -57,15 +57,21 @@ def line_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def part_collection() -> F.col:
+    """Collection of a part: its type and a block of 64 part keys, so no collection grows with the table."""
+    return F.concat_ws("-", "p_type", F.floor(F.col("p_partkey") / 64).cast("string"))
+
+
 def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts and their line items as collection-stats snapshots.
 
-    Server ``s``, database = brand, collection = type, index = part name, host =
-    return flag; index ops are line items, the first ship date is ``since``.
+    Server ``s``, database = brand, collection = ``part_collection``, index = part
+    name, host = return flag; index ops are line items, the first ship date is
+    ``since``.
     """
-    part = read(spark, sf_dir, "part")
+    part = read(spark, sf_dir, "part").withColumn("coll", part_collection())
     line = read(spark, sf_dir, "lineitem")
-    ns = ["p_brand", "p_type"]
+    ns = ["p_brand", "coll"]
     sizes = part.groupBy(*ns, "p_name").agg(F.sum("p_size").cast("bigint").alias("bytes"))
     size_map = sizes.groupBy(*ns).agg(
         F.map_from_entries(F.collect_list(F.struct("p_name", "bytes"))).alias("indexSizes"),
@@ -104,7 +110,7 @@ def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
         size_map.join(docs, ns)
         .join(stats, ns, "left")
         .select(
-            F.struct(F.lit("s").alias("Server"), F.col("p_brand").alias("DB"), F.col("p_type").alias("Collection")).alias("_id"),
+            F.struct(F.lit("s").alias("Server"), F.col("p_brand").alias("DB"), F.col("coll").alias("Collection")).alias("_id"),
             at.alias("runTime"),
             at.alias("collectedAt"),
             "totalIndexSize",

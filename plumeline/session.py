@@ -38,9 +38,20 @@ def shared_dir(spark: SparkSession) -> str:
     return configured
 
 
+def scratch_root(spark: SparkSession) -> str:
+    """The folder of this application's staged tables below the shared one."""
+    return f"{shared_dir(spark).rstrip('/')}/plumeline-{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder for one staged table."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Remove all staged tables of this application; results that still read them fail afterwards."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def staged(df, name: str, partition_by: tuple[str, ...] = ()):

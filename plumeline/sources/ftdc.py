@@ -12,7 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from plumeline.functions.flatten import flatten_json
-from plumeline.sources.lines import UTF8, read_lines, stitch_files
+from plumeline.session import staged
+from plumeline.sources.lines import UTF8, leading_bytes, read_lines, stitch_files
 
 # Document kinds, sample clock, lines per chunk of status files.
 METADATA, METRICS = 0, 1
@@ -24,13 +25,19 @@ _SERIES = "file string, chunk_no int, path array<string>, starts array<bigint>,
 
 # Element codes of the document format.
 _FIXED = {1: "<d", 8: "<?", 9: "<q", 16: "<i", 17: "<II", 18: "<q"}
-_IGNORED = {6: 0, 7: 12, 10: 0, 0x7F: 0, 0xFF: 0}
+_IGNORED = {6: 0, 7: 12, 10: 0, 19: 16, 0x7F: 0, 0xFF: 0}
+_SMALLEST = 5
+
+# What a damaged document can raise.
+_DAMAGE = (ValueError, KeyError, IndexError, TypeError, struct.error, zlib.error)
 
 
 def _document(buf: bytes, at: int = 0) -> tuple[dict, int]:
     """Fields of one binary document and its end; values keep their element code."""
     (size,) = struct.unpack_from("<i", buf, at)
     end, at, out = at + size, at + 4, {}
+    if size < _SMALLEST or end > len(buf):
+        raise ValueError(f"document of {size} bytes")
     while buf[at]:
         code = buf[at]
         stop = buf.index(0, at + 1)
@@ -48,6 +55,10 @@ def _document(buf: bytes, at: int = 0) -> tuple[dict, int]:
         elif code == 5:
             (n,) = struct.unpack_from("<i", buf, at)
             out[name], at = (5, buf[at + 5 : at + 5 + n]), at + 5 + n
+        elif code == 11:
+            # A regular expression: its pattern and its options.
+            for _ in range(2):
+                at = buf.index(0, at) + 1
         elif code in _IGNORED:
             at += _IGNORED[code]
         else:
@@ -111,12 +122,13 @@ def _deltas(data: bytes, total: int) -> np.ndarray:
 def _split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         for path, content in zip(pdf["path"], pdf["content"]):
-            at, docs = 0, []
+            at, chunk_no = 0, 0
             while at < len(content):
-                (size,) = struct.unpack_from("<i", content, at)
-                docs.append(content[at : at + size])
-                at += size
-            yield pd.DataFrame({"file": path, "chunk_no": np.arange(len(docs), dtype=np.int32), "doc": docs})
+                size = struct.unpack_from("<i", content, at)[0] if at + 4 <= len(content) else 0
+                # Behind a size that can't be there is no next document: the rest is one damaged one.
+                end = at + size if _SMALLEST <= size <= len(content) - at else len(content)
+                yield pd.DataFrame({"file": [path], "chunk_no": np.array([chunk_no], np.int32), "doc": [content[at:end]]})
+                at, chunk_no = end, chunk_no + 1
 
 
 def _series(doc: bytes) -> list[tuple[tuple, np.ndarray]]:
@@ -140,17 +152,23 @@ def _decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 found = _series(doc)
                 starts = dict(found).get((CLOCK,))
                 rows = [(file, chunk_no, list(p), starts, v, None) for p, v in found]
-            except (ValueError, KeyError, IndexError, struct.error, zlib.error) as problem:
+            except _DAMAGE as problem:
                 rows = [(file, chunk_no, None, None, None, str(problem))]
             yield pd.DataFrame(rows, columns=columns)
 
 
 def read_documents(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """``file, chunk_no, kind, doc`` of archive files, one row per document."""
+    """``file, chunk_no, kind, doc`` of archive files, one row per document; kind is -1 for damaged ones."""
+
+    def kind_of(doc: bytes) -> int:
+        try:
+            return int(_document(bytes(doc))[0].get("type", (16, -1))[1])
+        except _DAMAGE:
+            return -1
 
     @F.pandas_udf("int")
     def kind(docs: pd.Series) -> pd.Series:
-        return docs.map(lambda d: int(_document(bytes(d))[0].get("type", (16, -1))[1]))
+        return docs.map(kind_of).astype("int32")
 
     files = spark.read.format("binaryFile").load(list(paths)).select("path", "content")
     return files.mapInPandas(_split, _DOCS).withColumn("kind", kind("doc"))
@@ -160,21 +178,20 @@ def decode_ftdc(spark: SparkSession, paths: Sequence[str]) -> tuple[DataFrame, D
     """Metric samples, metadata and rejected chunks of archive files.
 
     Chunks are spread over the cluster before they are opened, because the
-    samples take far more room than the compressed chunks.
+    samples take far more room than the compressed chunks; they are opened once,
+    into the shared folder.  A chunk without a clock gives samples without time.
     """
-    docs = read_documents(spark, paths)
+    docs = staged(read_documents(spark, paths), "archive-documents")
     chunks = docs.filter(F.col("kind") == METRICS).select("file", "chunk_no", "doc").repartition("file", "chunk_no")
-    series = chunks.mapInPandas(_decode, _SERIES)
+    series = staged(chunks.mapInPandas(_decode, _SERIES), "archive-series")
     samples = series.filter(F.col("error").isNull()).select(
-        "file",
-        "chunk_no",
-        "path",
-        F.posexplode(F.arrays_zip("starts", "values")).alias("sample_no", "s"),
+        "file", "chunk_no", "path", "starts", F.posexplode("values").alias("sample_no", "value")
     ).select(
         "file", "chunk_no", "sample_no", "path",
-        F.timestamp_millis(F.col("s.starts")).alias("ts"), F.col("s.values").alias("value"),
+        F.timestamp_millis(F.get("starts", F.col("sample_no"))).alias("ts"), "value",
     )
-    rejects = series.filter(F.col("error").isNotNull()).select("file", "chunk_no", "error")
+    damaged = docs.filter(F.col("kind") == -1).select("file", "chunk_no", F.lit("not a document").alias("error"))
+    rejects = series.filter(F.col("error").isNotNull()).select("file", "chunk_no", "error").unionByName(damaged)
 
     @F.pandas_udf("string")
     def meta(documents: pd.Series) -> pd.Series:
@@ -187,19 +204,17 @@ def decode_ftdc(spark: SparkSession, paths: Sequence[str]) -> tuple[DataFrame, D
 def read_server_status(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     """Metric samples of files with one status document per line."""
     entries = stitch_files(read_lines(spark, paths, UTF8), patterns={"doc": r"^\s*\{"}).entries
+    clock = F.try_to_timestamp(F.get_json_object("entry", "$.localTime"))
     flat = flatten_json(
-        entries.select(F.col("infile").alias("file"), "lineno", "entry"), "entry", ["file", "lineno"],
+        entries.select(F.col("infile").alias("file"), "lineno", "entry", clock.alias("ts")), "entry", ["file", "lineno", "ts"],
         skip_parts=("floatApprox",),
     )
     at = F.col("lineno") - 1
-    clock = F.try_to_timestamp(F.get_json_object("entry", "$.localTime"))
-    times = entries.select(F.col("infile").alias("file"), "lineno", clock.alias("ts"))
     value = F.coalesce(F.col("value").try_cast("bigint"), F.col("value").try_cast("double").cast("bigint"))
     value = F.when(F.col("type") == "boolean", (F.col("value") == "true").cast("bigint")).otherwise(value)
     return (
         flat.withColumn("value", value)
         .filter(F.col("value").isNotNull())
-        .join(times, ["file", "lineno"])
         .select(
             "file",
             F.floor(at / STATUS_LINES).cast("int").alias("chunk_no"),
@@ -213,9 +228,8 @@ def read_server_status(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
 
 def metric_format(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     """``file, format``: text that opens a JSON document is ``status``, all else ``archive``."""
-    files = spark.read.format("binaryFile").load(list(paths))
-    opens = F.substring("content", 1, 1).cast("string")
-    return files.select(F.col("path").alias("file"), F.when(opens == "{", "status").otherwise("archive").alias("format"))
+    rows = [(path, "status" if first == b"{" else "archive") for path, first in leading_bytes(spark, paths, 1).items()]
+    return spark.createDataFrame(rows, "file string, format string")
 
 
 def read_metrics(spark: SparkSession, paths: Sequence[str]) -> DataFrame:

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,9 +28,12 @@ ENTRY_PATTERNS = {
 }
 # Encodings, gzip magic bytes, router marker in a path.
 LATIN, UTF8 = "ISO-8859-1", "UTF-8"
-GZIP_MAGIC = "1F8B"
+GZIP_MAGIC = b"\x1f\x8b"
 ROUTER = "mongos"
 
+# Inflated text that is held at once.
+INFLATE_BYTES = 1 << 20
+
 # A block table below this many rows may travel to every executor (about 100 MB).
 BROADCAST_BLOCKS = 500_000
 
@@ -38,18 +42,66 @@ _PIECES = (
 )
 
 
+def leading_bytes(spark: SparkSession, paths: Sequence[str], n: int) -> dict[str, bytes]:
+    """The first ``n`` bytes of every file below ``paths``, by its full path.
+
+    Part of listing the input: each file is opened, none is read further.
+    """
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    files = []
+    for path in paths:
+        place = hadoop.Path(path)
+        fs = place.getFileSystem(conf)
+        found = list(fs.globStatus(place) or [])
+        if not found:
+            raise FileNotFoundError(path)
+        for status in found:
+            inner = list(fs.listStatus(status.getPath())) if status.isDirectory() else [status]
+            files += [(fs, s.getPath()) for s in inner if s.isFile() and s.getPath().getName()[0] not in "._"]
+
+    def first(file) -> bytes:
+        fs, place = file
+        stream = fs.open(place)
+        try:
+            got = [stream.read() for _ in range(n)]
+        finally:
+            stream.close()
+        return bytes(b for b in got if b >= 0)
+
+    with ThreadPoolExecutor(16) as pool:
+        return {place.toString(): head for (_, place), head in zip(files, pool.map(first, files))}
+
+
 def gzip_without_suffix(spark: SparkSession, paths: Sequence[str]) -> list[str]:
     """Paths of gzip files that Spark would read as plain text."""
-    files = spark.read.format("binaryFile").load(list(paths)).filter(~F.col("path").endswith(".gz"))
-    rows = files.filter(F.hex(F.substring("content", 1, 2)) == GZIP_MAGIC).select("path").collect()
-    return [r["path"] for r in rows]
+    heads = leading_bytes(spark, paths, len(GZIP_MAGIC))
+    return [path for path, head in heads.items() if head == GZIP_MAGIC and not path.endswith(".gz")]
+
+
+def _inflated_lines(content: bytes) -> Iterator[list[bytes]]:
+    """Lines of gzip data of one or more members, a bounded part at a time."""
+    rest, reader, at = b"", zlib.decompressobj(31), 0
+    while at < len(content):
+        piece = content[at : at + INFLATE_BYTES]
+        at += len(piece)
+        while piece:
+            rest += reader.decompress(piece, INFLATE_BYTES)
+            piece = reader.unconsumed_tail
+            if reader.eof:
+                piece, reader = reader.unused_data, zlib.decompressobj(31)
+            *lines, rest = rest.split(b"\n")
+            if lines:
+                yield lines
+    if rest:
+        yield [rest]
 
 
 def _inflate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         for path, content in zip(pdf["path"], pdf["content"]):
-            lines = zlib.decompress(content, 31).splitlines()
-            yield pd.DataFrame({"infile": path, "block": 0, "value": lines})
+            for lines in _inflated_lines(content):
+                yield pd.DataFrame({"infile": path, "block": 0, "value": lines})
 
 
 def read_lines(
@@ -89,6 +141,12 @@ def strip_wrapper(value: Column, wrapper: str | None) -> Column:
     return F.when(value.rlike(wrapper), F.regexp_extract(value, wrapper, 1)).otherwise(value)
 
 
+def unmatched_lines(lines: DataFrame, wrapper: str) -> DataFrame:
+    """``infile, n``: lines that the wrapper pattern does not match, of files that have such lines."""
+    odd = lines.filter(~F.col("value").rlike(wrapper))
+    return odd.groupBy("infile").agg(F.count("*").alias("n"))
+
+
 def short_name(path: Column, pattern: str | None = None) -> Column:
     """Group 1 of a pattern over the path, or the file name."""
     base = F.element_at(F.split(path, "/"), -1)

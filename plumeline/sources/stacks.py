@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
+from plumeline.functions.flatten import walk_json
 from plumeline.functions.text import clean_function_name
 from plumeline.operators.lookups import with_dictionary
-from plumeline.sources.lines import UTF8, read_lines
+from plumeline.sources.lines import UTF8, number_lines, read_lines
 
 # Directives and field names of a stack file.
 FORMAT, DICTIONARY = "#format", "#stack"
@@ -21,15 +22,13 @@ def read_stacks(
 ) -> tuple[DataFrame, DataFrame]:
     """``file, ts, stack, weight, is_time`` and the lines with too few fields.
 
-    Every file has one ``#format`` line, or none when each line is a stack.
+    A ``#format`` line holds until the next one; lines ahead of the first are stacks.
     """
-    lines = read_lines(spark, paths, UTF8).withColumn("value", F.rtrim("value"))
+    lines = number_lines(read_lines(spark, paths, UTF8)).withColumn("value", F.rtrim("value"))
     directive = F.col("value").startswith("#")
-    formats = (
-        lines.filter(F.col("value").startswith(FORMAT))
-        .groupBy("infile")
-        .agg(F.split(F.regexp_extract(F.max("value"), r"^#format\s+(.*)$", 1), ";").alias("fmt"))
-    )
+    given = F.when(F.col("value").startswith(FORMAT), F.split(F.regexp_extract("value", r"^#format\s+(.*)$", 1), ";"))
+    along = Window.partitionBy("infile").orderBy("lineno").rowsBetween(Window.unboundedPreceding, 0)
+    lines = lines.withColumn("fmt", F.last(given, ignorenulls=True).over(along))
     names = r"^#stack\s+(\S+)\s+(.*)$"
     dictionary = lines.filter(F.col("value").rlike(names)).select(
         "infile",
@@ -38,7 +37,6 @@ def read_stacks(
     )
     rows = (
         lines.filter(~directive & (F.col("value") != ""))
-        .join(formats, "infile", "left")
         .withColumns({"fmt": F.coalesce("fmt", F.array(F.lit(DEFAULT_FORMAT))), "f": F.split("value", ";")})
     )
     rejects = rows.filter(F.size("f") < F.size("fmt")).select(
@@ -72,49 +70,48 @@ def read_stacks(
 
 # Names in a schema-analysis export.
 ARRAY, DOCUMENT, ITEMS = "Array", "Document", "[]"
-EXPORT_DEPTH = 8
 
 
-def read_schema_export(spark: SparkSession, paths: Sequence[str], max_depth: int = EXPORT_DEPTH) -> DataFrame:
-    """``file, path, level, count, probability, types, has_duplicates`` of analysis exports."""
-    docs = spark.read.text(list(paths), wholetext=True).select(
-        F.col("_metadata.file_path").alias("file"), F.try_parse_json("value").alias("v")
-    )
-    fields = docs.select("file", F.array().cast("array<string>").alias("path"), F.try_variant_get("v", "$.fields", "variant").alias("list"))
-    found = None
-    for level in range(1, max_depth + 1):
-        each = fields.lateralJoin(spark.tvf.variant_explode(F.col("list").outer()).toDF("pos", "key", "fld"))
-
-        def get(path: str, kind: str) -> Column:
-            return F.try_variant_get("fld", f"$.{path}", kind)
-
-        name = get("name", "string")
-        each = each.select(
-            "file",
-            F.concat("path", F.array(F.when(name == ARRAY, ITEMS).otherwise(name))).alias("path"),
-            get("count", "double").alias("count"),
-            get("probability", "double").alias("probability"),
-            F.coalesce(get("has_duplicates", "boolean"), F.lit(False)).alias("has_duplicates"),
-            get("types", "array<struct<name:string,count:double>>").alias("kinds"),
-            get("types", "array<variant>").alias("type_docs"),
-        )
-        is_array = F.get("kinds", F.lit(0))["name"] == ARRAY
-        percent = F.transform(
-            "kinds", lambda k: F.struct(k["name"].alias("type"), F.try_divide(k["count"] * 100, F.col("count")).alias("percent"))
-        )
-        all_of = lambda t: F.array(F.struct(F.lit(t).alias("type"), F.lit(100.0).alias("percent")))
-        rows = each.select(
-            "file", "path", F.lit(level).alias("level"), "count", "probability",
-            F.when(F.coalesce(F.size("kinds"), F.lit(0)) <= 0, all_of("Undefined"))
-            .when(is_array, all_of(ARRAY))
-            .otherwise(percent)
-            .alias("types"),
-            "has_duplicates",
-        )
-        found = rows if found is None else found.unionByName(rows)
-        inner = F.filter("type_docs", lambda t: F.try_variant_get(t, "$.name", "string") == DOCUMENT)
-        below = F.when(is_array, F.col("type_docs")).otherwise(
-            F.try_variant_get(F.get(inner, F.lit(0)), "$.fields", "array<variant>")
-        )
-        fields = each.select("file", "path", F.to_variant_object(below).alias("list")).filter(F.col("list").isNotNull())
-    return found
+_EXPORT = T.StructType(
+    [
+        T.StructField("path", T.ArrayType(T.StringType())),
+        T.StructField("level", T.IntegerType()),
+        T.StructField("count", T.DoubleType()),
+        T.StructField("probability", T.DoubleType()),
+        T.StructField("types", T.ArrayType(T.StructType([T.StructField("type", T.StringType()), T.StructField("percent", T.DoubleType())]))),
+        T.StructField("has_duplicates", T.BooleanType()),
+    ]
+)
+
+
+def _number(value) -> float | None:
+    return None if value is None or isinstance(value, (dict, list, bool)) else float(value)
+
+
+def _export_fields(document) -> Iterator[tuple]:
+    """A row for every field of an analysis export, at any depth."""
+    waiting = [((), document.get("fields"))] if isinstance(document, dict) else []
+    while waiting:
+        above, fields = waiting.pop(0)
+        for field in fields or []:
+            kinds = field.get("types") or []
+            name, count = field.get("name"), _number(field.get("count"))
+            path = (*above, ITEMS if name == ARRAY else name)
+            is_array = bool(kinds) and kinds[0].get("name") == ARRAY
+            if not kinds:
+                types = [{"type": "Undefined", "percent": 100.0}]
+            elif is_array:
+                types = [{"type": ARRAY, "percent": 100.0}]
+            else:
+                share = lambda k: _number(k.get("count")) * 100 / count if count and k.get("count") is not None else None
+                types = [{"type": k.get("name"), "percent": share(k)} for k in kinds]
+            yield list(path), len(path), count, _number(field.get("probability")), types, field.get("has_duplicates") is True
+            inner = kinds if is_array else next((k.get("fields") for k in kinds if k.get("name") == DOCUMENT), None)
+            if inner:
+                waiting.append((path, inner))
+
+
+def read_schema_export(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """``file, path, level, count, probability, types, has_duplicates`` of analysis exports, down to the last level."""
+    docs = spark.read.text(list(paths), wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
+    return walk_json(docs, "value", ["file"], _export_fields, _EXPORT)

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from plumeline.functions import jsonpath as jp
 from plumeline.functions.relaxed import relaxed_to_json
 from plumeline.functions.shape import query_shape
+from plumeline.functions.text import outer_groups, strip_nested
 from plumeline.functions.times import minus_millis
 from plumeline.operators.commands import ratio
 from plumeline.operators.frequency import LOG_KEYWORDS
@@ -55,7 +56,8 @@ SHARD_MESSAGES = (
     ("Starting receiving", "startRec", 12, {"source": 14, "epoch": 17}),
     ("Updating config", "updConfigSet", None, {"cluster": 6}),
 )
-SHARD_RANGE = r"\[?(\{[^{}]*\}),?\s+(?:-> )?(\{[^{}]*\})\)?"
+# Fixed value: what lies between the ends of a chunk, each document one mark.
+SHARD_RANGE = r"(?s)^(.*?)\[?\u0001,?\s+(?:-> )?\u0001"
 MEM_USED, DOCS_LEFT = r"mem used: (\d+)", r"remaining to clone: (\d+)"
 
 SLOW_COMPONENTS = ("COMMAND", "WRITE")
@@ -79,10 +81,17 @@ def _segment(text: Column, keyword: str) -> Column:
     return _found(text, rf"(?s)\b{keyword}:\s*(\{{.*?\}}){_STOP}")
 
 
-def parse_text(entries: DataFrame) -> DataFrame:
-    """Entries with ``ts, severity, component, ctx, body``; NULL time marks rejects."""
+def parse_text(entries: DataFrame, offset: bool = True) -> DataFrame:
+    """Entries with ``ts, severity, component, ctx, body``; NULL time marks rejects.
+
+    The offset behind a time counts; ``offset=False`` reads all times as UTC.
+    """
     part = {n: F.regexp_extract("entry", TEXT_HEAD, i) for i, n in enumerate(("t", "severity", "component", "ctx", "body"), 1)}
     ts = F.try_to_timestamp(F.substring(part["t"], 1, 23), F.lit("yyyy-MM-dd'T'HH:mm:ss.SSS"))
+    if offset:
+        sign, hours, minutes = (F.regexp_extract(part["t"], r"([+-])(\d{2}):?(\d{2})$", i) for i in (1, 2, 3))
+        east = F.coalesce(hours.try_cast("int") * 60 + minutes.try_cast("int"), F.lit(0))
+        ts = F.timestamp_add("MINUTE", F.when(sign == "-", east).otherwise(-east), ts)
     return entries.withColumns(
         {"ts": ts, "severity": part["severity"], "component": part["component"], "ctx": part["ctx"], "body": part["body"]}
     )
@@ -110,11 +119,17 @@ def allowed_operations(events: DataFrame, operations: tuple[str, ...] = OPERATIO
 
 
 def _tokens(body: Column) -> Column:
-    """Whitespace tokens of a body, every document counted as one."""
-    flat = body
-    for _ in range(4):
-        flat = F.regexp_replace(flat, r"\{[^{}]*\}", "JSON")
-    return F.split(F.trim(flat), r"\s+")
+    """Whitespace tokens of a body, every document counted as one, however deep."""
+    return F.split(F.trim(strip_nested(body, "{", "}", "JSON")), r"\s+")
+
+
+def _range_bounds(body: Column) -> tuple[Column, Column]:
+    """The first two documents that follow each other as the ends of a chunk."""
+    flat = strip_nested(body, "{", "}", "\u0001")
+    ahead = F.regexp_extract(flat, SHARD_RANGE, 1)
+    first = F.length(ahead) - F.length(F.replace(ahead, F.lit("\u0001"), F.lit("")))
+    documents = F.when(flat.rlike(SHARD_RANGE), outer_groups(body, "{", "}"))
+    return F.get(documents, first), F.get(documents, first + 1)
 
 
 def _shard_columns(body: Column, tokens: Column) -> dict[str, Column]:
@@ -134,7 +149,7 @@ def _shard_columns(body: Column, tokens: Column) -> dict[str, Column]:
         op = F.when(hit, name) if op is None else op.when(hit, name)
         where = F.when(hit, coll) if where is None else where.when(hit, coll)
         extra = F.when(hit, pairs) if extra is None else extra.when(hit, pairs)
-    low, high = _found(body, SHARD_RANGE, 1), _found(body, SHARD_RANGE, 2)
+    low, high = _range_bounds(body)
     return {
         "shard_op": op.otherwise(F.concat_ws("", F.slice(tokens, 1, 3))),
         "collection": where,
@@ -306,12 +321,8 @@ def write_segments(body: Column) -> Column:
     )
 
 
-# Fixed value: characters kept of an applied operation.
-OP_TEXT = 200
-
-
 def replication_op(body: Column) -> Column:
-    """Parts of an ``applied op`` line; ``op_len`` counts the text that was cut."""
+    """Parts of an ``applied op`` line; ``op_len`` is the length of the whole operation, also of one the server cut."""
     change = _found(body, r"(?s)\bo:\s+(\{.*\})\s*(?:,?\s*took)?\s+\S*$")
     op = _found(body, r'\bop:\s+"(\w)"')
     kept = F.when(op.isin("u", "i"), change)
@@ -321,8 +332,8 @@ def replication_op(body: Column) -> Column:
         _found(body, r'\bns:\s+"([^"]*)"').alias("ns"),
         _found(body, r"\bts:\s+(Timestamp\([^)]*\)|\[.*?\])").alias("op_time"),
         _found(body, r"\bwall:\s+(new Date\(\d+\))").alias("wall_time"),
-        F.when(op == "u", F.substring(kept, 1, OP_TEXT)).alias("update"),
-        F.when(op == "i", F.substring(kept, 1, OP_TEXT)).alias("insert"),
+        F.when(op == "u", kept).alias("update"),
+        F.when(op == "i", kept).alias("insert"),
         F.coalesce(cut, F.length(kept)).alias("op_len"),
         _found(body, r"(\d+)ms\s*$").try_cast("bigint").alias("time"),
     )

@@ -219,6 +219,28 @@ def test_audit_search_syslog_wrapper(spark, tmp_path):
     assert (y["ts"].year, y["ts"].month, y["host"], y["command"], y["filter_shape"], y["duration_millis"]) == (2021, 3, "hostx", "count", "{a: 1}", 20)
     wrapped = ingest_logs(spark, [str(tmp_path / "wrapped.log")], IngestOptions(wrapper=r"^pod-\d+ \| (.*)$")).events.collect()
     assert [w["message"] for w in wrapped] == ["café"] and wrapped[0]["lineno"] == 2
+    odd = ingest_logs(spark, [str(tmp_path / "wrapped.log")], IngestOptions(wrapper=r"^pod-\d+ \| (.*)$")).unmatched.collect()
+    assert [r["n"] for r in odd] == [1]
+
+
+def test_gzip_parts_join_lines(monkeypatch):
+    from plumeline.sources import lines
+
+    monkeypatch.setattr(lines, "INFLATE_BYTES", 7)
+    text = [f"line {i} " + "x" * (i % 9) for i in range(50)]
+    packed = gzip.compress("\n".join(text[:20]).encode() + b"\n") + gzip.compress("\n".join(text[20:]).encode())
+    assert [x.decode() for part in lines._inflated_lines(packed) for x in part] == text
+
+
+def test_text_offsets_and_nested_ranges(spark, tmp_path):
+    (tmp_path / "a.log").write_text(
+        "2020-10-26T18:24:16.000+0230 I SHARDING [Balancer] Starting chunk migration for shop.cart [{ k: { a: { b: { c: { d: 1 } } } } }, { k: { a: 5 } }) to s1\n"
+        "2020-10-26T18:24:16.000Z I SHARDING [conn7] autosplitted shop.cart chunk: shard { a: { b: { c: { d: { e: 1 } } } } } x\n"
+    )
+    rows = {r["lineno"]: r for r in ingest_logs(spark, [str(tmp_path / "a.log")]).events.collect()}
+    assert rows[1]["ts"].strftime("%H:%M") == "15:54" and rows[2]["ts"].strftime("%H:%M") == "18:24"
+    assert (rows[1]["shard_range"]["min"], rows[1]["shard_range"]["max"]) == ("{ k: { a: { b: { c: { d: 1 } } } } }", "{ k: { a: 5 } }")
+    assert rows[1]["shard_op"] == "startMig" and rows[2]["collection"] == "shop.cart"
 
 
 def test_gzip_without_suffix(spark, tmp_path):
@@ -228,7 +250,7 @@ def test_gzip_without_suffix(spark, tmp_path):
     q.write_bytes(gzip.compress((JSON_LINES[7] + "\n").encode()))
     found = gzip_without_suffix(spark, [str(p), str(q)])
     assert len(found) == 1 and found[0].endswith("packed.log")
-    out = ingest_logs(spark, [str(p), str(q)], IngestOptions(gzip_paths=[str(p)]))
+    out = ingest_logs(spark, [str(p), str(q)])
     assert out.events.groupBy("short_name").count().orderBy("short_name").collect()[0]["count"] == 3
     assert out.events.count() == 4
 

@@ -1,5 +1,6 @@
 import datetime as dt
 import json
+import os
 import random
 
 import pytest
@@ -9,7 +10,7 @@ from plumeline.functions import jsonpath as jp
 from plumeline.functions.flatten import flatten_json
 from plumeline.functions.relaxed import relaxed_to_json
 from plumeline.functions.shape import query_shape, shallow_shape
-from plumeline.functions.text import cell, clean_function_name
+from plumeline.functions.text import cell, clean_function_name, outer_groups
 from plumeline.functions.times import iso_duration, parse_date
 from plumeline.operators import commands as cm
 from plumeline.operators import fields as fi
@@ -20,6 +21,7 @@ from plumeline.operators import schema_profile as sp
 from plumeline.operators import shape_report as sr
 from plumeline.operators import timeseries as ts
 from plumeline.operators.docdiff import diff_documents, diff_lines
+from plumeline.session import clear_scratch, scratch_root, staged
 from plumeline.sinks import files as sinks
 from plumeline.sources.textlog import replication_op, write_segments
 
@@ -105,6 +107,19 @@ def test_small_functions(spark):
     assert (got["op"], got["ns"], got["op_time"], got["wall_time"], got["time"]) == ("u", "a.b", "Timestamp(5, 1)", "new Date(7)", 120)
 
 
+def test_outer_groups(spark):
+    text = 'move [{ k: { a: 1 } }, { k: { a: { b: 2 } } }) now'
+    assert one(spark, "t string", text, outer_groups(F.col("t"), "{", "}")) == ["{ k: { a: 1 } }", "{ k: { a: { b: 2 } } }"]
+    assert one(spark, "t string", "none", outer_groups(F.col("t"), "{", "}")) is None
+
+
+def test_shared_folder_is_named_and_cleared(spark):
+    kept = staged(spark.range(5), "x")
+    assert kept.count() == 5 and os.path.isdir(scratch_root(spark))
+    clear_scratch(spark)
+    assert not os.path.exists(scratch_root(spark))
+
+
 # --- running values ---------------------------------------------------------
 
 
@@ -221,7 +236,7 @@ def test_range_join_matches_all_pairs(spark):
     ranges = [(*a, *b, f"s{i}") for i, (a, b) in enumerate(zip(cuts, cuts[1:]))] + [(10, 0, 40, 0, "wide")]
     p = spark.createDataFrame(points, "id int, a int, b int")
     r = spark.createDataFrame(ranges, "la int, lb int, ha int, hb int, shard string")
-    got = lk.range_join(p, r, F.struct("a", "b"), F.struct("la", "lb"), F.struct("ha", "hb"), F.col("a"), F.col("la"), F.col("ha"), rows_per_block=5)
+    got = lk.range_join(p, r, F.struct("a", "b"), F.struct("la", "lb"), F.struct("ha", "hb"), F.col("a"), F.col("la"), F.col("ha"))
     want = {(i, s) for i, a, b in points for la, lb, ha, hb, s in ranges if (la, lb) <= (a, b) < (ha, hb)}
     assert {(x["id"], x["shard"]) for x in got.collect()} == want and got.count() == len(want)
 
@@ -276,10 +291,44 @@ def test_diff(spark):
     assert "<   a:Integer64" in lines and ">   a:string" in lines and ">" + "   " * 4 + "b.c.[1].d:y" in lines
 
 
-def test_flatten_depth_is_kept_whole(spark):
-    df = spark.createDataFrame([(1, '{"a":{"b":{"c":{"d":1}}}}')], "id int, j string")
-    row = flatten_json(df, "j", ["id"], max_depth=2).collect()[0]
-    assert (row["path"], row["type"], row["value"]) == (["a", "b"], "object", '{"c":{"d":1}}')
+def _nested(levels):
+    return '{"a":' * levels + "1" + "}" * levels
+
+
+def test_flatten_opens_every_level(spark):
+    df = spark.createDataFrame([(1, _nested(12)), (2, '{"l":[[[{"x":null}]],[]],"n":1.50,"e":2e3,"big":12345678901234567890}'), (3, "no"), (4, None)], "id int, j string")
+    got = {(r["id"], ".".join(r["path"]), r["type"], r["value"]) for r in flatten_json(df, "j", ["id"]).collect()}
+    assert got == {
+        (1, ".".join("a" * 12), "Integer64", "1"), (2, "l.[0].[0].[0].x", "null", None), (2, "l.[1]", "array", "[]"),
+        (2, "n", "number", "1.5"), (2, "e", "number", "2000.0"), (2, "big", "number", "12345678901234567890"),
+    }
+    deep = df.filter("id = 1").select(F.lit("c").alias("ns"), F.col("id").cast("string").alias("id"), F.col("j").alias("body"))
+    assert fi.find_fields(deep.withColumn("body", F.lit(_nested(11)[:-11] + "}" * 11)), "a").count() == 11
+    assert sp.profile_schema(deep).agg(F.max("level")).first()[0] == 12
+    other = deep.withColumn("body", F.lit(_nested(12).replace("1", "2")))
+    (row,) = diff_documents(deep, other).collect()
+    assert (len(row["path"]), row["change"], row["left_value"], row["right_value"]) == (12, "value", "1", "2")
+
+
+def test_names_of_any_nesting(spark):
+    for depth in (1, 4, 12):
+        name = "a" + "<b" * depth + ">" * depth + "::f" + "(" * depth + ")" * depth
+        assert spark.range(1).select(clean_function_name(F.lit(name))).first()[0] == "a<...>::f"
+
+
+def test_crosstab_counts_unlisted_items(spark):
+    rows = [("2024-01-01 00:00:00", k) for k in ("a", "b", "c", None, "it's", "a")]
+    df = spark.createDataFrame(rows, "t string, k string").select(F.col("t").cast("timestamp_ntz").alias("ts"), "k")
+    row = ts.crosstab(df, "k", 3600, items=["a", "it's"]).first().asDict()
+    assert (row["a"], row["it's"], row["Other"]) == (2, 1, 3)
+
+
+def test_first_and_last_break_ties(spark):
+    rows = [("2024-01-01 00:00:00", "f", n, n) for n in (3, 1, 2)]
+    df = spark.createDataFrame(rows, "t string, infile string, lineno int, v int").withColumn("ts", F.col("t").cast("timestamp_ntz"))
+    metrics = [ts.Metric("F", "v", "first", "$first", "v"), ts.Metric("L", "v", "last", "$last", "v")]
+    row = ts.time_metrics(df, 60, metrics).first()
+    assert (row["first"], row["last"]) == (1, 3)
 
 
 def test_find_fields(spark):

@@ -211,6 +211,36 @@ def test_ftdc(spark, archive):
     assert (best["max_inc"], best["at"]) == (2**40 - 5, 1_700_000_007)  # the later of two equal jumps
 
 
+def test_damaged_archives_and_missing_clocks(spark, tmp_path):
+    ref, cols = {"n": 3, "net": {"in": 10}}, [[3, 4, 5], [10, 10, 12]]
+    regex = b"\x0bre\0a+\0i\0" + b"\x13dec\0" + b"\0" * 16
+    body = bson({"type": 0, "doc": {"h": 1}})
+    odd = struct.pack("<i", len(body) + len(regex)) + body[4:-1] + regex + b"\0"
+    (tmp_path / "a.bin").write_bytes(chunk(ref, cols) + odd + b"\0" * 64)
+    (tmp_path / "b.bin").write_bytes(chunk(ref, cols)[:40])
+    samples, metadata, rejects = decode_ftdc(spark, [str(tmp_path)])
+    got = {(".".join(r["path"]), r["sample_no"]): (r["ts"], r["value"]) for r in samples.collect()}
+    assert got["n", 2] == (None, 5) and got["net.in", 0] == (None, 10) and len(got) == 6
+    assert [json.loads(r["doc"]) for r in metadata.collect()] == [{"h": 1}]
+    assert sorted((r["file"][-5:], r["chunk_no"]) for r in rejects.collect()) == [("a.bin", 2), ("b.bin", 0)]
+
+
+def test_formats_change_inside_a_stack_file(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("main;k\n#format timestamp;stack\n1.5;main;f\n#format count;stack\n4;main;g\n")
+    rows, rejects = read_stacks(spark, [str(tmp_path)])
+    assert sorted((r["ts"], tuple(r["stack"]), r["weight"]) for r in rows.collect()) == [(0.0, ("main", "g"), 4.0), (0.0, ("main", "k"), 1.0), (1.5, ("main", "f"), 1.0)]
+    assert rejects.count() == 0
+
+
+def test_schema_export_to_the_last_level(spark, tmp_path):
+    field = {"name": "f12", "count": 1, "probability": 1, "types": [{"name": "Int32", "count": 1}]}
+    for level in range(11, 0, -1):
+        field = {"name": f"f{level}", "count": 1, "probability": 1, "types": [{"name": "Document", "count": 1, "fields": [field]}]}
+    (tmp_path / "s.json").write_text(json.dumps({"fields": [field]}))
+    rows = read_schema_export(spark, [str(tmp_path / "s.json")]).collect()
+    assert sorted(r["level"] for r in rows) == list(range(1, 13))
+
+
 def test_server_status_and_detection(spark, archive):
     lines = [{"localTime": f"2024-01-01T00:00:{i % 60:02d}Z", "a": {"b": {"floatApprox": i}, "c": 1.5, "s": "x"}, "up": True} for i in range(205)]
     p = archive / "status.json"
