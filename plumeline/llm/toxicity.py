@@ -47,7 +47,7 @@ def gram_features(points: np.ndarray, first: np.ndarray, keep: np.ndarray | None
     size = 0
     for n in range(1, max(GRAMS) + 1):
         shifted = np.zeros(len(values), np.uint64)
-        shifted[: len(values) - n + 1] = values[n - 1 :]
+        shifted[: max(len(values) - n + 1, 0)] = values[n - 1 :]
         rolling = rolling * np.uint64(_STEP) + shifted
         if n in GRAMS:
             size += 1
