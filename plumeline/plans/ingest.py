@@ -13,7 +13,7 @@ from plumeline.operators.entries import stop_after_end
 from plumeline.operators.shape_report import selection
 from plumeline.sources import audit, structured, textlog
 from plumeline.session import staged
-from plumeline.sources.lines import GZIP_MAGIC, LATIN, UTF8, leading_bytes, node_type, read_lines, short_name, stitch_files, unmatched_lines
+from plumeline.sources.lines import GZIP_MAGIC, LATIN, UTF8, leading_bytes, node_type, read_lines, short_name, stitch_by_end, stitch_files, unmatched_lines
 
 
 @dataclass(frozen=True)
@@ -28,6 +28,10 @@ class IngestOptions:
     name_pattern: str | None = None
     node_type: str | None = None
     gzip_paths: Sequence[str] | None = None
+    #: Entries end with a line that this matches, as in older logs; by default they begin with a pattern.
+    end_pattern: str | None = None
+    older_writes: bool = False
+    replication_ops: bool = False
     default_year: int = 2000
 
 
@@ -87,7 +91,7 @@ def ingest_logs(spark: SparkSession, paths: Sequence[str], options: IngestOption
     else:
         packed = list(o.gzip_paths)
     lines = read_lines(spark, paths, UTF8 if o.utf8 else LATIN, packed)
-    stitched = stitch_files(lines, o.wrapper)
+    stitched = stitch_by_end(lines, o.end_pattern, o.wrapper) if o.end_pattern else stitch_files(lines, o.wrapper)
     routed = stitched.entries
 
     def of(fmt: str) -> DataFrame:
@@ -124,7 +128,9 @@ def ingest_logs(spark: SparkSession, paths: Sequence[str], options: IngestOption
 
     hosted = {**base, "host": F.col("host")}
     lines_of_text = ranged(good["text"]).withColumn("host", F.lit(None).cast("string"))
-    text, text_rejects = textlog.text_events(lines_of_text.unionByName(ranged(good["syslog"])), hosted)
+    text, text_rejects = textlog.text_events(
+        lines_of_text.unionByName(ranged(good["syslog"])), hosted, o.older_writes, o.replication_ops
+    )
     events = [
         structured.structured_events(_with_host(ranged(good["json"]), hosts), hosted),
         text,

@@ -16,6 +16,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from plumeline.operators import entries
 from plumeline.session import staged
 
 # How an entry of each format begins.
@@ -298,6 +299,29 @@ def stitch_files(
     return Entries(entries, blocks.select("infile", "block", "offset", "n_lines"), few)
 
 
+def stitch_by_end(
+    lines: DataFrame, end_pattern: str, wrapper: str | None = None, patterns: dict[str, str] = ENTRY_PATTERNS, chunk_lines: int = 100_000
+) -> Entries:
+    """Entries of files whose entries are known by their last line; what follows the last such line is an entry too.
+
+    Each file is one block of numbered lines; chunks of them keep a long file from being one task.
+    """
+    numbered = number_lines(lines).withColumn("value", strip_wrapper(F.col("value"), wrapper))
+    joined = entries.stitch_by_end(
+        numbered, ["infile"], "lineno", "value", F.col("value").rlike(end_pattern), F.floor(F.col("lineno") / chunk_lines), separator="\n"
+    )
+    found = staged(
+        joined.select(
+            "infile", F.lit(0).cast("bigint").alias("block"), F.col("last_line").cast("bigint").alias("lineno"), F.col("n_lines").cast("bigint").alias("n_lines"),
+            entry_format(F.col("entry"), patterns).alias("format"), "entry",
+        ),
+        "entries",
+    )
+    blocks = found.groupBy("infile").agg(F.max("lineno").alias("n_lines")).select("infile", F.lit(0).cast("bigint").alias("block"), F.lit(0).cast("bigint").alias("offset"), "n_lines")
+    few = blocks.limit(BROADCAST_BLOCKS + 1).count() <= BROADCAST_BLOCKS
+    return Entries(found, blocks, few)
+
+
 def number_lines(lines: DataFrame) -> DataFrame:
     """Line numbers by a plain window over each file.
 

@@ -158,10 +158,15 @@ def _shard_columns(body: Column, tokens: Column) -> dict[str, Column]:
     }
 
 
-def text_events(parsed: DataFrame, base: dict[str, Column]) -> tuple[DataFrame, DataFrame]:
+def text_events(
+    parsed: DataFrame, base: dict[str, Column], older_writes: bool = False, replication: bool = False
+) -> tuple[DataFrame, DataFrame]:
     """Log events of text entries, and the slow lines whose documents cannot be read.
 
-    Components without a rule give no event.
+    Components without a rule give no event.  With ``older_writes`` lines that
+    name their query and update without a command document are read too, if
+    their operation is one of ``OPERATIONS``.  With ``replication`` the details
+    of an applied operation are its parts.
     """
     c, body = F.col("component"), F.col("body")
     slow_line = c.isin(*SLOW_COMPONENTS)
@@ -196,6 +201,10 @@ def text_events(parsed: DataFrame, base: dict[str, Column]) -> tuple[DataFrame,
         }
     )
     tail = F.col("tail")
+    older = F.lit(False)
+    if older_writes:
+        older = F.coalesce(F.col("cmd_text").isNull() & F.col("first_word").isin(*OPERATIONS) & ob.isNotNull(), F.lit(False))
+    rows = rows.withColumn("old", F.when(older, write_segments(ob)))
     # All documents of a line go to Python in one batch.
     rows = rows.withColumns(
         {
@@ -204,21 +213,26 @@ def text_events(parsed: DataFrame, base: dict[str, Column]) -> tuple[DataFrame,
             "info_json": relaxed_to_json(
                 F.when(client | repl | F.col("message_doc") | F.col("admin"), _found(body, r"(?s)(\{.*\})"))
             ),
+            "old_query": relaxed_to_json(F.col("old.query")),
+            "old_update": relaxed_to_json(F.col("old.update")),
             "locks_json": relaxed_to_json(_segment(tail, "locks")),
             "storage_json": relaxed_to_json(_segment(tail, "storage")),
         }
     )
-    rejects = rows.filter(F.col("cmd_text").isNotNull() & F.col("cmd_json").isNull())
-    rows = rows.filter(F.col("cmd_text").isNull() | F.col("cmd_json").isNotNull())
+    broken = F.lit(False)
+    for text, document in (("cmd_text", "cmd_json"), ("old.query", "old_query"), ("old.update", "old_update")):
+        broken = broken | (F.col(text).isNotNull() & F.col(document).isNull())
+    rejects = rows.filter(broken)
+    rows = rows.filter(~broken)
 
-    command = F.when(F.col("cmd_text").isNotNull(), F.coalesce("cmd_word", "first_word"))
+    command = F.when(F.col("cmd_text").isNotNull(), F.coalesce("cmd_word", "first_word")).when(F.col("old").isNotNull(), F.col("first_word"))
     own = jp.filter_of(command, F.col("cmd_json"))
     origin = F.col("origin_json")
     opened = F.when(
         command == "getMore",
         F.coalesce(F.get_json_object(origin, "$.filter"), F.get_json_object(origin, "$.pipeline[0].$match")),
     )
-    rows = rows.withColumns({"op_name": command, "filter_text": F.coalesce(own, opened)})
+    rows = rows.withColumns({"op_name": command, "filter_text": F.coalesce(own, opened, F.col("old_query"))})
     rows = rows.withColumns(
         {
             "q": query_shape("filter_text"),
@@ -260,7 +274,9 @@ def text_events(parsed: DataFrame, base: dict[str, Column]) -> tuple[DataFrame,
             "module": F.when(shard & conn.isNull(), F.regexp_extract("ctx", r"^([a-zA-Z-]*?)-?[0-9]*$", 1)),
             "applied_op": F.when(repl, _found(body, r"^applied op: (\S+)")),
             "message": plain_message,
-            "details": F.when(repl & body.startswith("applied op:"), F.col("info_json")).when(
+            "details": F.when(
+                repl & body.startswith("applied op:"), F.to_json(replication_op(body)) if replication else F.col("info_json")
+            ).when(
                 F.col("admin"), F.col("info_json")
             ),
             "shard_op": F.when(shard, shards["shard_op"]),
@@ -270,7 +286,13 @@ def text_events(parsed: DataFrame, base: dict[str, Column]) -> tuple[DataFrame,
             "command": F.when(F.col("admin"), admin_type).otherwise(F.col("op_name")),
             "object": _found(ob, r"^\S+\s+(\S+)"),
             "application": _found(ob, r'\bappName:\s+"([^"]*)"'),
-            "attr": F.col("cmd_json"),
+            "attr": F.coalesce(
+                "cmd_json",
+                F.when(
+                    F.col("old").isNotNull(),
+                    F.concat(F.lit('{"q":'), F.coalesce("old_query", F.lit("null")), F.lit(',"u":'), F.coalesce("old_update", F.lit("null")), F.lit("}")),
+                ),
+            ),
             "cursor": _found(tail, r"\bcursorid:(\d+)"),
             "batch_size": F.get_json_object("cmd_json", "$.batchSize").try_cast("bigint"),
             "filter_shape": F.when(has_filter, F.col("q.shape")),
@@ -323,7 +345,7 @@ def write_segments(body: Column) -> Column:
 
 def replication_op(body: Column) -> Column:
     """Parts of an ``applied op`` line; ``op_len`` is the length of the whole operation, also of one the server cut."""
-    change = _found(body, r"(?s)\bo:\s+(\{.*\})\s*(?:,?\s*took)?\s+\S*$")
+    change = F.get(outer_groups(_found(body, r"(?s)\bo:\s+(\{.*)$"), "{", "}"), F.lit(0))
     op = _found(body, r'\bop:\s+"(\w)"')
     kept = F.when(op.isin("u", "i"), change)
     cut = _found(body, r"\((\d+)kB\)").try_cast("bigint") * 1024

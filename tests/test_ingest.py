@@ -278,3 +278,21 @@ def test_blocks_do_not_change_entries(spark, tmp_path, block):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
     assert sorted(rows) == sorted(want)
+
+
+OLDER = """2015-10-26T18:24:19.000-0000 I WRITE    [conn15] update shop.cart query: { _id: 3,
+ n: "a" } planSummary: IDHACK update: { $set: { b: 1 } } keysExamined:1 docsExamined:1 nMatched:1 numYields:0 locks:{} 12ms
+2015-10-26T18:24:20.000-0000 I WRITE    [conn15] remove shop.cart query: { k: [ } planSummary: IDHACK docsExamined:1 3ms
+2015-10-26T18:24:21.000-0000 I REPL     [repl-0] applied op: CRUD { ts: Timestamp(5, 1), op: "u", ns: "a.b", o: { $set: { x: 1 } } }, took 120ms
+"""
+
+
+def test_older_writes_end_rule_and_replication(spark, tmp_path):
+    (tmp_path / "old.log").write_text(OLDER)
+    options = IngestOptions(end_pattern=r"\d+ms$", older_writes=True, replication_ops=True)
+    out = ingest_logs(spark, [str(tmp_path / "old.log")], options)
+    rows = {r["lineno"]: r for r in out.events.collect()}
+    assert (rows[2]["command"], rows[2]["filter_shape"], rows[2]["docs_examined"], rows[2]["duration_millis"]) == ("update", "{_id: 1,n: 1}", 1, 12)
+    assert json.loads(rows[2]["attr"]) == {"q": {"_id": 3, "n": "a"}, "u": {"$set": {"b": 1}}}
+    assert json.loads(rows[4]["details"])["update"] == "{ $set: { x: 1 } }"
+    assert [(r["lineno"], r["error"]) for r in out.rejects.collect()] == [(3, "unreadable document")]
