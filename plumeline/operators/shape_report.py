@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from plumeline.functions.text import cell
 from plumeline.functions.times import between_strict
+from plumeline.session import staged
 
 # Report thresholds and section titles.
 SLOW_MILLIS = 1000
@@ -75,6 +76,40 @@ def sample_filter(ops: DataFrame) -> Column:
     return F.when(F.col("command") == "getMore", from_origin).otherwise(from_attr)
 
 
+def _numbers(only: Column | None = None) -> list[Column]:
+    """Counts and sums of a group, of the rows for which ``only`` holds."""
+
+    def of(value: Column) -> Column:
+        return value if only is None else F.when(only, value)
+
+    return [
+        F.count(of(F.lit(1))).alias("cnt"),
+        F.coalesce(F.sum(of(F.col("tms"))), F.lit(0)).alias("cost"),
+        F.avg(of(F.col("ratio"))).alias("ratio"),
+        F.min(of(F.col("tms"))).alias("min_time"),
+        F.max(of(F.col("tms"))).alias("max_time"),
+        F.coalesce(F.sum(of(F.col("docs_examined"))), F.lit(0)).alias("total_read"),
+        F.coalesce(F.sum(of(F.col("nreturned"))), F.lit(0)).alias("total_ret"),
+    ]
+
+
+def _gathered(rows: DataFrame, sample: bool) -> list[Column]:
+    """Sets of a group and its earliest row."""
+    sets = [
+        F.array_sort(F.collect_set(c)).alias(a)
+        for c, a in (("filter_shape", "filters"), ("command", "operations"), ("sort", "sorts"), ("plan_summary", "plans"))
+    ]
+    if sample:
+        first = F.struct("ts", "infile", "lineno")
+        sets.append(F.min_by(F.struct("infile", "lineno", sample_filter(rows).alias("filter")), first).alias("sample"))
+    return sets
+
+
+def _order(rank_by: str) -> list[Column]:
+    # Ties are broken by the group key so the list is the same on every run.
+    return [F.desc_nulls_last(c) for c in _RANKINGS[rank_by]] + [F.asc("col"), F.asc("shape")]
+
+
 def rank_shapes(
     rows: DataFrame,
     key: str = "col_name",
@@ -87,51 +122,50 @@ def rank_shapes(
 ) -> DataFrame:
     """Group by (``key``, ``shape``), rank, keep ``top`` groups.
 
-    Counts and sums are a hash aggregate over primitive buffers.  Sets and the
-    sample row are only gathered for the groups that made the list, in a second
-    pass over the pruned columns.
+    Counts and sums are a hash aggregate over primitive buffers.  With ``top``,
+    sets and the sample row are only gathered for the groups that made the list,
+    in a second pass over the pruned columns.
     """
-    numbers = [
-        F.count("*").alias("cnt"),
-        F.coalesce(F.sum("tms"), F.lit(0)).alias("cost"),
-        F.avg("ratio").alias("ratio"),
-        F.min("tms").alias("min_time"),
-        F.max("tms").alias("max_time"),
-        F.coalesce(F.sum("docs_examined"), F.lit(0)).alias("total_read"),
-        F.coalesce(F.sum("nreturned"), F.lit(0)).alias("total_ret"),
-    ]
+    numbers = _numbers()
     if limit:
         numbers.append(F.max("limit").alias("limit"))
     if router:
         numbers += [F.min("n_shards").alias("min_shards"), F.max("n_shards").alias("max_shards")]
+    sets, order = _gathered(rows, sample), _order(rank_by)
+    if top is None:
+        # Every group is on the list: one aggregate has it all.
+        every = rows.groupBy(F.col(key).alias("col"), "shape").agg(*numbers, *sets)
+        return (every if having is None else every.filter(having)).orderBy(*order)
     grouped = rows.groupBy(F.col(key).alias("col"), "shape").agg(*numbers)
     if having is not None:
         grouped = grouped.filter(having)
-    # Ties are broken by the group key so the list is the same on every run.
-    order = [F.desc_nulls_last(c) for c in _RANKINGS[rank_by]] + [F.asc("col"), F.asc("shape")]
-    ranked = grouped.orderBy(*order) if top is None else grouped.orderBy(*order).limit(top)
+    ranked = grouped.orderBy(*order).limit(top)
 
     names = [c for c in ranked.columns if c not in ("col", "shape")]
     keys = ranked.select(F.struct("col", "shape", *names).alias("g"))
-    if top is not None and top <= BROADCAST_TOP:
+    if top <= BROADCAST_TOP:
         keys = F.broadcast(keys)
     members = rows.join(
         keys, rows[key].eqNullSafe(F.col("g.col")) & rows["shape"].eqNullSafe(F.col("g.shape"))
     )
-    sets = [
-        F.array_sort(F.collect_set(c)).alias(a)
-        for c, a in (("filter_shape", "filters"), ("command", "operations"), ("sort", "sorts"), ("plan_summary", "plans"))
-    ]
-    if sample:
-        first = F.struct("ts", "infile", "lineno")
-        sets.append(
-            F.min_by(F.struct("infile", "lineno", sample_filter(rows).alias("filter")), first).alias("sample")
-        )
     gathered = ["filters", "operations", "sorts", "plans"] + (["sample"] if sample else [])
     detailed = members.groupBy("g").agg(*sets).select("g.*", *gathered)
     return detailed.orderBy(*order)
 
 
+def section_rows(section: str, all_queries: bool = False) -> tuple[Column, str]:
+    """Which rows a section of the slow-query report has, and what it ranks by."""
+    if section == "overall":
+        return (F.lit(True) if all_queries else F.col("ratio") > 1), "cost"
+    if section == "collscan":
+        return F.col("plan_summary") == COLLSCAN, "cost"
+    if section == "long":
+        return F.col("tms") > SLOW_MILLIS, "max_time"
+    if section == "sort":
+        return F.col("has_sort_stage").isNotNull(), "cost"
+    raise ValueError(f"unknown section {section!r}")
+
+
 def shape_report(
     ops: DataFrame,
     section: str = "overall",
@@ -145,18 +179,48 @@ def shape_report(
     rows = with_shape_columns(ops)
     if where is not None:
         rows = rows.filter(where)
-    rank_by = "cost"
-    if section == "overall":
-        rows = rows if all_queries else rows.filter(F.col("ratio") > 1)
-    elif section == "collscan":
-        rows = rows.filter(F.col("plan_summary") == COLLSCAN)
-    elif section == "long":
-        rows, rank_by = rows.filter(F.col("tms") > SLOW_MILLIS), "max_time"
-    elif section == "sort":
-        rows = rows.filter(F.col("has_sort_stage").isNotNull())
-    else:
-        raise ValueError(f"unknown section {section!r}")
-    return rank_shapes(rows, rank_by=rank_by, top=top, limit=not multi_tenant, sample=sample)
+    of_section, rank_by = section_rows(section, all_queries)
+    return rank_shapes(rows.filter(of_section), rank_by=rank_by, top=top, limit=not multi_tenant, sample=sample)
+
+
+def shape_sections(
+    ops: DataFrame,
+    sections: Sequence[str] = ("overall", "collscan", "long", "sort"),
+    top: int = TOP_DEFAULT,
+    all_queries: bool = False,
+    multi_tenant: bool = False,
+    where: Column | None = None,
+    sample: bool = True,
+) -> dict[str, DataFrame]:
+    """Several sections of the slow-query report by name, from two passes over the log.
+
+    The first pass has the numbers of every group for all sections; the second
+    gathers sets for the groups on any list.
+    """
+    rows = with_shape_columns(ops)
+    if where is not None:
+        rows = rows.filter(where)
+    rules = {s: section_rows(s, all_queries) for s in sections}
+    per_section = []
+    for name, (only, _) in rules.items():
+        numbers = _numbers(only) + ([] if multi_tenant else [F.max(F.when(only, F.col("limit"))).alias("limit")])
+        per_section.append(F.struct(*numbers).alias(name))
+    groups = staged(rows.groupBy(F.col("col_name").alias("col"), "shape").agg(*per_section), "shape-groups")
+    listed = []
+    for name, (_, rank_by) in rules.items():
+        one = groups.filter(F.col(name)["cnt"] > 0).select("col", "shape", f"{name}.*")
+        listed.append(one.orderBy(*_order(rank_by)).limit(top).select(F.lit(name).alias("section"), F.struct(*one.columns).alias("g")))
+    keys = reduce(lambda a, b: a.unionByName(b), listed)
+    if top * len(rules) <= BROADCAST_TOP:
+        keys = F.broadcast(keys)
+    wanted = reduce(lambda a, b: a | b, [(F.col("section") == name) & only for name, (only, _) in rules.items()])
+    members = rows.join(keys, rows["col_name"].eqNullSafe(F.col("g.col")) & rows["shape"].eqNullSafe(F.col("g.shape")) & wanted)
+    gathered = ["filters", "operations", "sorts", "plans"] + (["sample"] if sample else [])
+    detailed = staged(members.groupBy("section", "g").agg(*_gathered(rows, sample)), "shape-sections")
+    return {
+        name: detailed.filter(F.col("section") == name).select("g.*", *gathered).orderBy(*_order(rank_by))
+        for name, (_, rank_by) in rules.items()
+    }
 
 
 def router_report(
@@ -231,12 +295,8 @@ def union_sections(sections: Sequence[DataFrame]) -> DataFrame:
 def full_report(ops: DataFrame, top: int = TOP_DEFAULT, all_queries: bool = False, multi_tenant: bool = False,
                 where: Column | None = None) -> DataFrame:
     """The default report: overall, collection scans, long running, sorts."""
-    return union_sections(
-        [
-            report_cells(shape_report(ops, s, top, all_queries, multi_tenant, where), s)
-            for s in ("overall", "collscan", "long", "sort")
-        ]
-    )
+    found = shape_sections(ops, top=top, all_queries=all_queries, multi_tenant=multi_tenant, where=where)
+    return union_sections([report_cells(ranked, name) for name, ranked in found.items()])
 
 
 def full_router_report(ops: DataFrame, top: int = TOP_DEFAULT, where: Column | None = None, mode: str = "shards") -> DataFrame:

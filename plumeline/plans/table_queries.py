@@ -124,8 +124,8 @@ def router_multi_shard(spark: SparkSession, sf: str) -> DataFrame:
 
 def report_union(spark: SparkSession, sf: str) -> DataFrame:
     ops = tb.event_ops(spark, sf)
-    parts = [sr.report_cells(sr.shape_report(ops, s, sample=False), s) for s in ("overall", "collscan", "long", "sort")]
-    return sr.union_sections(parts).drop("ratio")
+    found = sr.shape_sections(ops, sample=False)
+    return sr.union_sections([sr.report_cells(ranked, name) for name, ranked in found.items()]).drop("ratio")
 
 
 def date_range_strict(spark: SparkSession, sf: str) -> DataFrame:
