@@ -23,7 +23,6 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +37,7 @@ CHECKPOINT = 512
 BLOCK_TOKENS = 1 << 16
 PART_TOKENS = 8 << 20
 #: Pieces that a task remembers the ids of.
-CACHE_PIECES = 500_000
+CACHE_PIECES = 800_000
 _NO_ID = -(1 << 63)
 _BATCH = 256
 
@@ -46,15 +45,64 @@ _BATCH = 256
 # Encoding -----------------------------------------------------------------------------------------------------------
 
 
+def byte_characters() -> dict[int, str]:
+    """The character that a byte-level vocabulary has for each byte: itself if it is printable, else the next one from U+0100."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in printable]
+    return {b: chr(b) for b in printable} | {b: chr(256 + k) for k, b in enumerate(others)}
+
+
+class _Parts(dict):
+    """Ids of single pre-tokens, in characters of the vocabulary; the model is asked once for each."""
+
+    def __init__(self, model, packed: list[bytes]):
+        super().__init__()
+        self.tokenize, self.packed = model.tokenize, packed
+
+    def __missing__(self, mapped: str) -> bytes:
+        packed = self.packed
+        ids = self[mapped] = b"".join([packed[t.id] for t in self.tokenize(mapped)])
+        return ids
+
+
+class _Learned(dict):
+    """Ids by piece; an unknown piece is encoded when it is first asked for."""
+
+    def __init__(self, encoder: PieceEncoder, front: str, lead: str):
+        super().__init__()
+        self.encoder, self.front, self.lead = encoder, front, lead
+
+    def __missing__(self, piece: str) -> bytes:
+        word = piece if piece.isalpha() else piece.rstrip(PieceEncoder.PUNCTUATION)
+        if word.isascii() and word.isalpha():
+            # Most pieces: ASCII letters, with or without punctuation behind them.
+            parts = self.encoder.parts
+            ids = parts[self.front + word]
+            if len(word) < len(piece):
+                ids += parts[piece[len(word) :]]
+        else:
+            ids = self.encoder.compose(piece, self.front)
+            if ids is None:
+                (ids,) = self.encoder.direct([self.lead + piece])
+        self[piece] = ids
+        return ids
+
+
 class PieceEncoder:
     """The ids of whole texts by a byte-level BPE of the tokenizers library, with the ids of pieces remembered.
 
     A piece is a run without spaces with one space in front.  The pre-tokenizer of such a vocabulary always cuts
-    before a single space that has no white space around it, so the ids of a text are those of its pieces.  Texts with
-    other white space around a space, or with the text of a special token, are encoded as a whole, and so is
-    everything with a tokenizer of another kind.
+    before a single space that has no white space around it, so the ids of a text are those of its pieces.  It also
+    cuts between letters and ASCII punctuation that ends the piece, and around a single line end between them: such
+    pieces are put together from words, tails of punctuation and line ends, which go to the model one by one.  All
+    other pieces are encoded by the whole tokenizer, and so are texts with other white space around a space, texts
+    with the text of a special token, and everything with a tokenizer of another kind.
     """
 
+    PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+    #: Letters below this (Latin, Greek, Cyrillic) are letters to every version of Unicode in use.
+    OLD_LETTERS = "\u0530"
+
     def __init__(self, tokenizer_json: str):
         import json
 
@@ -66,63 +114,76 @@ class PieceEncoder:
         pre, model = config.get("pre_tokenizer") or {}, config["model"]
         self.by_piece = (
             pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
-            and not config.get("normalizer") and model.get("type") == "BPE" and not model.get("dropout")
+            and not config.get("normalizer") and model.get("type") == "BPE" and not model.get("dropout") and not model.get("ignore_merges")
         )
-        special = [re.escape(t["content"]) for t in config.get("added_tokens", [])]
-        self.whole = re.compile("|".join([r"\s \s", r"\s $", *special]))
-        size = self.tokenizer.get_vocab_size()
+        self.special = [t["content"] for t in config.get("added_tokens", [])]
+        # A space with white space behind it: without one of these no text has white space on both sides of a space.
+        self.wide = [f" {chr(c)}" for c in range(0x3001) if chr(c).isspace()]
+        self.spaced = re.compile(r"\s \s|\s $")
+        size = max([*(t["id"] for t in config.get("added_tokens", [])), *model["vocab"].values()]) + 1
         self.kind = np.dtype("<u2" if size <= 1 << 16 else "<u4")
-        self.spaced = np.zeros(size, bool)
-        for token, number in self.tokenizer.get_vocab().items():
-            self.spaced[number] = token.startswith("\u0120")
-        self.pieces: dict[str, bytes] = {}
-        self.heads: dict[str, bytes] = {}
-
-    def _direct(self, texts: list[str]) -> list[bytes]:
+        self.packed = [i.to_bytes(self.kind.itemsize, "little") for i in range(size)]
+        self.characters = byte_characters()
+        self.space = self.characters[ord(" ")]
+        self.pieces = _Learned(self, self.space, " ")
+        self.heads = _Learned(self, "", "")
+        self.parts = _Parts(self.tokenizer.model, self.packed)
+
+    def direct(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, pieces: list[str]) -> None:
-        plain, odd = [], []
-        for p in pieces:
-            (plain if p.split() == [p] else odd).append(p)
-        chunks = [plain[k : k + 512] for k in range(0, len(plain), 512)]
-        joined = self.tokenizer.encode_batch_fast([" " + " ".join(c) for c in chunks], add_special_tokens=False)
-        for chunk, encoding in zip(chunks, joined, strict=True):
-            ids = np.array(encoding.ids, self.kind)
-            edges = np.flatnonzero(self.spaced[ids])
-            if len(edges) != len(chunk) or edges[0]:
-                odd += chunk
-                continue
-            raw, width = ids.tobytes(), self.kind.itemsize
-            edges = [*(edges * width).tolist(), len(raw)]
-            self.pieces.update(zip(chunk, (raw[a:b] for a, b in zip(edges, edges[1:], strict=False)), strict=True))
-        self.pieces.update(zip(odd, self._direct([" " + p for p in odd]), strict=True))
+    def _simple(self, run: str, front: str) -> bytes | None:
+        """The ids of letters with punctuation behind them, ``front`` before them; None for any other run."""
+        word = run.rstrip(self.PUNCTUATION)
+        if not word.isalpha():
+            return None
+        mapped = word
+        if not word.isascii():
+            if max(word) >= self.OLD_LETTERS:
+                return None
+            mapped = "".join([self.characters[b] for b in word.encode()])
+        tail = run[len(word) :]
+        return self.parts[front + mapped] + self.parts[tail] if tail else self.parts[front + mapped]
+
+    def compose(self, piece: str, front: str) -> bytes | None:
+        first, *lines = piece.split("\n")
+        out = self._simple(first, front)
+        for line in lines:
+            more = None if out is None else self._simple(line, "")
+            if more is None:
+                return None
+            out += self.parts[self.characters[ord("\n")]] + more
+        return out
+
+    def _whole(self, text: str) -> bool:
+        """Whether a text can't be cut into pieces."""
+        if any(t in text for t in self.special):
+            return True
+        return (text.endswith(" ") or any(w in text for w in self.wide)) and self.spaced.search(text) is not None
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as packed little-endian numbers."""
         if not self.by_piece:
-            return self._direct(texts)
-        if len(self.pieces) > CACHE_PIECES:
-            self.pieces.clear()
-        if len(self.heads) > CACHE_PIECES:
-            self.heads.clear()
-        whole = [bool(self.whole.search(t)) for t in texts]
-        split = [None if w else t.split(" ") for t, w in zip(texts, whole, strict=True)]
-        heads = [s[0] for s in split if s]
-        rests = [s[1:] if s else () for s in split]
-        self._learn(list(set(chain.from_iterable(rests)) - self.pieces.keys()))
-        new = list(set(heads) - self.heads.keys())
-        self.heads.update(zip(new, self._direct(new), strict=True))
-        direct = iter(self._direct([t for t, w in zip(texts, whole, strict=True) if w]))
+            return self.direct(texts)
+        for table in (self.pieces, self.heads, self.parts):
+            if len(table) > CACHE_PIECES:
+                table.clear()
         of = self.pieces.__getitem__
-        return [next(direct) if s is None else self.heads[s[0]] + b"".join(map(of, r)) for s, r in zip(split, rests, strict=True)]
+        out = []
+        for text in texts:
+            if self._whole(text):
+                out += self.direct([text])
+            else:
+                head, *rest = text.split(" ")
+                out.append(self.heads[head] + b"".join(map(of, rest)))
+        return out
 
 
 def _encode(tokenizer_json: str, end_id: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = PieceEncoder(tokenizer_json)
         end = b"" if end_id is None else np.array([end_id], encoder.kind).tobytes()
-        packer = zstandard.ZstdCompressor(3)
+        packer = zstandard.ZstdCompressor(1)
         for batch in batches:
             for lo in range(0, batch.num_rows, _BATCH):
                 part = batch.slice(lo, _BATCH)
@@ -262,8 +323,9 @@ def _count(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(size, np.int64)
         for batch in batches:
-            for n, blob in zip(batch.column("n_tokens").to_pylist(), batch.column("ids"), strict=True):
-                counts += np.bincount(_ids(blob.as_buffer(), n), minlength=size)
+            held = [_ids(blob.as_buffer(), n) for n, blob in zip(batch.column("n_tokens").to_pylist(), batch.column("ids"), strict=True)]
+            for lo in range(0, len(held), _BATCH):
+                counts += np.bincount(np.concatenate(held[lo : lo + _BATCH]), minlength=size)
         at = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(counts[at])], ["token_id", "n"])
 
