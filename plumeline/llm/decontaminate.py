@@ -1,8 +1,9 @@
 """Benchmark decontamination: rare n-gram seeds and Smith-Waterman alignment.
 
 1. The n-grams of the test items are counted over the whole corpus.
-2. Each item is cut into strata of ``STRATUM`` n-grams and the rarest n-gram of every stratum is a seed.  Rarity is
-   relative: a passage that is everywhere in the corpus still has its seeds.
+2. Every n-gram that is rare in the corpus, at most ``RARE_SHARE`` of all its n-grams, is a seed.  Each item is cut
+   into strata of ``STRATUM`` n-grams; a stratum without a rare one has its rarest as a seed (by powers of two, the
+   first of equals), so a passage that is everywhere in the corpus still has its seeds.
 3. Seeds meet the documents; hits of one item that lie within an item's length of each other are one candidate.
 4. The candidate's region is aligned to the item by Smith-Waterman over words (match 2, mismatch -1, gap -1).  The
    score is the alignment's share of a perfect one; a bound by common words skips regions that can't reach it.
@@ -24,6 +25,9 @@ from plumeline.llm import words as W
 
 SEED_WORDS = 3
 STRATUM = 4
+RARE_SHARE = 1e-6
+#: Occurrences up to which an n-gram is rare in a small corpus.
+RARE_LEAST = 20
 ITEM_BYTES = 8 << 20
 MATCH, MISMATCH, GAP = 2, -1, -1
 
@@ -106,31 +110,50 @@ def _count_grams(grams: dict[int, np.ndarray]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         probes = {n: Probe(h) for n, h in grams.items()}
         counts = {n: np.zeros(len(p.keys), np.int64) for n, p in probes.items()}
+        windows = dict.fromkeys(probes, 0)
         for batch in batches:
             buf, offsets = W.text_buffer(batch.column("text"))
             for _, _, part, offs in W.groups(buf, offsets):
                 words, first = hashed_words(part, offs)
                 for n, probe in probes.items():
-                    _, key = probe.find(W.window_hashes(words, first, n)[0])
+                    hashes = W.window_hashes(words, first, n)[0]
+                    _, key = probe.find(hashes)
                     counts[n] += np.bincount(key, minlength=len(probe.keys))
+                    windows[n] += len(hashes)
         for n, c in counts.items():
             at = np.flatnonzero(c)
+            # The row without a gram has the number of all n-grams.
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(at), n, np.int32)), pa.array(probes[n].keys[at].view(np.int64)), pa.array(c[at])], ["size", "gram", "n"]
+                [
+                    pa.array(np.full(len(at) + 1, n, np.int32)),
+                    pa.array([None, *probes[n].keys[at].view(np.int64).tolist()], pa.int64()),
+                    pa.array(np.append(windows[n], c[at])),
+                ],
+                ["size", "gram", "n"],
             )
 
     return run
 
 
-def choose_seeds(items: Items, counts: dict[tuple[int, int], int]) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """By n-gram size: sorted seed hashes with their place in the item and their item; one seed for each stratum."""
+def choose_seeds(items: Items, counts: dict[tuple[int, int | None], int]) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """By n-gram size: sorted seed hashes with their place in the item and their item.
+
+    ``counts`` has the corpus count of ``(size, n-gram)`` and, for the n-gram None, of all n-grams.  An n-gram that the
+    corpus does not have can find nothing and is no seed.
+    """
     seeds = {}
     for n, (hashes, place, item) in items.grams.items():
         seen = np.array([counts.get((n, h), 0) for h in hashes.view(np.int64).tolist()], np.int64)
-        order = np.lexsort((place, seen, place // STRATUM, item))
+        rare = (seen > 0) & (seen <= max(RARE_LEAST, RARE_SHARE * counts.get((n, None), 0)))
+        stratum = place // STRATUM
+        scale = np.where(seen > 0, np.log2(np.maximum(seen, 1)).astype(np.int64), 64)
+        order = np.lexsort((place, scale, stratum, item))
         head = np.ones(len(order), bool)
-        head[1:] = (item[order[1:]] != item[order[:-1]]) | (place[order[1:]] // STRATUM != place[order[:-1]] // STRATUM)
-        pick = order[head]
+        head[1:] = (item[order[1:]] != item[order[:-1]]) | (stratum[order[1:]] != stratum[order[:-1]])
+        first = np.zeros(len(order), bool)
+        first[order[head]] = True
+        # The rarest of a stratum is rare if any is.
+        pick = np.flatnonzero(rare | (first & (seen > 0)))
         pick = pick[np.argsort(hashes[pick], kind="stable")]
         seeds[n] = hashes[pick], place[pick], item[pick]
     return seeds
@@ -154,6 +177,8 @@ def _candidates(items: Items, seeds, words: np.ndarray, first: np.ndarray):
     if not found:
         return
     docs, item, start = (np.concatenate(x) for x in zip(*found, strict=True))
+    if not len(docs):
+        return
     order = np.lexsort((start, item, docs))
     docs, item, start = docs[order], item[order], start[order]
     new = np.ones(len(order), bool)

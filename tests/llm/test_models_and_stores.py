@@ -87,6 +87,12 @@ def test_a_passage_that_is_everywhere_keeps_its_seeds(spark):
     assert len(out) == 2 * len(docs) and all(r["score"] == 1 for r in out)
 
 
+def test_documents_without_any_seed(spark):
+    items = spark.createDataFrame([(1, "a b c d e")], "item_id long, text string")
+    docs = _docs(spark, [(1, "x y z " * 50)])
+    assert dec.contaminated_passages(docs, items).count() == 0 and dec.clean_documents(docs, items).count() == 1
+
+
 def test_decontamination_of_empty_tables(spark):
     items = spark.createDataFrame([(1, "a b c d e")], "item_id long, text string")
     assert dec.contaminated_passages(_docs(spark, []), items).count() == 0
