@@ -57,19 +57,24 @@ def _scalar(value) -> tuple[str, str | None]:
     return (OBJECT, "{}") if isinstance(value, dict) else (ARRAY, "[]")
 
 
-def leaves(document, skip_parts: tuple[str, ...] = (), containers: bool = False) -> Iterator[tuple[tuple[str, ...], str, str | None]]:
+def leaves(
+    document, skip_parts: tuple[str, ...] = (), containers: bool = False, positions: bool = True
+) -> Iterator[tuple[tuple[str, ...], str, str | None]]:
     """``(path, type, value)`` of every leaf, in document order, at any depth."""
     waiting = [((), document)]
     while waiting:
         path, value = waiting.pop()
-        if not (isinstance(value, (dict, list)) and value):
+        if isinstance(value, dict) and value:
+            if containers:
+                yield path, OBJECT, None
+            waiting += [(path if k in skip_parts else (*path, k), v) for k, v in reversed(value.items())]
+        elif isinstance(value, list) and value:
+            if containers:
+                yield path, ARRAY, None
+            at = range(len(value) - 1, -1, -1)
+            waiting += [((*path, f"[{i}]"), value[i]) for i in at] if positions else [((*path, "[]"), value[i]) for i in at]
+        else:
             yield (path, *_scalar(value))
-            continue
-        is_object = isinstance(value, dict)
-        if containers:
-            yield path, OBJECT if is_object else ARRAY, None
-        inner = value.items() if is_object else ((f"[{i}]", v) for i, v in enumerate(value))
-        waiting += reversed([(path if k in skip_parts else (*path, k), v) for k, v in inner])
 
 
 def walk_json(df: DataFrame, json_col: str, keep: list[str], walk: Callable, columns: T.StructType) -> DataFrame:
@@ -100,25 +105,42 @@ def walk_json(df: DataFrame, json_col: str, keep: list[str], walk: Callable, col
 
 
 def flatten_json(
-    df: DataFrame, json_col: str, keep: list[str], containers: bool = False, skip_parts: tuple[str, ...] = ()
+    df: DataFrame, json_col: str, keep: list[str], containers: bool = False, skip_parts: tuple[str, ...] = (), positions: bool = True
 ) -> DataFrame:
     """``keep`` columns plus ``path ARRAY<STRING>``, ``type`` and ``value``.
 
-    An array element adds the path part ``[i]``.  Empty containers are leaves.
-    With ``containers`` every other object and array gets a row of its own,
-    without a value.  Parts named in ``skip_parts`` are left out of the path.
-    Containers are opened until none is left; nothing is shuffled.
+    An array element adds the path part ``[i]``, or ``[]`` without ``positions``.
+    Empty containers are leaves.  With ``containers`` every other object and
+    array gets a row of its own, without a value.  Parts named in ``skip_parts``
+    are left out of the path.  Containers are opened until none is left;
+    nothing is shuffled.
     """
+    kinds = [T.StructField(f.name, f.dataType) for f in df.select(*keep).schema]
+    schema = T.StructType([*kinds, *_LEAF.fields])
+    names = [f.name for f in schema]
 
-    def walk(document) -> Iterator[tuple]:
-        return ((list(path), kind, value) for path, kind, value in leaves(document, skip_parts, containers))
-
-    return walk_json(df, json_col, keep, walk, _LEAF)
-
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            # Documents of a table share their paths: each is made once a batch.
+            known: dict[tuple, int] = {}
+            at, places, values = [], [], []
+            for i, text in enumerate(batch.column(len(keep)).to_pylist()):
+                try:
+                    found = parse(text)
+                except ValueError:
+                    continue
+                for path, kind, value in leaves(found, skip_parts, containers, positions):
+                    at.append(i)
+                    places.append(known.setdefault((path, kind), len(known)))
+                    values.append(value)
+            place = pa.array(places, pa.int32())
+            paths = pa.array([list(path) for path, _ in known], pa.list_(pa.string())).take(place)
+            types = pa.array([kind for _, kind in known], pa.string()).take(place)
+            rows = pa.array(at, pa.int32())
+            kept = [batch.column(k).take(rows) for k in range(len(keep))]
+            yield pa.RecordBatch.from_arrays([*kept, paths, types, pa.array(values, pa.string())], names)
 
-def array_parts_as_any(path: Column) -> Column:
-    """Path with every array position replaced by ``[]``."""
-    return F.transform(path, lambda p: F.when(p.rlike(r"^\[\d+\]$"), F.lit("[]")).otherwise(p))
+    return df.select(*keep, F.col(json_col).alias("__json")).mapInArrow(run, schema)
 
 
 def dotted(path: Column) -> Column:

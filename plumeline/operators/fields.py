@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from plumeline.functions.flatten import array_parts_as_any, dotted, flatten_json
+from plumeline.functions.flatten import dotted, flatten_json
 
 # Documents sampled per collection, salt buckets of a hot group.
 SAMPLE_SIZE = 5
@@ -50,9 +50,8 @@ def find_fields(
     ``n=None`` searches every document.
     """
     docs = df if n is None else sample_documents(df, [ns], row_key, n, seed)
-    flat = flatten_json(docs, body, [ns, row_key], containers=True)
-    names = flat.filter(F.size("path") > 0).withColumn("path", array_parts_as_any(F.col("path")))
-    hits = names.filter(F.element_at("path", -1).rlike(f"(?i){pattern}"))
+    flat = flatten_json(docs, body, [ns, row_key], containers=True, positions=False)
+    hits = flat.filter((F.size("path") > 0) & F.element_at("path", -1).rlike(f"(?i){pattern}"))
     # An array repeats a path inside one document: count the document once.
     return (
         hits.groupBy(ns, dotted(F.col("path")).alias("field"), row_key)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from plumeline.functions.flatten import array_parts_as_any, flatten_json
+from plumeline.functions.flatten import flatten_json
 from plumeline.session import staged
 
 # Profile type names, and the schema type each stands for.
@@ -55,8 +55,8 @@ def profile_schema(df: DataFrame, body: str = "body", row_key: str = "id") -> Da
     no text is shuffled; values are counted first, so a hot field is spread
     over many reducers.
     """
-    flat = flatten_json(df, body, [row_key], containers=True).select(
-        row_key, array_parts_as_any(F.col("path")).alias("path"), _mapped(F.col("type"), PROFILE_TYPES).alias("type"), "value"
+    flat = flatten_json(df, body, [row_key], containers=True, positions=False).select(
+        row_key, "path", _mapped(F.col("type"), PROFILE_TYPES).alias("type"), "value"
     )
     scalar = ~F.col("type").isin("Document", "Array") & F.col("value").isNotNull()
     hashes = [F.when(scalar, F.xxhash64(F.lit(seed), "value")).alias(f"h{seed}") for seed in (1, 2)]
