@@ -3,11 +3,14 @@
 A feature is the presence of a hashed n-gram of code points (A to Z in lower case).  The classifier is fitted on a
 bounded sample of labelled rows, at most ``CLASS_ROWS`` of each class in order of a hash:
 
-1. Rows of both classes with a feature are counted in Spark; r = log of the ratio of their smoothed shares.
-2. Features stay whose ratio is many standard errors from 0, at most ``MODEL_FEATURES``.
-3. Logistic regression on features of value r, with an L2 penalty; the intercept is set back from the sample's class
-   shares to those of all labelled rows.
-
+1. The sample's features are staged.  Rows of both classes with a feature are counted; r = log of the ratio of their
+   shares, smoothed in the classes' own proportion so that a feature of no row has r = 0.  A feature's value is r,
+   damped by the odds that a ratio so many standard errors from 0 is chance, relative to the clearest feature.
+2. Logistic regression on these values, with an L2 penalty; the intercept is set back from the sample's class shares to
+   those of all labelled rows.  No feature is left out: a rare one has a small value and a small weight.
+
+A round of the regression is a Spark job over the staged features, so the driver holds tables of 2**``BITS`` numbers
+and never the rows.  Errors are rounded so that their sums are exact: the model does not depend on how rows are split.
 The model is a table of bounded size.  Scoring reads whole texts and counts each feature once per text.
 """
 
@@ -18,15 +21,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from plumeline.llm import words as W
+from plumeline.session import staged
 
 CLASS_ROWS = 4000
 BITS = 20
 GRAMS = (4, 5)
-MODEL_FEATURES = 20_000
-LEAST_ERRORS = 4.0
+#: Features of chance for one that tells the classes apart, before their ratios are seen.
+CHANCE_ODDS = 1000.0
+#: Tasks of a round of the fit; each sends a table of 2**BITS numbers to the driver.
+FIT_TASKS = 12
 _STEP = 0x9E3779B97F4A7C15
 
 
@@ -91,46 +98,99 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int, e
     return Sample(rows, n1 / max(n0 + n1, 1), (n0, n1))
 
 
-def _class_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts = np.zeros((2, 1 << BITS), np.int64)
+def _sample_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        labels = batch.column("label").to_numpy()
         buf, offsets = W.text_buffer(batch.column("text"))
         for lo, hi, part, offs in W.groups(buf, offsets):
             doc, feature = gram_features(*code_points(part, offs))
-            np.add.at(counts, (labels[lo:hi][doc], feature), 1)
+            edges = np.searchsorted(doc, np.arange(hi - lo + 1))
+            lists = [feature[a:b].astype("<i4").tobytes() for a, b in zip(edges, edges[1:], strict=False)]
+            yield pa.RecordBatch.from_arrays([batch.column("label").slice(lo, hi - lo), pa.array(lists, pa.binary())], ["label", "features"])
+
+
+def _feature_groups(batches: Iterator[pa.RecordBatch]):
+    """``(labels, row, feature)`` of groups of staged rows."""
+    for batch in batches:
+        labels = batch.column("label").to_numpy()
+        buf, offsets = W.text_buffer(batch.column("features"))
+        for lo, hi, part, offs in W.groups(buf, offsets):
+            yield labels[lo:hi], np.repeat(np.arange(hi - lo), np.diff(offs) // 4), np.frombuffer(part.tobytes(), "<i4")
+
+
+def _class_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    counts = np.zeros((2, 1 << BITS), np.int64)
+    for labels, row, feature in _feature_groups(batches):
+        for k in (0, 1):
+            counts[k] += np.bincount(feature[labels[row] == k], minlength=1 << BITS)
     at = np.flatnonzero(counts.sum(0))
     yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[0, at]), pa.array(counts[1, at])], ["feature", "n0", "n1"])
 
 
-def _sample_features(keep: np.ndarray):
+def _round_errors(state, class_weights: tuple[float, float]):
+    """One row for each task: the rows' weighted loss, and the sums of their errors in all and by feature."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            buf, offsets = W.text_buffer(batch.column("text"))
-            for lo, hi, part, offs in W.groups(buf, offsets):
-                doc, feature = gram_features(*code_points(part, offs), keep)
-                edges = np.searchsorted(doc, np.arange(hi - lo + 1)).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(edges), pa.array(feature.astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([batch.column("label").slice(lo, hi - lo), lists], ["label", "features"])
+        weights, bias = state.value
+        by_class = np.array(class_weights)
+        errors, total, loss = np.zeros(1 << BITS), 0.0, 0.0
+        for labels, row, feature in _feature_groups(batches):
+            z = np.clip(np.bincount(row, weights[feature], len(labels)) + bias, -30, 30)
+            error = np.round((1 / (1 + np.exp(-z)) - labels) * by_class[labels] * 2.0**50) / 2.0**50
+            loss += float((np.round((np.log1p(np.exp(z)) - labels * z) * by_class[labels] * 2.0**44) / 2.0**44).sum())
+            errors += np.bincount(feature, error[row], 1 << BITS)
+            total += float(error.sum())
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([loss]), pa.array([total]), pa.array([errors.tobytes()], pa.binary())], ["loss", "total", "errors"]
+        )
 
     return run
 
 
-def fit_logistic(first: np.ndarray, columns: np.ndarray, values: np.ndarray, labels: np.ndarray, penalty: float, rounds: int = 200):
-    """Weights and intercept by full-batch Adam; rows are ``columns[first[i]:first[i + 1]]``."""
-    n, row = int(columns.max(initial=-1)) + 1, np.repeat(np.arange(len(labels)), np.diff(first))
-    w, bias = np.zeros(n + 1), 0.0
-    m, v = np.zeros(n + 1), np.zeros(n + 1)
-    weight = np.where(labels == 1, 0.5 / max(labels.sum(), 1), 0.5 / max((1 - labels).sum(), 1))
-    for t in range(1, rounds + 1):
-        z = np.bincount(row, w[columns] * values, len(labels)) + w[n]
-        error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels) * weight
-        g = np.append(np.bincount(columns, error[row] * values, n), error.sum())
-        g[:n] += penalty * w[:n]
-        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        w -= 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-    bias = w[n]
-    return w[:n], float(bias)
+def minimise(evaluate, x: np.ndarray, rounds: int = 25, memory: int = 8) -> np.ndarray:
+    """The least place of a smooth convex function by L-BFGS; ``evaluate`` gives value and gradient, ``rounds`` times at most."""
+    value, slope = evaluate(x)
+    steps: list[tuple[np.ndarray, np.ndarray]] = []
+    size = 1 / max(float(np.linalg.norm(slope)), 1e-12)
+    for _ in range(rounds - 1):
+        if np.linalg.norm(slope) <= 1e-4:
+            break
+        q, factors = slope.copy(), []
+        for s, y in reversed(steps):
+            factors.append(s @ q / (s @ y))
+            q -= factors[-1] * y
+        if steps:
+            s, y = steps[-1]
+            q *= s @ y / (y @ y)
+        for (s, y), f in zip(steps, reversed(factors), strict=True):
+            q += (f - y @ q / (s @ y)) * s
+        at = x - size * q
+        value_at, slope_at = evaluate(at)
+        if value_at > value - 1e-4 * size * (q @ slope):
+            size /= 4
+            continue
+        s, y = at - x, slope_at - slope
+        if s @ y > 1e-12:
+            steps = [*steps[1 - memory :], (s, y)]
+        x, value, slope, size = at, value_at, slope_at, 1.0
+    return x
+
+
+def fit_logistic(features: DataFrame, values: np.ndarray, class_weights: tuple[float, float], penalty: float) -> tuple[np.ndarray, float]:
+    """Weights of all features, times their values, and the intercept."""
+    context = features.sparkSession.sparkContext
+
+    def evaluate(x: np.ndarray) -> tuple[float, np.ndarray]:
+        state = context.broadcast((x[:-1] * values, float(x[-1])))
+        rows = features.mapInArrow(_round_errors(state, class_weights), "loss double, total double, errors binary").toArrow()
+        state.destroy()
+        errors = np.zeros(len(values))
+        for part in rows.column("errors"):
+            errors += np.frombuffer(part.as_buffer(), np.float64)
+        value = float(pa.compute.sum(rows.column("loss")).as_py()) + penalty / 2 * float(x[:-1] @ x[:-1])
+        return value, np.append(errors * values + penalty * x[:-1], pa.compute.sum(rows.column("total")).as_py())
+
+    x = minimise(evaluate, np.zeros(len(values) + 1))
+    return x[:-1] * values, float(x[-1])
 
 
 @dataclass(frozen=True)
@@ -151,28 +211,23 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", class_rows:
     sample = labelled_sample(docs, labels, label, class_rows)
     if min(sample.counts) == 0:
         return _constant(sample)
-    counted = sample.rows.mapInArrow(_class_counts, "feature long, n0 long, n1 long").groupBy("feature").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toArrow()
+    features = staged(sample.rows.mapInArrow(_sample_features, "label int, features binary"), "toxicity_sample").coalesce(FIT_TASKS)
+    counted = features.mapInArrow(_class_counts, "feature long, n0 long, n1 long").groupBy("feature").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toArrow()
+    if not counted.num_rows:
+        return _constant(sample)
     feature, n0, n1 = (counted.column(c).to_numpy() for c in ("feature", "n0", "n1"))
     all0, all1 = (min(c, class_rows) for c in sample.counts)
-    ratio = np.log((n1 + 1) / (all1 + 2)) - np.log((n0 + 1) / (all0 + 2))
-    errors = np.abs(ratio) / np.sqrt(1 / (n1 + 1) + 1 / (n0 + 1))
-    order = np.lexsort((feature, -errors))
-    order = order[errors[order] >= LEAST_ERRORS][:MODEL_FEATURES]
-    if not len(order):
-        return _constant(sample)
-    keep = np.zeros(1 << BITS, bool)
-    keep[feature[order]] = True
-    place = np.zeros(1 << BITS, np.int64)
-    place[feature[order]] = np.arange(len(order))
-    rows = sample.rows.mapInArrow(_sample_features(keep), "label int, features array<int>").toArrow().combine_chunks()
-    lists = rows.column("features").combine_chunks()
-    columns = place[np.asarray(lists.flatten())]
-    first = np.append(0, np.cumsum(np.asarray(pa.compute.list_value_length(lists), np.int64)))
-    w, bias = fit_logistic(first, columns, ratio[order][columns], rows.column("label").to_numpy(), penalty)
-    weights = np.zeros(1 << BITS, np.float32)
-    weights[feature[order][: len(w)]] = w * ratio[order][: len(w)]
-    # Both classes had the same weight in the fit.
-    return Model(weights, bias + float(np.log(sample.share / (1 - sample.share))))
+    # One row of a balanced sample, dealt to the classes as they are.
+    extra0, extra1 = 2 * all0 / (all0 + all1), 2 * all1 / (all0 + all1)
+    ratio = np.zeros(1 << BITS)
+    ratio[feature] = np.log((n1 + extra1) / (all1 + 2 * extra1)) - np.log((n0 + extra0) / (all0 + 2 * extra0))
+    errors2 = ratio[feature] ** 2 / (1 / (n1 + extra1) + 1 / (n0 + extra0))
+    size = np.zeros(1 << BITS)
+    size[feature] = np.abs(ratio[feature]) / (1 + CHANCE_ODDS * np.exp(-errors2 / 2))
+    values = np.sign(ratio) * np.sqrt(3 * size / max(float(size.max()), 1e-300))
+    # Both classes have the same weight in the fit.
+    weights, bias = fit_logistic(features, values, (0.5 / all0, 0.5 / all1), penalty)
+    return Model(weights.astype(np.float32), bias + float(np.log(sample.share / (1 - sample.share))))
 
 
 def _score(model: Model, carry: list[str], name: str):

@@ -283,6 +283,27 @@ def test_classifiers_on_held_out_rows(spark, labelled, kind):
     assert module.score(docs.limit(0), model).count() == 0
 
 
+def test_a_few_toxic_rows_are_enough_for_a_clear_vocabulary(spark):
+    rng = random.Random(12)
+    rows, truth = [], {}
+    for i in range(140):
+        words = _words(rng, rng.randint(30, 60), 300)
+        truth[i] = int(i % 7 == 0)
+        if truth[i]:
+            for _ in range(2):
+                words.insert(rng.randint(0, len(words)), rng.choice(["nitwitted", "blockheads"]))
+        rows.append((i, " ".join(words)))
+    docs = _docs(spark, rows)
+    fit = spark.createDataFrame([(i, k) for i, k in truth.items() if i < 70], "doc_id long, toxic int")
+    model = tox.train(docs, fit)
+    scored = {r["doc_id"]: r["score"] for r in tox.score(docs, model).collect()}
+    found = {i for i in truth if scored[i] >= 0.5}
+    assert {i for i in truth if truth[i] and i < 70} <= found <= {i for i in truth if truth[i]}
+    assert len([i for i in found if i >= 70]) >= 6  # of 10
+    # N-grams of the fitted rows have a weight, whatever their counts.
+    assert np.count_nonzero(model.weights) > 1000
+
+
 @pytest.mark.parametrize("module", [tox, fm])
 def test_one_class_or_no_labels_score_the_share(spark, module):
     docs = _docs(spark, [(1, "a b"), (2, None), (None, "c")])
