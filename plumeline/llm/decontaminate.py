@@ -4,7 +4,10 @@
 2. Every n-gram that is rare in the corpus, at most ``RARE_SHARE`` of all its n-grams, is a seed.  Each item is cut
    into strata of ``STRATUM`` n-grams; a stratum without a rare one has its rarest as a seed (by powers of two, the
    first of equals), so a passage that is everywhere in the corpus still has its seeds.
-3. Seeds meet the documents; hits of one item that lie within an item's length of each other are one candidate.
+   N-grams not far more frequent than the rarest of their item are seeds too: a copied item makes all its own frequent.
+   All other n-grams of the items are weak seeds.
+3. Seeds meet the documents; hits of one item whose regions overlap are one candidate, if one is of a seed or two of weak
+   seeds lie near one diagonal.
 4. The candidate's region is aligned to the item by Smith-Waterman over words (match 2, mismatch -1, gap -1).  The
    score is the alignment's share of a perfect one; a bound by common words skips regions that can't reach it.
 
@@ -28,6 +31,8 @@ STRATUM = 4
 RARE_SHARE = 1e-6
 #: Occurrences up to which an n-gram is rare in a small corpus.
 RARE_LEAST = 20
+#: Times the least count of an item's n-grams up to which its others are seeds.
+ITEM_LEAST = 8
 ITEM_BYTES = 8 << 20
 MATCH, MISMATCH, GAP = 2, -1, -1
 
@@ -135,8 +140,8 @@ def _count_grams(grams: dict[int, np.ndarray]):
     return run
 
 
-def choose_seeds(items: Items, counts: dict[tuple[int, int | None], int]) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """By n-gram size: sorted seed hashes with their place in the item and their item.
+def choose_seeds(items: Items, counts: dict[tuple[int, int | None], int]) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """By n-gram size: sorted seed hashes with their place in the item, their item, and whether one hit is enough.
 
     ``counts`` has the corpus count of ``(size, n-gram)`` and, for the n-gram None, of all n-grams.  An n-gram that the
     corpus does not have can find nothing and is no seed.
@@ -152,10 +157,13 @@ def choose_seeds(items: Items, counts: dict[tuple[int, int | None], int]) -> dic
         head[1:] = (item[order[1:]] != item[order[:-1]]) | (stratum[order[1:]] != stratum[order[:-1]])
         first = np.zeros(len(order), bool)
         first[order[head]] = True
+        least = np.full(len(items.ids), np.iinfo(np.int64).max // ITEM_LEAST)
+        np.minimum.at(least, item[seen > 0], seen[seen > 0])
         # The rarest of a stratum is rare if any is.
-        pick = np.flatnonzero(rare | (first & (seen > 0)))
+        strong = rare | first | (seen <= ITEM_LEAST * least[item])
+        pick = np.flatnonzero(seen > 0)
         pick = pick[np.argsort(hashes[pick], kind="stable")]
-        seeds[n] = hashes[pick], place[pick], item[pick]
+        seeds[n] = hashes[pick], place[pick], item[pick], strong[pick]
     return seeds
 
 
@@ -163,7 +171,7 @@ def _candidates(items: Items, seeds, words: np.ndarray, first: np.ndarray):
     """``(document, item, from, to)``: word ranges around seed hits, cut at the document's ends."""
     lengths = np.diff(items.first)
     found = []
-    for n, (hashes, place, item) in seeds.items():
+    for n, (hashes, place, item, strong) in seeds.items():
         probe = Probe(hashes)
         lo = np.searchsorted(hashes, probe.keys, "left")
         count = np.searchsorted(hashes, probe.keys, "right") - lo
@@ -173,21 +181,25 @@ def _candidates(items: Items, seeds, words: np.ndarray, first: np.ndarray):
         times = count[key]
         at = np.repeat(at, times)
         s = np.repeat(lo[key], times) + np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times)
-        found.append((docs[at], item[s], begin[at] - place[s]))
+        found.append((docs[at], item[s], begin[at] - place[s], strong[s]))
     if not found:
         return
-    docs, item, start = (np.concatenate(x) for x in zip(*found, strict=True))
+    docs, item, start, strong = (np.concatenate(x) for x in zip(*found, strict=True))
     if not len(docs):
         return
     order = np.lexsort((start, item, docs))
-    docs, item, start = docs[order], item[order], start[order]
+    docs, item, start, strong = docs[order], item[order], start[order], strong[order]
+    pad = lengths[item] // 2 + 4
+    same = (docs[1:] == docs[:-1]) & (item[1:] == item[:-1])
     new = np.ones(len(order), bool)
-    new[1:] = (docs[1:] != docs[:-1]) | (item[1:] != item[:-1]) | (np.diff(start) > lengths[item[1:]])
+    new[1:] = ~same | (np.diff(start) > lengths[item[1:]] + 2 * pad[1:])
+    strong[1:] |= same & (np.diff(start) <= pad[1:])
     heads = np.flatnonzero(new)
-    for a, b in zip(heads, [*heads[1:], len(order)], strict=True):
+    ends = np.append(heads[1:], len(order))
+    use = np.logical_or.reduceat(strong, heads)
+    for a, b in zip(heads[use].tolist(), ends[use].tolist(), strict=True):
         d, i = int(docs[a]), int(item[a])
-        pad = int(lengths[i]) // 2 + 4
-        yield d, i, max(int(start[a]) - pad, int(first[d])), min(int(start[b - 1]) + int(lengths[i]) + pad, int(first[d + 1]))
+        yield d, i, max(int(start[a] - pad[a]), int(first[d])), min(int(start[b - 1] + lengths[i] + pad[a]), int(first[d + 1]))
 
 
 def matches(items: Items, seeds, buf: np.ndarray, offsets: np.ndarray, least: float):

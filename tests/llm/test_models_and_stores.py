@@ -87,6 +87,18 @@ def test_a_passage_that_is_everywhere_keeps_its_seeds(spark):
     assert len(out) == 2 * len(docs) and all(r["score"] == 1 for r in out)
 
 
+@pytest.mark.parametrize("offset", [0, 1, 2, 3])
+def test_edited_copies_beside_many_exact_ones(spark, offset):
+    rng = random.Random(4)
+    item = _words(rng, 24)
+    edited = " ".join(f"new{j}" if j % 4 == offset else w for j, w in enumerate(item))
+    docs = [(i, " ".join(_words(rng, 20)) + " " + " ".join(item)) for i in range(300)]
+    docs += [(1000, " ".join(_words(rng, 40)) + " " + edited + " " + " ".join(_words(rng, 40)))]
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    out = {r["doc_id"] for r in dec.contaminated_passages(_docs(spark, docs), bench).collect()}
+    assert out == {i for i, _ in docs}
+
+
 def test_documents_without_any_seed(spark):
     items = spark.createDataFrame([(1, "a b c d e")], "item_id long, text string")
     docs = _docs(spark, [(1, "x y z " * 50)])
