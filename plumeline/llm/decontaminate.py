@@ -8,7 +8,8 @@
    All other n-grams of the items are weak seeds.
 3. Seeds meet the documents; hits of one item whose regions overlap are one candidate, if one is of a seed or two of weak
    seeds lie near one diagonal.
-4. The candidate's region is aligned to the item by Smith-Waterman over words (match 2, mismatch -1, gap -1).  The
+4. The candidate's region is aligned to the item by Smith-Waterman over words (match 2, mismatch -1, gap -1), and again
+   what is left on both sides of a match until nothing reaches the threshold.  The
    score is the alignment's share of a perfect one; a bound by common words skips regions that can't reach it.
 
 Words are runs of letters, digits and bytes above 0x7F, A to Z in lower case, so punctuation does not matter.  Test
@@ -206,13 +207,17 @@ def matches(items: Items, seeds, buf: np.ndarray, offsets: np.ndarray, least: fl
     """``(document, item, score, start, stop)`` of all aligned passages; places count words of the document."""
     words, first = hashed_words(buf, offsets)
     for d, i, lo, hi in _candidates(items, seeds, words, first):
-        region, item = words[lo:hi], items.of(i)
-        most = MATCH * min(int(np.isin(region, item).sum()), int(np.isin(item, region).sum()))
-        if most < least * MATCH * len(item):
-            continue
-        score, start, stop = align(item, region)
-        if score >= least * MATCH * len(item):
-            yield d, i, score / (MATCH * len(item)), lo + start - int(first[d]), lo + stop - int(first[d])
+        item, parts = items.of(i), [(lo, hi)]
+        least_score = least * MATCH * len(item)
+        while parts:
+            lo, hi = parts.pop()
+            region = words[lo:hi]
+            if MATCH * min(int(np.isin(region, item).sum()), int(np.isin(item, region).sum())) < least_score:
+                continue
+            score, start, stop = align(item, region)
+            if score and score >= least_score:
+                yield d, i, score / (MATCH * len(item)), lo + start - int(first[d]), lo + stop - int(first[d])
+                parts += [(lo + stop, hi), (lo, lo + start)]
 
 
 def _blocks(benchmark: DataFrame) -> list[DataFrame]:

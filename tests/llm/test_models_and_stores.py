@@ -99,6 +99,15 @@ def test_edited_copies_beside_many_exact_ones(spark, offset):
     assert out == {i for i, _ in docs}
 
 
+def test_every_passage_of_a_document_is_a_row(spark):
+    rng = random.Random(5)
+    item, other = _words(rng, 24), _words(rng, 10)
+    text = " ".join([*other, *item, *item, *other, *item])
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    out = dec.contaminated_passages(_docs(spark, [(1, text)]), bench).collect()
+    assert sorted((r["start"], r["stop"]) for r in out) == [(10, 34), (34, 58), (68, 92)]
+
+
 def test_documents_without_any_seed(spark):
     items = spark.createDataFrame([(1, "a b c d e")], "item_id long, text string")
     docs = _docs(spark, [(1, "x y z " * 50)])
