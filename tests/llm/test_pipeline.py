@@ -1,5 +1,7 @@
 """The corpus pipeline, stage by stage against its definitions on a small input."""
 
+import random
+
 import corpus_pipeline
 from plumeline.llm import quality_fm, toxicity
 from plumeline.llm.queries import tokenizer_json
@@ -43,3 +45,27 @@ def test_rejected_documents_go(spark):
     machine = quality_fm.train(docs, labels)
     good = {r["doc_id"] for r in quality_fm.score(docs, machine).filter("score >= 0.5").collect()}
     assert {r["doc_id"] for r in corpus_pipeline.quality(spark, docs, SF).collect()} == good
+
+
+def test_near_dedup_goes_by_shared_shingles(spark):
+    rng = random.Random(6)
+    rows, n = [], 0
+    for _ in range(40):
+        base = [f"w{rng.randint(0, 5000)}" for _ in range(64)]
+        for edits in (0, 0, 1, 1, 2, 5):
+            words = list(base)
+            for _ in range(edits):
+                words[rng.randrange(len(words))] = f"new{rng.randint(0, 5000)}"
+            rows.append((n, " ".join(words), "en", "s", 1))
+            n += 1
+    rows += [(n, "", "en", "s", 0), (n + 1, None, "en", "s", 0), (n + 2, "lone words", "en", "s", 0), (None, "lone words", "en", "s", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(4)
+    got = {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, SF).collect()}
+    kept, want = [], set()
+    for i, text, *_ in rows[:n]:
+        w = text.split()
+        s = {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+        if all(len(s & t) < 0.8 * len(s | t) for t in kept):
+            kept.append(s)
+            want.add(i)
+    assert got == want | {n, n + 2, None}
