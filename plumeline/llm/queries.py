@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from plumeline.llm import decontaminate, graph_search, quality_fm, secret_ledger, sharding, simhash_dedup, source_mix, substring_dedup, token_store, toxicity
+from plumeline.llm import (
+    bpe_codec, collocations, decontaminate, graph_search, hard_negatives, quality_fm, secret_ledger, sharding, simhash_dedup, source_mix,
+    substring_dedup, token_store, toxicity,
+)
 from plumeline.session import scratch_path, staged
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -75,11 +78,26 @@ def op10_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_ledger.digest(secret_ledger.findings(versions, ledger)).drop("blob")
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.col("label").cast("bigint")
+    moved = F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label)
+    return hard_negatives.hard_negatives(hard_negatives.usable(_read(spark, sf_dir, "embeddings"), moved), F.col("vec_id") % 100 == 0)
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_read(spark, sf_dir, "documents"))
+
+
+def op13_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = bpe_codec.Vocabulary(tokenizer_json())
+    return bpe_codec.digest(bpe_codec.decode(bpe_codec.encode(_read(spark, sf_dir, "documents"), vocabulary), vocabulary))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_substring_dedup, op2_decontamination, op3_token_store, op4_graph_search, op5_toxicity, op6_quality,
-        op7_source_mix, op8_sharding, op9_simhash, op10_secret_ledger,
+        op7_source_mix, op8_sharding, op9_simhash, op10_secret_ledger, op11_hard_negatives, op12_collocations, op13_bpe_codec,
     )
 }
 
@@ -126,5 +144,53 @@ cut AS (SELECT *, CASE WHEN source_size = 0 THEN 0 ELSE budget // source_size EN
 SELECT doc_id, size, source_size, target,
   (epochs * size + least(size, greatest(budget - epochs * source_size - start, 0)))::BIGINT AS taken
 FROM cut
+""",
+    "op11_hard_negatives": """
+WITH rows AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label::BIGINT + 1) % 10 ELSE label END::BIGINT AS label,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, list_inner_product(a.q, b.q)::BIGINT AS score
+  FROM rows a JOIN rows b ON a.vec_id % 100 = 0 AND b.vec_id <> a.vec_id AND len(a.q) = len(b.q)),
+positives AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+ranked AS (
+  SELECT anchor_id, positive_id, vec_id AS negative_id, positive_score, score AS negative_score,
+    row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)::INT AS rank
+  FROM positives JOIN scored USING (anchor_id)
+  WHERE NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM ranked WHERE rank <= 5
+""",
+    "op12_collocations": r"""
+WITH texts AS (
+  SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+pieces AS (
+  SELECT lang, list_filter(regexp_split_to_array(p, '[\x20\x09]+'), lambda x: x <> '') AS w
+  FROM (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS p FROM texts)),
+totals AS (SELECT lang, sum(len(w))::BIGINT AS n FROM pieces GROUP BY lang),
+grams AS (
+  SELECT lang, k, list_slice(w, i, i + k - 1) AS g
+  FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM pieces, range(1, 5) t(k) WHERE len(w) >= k)),
+frequent AS (SELECT lang, k, g, count(*) AS f FROM grams GROUP BY lang, k, g HAVING count(*) >= 30),
+cuts AS (SELECT lang, k, g, f, unnest(range(1, k)) AS c FROM frequent WHERE k > 1),
+scored AS (
+  SELECT c.lang, c.g, c.k, c.f AS a, c.c, x.f AS l, y.f AS r, (2000000::HUGEINT * c.f // (x.f + y.f))::BIGINT AS score
+  FROM cuts c
+  JOIN frequent x ON x.lang = c.lang AND x.g = list_slice(c.g, 1, c.c)
+  JOIN frequent y ON y.lang = c.lang AND y.g = list_slice(c.g, c.c + 1, c.k)),
+weakest AS (SELECT *, array_to_string(g, ' ') AS phrase FROM scored QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, c) = 1),
+inside AS (
+  SELECT lang, part, max(f) AS most
+  FROM (SELECT lang, f, list_slice(g, i, i + s - 1) AS part
+        FROM (SELECT lang, f, g, k, s, unnest(range(1, k - s + 2)) AS i FROM frequent, range(2, 4) t(s) WHERE k > s))
+  GROUP BY lang, part)
+SELECT w.lang, row_number() OVER (PARTITION BY w.lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM weakest w JOIN totals USING (lang) LEFT JOIN inside p ON p.lang = w.lang AND p.part = w.g
+WHERE most IS NULL OR 100::HUGEINT * most < 80::HUGEINT * a
+QUALIFY rank <= 2000
 """,
 }
