@@ -5,15 +5,18 @@ one word come first:
 
 1. Documents are coded in blocks of bounded size: a dictionary of the block's words and the sequence of their codes, 0
    between pieces.  Only dictionaries, never texts, meet in the shuffle.  Frequent words get ids in order of frequency.
-2. Two neighbouring symbols are a phrase of one word more.  Pairs of a block are counted there, dealt to tiles of
-   ``TILE`` by ``TILE`` ids, and each tile is added up: by direct address (``bincount`` into a dense table) if many of its
-   cells are used, else as sorted coordinates.  The frequent pairs are ranked by frequency again and become the symbols of
-   the next round, up to the longest phrase: a phrase is frequent only if the two phrases it overlaps are.
-3. Phrases are scored by their weakest cut, and those that mostly occur inside a longer frequent phrase go.  A longer
+2. Two neighbouring symbols are a phrase of one word more.  Pairs of a block are counted there.  Their cells lie in tiles of
+   ``TILE`` by ``TILE`` ids; tiles are dealt to buckets, and a block sends each bucket its cells packed, as sorted
+   differences.  A bucket adds a tile up by direct address (``bincount`` into a dense table) if many of its cells are used,
+   else as sorted coordinates.
+3. The frequent pairs of a bucket are ranked by frequency again; the ranks of all buckets, taken in turn, are the ids of the
+   next round's symbols.  Blocks get the ids of their pairs back, bucket by bucket.  Rounds go up to the longest phrase: a
+   phrase is frequent only if the two phrases it overlaps are.
+4. Phrases are scored by their weakest cut, and those that mostly occur inside a longer frequent phrase go.  A longer
    phrase of any length has one of one word more between, so only these have to be looked at.
 
 Null, empty and wordless texts have no words; every row counts, repeated ones and those without id too.  A long text is a
-block of its own.  An empty table gives no rows.
+block of its own.  An empty table gives no rows.  There may be 2**32 frequent phrases of a length, beyond that it raises.
 """
 
 from __future__ import annotations
@@ -29,16 +32,18 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from plumeline.llm import words as W
 from plumeline.session import staged
 
-#: Ids on a side of a tile.
+#: Ids on a side of a tile: 8 bits.
 TILE = 256
 #: From so many entries on, a tile is a dense table.
 DENSE = TILE * TILE // 16
 BLOCK_BYTES = 8 << 20
-#: Pairs of blocks in one bucket of tiles.
-BUCKET_PAIRS = 2_000_000
+#: Buckets of tiles: so many at least, and one for so many blocks.
+LEAST_BUCKETS, BUCKET_BLOCKS = 64, 4
+#: Blocks whose pairs of a bucket get their ids in one task.
+REPLY_BLOCKS = 64
 LONGEST = 4
-_FLUSH = 1 << 20
-_PAIRS = "batch long, seq binary, a array<long>, b array<long>, n array<long>"
+_FLUSH = 1 << 19
+_PAIRS = "batch long, bucket int, first int, data binary"
 
 
 def _lists(values: np.ndarray, kind: pa.DataType) -> pa.ListArray:
@@ -96,89 +101,162 @@ def _code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 number += 1
 
 
-def pair_up(seq: np.ndarray, codes: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Neighbouring symbols of a block: the sequence of pair codes (0: not both are symbols), and each pair's ids and count.
+def cells(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Pairs of ids as one number: the tile above, the place in the tile below."""
+    if max(a.max(initial=0), b.max(initial=0)) >= 1 << 32:
+        raise ValueError("more than 2**32 frequent phrases")
+    a, b = a.astype(np.uint64), b.astype(np.uint64)
+    low, eight = np.uint64(255), np.uint64(8)
+    return (a >> eight) << np.uint64(40) | (b >> eight) << np.uint64(16) | (a & low) << eight | (b & low)
 
-    ``ids`` has the symbols of some ``codes`` of the sequence; all other codes are none.
+
+def pairs_of(cell: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of a pair."""
+    low, eight = np.uint64(255), np.uint64(8)
+    a = (cell >> np.uint64(40)) << eight | (cell >> eight) & low
+    b = (cell >> np.uint64(16) & np.uint64(0xFFFFFF)) << eight | cell & low
+    return a.astype(np.int64), b.astype(np.int64)
+
+
+def bucket_of(cell: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket that a cell's tile is dealt to."""
+    return (W.mix(cell >> np.uint64(16)) % np.uint64(buckets)).astype(np.int32)
+
+
+def pair_up(seq: np.ndarray, codes: np.ndarray, ids: np.ndarray, buckets: int):
+    """Neighbouring symbols of a block: the sequence of pair codes (0: not both are symbols), and each pair's bucket, cell and count.
+
+    ``ids`` has the symbols of some ``codes`` of the sequence; all other codes are none.  Pairs are in order of bucket and
+    cell, and their codes count from 1.
     """
-    table = np.zeros(max(int(seq.max(initial=0)), int(codes.max(initial=0))) + 1, np.int64)
-    table[codes] = np.arange(len(codes)) + 1
+    table = np.full(max(int(seq.max(initial=0)), int(codes.max(initial=0))) + 1, -1, np.int64)
+    table[codes] = ids
     symbols = table[seq]
-    both = np.flatnonzero((symbols[:-1] > 0) & (symbols[1:] > 0))
-    width = len(ids) + 1
-    keys, code, count = np.unique(symbols[both] * width + symbols[both + 1], return_inverse=True, return_counts=True)
+    both = np.flatnonzero((symbols[:-1] >= 0) & (symbols[1:] >= 0))
+    cell, code, count = np.unique(cells(symbols[both], symbols[both + 1]), return_inverse=True, return_counts=True)
+    bucket = bucket_of(cell, buckets)
+    order = np.argsort(bucket, kind="stable")
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order)) + 1
     pairs = np.zeros(max(len(seq) - 1, 0), np.int64)
-    pairs[both] = code + 1
-    return pairs, ids[keys // width - 1], ids[keys % width - 1], count
+    pairs[both] = place[code]
+    return pairs, bucket[order], cell[order], count[order]
 
 
-def _pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for k in range(batch.num_rows):
-            known = batch.column("known").slice(k, 1).flatten()
-            codes, ids = (np.asarray(known.field(name), np.int64) for name in ("code", "id"))
-            pairs, a, b, n = pair_up(_unpacked(batch.column("seq")[k].as_py()), codes, ids)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("batch").slice(k, 1), _packed(pairs), *(_lists(x, pa.int64()) for x in (a, b, n))], ["batch", "seq", "a", "b", "n"]
-            )
+def pack_cells(cell: np.ndarray, count: np.ndarray) -> bytes:
+    steps = np.diff(cell, prepend=np.uint64(0))
+    return zstandard.ZstdCompressor(1).compress(len(cell).to_bytes(8, "little") + steps.astype("<u8").tobytes() + count.astype("<u8").tobytes())
+
+
+def unpack_cells(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    data = zstandard.ZstdDecompressor().decompress(raw)
+    n = int.from_bytes(data[:8], "little")
+    return np.cumsum(np.frombuffer(data, "<u8", n, 8), dtype=np.uint64), np.frombuffer(data, "<u8", n, 8 + 8 * n).astype(np.int64)
+
+
+def _pair(buckets: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["batch", "bucket", "first", "data"]
+        for batch in batches:
+            for k in range(batch.num_rows):
+                known = batch.column("known").slice(k, 1).flatten()
+                codes, ids = (known.field(name) for name in ("code", "id"))
+                if pa.types.is_binary(codes.type):
+                    codes, ids = (np.frombuffer(b"".join(x.to_pylist()), np.int64) for x in (codes, ids))
+                seq, bucket, cell, count = pair_up(_unpacked(batch.column("seq")[k].as_py()), np.asarray(codes, np.int64), np.asarray(ids, np.int64), buckets)
+                number = batch.column("batch")[k].as_py()
+                first = np.flatnonzero(np.diff(bucket, prepend=-1))
+                parts = [pack_cells(cell[lo:hi], count[lo:hi]) for lo, hi in zip(first, np.append(first[1:], len(cell)), strict=True)]
+                columns = [pa.array([number] * len(first), pa.int64()), pa.array(bucket[first]), pa.array(first, pa.int32()), pa.array(parts, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names)
+                # The sequence itself is a row without bucket.
+                yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([None], pa.int32()), pa.array([None], pa.int32()), _packed(seq)], names)
+
+    return run
 
 
 class TileCounts:
-    """Sums of pair counts: dense tables for full tiles, sorted coordinates for the rest."""
+    """Sums of pair counts: dense tables for full tiles, sorted cells for the rest."""
 
     def __init__(self):
-        self.dense: dict[tuple[int, int], np.ndarray] = {}
-        self.sparse = np.zeros((0, 3), np.int64)
-        self.new: list[np.ndarray] = []
+        self.dense: dict[int, np.ndarray] = {}
+        self.cell, self.n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.new: list[tuple[np.ndarray, np.ndarray]] = []
         self.waiting = 0
 
-    def add(self, rows: np.ndarray) -> None:
-        """``rows`` of a, b, n."""
-        self.new.append(rows)
-        self.waiting += len(rows)
-        if self.waiting >= max(_FLUSH, len(self.sparse)):
+    def add(self, cell: np.ndarray, n: np.ndarray) -> None:
+        self.new.append((cell, n))
+        self.waiting += len(cell)
+        if self.waiting >= max(_FLUSH, len(self.cell)):
             self.flush()
 
     def flush(self) -> None:
-        rows = np.concatenate([self.sparse, *self.new])
+        cell = np.concatenate([self.cell, *(c for c, _ in self.new)])
+        n = np.concatenate([self.n, *(c for _, c in self.new)])
         self.new, self.waiting = [], 0
-        a, b, n = rows.T
-        order = np.lexsort((b % TILE, a % TILE, b // TILE, a // TILE))
-        a, b, n = a[order], b[order], n[order]
-        row, col = a // TILE, b // TILE
-        heads = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (col[1:] != col[:-1])])) if len(a) else np.zeros(0, np.int64)
-        left = np.ones(len(a), bool)
-        for lo, hi in zip(heads, np.append(heads[1:], len(a)), strict=True):
-            tile = (int(row[lo]), int(col[lo]))
-            if hi - lo >= DENSE or tile in self.dense:
-                table = self.dense.setdefault(tile, np.zeros(TILE * TILE, np.int64))
-                table += np.bincount(a[lo:hi] % TILE * TILE + b[lo:hi] % TILE, n[lo:hi], TILE * TILE).astype(np.int64)
-                left[lo:hi] = False
-        a, b, n = a[left], b[left], n[left]
-        if len(a):
-            fresh = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
-            a, b, n = a[fresh], b[fresh], np.add.reduceat(n, fresh)
-        self.sparse = np.stack([a, b, n], 1)
-
-    def at_least(self, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        order = np.argsort(cell, kind="stable")
+        cell, n = cell[order], n[order]
+        tile = cell >> np.uint64(16)
+        heads = np.flatnonzero(np.diff(tile)) + 1
+        bounds = np.concatenate([[0], heads, [len(cell)]]) if len(cell) else np.zeros(1, np.int64)
+        left = np.ones(len(cell), bool)
+        full = np.diff(bounds) >= DENSE
+        for k in np.flatnonzero(full | np.isin(tile[bounds[:-1]], list(self.dense))):
+            lo, hi = bounds[k], bounds[k + 1]
+            table = self.dense.setdefault(int(tile[lo]), np.zeros(TILE * TILE, np.int64))
+            table += np.bincount((cell[lo:hi] & np.uint64(0xFFFF)).astype(np.int64), n[lo:hi], TILE * TILE).astype(np.int64)
+            left[lo:hi] = False
+        cell, n = cell[left], n[left]
+        if len(cell):
+            fresh = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
+            cell, n = cell[fresh], np.add.reduceat(n, fresh)
+        self.cell, self.n = cell, n
+
+    def at_least(self, least: int) -> tuple[np.ndarray, np.ndarray]:
         self.flush()
-        parts = [self.sparse[self.sparse[:, 2] >= least]]
-        for (row, col), table in self.dense.items():
-            cell = np.flatnonzero(table >= least)
-            parts.append(np.stack([row * TILE + cell // TILE, col * TILE + cell % TILE, table[cell]], 1))
-        return tuple(np.concatenate(parts).T)
+        use = self.n >= least
+        found, counts = [self.cell[use]], [self.n[use]]
+        for tile, table in self.dense.items():
+            place = np.flatnonzero(table >= least)
+            found.append(np.uint64(tile << 16) | place.astype(np.uint64))
+            counts.append(table[place])
+        return np.concatenate(found), np.concatenate(counts)
 
 
-def _count_tiles(least: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _count_tiles(least: int, buckets: int):
+    def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = TileCounts()
         for batch in batches:
-            counts.add(np.stack([batch.column(c).to_numpy() for c in ("a", "b", "n")], 1))
-        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in counts.at_least(least)], ["a", "b", "f"])
+            for raw in batch.column("data"):
+                counts.add(*unpack_cells(raw.as_py()))
+        cell, f = counts.at_least(least)
+        order = np.lexsort((cell, -f))
+        a, b = pairs_of(cell[order])
+        bucket = key[0].as_py()
+        ids = np.arange(len(order)) * buckets + bucket
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.full(len(a), bucket), pa.int32()), pa.array(a), pa.array(b), pa.array(f[order]), pa.array(ids)], ["bucket", "a", "b", "f", "id"]
+        )
 
     return run
 
 
+def _reply(pairs: pa.Table, found: pa.Table) -> pa.Table:
+    """Codes and ids of the frequent pairs of some blocks' parts of one bucket."""
+    cell = cells(*(found.column(c).to_numpy() for c in ("a", "b")))
+    order = np.argsort(cell)
+    cell, ids = cell[order], found.column("id").to_numpy()[order]
+    out = []
+    for batch, first, raw in zip(*(pairs.column(c).to_pylist() for c in ("batch", "first", "data")), strict=True):
+        own, _ = unpack_cells(raw)
+        at = np.minimum(np.searchsorted(cell, own), max(len(cell) - 1, 0))
+        hit = np.flatnonzero(cell[at] == own) if len(cell) else np.zeros(0, np.int64)
+        if len(hit):
+            out.append((batch, (hit + first + 1).astype("<i8").tobytes(), ids[at[hit]].astype("<i8").tobytes()))
+    columns = zip(*out, strict=True) if out else ([], [], [])
+    return pa.table([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.binary(), pa.binary()), strict=True)], ["batch", "code", "id"])
+
+
 def ranked(rows: DataFrame, *by: Column) -> DataFrame:
     """``rows`` with ``id``, counted from 1 in the order ``by``: a range sort and prefix sums over its partitions."""
     place = F.monotonically_increasing_id()
@@ -190,17 +268,12 @@ def ranked(rows: DataFrame, *by: Column) -> DataFrame:
     return placed.withColumn("part", part).join(F.broadcast(starts), "part").withColumn("id", F.col("start") + row + 1).drop("part", "place", "start")
 
 
-def _next_pairs(coded: DataFrame, known: DataFrame) -> DataFrame:
-    """Pairs of neighbouring symbols of all blocks; ``known`` has ``batch, code, id``."""
+def _next_pairs(sequences: DataFrame, known: DataFrame, buckets: int) -> tuple[DataFrame, DataFrame]:
+    """Sequences and packed pairs of all blocks; ``known`` has ``batch, code, id``."""
     # A block's dictionary bounds its list.
     lists = known.groupBy("batch").agg(F.collect_list(F.struct("code", "id")).alias("known"))
-    return staged(coded.select("batch", "seq").join(lists, "batch").mapInArrow(_pair, _PAIRS), "pairs")
-
-
-def _entries(coded: DataFrame, *columns: str) -> DataFrame:
-    """A row for each entry of the blocks' dictionaries; ``code`` counts them from 1."""
-    rows = coded.select("batch", F.posexplode(F.arrays_zip(*columns)).alias("at", "entry"))
-    return rows.select("batch", (F.col("at") + 1).alias("code"), "entry.*")
+    both = staged(sequences.join(lists, "batch").mapInArrow(_pair(buckets), _PAIRS).withColumn("part", F.col("bucket").isNull()), "pairs", ("part",))
+    return both.filter("part").select("batch", F.col("data").alias("seq")), both.filter("NOT part").drop("part")
 
 
 def frequent_phrases(docs: DataFrame, least: int = 30, longest: int = LONGEST) -> tuple[list[DataFrame], DataFrame]:
@@ -211,20 +284,19 @@ def frequent_phrases(docs: DataFrame, least: int = 30, longest: int = LONGEST) -
     """
     rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text"))
     coded = staged(rows.mapInArrow(_code, "batch long, seq binary, lang array<string>, word array<string>, n array<long>"), "coded")
-    entries = _entries(coded, "lang", "word", "n")
+    blocks = coded.count()
+    buckets, groups = max(LEAST_BUCKETS, blocks // BUCKET_BLOCKS), blocks // REPLY_BLOCKS + 1
+    entries = coded.select("batch", F.posexplode(F.arrays_zip("lang", "word", "n")).alias("code", "entry")).select("batch", (F.col("code") + 1).alias("code"), "entry.*")
     sums = staged(entries.groupBy("lang", "word").agg(F.sum("n").alias("f")), "words")
     totals = sums.groupBy("lang").agg(F.sum("f").alias("n"))
     words = ranked(sums.filter(F.col("f") >= least), F.desc("f"), F.col("lang"), F.col("word"))
     levels = [staged(words.select("id", "lang", F.array("word").alias("words"), "f", F.array("f").alias("heads"), F.array("f").alias("tails")), "phrases")]
     known = entries.join(levels[0].select("lang", F.col("words")[0].alias("word"), "id"), ["lang", "word"]).select("batch", "code", "id")
+    sequences = coded.select("batch", "seq")
     for size in range(2, longest + 1):
-        coded = _next_pairs(coded, known)
-        entries = _entries(coded, "a", "b", "n")
-        total = coded.agg(F.sum(F.size("n"))).first()[0] or 0
-        buckets = max(64, total // BUCKET_PAIRS)
-        tile = F.xxhash64(F.floor(F.col("a") / TILE), F.floor(F.col("b") / TILE))
-        dealt = entries.select(F.pmod(tile, F.lit(buckets)).alias("bucket"), "a", "b", "n").groupBy("bucket")
-        pairs = ranked(dealt.applyInArrow(_count_tiles(least), "a long, b long, f long"), F.desc("f"), F.col("a"), F.col("b"))
+        sequences, packed = _next_pairs(sequences, known, buckets)
+        found = "bucket int, a long, b long, f long, id long"
+        pairs = staged(packed.select("bucket", "data").groupBy("bucket").applyInArrow(_count_tiles(least, buckets), found), "frequent")
         front = levels[-1].select(F.col("id").alias("a"), "lang", F.col("words").alias("front"), F.col("heads").alias("front_heads"))
         back = levels[-1].select(F.col("id").alias("b"), F.col("words").alias("back"), F.col("tails").alias("back_tails"))
         grown = pairs.join(front, "a").join(back, "b").select(
@@ -234,7 +306,10 @@ def frequent_phrases(docs: DataFrame, least: int = 30, longest: int = LONGEST) -
             F.concat("back_tails", F.array("f")).alias("tails"),
         )
         levels.append(staged(grown, "phrases"))
-        known = entries.join(levels[-1].select("a", "b", "id"), ["a", "b"]).select("batch", "code", "id")
+        # A bucket's frequent pairs meet the blocks in groups, so that no task has all of them.
+        dealt = packed.withColumn("part", F.pmod(F.xxhash64("batch"), F.lit(groups)).cast("int")).groupBy("bucket", "part")
+        copies = pairs.select("bucket", "a", "b", "id", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("part")).groupBy("bucket", "part")
+        known = dealt.cogroup(copies).applyInArrow(_reply, "batch long, code binary, id binary")
     return levels, totals
 
 
