@@ -32,8 +32,8 @@ BITS = 20
 GRAMS = (4, 5)
 #: Features of chance for one that tells the classes apart, before their ratios are seen.
 CHANCE_ODDS = 1000.0
-#: Tasks of a round of the fit; each sends a table of 2**BITS numbers to the driver.
-FIT_TASKS = 12
+#: Tasks of a round of the fit; each sends a table of 2**BITS numbers (8 MB) to the driver.
+FIT_TASKS = 4
 _STEP = 0x9E3779B97F4A7C15
 
 
@@ -83,7 +83,10 @@ class Sample:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int, extra: tuple[str, ...] = ()) -> Sample:
-    """At most ``most`` rows of each class, the first by a hash of the id; ids labelled in two ways take the larger label."""
+    """At most ``most`` rows of each class, the first by a hash of the id; ids labelled in two ways take the larger label.
+
+    Of documents with one id the first by text is used.
+    """
     known = (
         labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(label).cast("int").alias("label"))
         .filter("doc_id IS NOT NULL AND label IN (0, 1)")
@@ -95,6 +98,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int, e
     parts = [known.filter(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most) for k in (0, 1)]
     chosen = F.broadcast(parts[0].unionByName(parts[1]))  # 2 * most rows of 12 bytes
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), *extra).join(chosen, "doc_id")
+    one = rows.groupBy("doc_id", "label").agg(F.min(F.struct("text", *extra)).alias("row"))
+    rows = one.select("doc_id", "row.*", "label")
     return Sample(rows, n1 / max(n0 + n1, 1), (n0, n1))
 
 
@@ -146,7 +151,7 @@ def _round_errors(state, class_weights: tuple[float, float]):
     return run
 
 
-def minimise(evaluate, x: np.ndarray, rounds: int = 25, memory: int = 8) -> np.ndarray:
+def minimise(evaluate, x: np.ndarray, rounds: int = 25, memory: int = 5) -> np.ndarray:
     """The least place of a smooth convex function by L-BFGS; ``evaluate`` gives value and gradient, ``rounds`` times at most."""
     value, slope = evaluate(x)
     steps: list[tuple[np.ndarray, np.ndarray]] = []
@@ -183,11 +188,13 @@ def fit_logistic(features: DataFrame, values: np.ndarray, class_weights: tuple[f
         state = context.broadcast((x[:-1] * values, float(x[-1])))
         rows = features.mapInArrow(_round_errors(state, class_weights), "loss double, total double, errors binary").toArrow()
         state.destroy()
-        errors = np.zeros(len(values))
+        slope = np.zeros(len(values) + 1)
         for part in rows.column("errors"):
-            errors += np.frombuffer(part.as_buffer(), np.float64)
-        value = float(pa.compute.sum(rows.column("loss")).as_py()) + penalty / 2 * float(x[:-1] @ x[:-1])
-        return value, np.append(errors * values + penalty * x[:-1], pa.compute.sum(rows.column("total")).as_py())
+            slope[:-1] += np.frombuffer(part.as_buffer(), np.float64)
+        slope[:-1] *= values
+        slope[:-1] += penalty * x[:-1]
+        slope[-1] = pa.compute.sum(rows.column("total")).as_py()
+        return float(pa.compute.sum(rows.column("loss")).as_py()) + penalty / 2 * float(x[:-1] @ x[:-1]), slope
 
     x = minimise(evaluate, np.zeros(len(values) + 1))
     return x[:-1] * values, float(x[-1])
