@@ -2,43 +2,27 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable, Iterator
-from decimal import Decimal
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from plumeline.functions.pull import Real, Whole, load as parse
+
 # Names of leaf types.
 OBJECT, ARRAY, NULL, BOOLEAN, LONG, NUMBER, STRING = "object", "array", "null", "boolean", "Integer64", "number", "string"
+#: Type of a text that is no JSON.
+REJECT = "reject"
 
 _LEAF = T.StructType(
     [T.StructField("path", T.ArrayType(T.StringType())), T.StructField("type", T.StringType()), T.StructField("value", T.StringType())]
 )
 
 
-class _Real(str):
-    """A number with a fraction or an exponent, as it is written."""
-
-
-def _no_constant(name: str):
-    raise ValueError(name)
-
-
-def parse(text: str | None):
-    """The document in ``text``; raises ValueError for text that is no JSON.  The last of equal keys counts."""
-    if text is None:
-        raise ValueError("no text")
-    try:
-        return json.loads(text, parse_float=_Real, parse_constant=_no_constant)
-    except RecursionError as problem:
-        raise ValueError("nested too deep to parse") from problem
-
-
-def _real_text(value: _Real) -> tuple[str, str]:
+def _real_text(value: Real) -> tuple[str, str]:
     if "e" not in value and "E" not in value:
-        number = Decimal(value)
-        return NUMBER, format(number.normalize(), "f") if number else "0"
+        text = value.rstrip("0").rstrip(".")
+        return NUMBER, "0" if text in ("-0", "") else text
     return NUMBER, repr(float(value))
 
 
@@ -50,8 +34,10 @@ def _scalar(value) -> tuple[str, str | None]:
         return BOOLEAN, "true" if value else "false"
     if isinstance(value, int):
         return (LONG if -(1 << 63) <= value < 1 << 63 else NUMBER), str(value)
-    if isinstance(value, _Real):
+    if isinstance(value, Real):
         return _real_text(value)
+    if isinstance(value, Whole):
+        return NUMBER, str(value)
     if isinstance(value, str):
         return STRING, value
     return (OBJECT, "{}") if isinstance(value, dict) else (ARRAY, "[]")
@@ -78,7 +64,10 @@ def leaves(
 
 
 def walk_json(df: DataFrame, json_col: str, keep: list[str], walk: Callable, columns: T.StructType) -> DataFrame:
-    """``keep`` and the ``columns`` of the rows that ``walk(document)`` yields as tuples; one narrow pass."""
+    """``keep`` and the ``columns`` of the rows that ``walk(document)`` yields as tuples; one narrow pass.
+
+    Text that is no JSON gives no rows; ``json_rejects`` has it.
+    """
     kinds = [T.StructField(f.name, f.dataType) for f in df.select(*keep).schema]
     schema = T.StructType([*kinds, *columns.fields])
     names = [f.name for f in schema]
@@ -105,15 +94,17 @@ def walk_json(df: DataFrame, json_col: str, keep: list[str], walk: Callable, col
 
 
 def flatten_json(
-    df: DataFrame, json_col: str, keep: list[str], containers: bool = False, skip_parts: tuple[str, ...] = (), positions: bool = True
-) -> DataFrame:
+    df: DataFrame, json_col: str, keep: list[str], containers: bool = False, skip_parts: tuple[str, ...] = (), positions: bool = True,
+    rejects: bool = False,
+) -> DataFrame:
     """``keep`` columns plus ``path ARRAY<STRING>``, ``type`` and ``value``.
 
     An array element adds the path part ``[i]``, or ``[]`` without ``positions``.
     Empty containers are leaves.  With ``containers`` every other object and
     array gets a row of its own, without a value.  Parts named in ``skip_parts``
-    are left out of the path.  Containers are opened until none is left;
-    nothing is shuffled.
+    are left out of the path.  Containers are opened until none is left, and
+    numbers keep all digits; nothing is shuffled.  With ``rejects`` a text that
+    is no JSON is a row of type ``reject`` without path, its value the text.
     """
     kinds = [T.StructField(f.name, f.dataType) for f in df.select(*keep).schema]
     schema = T.StructType([*kinds, *_LEAF.fields])
@@ -128,13 +119,17 @@ def flatten_json(
                 try:
                     found = parse(text)
                 except ValueError:
+                    if rejects:
+                        at.append(i)
+                        places.append(known.setdefault((None, REJECT), len(known)))
+                        values.append(text)
                     continue
                 for path, kind, value in leaves(found, skip_parts, containers, positions):
                     at.append(i)
                     places.append(known.setdefault((path, kind), len(known)))
                     values.append(value)
             place = pa.array(places, pa.int32())
-            paths = pa.array([list(path) for path, _ in known], pa.list_(pa.string())).take(place)
+            paths = pa.array([None if path is None else list(path) for path, _ in known], pa.list_(pa.string())).take(place)
             types = pa.array([kind for _, kind in known], pa.string()).take(place)
             rows = pa.array(at, pa.int32())
             kept = [batch.column(k).take(rows) for k in range(len(keep))]
@@ -143,6 +138,28 @@ def flatten_json(
     return df.select(*keep, F.col(json_col).alias("__json")).mapInArrow(run, schema)
 
 
+def json_rejects(df: DataFrame, json_col: str, keep: list[str]) -> DataFrame:
+    """``keep``, ``raw`` and ``error`` of the rows whose text is no JSON; a missing text is none either."""
+    kinds = [T.StructField(f.name, f.dataType) for f in df.select(*keep).schema]
+    schema = T.StructType([*kinds, T.StructField("raw", T.StringType()), T.StructField("error", T.StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(len(keep))
+            at, errors = [], []
+            for i, text in enumerate(texts.to_pylist()):
+                try:
+                    parse(text)
+                except ValueError as problem:
+                    at.append(i)
+                    errors.append(str(problem))
+            rows = pa.array(at, pa.int32())
+            kept = [batch.column(k).take(rows) for k in range(len(keep))]
+            yield pa.RecordBatch.from_arrays([*kept, texts.take(rows), pa.array(errors, pa.string())], schema.names)
+
+    return df.select(*keep, F.col(json_col).alias("__json")).mapInArrow(run, schema)
+
+
 def dotted(path: Column) -> Column:
     """Path parts joined by dots."""
     return F.array_join(path, ".")

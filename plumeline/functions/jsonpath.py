@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, functions as F, types as T
 
+from plumeline.functions.pull import load
+
 # Where each command keeps its filter.
 FILTER_LOCATIONS = {
     "update": "q",
@@ -89,35 +90,61 @@ def txn_number(attr: Column) -> Column:
     ).try_cast("bigint")
 
 
-def _wait_leaves(document: dict, path: str) -> Iterator[tuple[str, int]]:
-    """(name, micros) of every wait counter below a document, each counted once."""
-    for key, value in document.items():
-        if key not in WAIT_KEYS:
-            if isinstance(value, dict):
-                yield from _wait_leaves(value, f"{path}.{key}")
-        elif isinstance(value, dict):
-            yield from ((f"{path}.{lock}.{key}", micros) for lock, micros in value.items())
-        else:
-            yield f"{path}.{key}", value
-
-
-@F.pandas_udf(WAITS)
-def _sum_waits(locks: pd.Series, storage: pd.Series) -> pd.DataFrame:
-    totals, names = [], []
-    for texts in zip(locks, storage):
-        found = [
-            leaf
-            for root, text in zip(("locks", "storage"), texts)
-            if text is not None
-            for leaf in _wait_leaves(json.loads(text), root)
-        ]
-        totals.append(sum(int(micros) for _, micros in found))
-        names.append([name for name, _ in found])
-    return pd.DataFrame({"total_micros": totals, "locks": names})
+def _wait_leaves(document, root: str) -> Iterator[tuple[str, int]]:
+    """(name, micros) of every wait counter below a document, each counted once, in document order."""
+    waiting = [(root, document)]
+    while waiting:
+        path, value = waiting.pop()
+        if isinstance(value, tuple):
+            yield path, int(value[0])
+            continue
+        below: list = []
+        for key, inner in value.items():
+            if key not in WAIT_KEYS:
+                if isinstance(inner, dict):
+                    below.append((f"{path}.{key}", inner))
+            elif isinstance(inner, dict):
+                below += [(f"{path}.{lock}.{key}", (micros,)) for lock, micros in inner.items()]
+            else:
+                below.append((f"{path}.{key}", (inner,)))
+        waiting += reversed(below)
+
+
+def _found_waits(text: str | None, root: str) -> list[tuple[str, int]] | None:
+    """The counters of one document; None if it is damaged."""
+    if text is None:
+        return []
+    try:
+        document = load(text, float)
+        return list(_wait_leaves(document, root)) if isinstance(document, dict) else None
+    except (TypeError, ValueError, OverflowError):
+        return None
+
+
+@F.arrow_udf(WAITS)
+def _sum_waits(locks: pa.Array, storage: pa.Array) -> pa.Array:
+    # Operations of one kind often wait in the same way: a text of a batch is opened once.
+    known: tuple[dict, dict] = ({}, {})
+    totals, names, ends, valid = [], [], [0], []
+    for texts in zip(locks.to_pylist(), storage.to_pylist(), strict=True):
+        found = []
+        for seen, root, text in zip(known, ("locks", "storage"), texts, strict=True):
+            if text not in seen:
+                seen[text] = _found_waits(text, root)
+            found.append(seen[text])
+        good = None not in found
+        total = sum(micros for _, micros in found[0] + found[1]) if good else 0
+        good = good and -(1 << 63) <= total < 1 << 63
+        totals.append(total if good else 0)
+        names += [name for name, _ in found[0] + found[1]] if good else []
+        ends.append(len(names))
+        valid.append(good)
+    lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(names, pa.string()))
+    return pa.StructArray.from_arrays([pa.array(totals, pa.int64()), lists], ["total_micros", "locks"], mask=pa.array([not v for v in valid]))
 
 
 def waits(locks: Column, storage: Column) -> Column:
-    """``struct<total_micros, locks>`` over lock and storage counters, NULL without any.
+    """``struct<total_micros, locks>`` over lock and storage counters, NULL without any and for damaged documents.
 
     The search inside the JVM spares documents without counters the trip to Python.
     """

@@ -8,6 +8,8 @@ import re
 import pandas as pd
 from pyspark.sql import functions as F, types as T
 
+from plumeline.functions.pull import load
+
 # The tokens a shell document is made of, longest reading first.
 _TOKEN = re.compile(
     r"""
@@ -66,7 +68,7 @@ def _value(kind: str, text: str, payload: bool) -> str:
 
 def _is_document(text: str) -> bool:
     try:
-        return isinstance(json.loads(text), (dict, list))
+        return isinstance(load(text), (dict, list))
     except ValueError:
         return False
 

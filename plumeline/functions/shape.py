@@ -6,11 +6,11 @@ keeps the key order of the document, which VARIANT does not.
 
 from __future__ import annotations
 
-import json
-
 import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
 
+from plumeline.functions.pull import Whole, dump, load
+
 # Wrapper keys that stand for one scalar, with their type tag.
 SCALAR_WRAPPERS = {
     "$oid": "objectid",
@@ -46,7 +46,7 @@ def _scalar(value):
         inner = next(iter(value.values()))
         if tag == "regex" and not isinstance(inner, dict):
             return tag, f"/{inner}/{value.get('$options', '')}"
-        return tag, inner if isinstance(inner, str) else json.dumps(inner)
+        return tag, inner if isinstance(inner, str) else dump(inner)
     if isinstance(value, list):
         return None
     if value is None:
@@ -57,28 +57,53 @@ def _scalar(value):
         return ("int" if -(2**31) <= value < 2**31 else "long"), str(value)
     if isinstance(value, float):
         return "double", repr(value)
+    if isinstance(value, Whole):
+        return "long", str(value)
     return "string", value
 
 
+class _Open:
+    """A container whose shape is being written."""
+
+    def __init__(self, value):
+        self.is_list, self.name, self.parts, self.scalars = isinstance(value, list), None, [], 0
+        self.items = ((None, v) for v in value) if self.is_list else ((k[1:] if k.startswith("_$") else k, v) for k, v in value.items())
+
+    def add(self, text: str) -> None:
+        self.parts.append(text if self.is_list else f"{self.name}: {text}")
+
+    def text(self) -> str:
+        if not self.is_list:
+            return "{" + ",".join(self.parts) + "}"
+        if self.scalars:
+            self.parts.append("1" if self.scalars == 1 else "N")
+        return "[ " + ",".join(self.parts) + " ]"
+
+
 def _shape(value, params):
-    """Shape text of any value; scalars are appended to ``params``."""
+    """Shape text of any value, at any depth; scalars are appended to ``params``."""
     scalar = _scalar(value)
     if scalar is not None:
         params.append(scalar)
         return "1"
-    if isinstance(value, dict):
-        fields = (f"{k[1:] if k.startswith('_$') else k}: {_shape(v, params)}" for k, v in value.items())
-        return "{" + ",".join(fields) + "}"
-    parts, scalars = [], 0
-    for element in value:
-        text = _shape(element, params)
-        if _scalar(element) is None:
-            parts.append(text)
+    open_ = [_Open(value)]
+    while True:
+        top = open_[-1]
+        for top.name, inner in top.items:
+            scalar = _scalar(inner)
+            if scalar is None:
+                open_.append(_Open(inner))
+                break
+            params.append(scalar)
+            if top.is_list:
+                top.scalars += 1
+            else:
+                top.add("1")
         else:
-            scalars += 1
-    if scalars:
-        parts.append("1" if scalars == 1 else "N")
-    return "[ " + ",".join(parts) + " ]"
+            open_.pop()
+            if not open_:
+                return top.text()
+            open_[-1].add(top.text())
 
 
 def _shallow(value):
@@ -97,8 +122,8 @@ def _shallow(value):
 
 def _load(text):
     try:
-        return json.loads(text)
-    except (TypeError, ValueError):
+        return load(text, float)
+    except ValueError:
         return None
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from plumeline.functions.jsonpath import any_match
 from plumeline.functions.relaxed import relaxed_to_json, stored_to_json
@@ -10,6 +10,7 @@ from plumeline.functions.shape import has_operator, query_shape, shallow_shape
 from plumeline.functions.text import literal_text
 from plumeline.functions.times import iso_duration
 from plumeline.operators.lookups import join_with_fallback
+from plumeline.session import staged
 
 # Commands with a write concern, and the one assumed.
 WRITE_COMMANDS = ("insert", "update", "remove", "findAndModify")
@@ -139,8 +140,20 @@ def normalise_test_queries(df: DataFrame) -> DataFrame:
     )
 
 
-def update_by_key(table: DataFrame, changes: DataFrame, key: str = "id") -> DataFrame:
-    """``table`` with the columns of ``changes`` set where the key has a change."""
+def last_changes(changes: DataFrame, key: str = "id", order: Column | None = None) -> DataFrame:
+    """One change for each key, as if they were made one after the other: the last value of every column.
+
+    ``order`` sorts the changes of a key; without it the columns do, in turn.
+    """
+    names = [c for c in changes.columns if c != key]
+    place = F.struct(*names) if order is None else F.struct(order.alias("at"), *names)
+    row = F.max_by(F.struct(*names), place)
+    return changes.groupBy(key).agg(row.alias("__last")).select(key, *[F.col(f"__last.{c}").alias(c) for c in names])
+
+
+def update_by_key(table: DataFrame, changes: DataFrame, key: str = "id", order: Column | None = None) -> DataFrame:
+    """``table`` with the columns of ``changes`` set where the key has a change; of several the last by ``order`` counts."""
+    changes = last_changes(changes, key, order)
     names = [c for c in changes.columns if c != key]
     renamed = changes.select(key, F.lit(True).alias("__hit"), *[F.col(c).alias(f"__new_{c}") for c in names])
     joined = table.join(renamed, key, "left")
@@ -152,6 +165,28 @@ def update_by_key(table: DataFrame, changes: DataFrame, key: str = "id") -> Data
     return joined.withColumns(new).select(*table.columns, *[c for c in names if c not in have])
 
 
+def update_stored(spark: SparkSession, path: str, changes: DataFrame, key: str, partition: str, order: Column | None = None) -> int:
+    """Apply changes to a Parquet table partitioned by ``partition``; returns the number of partitions written anew.
+
+    Only partitions that hold a changed key are read as a whole and replaced; the result does not depend on how often it
+    is run.  ``partition`` itself can't be changed.
+    """
+    changes = last_changes(changes, key, order)
+    if partition in changes.columns:
+        raise ValueError(f"{partition} places the rows and can't be changed")
+    table = spark.read.parquet(path)
+    touched = table.join(changes.select(key), key, "left_semi").select(partition).distinct()
+    values = [r[0] for r in touched.collect()]  # names of folders
+    if not values:
+        return 0
+    known = [v for v in values if v is not None]
+    there = F.col(partition).isin(known) | (F.col(partition).isNull() if len(known) < len(values) else F.lit(False))
+    # Written aside first: a table can't be replaced while it is read.
+    fresh = staged(update_by_key(table.filter(there), changes, key), "updated")
+    fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
+    return len(values)
+
+
 def extract_parameters(ranked: DataFrame, samples: DataFrame, run_time) -> tuple[DataFrame, DataFrame]:
     """One row of literal parameters per sample of a ranked shape.
 

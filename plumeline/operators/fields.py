@@ -33,7 +33,7 @@ def first_n_per_group(df: DataFrame, group: Sequence[str], order: Sequence[Colum
 
 def sample_documents(df: DataFrame, group: Sequence[str], row_key: str, n: int = SAMPLE_SIZE, seed: int = 0) -> DataFrame:
     """``n`` documents of every group in a seeded random order."""
-    return first_n_per_group(df, group, [F.xxhash64(F.lit(seed), F.col(row_key)), F.col(row_key)], n, row_key)
+    return first_n_per_group(df, group, [F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(row_key).cast("string"))), F.col(row_key)], n, row_key)
 
 
 def find_fields(

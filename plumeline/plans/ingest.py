@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
@@ -13,7 +14,8 @@ from plumeline.operators.entries import stop_after_end
 from plumeline.operators.shape_report import selection
 from plumeline.sources import audit, structured, textlog
 from plumeline.session import staged
-from plumeline.sources.lines import GZIP_MAGIC, LATIN, UTF8, leading_bytes, node_type, read_lines, short_name, stitch_by_end, stitch_files, unmatched_lines
+from plumeline.sources.lines import LATIN, UTF8, node_type, read_lines, short_name, stitch_files, unmatched_lines
+from plumeline.sources.streams import SPLIT_BYTES
 
 
 @dataclass(frozen=True)
@@ -27,7 +29,8 @@ class IngestOptions:
     wrapper: str | None = None
     name_pattern: str | None = None
     node_type: str | None = None
-    gzip_paths: Sequence[str] | None = None
+    #: Bytes of a file that one task reads.
+    split_bytes: int = SPLIT_BYTES
     #: Entries end with a line that this matches, as in older logs; by default they begin with a pattern.
     end_pattern: str | None = None
     older_writes: bool = False
@@ -76,22 +79,14 @@ def _with_host(rows: DataFrame, block_hosts: DataFrame) -> DataFrame:
 def ingest_logs(spark: SparkSession, paths: Sequence[str], options: IngestOptions = IngestOptions()) -> Ingested:
     """Read, stitch, route, parse and enrich log files of any mix of formats.
 
-    Gzip files without suffix are found by their first bytes, unless
-    ``gzip_paths`` names them.  With a wrapper ``unmatched`` counts the lines it
-    does not match.
+    Gzip files are found by their first bytes.  With a wrapper ``unmatched``
+    counts the lines it does not match.
     """
     o = options
     # Fails early when the range is upside down.
     in_range = between_inclusive(F.col("ts"), o.start, o.end)
-    if o.gzip_paths is None:
-        heads = leading_bytes(spark, paths, len(GZIP_MAGIC))
-        packed = [p for p, head in heads.items() if head == GZIP_MAGIC and not p.endswith(".gz")]
-        # Files are named one by one only if some of them must be read in another way.
-        paths = list(heads) if packed else paths
-    else:
-        packed = list(o.gzip_paths)
-    lines = read_lines(spark, paths, UTF8 if o.utf8 else LATIN, packed)
-    stitched = stitch_by_end(lines, o.end_pattern, o.wrapper) if o.end_pattern else stitch_files(lines, o.wrapper)
+    lines = read_lines(spark, paths, UTF8 if o.utf8 else LATIN, o.split_bytes)
+    stitched = stitch_files(lines, o.wrapper, end_pattern=o.end_pattern)
     routed = stitched.entries
 
     def of(fmt: str) -> DataFrame:
@@ -147,18 +142,20 @@ def ingest_logs(spark: SparkSession, paths: Sequence[str], options: IngestOption
     return Ingested(union(events), headers, union(unreadable + broken), unmatched_lines(lines, o.wrapper) if o.wrapper else None)
 
 
-def write_ingested(out: Ingested, path: str) -> Observation:
-    """Append the three tables below ``path``; events by date, sorted by type.
+def write_ingested(out: Ingested, path: str, batch: str | None = None) -> Observation:
+    """Write the three tables below ``path``; events by date, sorted by type.
 
-    Returns the row counts Spark observed while writing the events.
+    A ``batch`` names what was read: its rows replace those of an earlier run of the same batch and no others, so a run
+    can be repeated.  Without it rows are appended.  Returns the row counts Spark observed while writing the events.
     """
+    if batch is not None and not re.fullmatch(r"[A-Za-z0-9_.-]+", batch):
+        raise ValueError(f"not a name for a folder: {batch}")
+    mode, below = ("append", "") if batch is None else ("overwrite", f"/batch={batch}")
     counted = Observation("events")
     events = out.events.observe(counted, F.count("*").alias("rows"), F.count("duration_millis").alias("slow"))
-    events.sortWithinPartitions("log_date", "type").write.mode("append").partitionBy("log_date").parquet(
-        f"{path}/events"
-    )
-    out.headers.write.mode("append").parquet(f"{path}/headers")
-    out.rejects.write.mode("append").parquet(f"{path}/rejects")
+    events.sortWithinPartitions("log_date", "type").write.mode(mode).partitionBy("log_date").parquet(f"{path}/events{below}")
+    out.headers.write.mode(mode).parquet(f"{path}/headers{below}")
+    out.rejects.write.mode(mode).parquet(f"{path}/rejects{below}")
     return counted
 
 

@@ -125,7 +125,14 @@ tree AS (
   SELECT ts, '' AS node, 0 AS depth, w, is_hot FROM leaf UNION ALL SELECT ts, a, 1, w, is_hot FROM leaf
   UNION ALL SELECT ts, a || '/' || b, 2, w, is_hot FROM leaf UNION ALL SELECT ts, a || '/' || b || '/' || c, 3, w, is_hot FROM leaf WHERE c IS NOT NULL)
 SELECT ts, node, depth, sum(w) AS weight, coalesce(sum(w) FILTER (is_hot), 0) AS hot FROM tree GROUP BY ts, node, depth""",
-    "sample_documents": "SELECT lang, source, least(count(*), 3) AS n FROM documents GROUP BY lang, source",
+    "update_repeated": """
+WITH ch AS (SELECT l_orderkey AS k, arg_max(l_returnflag, (l_linenumber, l_returnflag)) AS f, max(l_linenumber) AS line FROM lineitem GROUP BY 1)
+SELECT o_orderkey, coalesce(f, o_orderstatus) AS o_orderstatus, o_custkey, line FROM orders LEFT JOIN ch ON k = o_orderkey""",
+    "update_stored": """
+WITH ch AS (SELECT l_orderkey AS k, max(l_returnflag) AS f FROM lineitem WHERE l_quantity >= 49 GROUP BY 1)
+SELECT o_orderkey, coalesce(f, o_orderstatus) AS o_orderstatus, o_custkey, o_orderpriority FROM orders LEFT JOIN ch ON k = o_orderkey""",
+    "sample_documents": """
+SELECT doc_id, lang, source FROM documents QUALIFY row_number() OVER (PARTITION BY lang, source ORDER BY md5('0:' || doc_id), doc_id) <= 3""",
     "dominant_types": _TABLE_SQL["schema_profile"].rsplit("SELECT tot.path", 1)[0]
     + "SELECT path, arg_min(type, (-n, type)) AS type FROM typ GROUP BY path",
     "schema_document": r"""

@@ -12,6 +12,7 @@ from plumeline.operators import profile as pr
 from plumeline.operators import schema_profile as sp
 from plumeline.plans import tables as tb
 from plumeline.plans.tables import prop_k, read
+from plumeline.session import scratch_path
 from plumeline.sources import audit, structured, textlog
 
 # Entries that stand in one block of a rendered file.
@@ -308,6 +309,25 @@ def update_by_key(spark: SparkSession, sf: str) -> DataFrame:
     return cm.update_by_key(orders, changes.filter("lines > 3"), "o_orderkey")
 
 
+def update_repeated(spark: SparkSession, sf: str) -> DataFrame:
+    """Every line item changes its order; the one with the largest number comes last."""
+    orders = read(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_custkey")
+    line = read(spark, sf, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_returnflag").alias("o_orderstatus"), F.col("l_linenumber").alias("line"))
+    return cm.update_by_key(orders, line, "o_orderkey", F.col("line"))
+
+
+def update_stored(spark: SparkSession, sf: str) -> DataFrame:
+    """The same on a stored table, twice: only partitions with changed keys are written, and the second run changes nothing."""
+    path = scratch_path(spark, "stored_orders")
+    orders = read(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_custkey", "o_orderpriority")
+    orders.write.partitionBy("o_orderpriority").parquet(path)
+    line = read(spark, sf, "lineitem").filter("l_quantity >= 49")
+    changes = line.select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_returnflag").alias("o_orderstatus"))
+    for _ in range(2):
+        cm.update_stored(spark, path, changes, "o_orderkey", "o_orderpriority")
+    return spark.read.schema(orders.schema).parquet(path)
+
+
 # --- profiles and documents -------------------------------------------------
 
 
@@ -321,10 +341,9 @@ def profile_tree(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def sample_documents(spark: SparkSession, sf: str) -> DataFrame:
-    """One document of each language and source, the one with the smallest hash."""
+    """Three documents of each language and source, the first in a seeded random order."""
     docs = read(spark, sf, "documents").select("doc_id", "lang", "source")
-    kept = fi.sample_documents(docs, ["lang", "source"], "doc_id", 3)
-    return kept.groupBy("lang", "source").agg(F.count("*").alias("n"))
+    return fi.sample_documents(docs, ["lang", "source"], "doc_id", 3)
 
 
 def dominant_types(spark: SparkSession, sf: str) -> DataFrame:
@@ -336,6 +355,6 @@ QUERIES = {
     f.__name__: f
     for f in (
         json_log_events, oversize_messages, log_headers, text_log_events, log_rejects, syslog_events, audit_events, search_events,
-        normalise_commands, normalise_updates, extract_parameters, update_by_key, profile_tree, sample_documents, dominant_types,
+        normalise_commands, normalise_updates, extract_parameters, update_by_key, update_repeated, update_stored, profile_tree, sample_documents, dominant_types,
     )
 }

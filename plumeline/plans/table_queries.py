@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from plumeline.functions import shape as shapes
-from plumeline.functions.flatten import dotted, flatten_json
+from plumeline.functions.flatten import dotted, flatten_json, json_rejects
 from plumeline.functions.text import clean_function_name, literal_text, rename_dollar_keys, to_number, token_kind
 from plumeline.functions.times import iso_duration, minus_millis, parse_date
 from plumeline.operators import entries as en
@@ -15,6 +15,7 @@ from plumeline.operators import indexes as ix
 from plumeline.operators import lookups as lk
 from plumeline.operators import metrics as me
 from plumeline.operators import profile as pr
+from plumeline.operators import owners as ow
 from plumeline.operators import schema_profile as sp
 from plumeline.operators import shape_report as sr
 from plumeline.operators import timeseries as ts
@@ -297,7 +298,7 @@ def range_join_chunk(spark: SparkSession, sf: str) -> DataFrame:
 def range_join_composite(spark: SparkSession, sf: str) -> DataFrame:
     # Chunks of a compound key (customer, order) within a priority: each ends where the next one starts.
     orders = read(spark, sf, "orders").select("o_orderkey", "o_custkey", F.col("o_orderpriority").alias("ns"))
-    cuts = orders.filter("o_orderkey % 7 = 0").select("ns", F.struct("o_custkey", "o_orderkey").alias("lo"))
+    cuts = orders.groupBy("ns", "o_custkey").agg(F.min("o_orderkey").alias("o_orderkey")).select("ns", F.struct("o_custkey", "o_orderkey").alias("lo"))
     follows = F.lead("lo").over(Window.partitionBy("ns", F.floor(F.col("lo.o_custkey") / 50)).orderBy("lo"))
     end = F.struct(((F.floor(F.col("lo.o_custkey") / 50) + 1) * 50).cast("bigint").alias("o_custkey"), F.lit(0).cast("bigint").alias("o_orderkey"))
     chunks = cuts.withColumn("hi", F.coalesce(follows, end)).withColumnRenamed("ns", "range_ns")
@@ -308,6 +309,20 @@ def range_join_composite(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("o_orderkey", "ns", F.col("lo.o_custkey").alias("lo_cust"), F.col("lo.o_orderkey").alias("lo_order"))
 
 
+def chunk_owners(spark: SparkSession, sf: str) -> DataFrame:
+    """Line items in chunks of a compound key that begin at every order: half of them end with their customer, half go on."""
+    orders = read(spark, sf, "orders").select(F.substring("o_orderpriority", 1, 1).cast("int").alias("ns"), "o_custkey", "o_orderkey")
+    cust = ow.number_key(F.col("o_custkey"))
+    ends = F.when(F.col("o_orderkey") % 2 == 1, ow.compound(cust, ow.max_key()))
+    ranges = orders.select("ns", ow.compound(cust, ow.number_key(F.col("o_orderkey"))).alias("low"), ends.alias("high"), F.col("o_orderkey").alias("owner"))
+    first = orders.select("ns").distinct().select("ns", ow.min_key().alias("low"), ow.max_key().alias("high"), F.lit(-1).cast("bigint").alias("owner"))
+    line = read(spark, sf, "lineitem").select(
+        "l_orderkey", "l_linenumber", (F.col("l_linenumber") % 5 + 1).alias("ns"),
+        ow.compound(ow.number_key(F.col("l_suppkey")), ow.number_key(F.col("l_orderkey"))).alias("key"),
+    )
+    return ow.owners(line, ranges.unionByName(first), ["ns"], "key", "low", "high", "owner").drop("key")
+
+
 def semi_has_data(spark: SparkSession, sf: str) -> DataFrame:
     orders = read(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey"))
     return lk.rows_with_match(read(spark, sf, "customer").select("c_custkey", "c_name"), orders, ["c_custkey"])
@@ -439,6 +454,20 @@ def doc_diff_lines(spark: SparkSession, sf: str) -> DataFrame:
     return diff_lines(diff).select("id", "line_no", "line")
 
 
+def doc_diff_repeats(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents of customers, many with one key: some are missing, some differ, most are equal."""
+    orders = read(spark, sf, "orders")
+
+    def side(status, keep: str) -> DataFrame:
+        body = F.concat(F.lit('{"p":"'), F.col("o_orderpriority"), F.lit('","s":"'), status, F.lit('"}'))
+        return orders.filter(keep).select(F.col("o_custkey").alias("id"), body.alias("body"))
+
+    left = side(F.col("o_orderstatus"), "o_orderkey % 11 <> 3")
+    right = side(F.when(F.col("o_orderkey") % 5 == 0, F.lit("X")).otherwise(F.col("o_orderstatus")), "o_orderkey % 13 <> 4")
+    out = diff_documents(left, right, pairs=True)
+    return out.select("id", "pair", dotted(F.col("path")).alias("path"), "change", "left_value", "right_value")
+
+
 def key_difference_sides(spark: SparkSession, sf: str) -> DataFrame:
     vectors = read(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"))
     return key_difference(read(spark, sf, "labels"), vectors, ["doc_id"])
@@ -457,6 +486,24 @@ def flatten_paths(spark: SparkSession, sf: str) -> DataFrame:
     return flatten_json(events, "props", ["event_id"]).withColumn("path", dotted(F.col("path")))
 
 
+def flatten_deep(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents of up to thousands of levels, and numbers of thousands of digits."""
+    k = tb.prop_k().cast("string")
+    depth = F.when(F.col("event_id") % 500 == 0, F.lit(4000)).otherwise(F.col("event_id") % 7 + 1).cast("int")
+    value = F.when(F.col("event_id") % 500 == 1, F.repeat(F.lit("9"), 5000)).otherwise(k)
+    body = F.concat(F.repeat(F.lit('{"a":'), depth), value, F.repeat(F.lit("}"), depth))
+    flat = flatten_json(read(spark, sf, "events").select("event_id", body.alias("body")), "body", ["event_id"])
+    return flat.select("event_id", F.size("path").alias("depth"), "type", "value")
+
+
+def json_rejected(spark: SparkSession, sf: str) -> DataFrame:
+    """What is no JSON: documents that stop early or go on behind their end, and missing ones."""
+    kind = F.col("event_id") % 8
+    body = F.when(kind == 1, F.expr("left(props, length(props) - 1)")).when(kind == 2, F.concat("props", F.lit("x"))).when(kind != 3, F.col("props"))
+    rejects = json_rejects(read(spark, sf, "events").select("event_id", body.alias("body")), "body", ["event_id"])
+    return rejects.filter("error IS NOT NULL").select("event_id", "raw")
+
+
 # --- text -------------------------------------------------------------------
 
 

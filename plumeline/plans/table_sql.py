@@ -263,12 +263,19 @@ bands AS (SELECT DISTINCT k - k % w AS lo, k - k % w + w AS hi FROM pts, (SELECT
 SELECT o_orderkey, k, lo, hi FROM pts JOIN bands ON k >= lo AND k < hi""",
     "range_join_composite": """
 WITH cuts AS (
-  SELECT o_orderpriority AS ns, o_custkey AS c, o_orderkey AS o, o_custkey // 50 AS b FROM orders WHERE o_orderkey % 7 = 0),
+  SELECT o_orderpriority AS ns, o_custkey AS c, min(o_orderkey) AS o, o_custkey // 50 AS b FROM orders GROUP BY ALL),
 chunks AS (
   SELECT *, coalesce(lead(c) OVER w, (b + 1) * 50) AS hc, coalesce(lead(o) OVER w, 0) AS ho
   FROM cuts WINDOW w AS (PARTITION BY ns, b ORDER BY c, o))
 SELECT p.o_orderkey, p.o_orderpriority AS ns, c AS lo_cust, o AS lo_order FROM orders p JOIN chunks
   ON p.o_orderpriority = ns AND (p.o_custkey, p.o_orderkey) >= (c, o) AND (p.o_custkey, p.o_orderkey) < (hc, ho)""",
+    "chunk_owners": """
+WITH bounds AS (
+  SELECT CAST(substr(o_orderpriority, 1, 1) AS INT) AS ns, o_custkey AS c, o_orderkey AS o, o_custkey * 1000000000000 + o_orderkey AS low FROM orders),
+points AS (
+  SELECT l_orderkey, l_linenumber, CAST(l_linenumber % 5 + 1 AS INT) AS ns, l_suppkey AS c, l_suppkey * 1000000000000 + l_orderkey AS key FROM lineitem)
+SELECT l_orderkey, l_linenumber, p.ns AS ns, CASE WHEN b.o IS NULL THEN -1 WHEN b.o % 2 = 0 OR b.c = p.c THEN b.o END AS owner
+FROM points p ASOF LEFT JOIN bounds b ON p.ns = b.ns AND p.key >= b.low""",
     "semi_has_data": "SELECT c_custkey, c_name FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)",
     "anti_no_data": """
 SELECT doc_id, lang FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)""",
@@ -348,6 +355,25 @@ SELECT id, 0 AS line_no, CASE WHEN change = 'only_right' THEN '>' || p || right_
 UNION ALL
 SELECT id, 1, CASE WHEN change = 'type' THEN '>' || p || right_type ELSE '>' || p || right_value END FROM l
 WHERE change IN ('type', 'value')""",
+    "doc_diff_repeats": """
+WITH side AS (
+  SELECT o_custkey AS id, o_orderpriority AS p, o_orderstatus AS s, 1 AS side FROM orders WHERE o_orderkey % 11 <> 3
+  UNION ALL SELECT o_custkey, o_orderpriority, CASE WHEN o_orderkey % 5 = 0 THEN 'X' ELSE o_orderstatus END, -1 FROM orders WHERE o_orderkey % 13 <> 4),
+net AS (SELECT id, p, s, CAST(sum(side) AS BIGINT) AS net, md5('{"p":"' || p || '","s":"' || s || '"}') AS h FROM side GROUP BY id, p, s HAVING sum(side) <> 0),
+copies AS (SELECT id, p, s, h, sign(net) AS side, unnest(range(abs(net))) AS copy FROM net),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY id, side ORDER BY h, copy) AS pair FROM copies),
+met AS (
+  SELECT coalesce(a.id, b.id) AS id, coalesce(a.pair, b.pair) AS pair, a.p AS lp, a.s AS ls, b.p AS rp, b.s AS rs
+  FROM (FROM ranked WHERE side = 1) a FULL JOIN (FROM ranked WHERE side = -1) b ON a.id = b.id AND a.pair = b.pair)
+SELECT id, pair, path, CASE WHEN r IS NULL THEN 'only_left' WHEN l IS NULL THEN 'only_right' ELSE 'value' END AS change, l AS left_value, r AS right_value
+FROM (SELECT id, pair, 'p' AS path, lp AS l, rp AS r FROM met UNION ALL SELECT id, pair, 's', ls, rs FROM met) WHERE l IS DISTINCT FROM r""",
+    "flatten_deep": """
+WITH e AS (SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events)
+SELECT event_id, CAST(CASE WHEN event_id % 500 = 0 THEN 4000 ELSE event_id % 7 + 1 END AS INT) AS depth,
+  CASE WHEN event_id % 500 = 1 THEN 'number' ELSE 'Integer64' END AS type,
+  CASE WHEN event_id % 500 = 1 THEN repeat('9', 5000) ELSE CAST(k AS VARCHAR) END AS value FROM e""",
+    "json_rejected": """
+SELECT event_id, CASE event_id % 8 WHEN 1 THEN left(props, len(props) - 1) WHEN 2 THEN props || 'x' END AS raw FROM events WHERE event_id % 8 IN (1, 2, 3)""",
     "key_difference_sides": """
 WITH a AS (SELECT DISTINCT doc_id FROM labels), b AS (SELECT DISTINCT vec_id AS doc_id FROM embeddings)
 SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, CASE WHEN a.doc_id IS NULL THEN 'right' ELSE 'left' END AS side

@@ -9,24 +9,23 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from plumeline.functions.flatten import flatten_json
 from plumeline.session import staged
-from plumeline.sources.lines import UTF8, leading_bytes, read_lines, stitch_files
+from plumeline.sources.lines import UTF8, read_lines, stitch_files
+from plumeline.sources.streams import SMALLEST_DOCUMENT, SPLIT_BYTES, file_documents, file_heads, list_files
 
 # Document kinds, sample clock, lines per chunk of status files.
 METADATA, METRICS = 0, 1
 CLOCK = "start"
 STATUS_LINES = 100
 
-_DOCS = "file string, chunk_no int, doc binary"
 _SERIES = "file string, chunk_no int, path array<string>, starts array<bigint>, values array<bigint>, error string"
 
 # Element codes of the document format.
 _FIXED = {1: "<d", 8: "<?", 9: "<q", 16: "<i", 17: "<II", 18: "<q"}
 _IGNORED = {6: 0, 7: 12, 10: 0, 19: 16, 0x7F: 0, 0xFF: 0}
-_SMALLEST = 5
 
 # What a damaged document can raise.
 _DAMAGE = (ValueError, KeyError, IndexError, TypeError, struct.error, zlib.error)
@@ -36,7 +35,7 @@ def _document(buf: bytes, at: int = 0) -> tuple[dict, int]:
     """Fields of one binary document and its end; values keep their element code."""
     (size,) = struct.unpack_from("<i", buf, at)
     end, at, out = at + size, at + 4, {}
-    if size < _SMALLEST or end > len(buf):
+    if size < SMALLEST_DOCUMENT or end > len(buf):
         raise ValueError(f"document of {size} bytes")
     while buf[at]:
         code = buf[at]
@@ -98,11 +97,14 @@ def _plain(doc: dict):
 def _packed(data: bytes) -> np.ndarray:
     """All variable-length integers of a byte string."""
     raw = np.frombuffer(data, dtype=np.uint8)
+    if not len(raw):
+        # A chunk of one sample has no differences.
+        return np.array([], dtype=np.int64)
     last = np.flatnonzero(raw < 0x80)
     first = np.concatenate(([0], last[:-1] + 1))
     shift = (np.arange(len(raw)) - np.repeat(first, last - first + 1)).astype(np.uint64) * np.uint64(7)
     parts = (raw & 0x7F).astype(np.uint64) << shift
-    return np.add.reduceat(parts, first).view(np.int64) if len(raw) else np.array([], dtype=np.int64)
+    return np.add.reduceat(parts, first).view(np.int64)
 
 
 def _deltas(data: bytes, total: int) -> np.ndarray:
@@ -119,18 +121,6 @@ def _deltas(data: bytes, total: int) -> np.ndarray:
     return out
 
 
-def _split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        for path, content in zip(pdf["path"], pdf["content"]):
-            at, chunk_no = 0, 0
-            while at < len(content):
-                size = struct.unpack_from("<i", content, at)[0] if at + 4 <= len(content) else 0
-                # Behind a size that can't be there is no next document: the rest is one damaged one.
-                end = at + size if _SMALLEST <= size <= len(content) - at else len(content)
-                yield pd.DataFrame({"file": [path], "chunk_no": np.array([chunk_no], np.int32), "doc": [content[at:end]]})
-                at, chunk_no = end, chunk_no + 1
-
-
 def _series(doc: bytes) -> list[tuple[tuple, np.ndarray]]:
     """Values of every metric of one chunk."""
     data = zlib.decompress(_document(doc)[0]["data"][1][4:])
@@ -157,10 +147,16 @@ def _decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame(rows, columns=columns)
 
 
-def read_documents(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """``file, chunk_no, kind, doc`` of archive files, one row per document; kind is -1 for damaged ones."""
+def read_documents(spark: SparkSession, paths: Sequence[str], split_bytes: int = SPLIT_BYTES) -> DataFrame:
+    """``file, chunk_no, kind, doc`` of archive files, one row per document; kind is -1 for damaged ones.
 
-    def kind_of(doc: bytes) -> int:
+    Tasks read ranges of ``split_bytes``.  The first task of a file follows the sizes of documents from its begin, the others
+    from the first place in their range that looks like a document.  That place must be where the range before ended; files
+    for which it is not, because their documents look different or contain what looks like one, are read on from the last
+    place that is known to be right, each by one task.  So the result does not depend on how files are cut.
+    """
+
+    def kind_of(doc: bytes | None) -> int:
         try:
             return int(_document(bytes(doc))[0].get("type", (16, -1))[1])
         except _DAMAGE:
@@ -170,18 +166,39 @@ def read_documents(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     def kind(docs: pd.Series) -> pd.Series:
         return docs.map(kind_of).astype("int32")
 
-    files = spark.read.format("binaryFile").load(list(paths)).select("path", "content")
-    return files.mapInPandas(_split, _DOCS).withColumn("kind", kind("doc"))
-
-
-def decode_ftdc(spark: SparkSession, paths: Sequence[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    def documents(**how) -> DataFrame:
+        return staged(file_documents(spark, files, **how).withColumn("kind", kind("doc")), "archive-documents")
+
+    files = list_files(spark, paths)
+    found = documents(split=split_bytes)
+    ranges = found.groupBy("file", "range", "stop").agg(F.min("offset").alias("first"), F.max("next").alias("next"), F.count("offset").alias("n"))
+    before = Window.partitionBy("file").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    reach = F.coalesce(F.max("next").over(before), F.lit(0))
+    ranges = ranges.withColumn("reach", reach)
+    fits = F.when(F.col("reach") < F.col("stop"), F.col("first").eqNullSafe(F.col("reach"))).otherwise(F.col("first").isNull())
+    # Only files with a break come to the driver.
+    broken = ranges.filter(~fits).groupBy("file").agg(F.min_by(F.struct("range", "reach"), "range").alias("at")).select("file", "at.range", "at.reach")
+    known = {r["file"]: r["reach"] for r in broken.collect()}
+    columns = ["file", "range", "nth", "kind", "doc"]
+    docs = found.filter(F.col("doc").isNotNull())
+    if known:
+        cut = spark.createDataFrame(broken.collect(), "file string, broken long, reach long")
+        docs = docs.join(F.broadcast(cut), "file", "left").filter(F.col("broken").isNull() | (F.col("range") < F.col("broken")))
+        docs = docs.select(columns).unionByName(documents(known=known).filter(F.col("doc").isNotNull()).select(columns))
+    counts = docs.groupBy("file", "range").count()
+    starts = counts.withColumn("start", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
+    numbered = docs.join(starts, ["file", "range"]).withColumn("chunk_no", (F.col("start") + F.col("nth")).cast("int"))
+    return numbered.select("file", "chunk_no", "kind", "doc")
+
+
+def decode_ftdc(spark: SparkSession, paths: Sequence[str], split_bytes: int = SPLIT_BYTES) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Metric samples, metadata and rejected chunks of archive files.
 
     Chunks are spread over the cluster before they are opened, because the
     samples take far more room than the compressed chunks; they are opened once,
     into the shared folder.  A chunk without a clock gives samples without time.
     """
-    docs = staged(read_documents(spark, paths), "archive-documents")
+    docs = read_documents(spark, paths, split_bytes)
     chunks = docs.filter(F.col("kind") == METRICS).select("file", "chunk_no", "doc").repartition("file", "chunk_no")
     series = staged(chunks.mapInPandas(_decode, _SERIES), "archive-series")
     samples = series.filter(F.col("error").isNull()).select(
@@ -227,9 +244,9 @@ def read_server_status(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
 
 
 def metric_format(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """``file, format``: text that opens a JSON document is ``status``, all else ``archive``."""
-    rows = [(path, "status" if first == b"{" else "archive") for path, first in leading_bytes(spark, paths, 1).items()]
-    return spark.createDataFrame(rows, "file string, format string")
+    """``file, format``: text that opens a JSON document is ``status``, all else ``archive``; tasks read the first bytes."""
+    heads = file_heads(spark, list_files(spark, paths), 1)
+    return heads.select(F.col("infile").alias("file"), F.when(F.col("value") == b"{", "status").otherwise("archive").alias("format"))
 
 
 def read_metrics(spark: SparkSession, paths: Sequence[str]) -> DataFrame:

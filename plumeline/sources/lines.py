@@ -1,23 +1,21 @@
 """Log files to numbered, stitched entries.
 
-A file is read in blocks, as Spark splits it.  One narrow pass joins the lines
+A file is read in blocks of bytes.  One narrow pass joins the lines
 of each block into pieces; only pieces at a block edge ever meet pieces of
 another block.  Line numbers come from a table with one row per block.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator, Sequence
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from plumeline.operators import entries
 from plumeline.session import staged
+from plumeline.sources.streams import GZIP_MAGIC, SPLIT_BYTES, can_open, file_heads, file_lines, list_files
 
 # How an entry of each format begins.
 ENTRY_PATTERNS = {
@@ -27,109 +25,41 @@ ENTRY_PATTERNS = {
     "search": r'^\{"t":"[0-9]{4}-[0-9]{2}-[0-9]{2}T.*MONGOT',
     "syslog": r"^[A-Za-z]{3} [ 0-9][0-9] .* mongod\.[0-9]*\[.*\] command",
 }
-# Encodings, gzip magic bytes, router marker in a path.
+# Encodings, router marker in a path.
 LATIN, UTF8 = "ISO-8859-1", "UTF-8"
-GZIP_MAGIC = b"\x1f\x8b"
 ROUTER = "mongos"
 
-# Inflated text that is held at once.
-INFLATE_BYTES = 1 << 20
-
 # A block table below this many rows may travel to every executor (about 100 MB).
 BROADCAST_BLOCKS = 500_000
 
 _PIECES = (
-    "infile string, block bigint, first bigint, last bigint, head boolean, tail boolean, format string, entry string"
+    "infile string, block bigint, first bigint, last bigint, head boolean, tail boolean, closed boolean, format string, entry string"
 )
 
 
-def leading_bytes(spark: SparkSession, paths: Sequence[str], n: int) -> dict[str, bytes]:
-    """The first ``n`` bytes of every file below ``paths``, by its full path.
-
-    Part of listing the input: each file is opened, none is read further.
-    """
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    files = []
-    for path in paths:
-        place = hadoop.Path(path)
-        fs = place.getFileSystem(conf)
-        found = list(fs.globStatus(place) or [])
-        if not found:
-            raise FileNotFoundError(path)
-        for status in found:
-            inner = list(fs.listStatus(status.getPath())) if status.isDirectory() else [status]
-            files += [(fs, s.getPath()) for s in inner if s.isFile() and s.getPath().getName()[0] not in "._"]
-
-    def first(file) -> bytes:
-        fs, place = file
-        stream = fs.open(place)
-        try:
-            got = [stream.read() for _ in range(n)]
-        finally:
-            stream.close()
-        return bytes(b for b in got if b >= 0)
-
-    with ThreadPoolExecutor(16) as pool:
-        return {place.toString(): head for (_, place), head in zip(files, pool.map(first, files))}
-
-
 def gzip_without_suffix(spark: SparkSession, paths: Sequence[str]) -> list[str]:
-    """Paths of gzip files that Spark would read as plain text."""
-    heads = leading_bytes(spark, paths, len(GZIP_MAGIC))
-    return [path for path, head in heads.items() if head == GZIP_MAGIC and not path.endswith(".gz")]
-
-
-def _inflated_lines(content: bytes) -> Iterator[list[bytes]]:
-    """Lines of gzip data of one or more members, a bounded part at a time."""
-    rest, reader, at = b"", zlib.decompressobj(31), 0
-    while at < len(content):
-        piece = content[at : at + INFLATE_BYTES]
-        at += len(piece)
-        while piece:
-            rest += reader.decompress(piece, INFLATE_BYTES)
-            piece = reader.unconsumed_tail
-            if reader.eof:
-                piece, reader = reader.unused_data, zlib.decompressobj(31)
-            *lines, rest = rest.split(b"\n")
-            if lines:
-                yield lines
-    if rest:
-        yield [rest]
-
-
-def _inflate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        for path, content in zip(pdf["path"], pdf["content"]):
-            for lines in _inflated_lines(content):
-                yield pd.DataFrame({"infile": path, "block": 0, "value": lines})
+    """Paths of gzip files that Spark would read as plain text; tasks look at their first bytes."""
+    heads = file_heads(spark, list_files(spark, paths), len(GZIP_MAGIC))
+    packed = heads.filter((F.col("value") == GZIP_MAGIC) & ~F.col("infile").endswith(".gz"))
+    return [r["infile"] for r in packed.select("infile").collect()]
 
 
-def read_lines(
-    spark: SparkSession,
-    paths: Sequence[str],
-    encoding: str = LATIN,
-    gzip_paths: Sequence[str] = (),
-) -> DataFrame:
+def read_lines(spark: SparkSession, paths: Sequence[str], encoding: str = LATIN, split_bytes: int = SPLIT_BYTES) -> DataFrame:
     """``infile, block, value`` of plain and gzip files, in file order inside a block.
 
-    Files named in ``gzip_paths`` hold gzip data without the suffix; each of
-    them is one task, like any gzip file.
+    A block is ``split_bytes`` of a file; tasks find gzip files by their first bytes and read each as one block, as a
+    stream.  Files in a store that tasks can't open themselves are read by Spark's text source, which splits them by
+    ``spark.sql.files.maxPartitionBytes`` and knows gzip files by their suffix.
     """
-    plain = [p for p in paths if p not in set(gzip_paths)]
-    parts = []
-    if plain:
-        parts.append(
-            spark.read.text(plain).select(
-                F.col("_metadata.file_path").alias("infile"),
-                F.col("_metadata.file_block_start").alias("block"),
-                F.col("value").cast("binary").alias("value"),
-            )
+    files = list_files(spark, paths)
+    if can_open(files):
+        lines = file_lines(spark, files, split_bytes)
+    else:
+        lines = spark.read.text(list(paths)).select(
+            F.col("_metadata.file_path").alias("infile"),
+            F.col("_metadata.file_block_start").alias("block"),
+            F.col("value").cast("binary").alias("value"),
         )
-    if gzip_paths:
-        raw = spark.read.format("binaryFile").load(list(gzip_paths)).select("path", "content")
-        parts.append(raw.mapInPandas(_inflate, "infile string, block bigint, value binary"))
-    lines = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     # A carriage return belongs to the line end, not to the line.
     text = F.decode("value", encoding) if encoding != UTF8 else F.col("value").cast("string")
     return lines.withColumn("value", F.regexp_replace(text, r"\r$", ""))
@@ -170,11 +100,14 @@ def entry_format(entry: Column, patterns: dict[str, str] = ENTRY_PATTERNS) -> Co
 
 
 def _join_pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Join the lines of each entry inside a block; the last entry stays open between batches."""
+    """Join the lines of each entry inside a block; the last entry stays open between batches.
+
+    An entry begins with a line of some format, or, with a column ``ends``, behind a line that ends one.
+    """
     held: dict | None = None
 
     def rows(piece: dict, tail: bool) -> pd.DataFrame:
-        done = {k: piece[k] for k in ("infile", "block", "first", "last", "head", "format")}
+        done = {k: piece[k] for k in ("infile", "block", "first", "last", "head", "closed", "format")}
         return pd.DataFrame([{**done, "tail": tail, "entry": "\n".join(piece["parts"])}])
 
     for pdf in batches:
@@ -183,7 +116,9 @@ def _join_pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             continue
         infile, block = pdf["infile"].to_numpy(), pdf["block"].to_numpy()
         kind, value = pdf["format"].to_numpy(), pdf["value"].to_numpy()
-        start = pdf["format"].notna().to_numpy()
+        by_end = "ends" in pdf
+        ends_here = pdf["ends"].to_numpy(dtype=bool) if by_end else np.zeros(n, dtype=bool)
+        start = np.append(held is not None and held["closed"], ends_here[:-1]) if by_end else pdf["format"].notna().to_numpy()
         fresh = np.empty(n, dtype=bool)
         fresh[1:] = (block[1:] != block[:-1]) | (infile[1:] != infile[:-1])
         fresh[0] = held is None or held["block"] != block[0] or held["infile"] != infile[0]
@@ -195,7 +130,7 @@ def _join_pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         if len(begins) == 0 or begins[0] > 0:
             upto = begins[0] if len(begins) else n
             held["parts"].extend(value[:upto])
-            held["last"] = int(line[upto - 1])
+            held["last"], held["closed"] = int(line[upto - 1]), bool(ends_here[upto - 1])
         if len(begins) == 0:
             continue
         if held is not None:
@@ -210,14 +145,16 @@ def _join_pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 "block": block[begins],
                 "first": line[begins],
                 "last": line[ends - 1],
-                "head": ~start[begins],
+                # A block's first piece may go on with the last one of the block before.
+                "head": fresh[begins] if by_end else ~start[begins],
                 "tail": np.append(fresh[begins[1:]], False),
+                "closed": ends_here[ends - 1],
                 "format": kind[begins],
                 "entry": entry,
             }
         )
         final = out.iloc[-1]
-        held = {k: final[k] for k in ("infile", "block", "first", "last", "head", "format")} | {
+        held = {k: final[k] for k in ("infile", "block", "first", "last", "head", "closed", "format")} | {
             "parts": list(value[begins[-1] :])
         }
         yield out.iloc[:-1]
@@ -239,17 +176,25 @@ class Entries:
 
 
 def stitch_files(
-    lines: DataFrame, wrapper: str | None = None, patterns: dict[str, str] = ENTRY_PATTERNS
+    lines: DataFrame, wrapper: str | None = None, patterns: dict[str, str] = ENTRY_PATTERNS, end_pattern: str | None = None
 ) -> Entries:
     """Entries of all files; a line that starts no entry belongs to the entry before.
 
+    With ``end_pattern`` entries are known by their last line instead, and what
+    follows the last such line of a file is an entry too.
+
     ``lineno`` is the last physical line of an entry.  The pieces are written
     once to the shared folder, apart by format and by whether they lie at a
     block edge, so every later step sees the same blocks and reads its own part.
+    Text is joined inside its block; of all pieces only the first and the last
+    of a block meet others, and whether two of them are one entry is known from
+    their flags: the merge does not depend on how blocks are grouped.
     """
-    stripped = lines.select("infile", "block", strip_wrapper(F.col("value"), wrapper).alias("value"))
+    value = F.col("value")
+    stripped = lines.select("infile", "block", strip_wrapper(value, wrapper).alias("value"))
+    ends = [] if end_pattern is None else [value.rlike(end_pattern).alias("ends")]
     pieces = staged(
-        stripped.select("infile", "block", entry_format(F.col("value"), patterns).alias("format"), "value")
+        stripped.select("infile", "block", entry_format(value, patterns).alias("format"), *ends, "value")
         .mapInPandas(_join_pieces, _PIECES)
         .withColumn("edge", F.col("head") | F.col("tail")),
         "pieces",
@@ -272,11 +217,14 @@ def stitch_files(
     )
     # Two pieces per block at most: number their entries on the keys alone.
     along = Window.partitionBy("infile").orderBy("block", "first")
-    numbered = edges.select("infile", "block", "first", "head").withColumn(
-        "entry_no", F.sum(F.when(F.col("head"), 0).otherwise(1)).over(along)
+    goes_on = F.col("head") if end_pattern is None else ~F.lag("closed", 1, True).over(along)
+    numbered = (
+        edges.select("infile", "block", "first", goes_on.alias("goes_on"))
+        .withColumn("entry_no", F.sum(F.when(F.col("goes_on"), 0).otherwise(1)).over(along))
+        .drop("goes_on")
     )
     joined = (
-        edges.join(numbered.drop("head"), ["infile", "block", "first"])
+        edges.join(numbered, ["infile", "block", "first"])
         .groupBy("infile", "entry_no")
         .agg(F.array_sort(F.collect_list(F.struct("block", "first", "last", "format", "entry"))).alias("p"))
         .select(
@@ -299,35 +247,31 @@ def stitch_files(
     return Entries(entries, blocks.select("infile", "block", "offset", "n_lines"), few)
 
 
-def stitch_by_end(
-    lines: DataFrame, end_pattern: str, wrapper: str | None = None, patterns: dict[str, str] = ENTRY_PATTERNS, chunk_lines: int = 100_000
-) -> Entries:
-    """Entries of files whose entries are known by their last line; what follows the last such line is an entry too.
-
-    Each file is one block of numbered lines; chunks of them keep a long file from being one task.
-    """
-    numbered = number_lines(lines).withColumn("value", strip_wrapper(F.col("value"), wrapper))
-    joined = entries.stitch_by_end(
-        numbered, ["infile"], "lineno", "value", F.col("value").rlike(end_pattern), F.floor(F.col("lineno") / chunk_lines), separator="\n"
-    )
-    found = staged(
-        joined.select(
-            "infile", F.lit(0).cast("bigint").alias("block"), F.col("last_line").cast("bigint").alias("lineno"), F.col("n_lines").cast("bigint").alias("n_lines"),
-            entry_format(F.col("entry"), patterns).alias("format"), "entry",
-        ),
-        "entries",
-    )
-    blocks = found.groupBy("infile").agg(F.max("lineno").alias("n_lines")).select("infile", F.lit(0).cast("bigint").alias("block"), F.lit(0).cast("bigint").alias("offset"), "n_lines")
-    few = blocks.limit(BROADCAST_BLOCKS + 1).count() <= BROADCAST_BLOCKS
-    return Entries(found, blocks, few)
+def _number(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Number the lines of each block from 1."""
+    last: tuple | None = None
+    count = 0
+    for pdf in batches:
+        if not len(pdf):
+            continue
+        keys = list(zip(pdf["infile"], pdf["block"]))
+        at = np.arange(len(pdf))
+        fresh = np.array([keys[0] != last] + [a != b for a, b in zip(keys, keys[1:])])
+        base = np.maximum.accumulate(np.where(fresh, at, -1))
+        pdf["row"] = np.where(base >= 0, at - base + 1, at + 1 + count)
+        last, count = keys[-1], int(pdf["row"].iloc[-1])
+        yield pdf
 
 
 def number_lines(lines: DataFrame) -> DataFrame:
-    """Line numbers by a plain window over each file.
+    """``lineno`` of every line: its number in its block, and the lines of the blocks before.
 
-    For files of bounded size, such as status texts and stack dumps.
+    The lines never move: only counts by block meet.  They are read twice, once to be counted.
     """
-    w = Window.partitionBy("infile").orderBy("block", "__at")
-    return lines.withColumn("__at", F.monotonically_increasing_id()).withColumn(
-        "lineno", F.row_number().over(w)
-    ).drop("__at")
+    counts = staged(lines.groupBy("infile", "block").agg(F.count("*").alias("n")), "line-counts")
+    before = Window.partitionBy("infile").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.withColumn("offset", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    few = counts.limit(BROADCAST_BLOCKS + 1).count() <= BROADCAST_BLOCKS
+    numbered = lines.mapInPandas(_number, "infile string, block bigint, value string, row bigint")
+    numbered = numbered.join(F.broadcast(offsets) if few else offsets, ["infile", "block"])
+    return numbered.select("infile", "block", "value", (F.col("offset") + F.col("row")).cast("bigint").alias("lineno"))

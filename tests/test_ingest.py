@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumeline.plans.ingest import IngestOptions, ingest_logs, read_events, slow_ops, write_ingested
-from plumeline.sources.lines import gzip_without_suffix, read_lines, short_name, stitch_files
+from plumeline.sources.lines import gzip_without_suffix, number_lines, read_lines, short_name, stitch_files
 
 
 def j(ts, c, msg, attr=None, ctx="conn9", s="I", id=51803, **more):
@@ -224,12 +224,32 @@ def test_audit_search_syslog_wrapper(spark, tmp_path):
 
 
 def test_gzip_parts_join_lines(monkeypatch):
-    from plumeline.sources import lines
+    import io
 
-    monkeypatch.setattr(lines, "INFLATE_BYTES", 7)
+    from plumeline.sources import streams
+
+    monkeypatch.setattr(streams, "INFLATE_BYTES", 7)
+    monkeypatch.setattr(streams, "READ_BYTES", 11)
     text = [f"line {i} " + "x" * (i % 9) for i in range(50)]
     packed = gzip.compress("\n".join(text[:20]).encode() + b"\n") + gzip.compress("\n".join(text[20:]).encode())
-    assert [x.decode() for part in lines._inflated_lines(packed) for x in part] == text
+    for tail in (b"", b"\0" * 40):
+        assert [x.decode() for part in streams.range_lines(io.BytesIO(packed + tail), 0, len(packed), len(packed)) for x in part] == text
+    assert list(streams.range_lines(io.BytesIO(packed), 100, len(packed), len(packed))) == []
+    with pytest.raises(Exception, match="decompressing"):
+        list(streams.range_lines(io.BytesIO(packed[:60] + b"x" * 60 + packed[120:]), 0, len(packed), len(packed)))
+
+
+@pytest.mark.parametrize("split", [1, 2, 7, 64, 10_000])
+def test_every_line_is_in_one_range(monkeypatch, split):
+    import io
+
+    from plumeline.sources import streams
+
+    monkeypatch.setattr(streams, "READ_BYTES", 5)
+    data = b"one\n\n\r\nfour is a longer line\r\nfive\rsix\nseven"
+    ranges = [part for r in streams.cut_ranges([("file:///a", len(data)), ("file:///empty", 0)], split) for part in r.parts]
+    got = [x for uri, lo, hi, size in ranges if uri.endswith("a") for part in streams.range_lines(io.BytesIO(data), lo, hi, size) for x in part]
+    assert got == [b"one", b"", b"", b"four is a longer line", b"five", b"six", b"seven"]
 
 
 def test_text_offsets_and_nested_ranges(spark, tmp_path):
@@ -270,16 +290,38 @@ def test_blocks_do_not_change_entries(spark, tmp_path, block):
             text += body
         (tmp_path / f"f{f}.log").write_text("\n".join(text) + "\n")
         want += [(f"f{f}.log", *e) for e in expect]
-    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
-    spark.conf.set("spark.sql.files.maxPartitionBytes", str(block))
-    try:
-        got = stitch_files(read_lines(spark, [str(tmp_path)])).entries
-        rows = [(r["n"], r["lineno"], r["n_lines"], r["entry"]) for r in got.select(short_name(F.col("infile")).alias("n"), "lineno", "n_lines", "entry").collect()]
-    finally:
-        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    got = stitch_files(read_lines(spark, [str(tmp_path)], split_bytes=block)).entries
+    rows = [(r["n"], r["lineno"], r["n_lines"], r["entry"]) for r in got.select(short_name(F.col("infile")).alias("n"), "lineno", "n_lines", "entry").collect()]
     assert sorted(rows) == sorted(want)
 
 
+@pytest.mark.parametrize("block", [40, 300, 1_000_000])
+def test_blocks_do_not_change_entries_that_end_with_a_pattern(spark, tmp_path, block):
+    """Runs of short and of very long entries, entries that end with a block, and text behind the last end."""
+    import random
+
+    rng = random.Random(8)
+    want = []
+    for f in range(3):
+        text = []
+        for i in range(60):
+            body = [f"2024-01-01T00:00:{i % 60:02d}.000 entry {i}"] + ["  more " + "x" * rng.randrange(40) for _ in range(rng.choice([0, 0, 1, 2, 40]))]
+            body[-1] += f" {i}ms"
+            text += body
+            want.append((f"f{f}.log", len(text), len(body), "\n".join(body)))
+        if f == 1:
+            text += ["2024-01-01T00:01:00.000 open", "end"]
+            want.append(("f1.log", len(text), 2, "\n".join(text[-2:])))
+        (tmp_path / f"f{f}.log").write_text("\n".join(text) + "\n")
+    got = stitch_files(read_lines(spark, [str(tmp_path)], split_bytes=block), end_pattern=r"\d+ms$")
+    rows = got.entries.select(short_name(F.col("infile")).alias("n"), "lineno", "n_lines", "entry", "format").collect()
+    assert sorted(tuple(r)[:4] for r in rows) == sorted(want)
+    assert {r["format"] for r in rows} == {"text"}
+    numbered = number_lines(read_lines(spark, [str(tmp_path)], split_bytes=block)).select(short_name(F.col("infile")).alias("n"), "lineno", "value")
+    lines = {(r["n"], r["lineno"]): r["value"] for r in numbered.collect()}
+    assert lines == {(f"f{f}.log", k): line for f in range(3) for k, line in enumerate((tmp_path / f"f{f}.log").read_text().splitlines(), 1)}
+
+
 OLDER = """2015-10-26T18:24:19.000-0000 I WRITE    [conn15] update shop.cart query: { _id: 3,
  n: "a" } planSummary: IDHACK update: { $set: { b: 1 } } keysExamined:1 docsExamined:1 nMatched:1 numYields:0 locks:{} 12ms
 2015-10-26T18:24:20.000-0000 I WRITE    [conn15] remove shop.cart query: { k: [ } planSummary: IDHACK docsExamined:1 3ms

@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import Window, functions as F
 
 from plumeline.functions import jsonpath as jp
-from plumeline.functions.flatten import flatten_json
+from plumeline.functions.flatten import flatten_json, json_rejects
+from plumeline.functions.jsonpath import waits
 from plumeline.functions.relaxed import relaxed_to_json
 from plumeline.functions.shape import query_shape, shallow_shape
 from plumeline.functions.text import cell, clean_function_name, outer_groups
@@ -421,3 +422,114 @@ def test_extract_parameters(spark, tmp_path):
     assert [r["filter"] for r in missing.collect()] == ["{gone: 1}"]
     sinks.write_parameters(got, str(tmp_path / "p"))
     assert spark.read.text(str(tmp_path / "p")).select("shape_id").distinct().count() == 2
+
+
+# --- documents of any depth -------------------------------------------------
+
+
+def test_documents_beyond_a_recursive_parser(spark):
+    deep = '{"a":' * 20000 + "1" + "}" * 20000
+    long_number = "1" * 5000
+    rows = [(1, deep), (2, f'{{"n": {long_number}, "m": -{long_number}}}'), (3, '{"open": 1'), (4, None), (5, "[1.50, 2e3, -0.0]")]
+    df = spark.createDataFrame(rows, "id int, body string")
+    flat = {}
+    for r in flatten_json(df, "body", ["id"], rejects=True).collect():
+        flat.setdefault(r["id"], []).append((r["path"], r["type"], r["value"]))
+    assert flat[1] == [(["a"] * 20000, "Integer64", "1")]
+    assert flat[2] == [(["n"], "number", long_number), (["m"], "number", "-" + long_number)]
+    assert flat[3] == [(None, "reject", '{"open": 1')] and flat[4] == [(None, "reject", None)]
+    assert [v for _, _, v in flat[5]] == ["1.5", "2000.0", "0"]
+    assert sorted(r["id"] for r in json_rejects(df, "body", ["id"]).collect()) == [3, 4]
+    shapes = df.select("id", query_shape("body").alias("s")).filter("id < 4").collect()
+    by_id = {r["id"]: r["s"] for r in shapes}
+    assert by_id[1]["shape"].count("a: ") == 20000 and by_id[2]["params"][0]["type"] == "long" and by_id[3]["shape"] == '{"open": 1'
+
+
+def test_events_of_a_document_follow_each_other():
+    from plumeline.functions import pull
+
+    text = ' {"a": [1, {}, "x"], "b": {"c": null}} '
+    assert [k for k, _ in pull.events(text)] == ["object", "key", "array", "value", "object", "end", "value", "end", "key", "object", "key", "value", "end", "end"]
+    rng = random.Random(3)
+    marks = '{}[],:"0-1. exnull'
+    for _ in range(3000):
+        text = list(json.dumps([{"k": [1, -2.5e3, None, True, "q\\\"é"]}, {}, [], ""]))
+        for _ in range(rng.randint(0, 3)):
+            text[rng.randrange(len(text))] = rng.choice(marks)
+        text = "".join(text)
+        try:
+            want = json.loads(text, parse_float=pull.Real)
+        except ValueError:
+            with pytest.raises(ValueError):
+                pull.build(pull.events(text))
+        else:
+            assert pull.build(pull.events(text)) == want
+
+
+def test_damaged_wait_counters_have_no_sum(spark):
+    deep = '{"x":' * 9000 + '{"timeReadingMicros": 5}' + "}" * 9000
+    rows = [(1, '{"G":{"timeWaitingMicros":{"r":3}}}', None), (2, '{"timeWaitingMicros":{"r":', None), (3, deep, None), (4, "{}", "{}"), (5, '{"timeWaitingMicros":{"r":"much"}}', None),
+            (6, '{"timeReadingMicros": 9223372036854775807, "b": {"timeReadingMicros": 1}}', None)]
+    df = spark.createDataFrame(rows, "id int, locks string, storage string")
+    got = {r["id"]: r["w"] for r in df.select("id", waits(F.col("locks"), F.col("storage")).alias("w")).collect()}
+    assert got[1]["total_micros"] == 3 and got[1]["locks"] == ["locks.G.r.timeWaitingMicros"]
+    assert got[3]["total_micros"] == 5 and [got[k] for k in (2, 4, 5, 6)] == [None] * 4
+
+
+def test_repeated_keys_pair_up_and_add_up(spark, monkeypatch):
+    from plumeline.operators import docdiff
+
+    left = [("a", '{"x":1}')] * 3 + [("a", '{"x":2}'), ("b", '{"y":1}'), ("c", "no json"), (None, '{"z":1}')]
+    right = [("a", '{"x":1}'), ("a", '{"x":3}'), ("b", '{"y":1}'), ("c", '{"q":1}'), ("d", '{"d":1}'), (None, '{"z":2}')]
+    frames = [spark.createDataFrame(rows, "id string, body string") for rows in (left, right)]
+    for hot in (100_000, 0):
+        monkeypatch.setattr(docdiff, "HOT_DOCUMENTS", hot)
+        rows = [tuple(r) for r in docdiff.diff_documents(*frames, pairs=True).select("id", "pair", F.array_join("path", ".").alias("p"), "change", "left_value", "right_value").collect()]
+        a = [r for r in rows if r[0] == "a"]
+        # Two copies of x=1 and x=2 are left, against x=3.
+        assert sorted(r[4] for r in a) == ["1", "1", "2"] and sorted(r[3] for r in a) == ["only_left", "only_left", "value"] and {r[1] for r in a} == {1, 2, 3}
+        assert ("c", 1, "", "only_left", "no json", None) in rows and ("d", 1, "d", "only_right", None, "1") in rows
+        assert (None, 1, "z", "value", "1", "2") in rows and not [r for r in rows if r[0] == "b"]
+
+
+def test_owners_of_typed_and_compound_keys(spark):
+    from plumeline.operators import owners as ow
+
+    values = [None, -(1 << 63), -5, -1, 0, 1, 7, 1 << 40, (1 << 63) - 1]
+    texts = [None, "", "\0", "\0a", "a", "a\0", "a\0b", "aa", "b", "é", "漢"]
+    for make, items, kind, key in ((ow.number_key, values, "long", lambda v: v), (ow.string_key, texts, "string", lambda v: v.encode())):
+        df = spark.createDataFrame([(v,) for v in items], f"v {kind}").select("v", make(F.col("v")).alias("k"))
+        got = [r["v"] for r in df.orderBy("k").collect()]
+        assert got == [None] + sorted((v for v in items if v is not None), key=key)
+    num, text = (lambda v: ow.number_key(F.lit(v).cast("long"))), (lambda v: ow.string_key(F.lit(v)))
+    bounds = [(ow.min_key(), num(5), "low"), (num(5), ow.compound(num(5), ow.max_key()), "five"), (num(7), text("m"), "mixed"), (text("m"), ow.max_key(), "high")]
+    ranges = None
+    for low, high, owner in bounds:
+        row = spark.range(1).select(F.lit("s").alias("space"), low.alias("low"), high.alias("high"), F.lit(owner).alias("owner"))
+        ranges = row if ranges is None else ranges.unionByName(row)
+    keys = {"n": ow.number_key(F.lit(None).cast("long")), "-": num(-9), "5": num(5), "5x": ow.compound(num(5), text("x")), "6": num(6), "7": num(7), "a": text("a"), "m": text("m"), "z": text("z"), "top": ow.max_key()}
+    points = None
+    for name, key in keys.items():
+        row = spark.range(3).select(F.lit("s").alias("space"), F.lit(name).alias("name"), key.alias("key"))
+        points = row if points is None else points.unionByName(row)
+    points = points.unionByName(spark.range(1).select(F.lit("other").alias("space"), F.lit("o").alias("name"), num(5).alias("key")))
+    got = ow.owners(points, ranges, ["space"], "key", "low", "high", "owner").groupBy("name", "owner").count().collect()
+    assert {(r["name"], r["owner"], r["count"]) for r in got} == {
+        ("n", "low", 3), ("-", "low", 3), ("5", "five", 3), ("5x", "five", 3), ("6", None, 3), ("7", "mixed", 3), ("a", "mixed", 3), ("m", "high", 3), ("z", "high", 3), ("top", "high", 3), ("o", None, 1)
+    }
+
+
+def test_stored_updates_touch_their_partitions_only(spark, tmp_path):
+    from plumeline.operators.commands import update_by_key, update_stored
+
+    path = str(tmp_path / "t")
+    spark.createDataFrame([(i, "old", i % 4) for i in range(40)], "id int, v string, p int").repartition(1).write.partitionBy("p").parquet(path)
+    before = {f.name for f in (tmp_path / "t" / "p=3").iterdir()}
+    changes = spark.createDataFrame([(1, "first", 1), (1, "last", 2), (5, "x", 1), (99, "nobody", 1)], "id int, v string, n int")
+    for _ in range(2):
+        assert update_stored(spark, path, changes.drop("n"), "id", "p", None) == 1
+    got = {r["id"]: r["v"] for r in spark.read.parquet(path).collect()}
+    assert len(got) == 40 == spark.read.parquet(path).count() and got[1] == "last" and got[5] == "x" and got[9] == "old"
+    assert {f.name for f in (tmp_path / "t" / "p=3").iterdir()} == before
+    table = spark.createDataFrame([(1, "old"), (2, "old")], "id int, v string")
+    assert {tuple(r)[:2] for r in update_by_key(table, changes, "id", F.col("n")).collect()} == {(1, "last"), (2, "old")}

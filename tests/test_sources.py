@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from plumeline.operators.indexes import ID_INDEX, host_shards, index_report, user_collections
 from plumeline.operators.metrics import first_of_chunk, increments, max_increment, metric_keys
 from plumeline.sources.collstats import oplog_rows, read_shard_map, read_snapshots
-from plumeline.sources.ftdc import decode_ftdc, metric_format, read_metrics, read_server_status
+from plumeline.sources.ftdc import decode_ftdc, metric_format, read_documents, read_metrics, read_server_status
 from plumeline.sources.stacks import read_schema_export, read_stacks
 
 STATS = """shell says hello
@@ -225,6 +225,33 @@ def test_damaged_archives_and_missing_clocks(spark, tmp_path):
     assert sorted((r["file"][-5:], r["chunk_no"]) for r in rejects.collect()) == [("a.bin", 2), ("b.bin", 0)]
 
 
+@pytest.mark.parametrize("split", [170, 2000, 1 << 27])
+def test_an_archive_is_the_same_in_ranges_of_any_size(spark, tmp_path, split):
+    """Documents over range edges, damage, a document that holds what looks like one, and documents of another form."""
+    inner = bson({"_id": ("date", 9), "type": 0, "doc": {"host": "inner"}})
+    docs = []
+    for i in range(12):
+        start = [1_700_000_000_000 + 1000 * (5 * i + k) for k in range(5)]
+        docs.append(chunk({"start": ("date", start[0]), "n": i}, [start, [i, i + 1, i, i, 2**40 + i]]))
+        if i % 3 == 0:
+            docs.append(bson({"_id": ("date", i), "type": 0, "doc": {"host": f"h{i}", "raw": inner + b"x" * 400}}))
+        if i == 5:
+            docs.append(bson({"type": 0, "doc": {"no": "id", "pad": "y" * 900}}))
+    (tmp_path / "good.bin").write_bytes(b"".join(docs))
+    (tmp_path / "damaged.bin").write_bytes(b"".join(docs[:4]) + b"\xff" * 300 + b"".join(docs[4:9]) + docs[9][:50])
+    (tmp_path / "plain.bin").write_bytes(b"".join(bson({"type": 0, "doc": {"k": i}}) for i in range(40)))
+    found = {}
+    for r in read_documents(spark, [str(tmp_path)], split).collect():
+        found.setdefault(r["file"].rsplit("/", 1)[1], []).append((r["chunk_no"], r["kind"], bytes(r["doc"])))
+    kinds = {name: [kind for _, kind, _ in sorted(rows)] for name, rows in found.items()}
+    assert [d for _, _, d in sorted(found["good.bin"])] == docs
+    assert [d for _, k, d in sorted(found["damaged.bin"]) if k >= 0] == docs[:9] and kinds["damaged.bin"].count(-1) == 2
+    assert kinds["plain.bin"] == [0] * 40 and all([n for n, _, _ in sorted(rows)] == list(range(len(rows))) for rows in found.values())
+    samples, metadata, rejects = decode_ftdc(spark, [str(tmp_path / "good.bin")], split)
+    assert (samples.count(), metadata.count(), rejects.count()) == (120, 5, 0)
+    assert samples.filter("array_join(path, '.') = 'n' and sample_no = 4").agg(F.sum("value")).first()[0] == 12 * 2**40 + 66
+
+
 def test_formats_change_inside_a_stack_file(spark, tmp_path):
     (tmp_path / "a.txt").write_text("main;k\n#format timestamp;stack\n1.5;main;f\n#format count;stack\n4;main;g\n")
     rows, rejects = read_stacks(spark, [str(tmp_path)])
