@@ -98,21 +98,23 @@ def ingest_logs(spark: SparkSession, paths: Sequence[str], options: IngestOption
         "short_name": short_name(F.col("infile"), o.name_pattern),
         "node_type": node_type(F.col("infile"), o.node_type),
     }
+    # Envelopes and documents are parsed once, into the shared folder and apart by outcome; all tables read what they need.
+    envelopes = structured.parse_envelopes(of("json")).withColumn("readable", F.col("ts").isNotNull())
     parsed = {
         "text": textlog.parse_text(of("text")),
-        "json": structured.parse_envelopes(of("json")),
+        "json": staged(envelopes, "envelopes", ("readable",)),
         "audit": audit.parse_audit(of("audit")),
         "search": audit.parse_search(of("search")),
         "syslog": textlog.parse_syslog(of("syslog"), o.default_year),
     }
     unreadable = [
-        p.filter(F.col("ts").isNull()).select("infile", "lineno", F.col("entry").alias("raw"), F.lit(f"unreadable {n} entry").alias("error"))
+        p.filter(~F.col("readable") if n == "json" else F.col("ts").isNull()).select("infile", "lineno", F.col("entry").alias("raw"), F.lit(f"unreadable {n} entry").alias("error"))
         for n, p in parsed.items()
     ]
     unreadable.append(
         routed.filter(F.col("format").isNull()).select("infile", "lineno", F.col("entry").alias("raw"), F.lit("unknown format").alias("error"))
     )
-    good = {n: p.filter(F.col("ts").isNotNull()) for n, p in parsed.items()}
+    good = {n: p.filter(F.col("readable") if n == "json" else F.col("ts").isNotNull()) for n, p in parsed.items()}
     headers = structured.log_headers(good["json"])
     hosts = stitched.per_block(staged(_block_hosts(good["json"], stitched.blocks), "block-hosts"))
 
@@ -124,8 +126,9 @@ def ingest_logs(spark: SparkSession, paths: Sequence[str], options: IngestOption
     hosted = {**base, "host": F.col("host")}
     lines_of_text = ranged(good["text"]).withColumn("host", F.lit(None).cast("string"))
     text, text_rejects = textlog.text_events(
-        lines_of_text.unionByName(ranged(good["syslog"])), hosted, o.older_writes, o.replication_ops
-    )
+        lines_of_text.unionByName(ranged(good["syslog"])), hosted, o.older_writes, o.replication_ops,
+        lambda rows, outcome: staged(rows, "text-documents", (outcome,)),
+    )
     events = [
         structured.structured_events(_with_host(ranged(good["json"]), hosts), hosted),
         text,

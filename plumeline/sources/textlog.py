@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from plumeline.functions import jsonpath as jp
@@ -159,14 +161,16 @@ def _shard_columns(body: Column, tokens: Column) -> dict[str, Column]:
 
 
 def text_events(
-    parsed: DataFrame, base: dict[str, Column], older_writes: bool = False, replication: bool = False
-) -> tuple[DataFrame, DataFrame]:
+    parsed: DataFrame, base: dict[str, Column], older_writes: bool = False, replication: bool = False,
+    once: Callable[[DataFrame, str], DataFrame] | None = None,
+) -> tuple[DataFrame, DataFrame]:
     """Log events of text entries, and the slow lines whose documents cannot be read.
 
     Components without a rule give no event.  With ``older_writes`` lines that
     name their query and update without a command document are read too, if
     their operation is one of ``OPERATIONS``.  With ``replication`` the details
-    of an applied operation are its parts.
+    of an applied operation are its parts.  ``once`` keeps the lines with their
+    documents, by whether they can be read, so that both results read it.
     """
     c, body = F.col("component"), F.col("body")
     slow_line = c.isin(*SLOW_COMPONENTS)
@@ -222,8 +226,11 @@ def text_events(
     broken = F.lit(False)
     for text, document in (("cmd_text", "cmd_json"), ("old.query", "old_query"), ("old.update", "old_update")):
         broken = broken | (F.col(text).isNotNull() & F.col(document).isNull())
-    rejects = rows.filter(broken)
-    rows = rows.filter(~broken)
+    rows = rows.withColumn("broken", broken)
+    if once:
+        rows = once(rows, "broken")
+    rejects = rows.filter("broken")
+    rows = rows.filter("NOT broken")
 
     command = F.when(F.col("cmd_text").isNotNull(), F.coalesce("cmd_word", "first_word")).when(F.col("old").isNotNull(), F.col("first_word"))
     own = jp.filter_of(command, F.col("cmd_json"))

@@ -338,3 +338,22 @@ def test_older_writes_end_rule_and_replication(spark, tmp_path):
     assert json.loads(rows[2]["attr"]) == {"q": {"_id": 3, "n": "a"}, "u": {"$set": {"b": 1}}}
     assert json.loads(rows[4]["details"])["update"] == "{ $set: { x: 1 } }"
     assert [(r["lineno"], r["error"]) for r in out.rejects.collect()] == [(3, "unreadable document")]
+
+
+def test_a_batch_can_be_repeated_and_is_parsed_once(spark, tmp_path):
+    (tmp_path / "a.log").write_text("\n".join(JSON_LINES) + "\n" + OLDER.replace("WRITE    [conn15] update", "COMMAND  [conn15] command") + '{"t":{"$date":"2024-0\n')
+    (tmp_path / "b.log").write_text(JSON_LINES[4] + "\n")
+    lake = str(tmp_path / "lake")
+    first = ingest_logs(spark, [str(tmp_path / "a.log")])
+    for frame in (first.events, first.headers, first.rejects):
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        assert "from_json(StructField(t,StructType" not in plan
+    assert "ArrowEvalPython" not in first.rejects._jdf.queryExecution().executedPlan().toString()
+    seen = []
+    for run in range(2):
+        write_ingested(first if run == 0 else ingest_logs(spark, [str(tmp_path / "a.log")]), lake, "monday")
+        write_ingested(ingest_logs(spark, [str(tmp_path / "b.log")]), lake, "tuesday")
+        seen.append([sorted(map(str, spark.read.parquet(f"{lake}/{t}").select("infile", "batch").collect())) for t in ("events", "headers", "rejects")])
+    assert seen[0] == seen[1] and "tuesday" in str(seen[0][0]) and seen[0][2]
+    with pytest.raises(ValueError):
+        write_ingested(first, lake, "a/b")
