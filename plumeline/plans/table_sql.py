@@ -96,11 +96,11 @@ inc AS (
 )"""
 
 _TREE = """
-leaf AS (
+leaf AS MATERIALIZED (
   SELECT CAST(year(l_shipdate) AS DOUBLE) AS ts, 'flag_' || l_returnflag AS a, 'status_' || l_linestatus AS b,
          'line_' || CAST(l_linenumber AS VARCHAR) AS c, sum(l_quantity) AS w
   FROM lineitem GROUP BY ALL
-), tree AS (
+), tree AS MATERIALIZED (
   SELECT ts, '' AS node, 0 AS depth, sum(w) AS weight FROM leaf GROUP BY ts
   UNION ALL SELECT ts, a, 1, sum(w) FROM leaf GROUP BY ts, a
   UNION ALL SELECT ts, a || '/' || b, 2, sum(w) FROM leaf GROUP BY ts, a, b
@@ -422,17 +422,17 @@ SELECT shape, has_ne, count(*) AS cnt, CAST(sum(n) AS BIGINT) AS n_params, CAST(
     "sort_shape": """
 SELECT '{a: 1,b: {$in: [3]},c: {$x: {}},d: {$meta: 1}}' AS shape, count(*) AS cnt FROM events""",
     "tree_rollup": f"WITH {_TREE} SELECT * FROM tree",
-    "tree_share": f"""WITH {_TREE}, root AS (SELECT ts, weight AS r FROM tree WHERE depth = 0)
-SELECT tree.ts AS ts, node, round(weight / r, 9) AS share FROM tree JOIN root ON tree.ts = root.ts""",
-    "tree_prune": f"""WITH {_TREE}, rev AS (
+    # The root's weight by a window: no join has to be planned.
+    "tree_share": f"""WITH {_TREE}
+SELECT ts, node, round(weight / max(CASE WHEN depth = 0 THEN weight END) OVER (PARTITION BY ts), 9) AS share FROM tree""",
+    "tree_prune": f"""WITH {_TREE}, rev AS MATERIALIZED (
   SELECT ts, '' AS node, sum(w) AS weight FROM leaf GROUP BY ts
   UNION ALL SELECT ts, 'LEAF', sum(w) FROM leaf GROUP BY ts
   UNION ALL SELECT ts, 'LEAF/' || c, sum(w) FROM leaf GROUP BY ts, c
   UNION ALL SELECT ts, 'LEAF/' || c || '/' || b, sum(w) FROM leaf GROUP BY ts, b, c
   UNION ALL SELECT ts, 'LEAF/' || c || '/' || b || '/' || a, sum(w) FROM leaf GROUP BY ts, a, b, c),
-root AS (SELECT ts, weight AS r FROM rev WHERE node = ''),
-keep AS (SELECT node FROM rev JOIN root ON rev.ts = root.ts GROUP BY node HAVING max(weight / r) >= 0.08)
-SELECT ts, node, weight FROM rev WHERE node IN (SELECT node FROM keep)""",
+shares AS (SELECT *, weight / max(CASE WHEN node = '' THEN weight END) OVER (PARTITION BY ts) AS share FROM rev)
+SELECT ts, node, weight FROM shares QUALIFY max(share) OVER (PARTITION BY node) >= 0.08""",
     "tree_order": f"""WITH {_TREE}, nodes AS (SELECT node, depth, sum(weight) AS total FROM tree GROUP BY node, depth),
 k AS (SELECT n.*, split_part(node, '/', 1) AS a, split_part(node, '/', 1) || '/' || split_part(node, '/', 2) AS ab FROM nodes n WHERE depth > 0),
 j AS (SELECT k.node, k.depth, k.total, na.total AS ta, k.a AS a, nb.total AS tb, k.ab AS ab FROM k JOIN nodes na ON na.node = k.a
