@@ -5,7 +5,7 @@ Files are cut into ranges much smaller than they are, so entries, lines and docu
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from plumeline.operators import metrics as mt
 from plumeline.plans.ingest import IngestOptions, Ingested, ingest_logs
@@ -13,8 +13,9 @@ from plumeline.plans.log_tables import _event_values, _order_values, _stamp, fil
 from plumeline.plans.tables import prop_k, read
 from plumeline.session import scratch_path
 from plumeline.sinks.archive import archive_chunks, write_archive
-from plumeline.sources.ftdc import decode_ftdc
-from plumeline.sources.lines import read_lines, number_lines, short_name, stitch_files
+from plumeline.sources.ftdc import decode_ftdc, read_metrics
+from plumeline.sources.lines import number_lines, read_lines, short_name, stitch_files
+from plumeline.sources.stacks import read_stacks
 
 #: Entries of a log file, bytes of a range, samples of a chunk (at most).
 FILE_ENTRIES, RANGE_BYTES, ARCHIVE_RANGE_BYTES = 20_000, 64 << 10, 32 << 10
@@ -157,10 +158,41 @@ def archive_increments(spark: SparkSession, sf: str) -> DataFrame:
     return best.select(short_name(F.col("file")).alias("file"), F.array_join("path", ".").alias("path"), "max_inc", _stamp("max_ts").alias("max_ts"))
 
 
+# Profiles and status files --------------------------------------------------------------------------------------------
+
+
+def stack_samples(spark: SparkSession, sf: str) -> DataFrame:
+    """Events as stack files: directives at the begin of a file, and one sample in a thousand in another format, from the dictionary."""
+    n = F.col("event_id")
+    plain = fill("<n>;<k>;main;<kind>(int);u<u>", **_event_values(), kind=F.col("event_type"))
+    named = fill("#format timestamp;time;stack-id\n<n>;<k>;7", **_event_values())
+    head = F.lit("#format timestamp;count;stack\n")
+    entry = F.when(n % 1000 == 500, named).when(n % FILE_ENTRIES == 0, F.concat(head, F.lit("#stack 7 main;dict;seven\n"), plain))
+    entry = entry.when(n % 1000 == 501, F.concat(head, plain)).otherwise(plain)
+    path = scratch_path(spark, "rendered_stacks")
+    _write_lines(read(spark, sf, "events"), "event_id", entry, path)
+    samples, rejects = read_stacks(spark, [f"{path}/file=*"])
+    found = samples.select(short_name(F.col("file"), _FILE).cast("bigint").alias("file"), "ts", F.array_join("stack", "/").alias("stack"), "weight", "is_time")
+    # No line may be refused.
+    return found.unionByName(rejects.select(F.col("raw").alias("stack")), allowMissingColumns=True)
+
+
+def status_samples(spark: SparkSession, sf: str) -> DataFrame:
+    """Events as status documents, one on a line."""
+    entry = fill('{"localTime":"<at>Z","a":{"b":{"floatApprox":<k>},"c":<d>.5,"s":"x"},"up":true}', **_event_values())
+    path = scratch_path(spark, "rendered_status")
+    _write_lines(read(spark, sf, "events"), "event_id", entry, path)
+    samples = read_metrics(spark, [f"{path}/file=*"])
+    return samples.select(
+        short_name(F.col("file"), _FILE).cast("bigint").alias("file"), "chunk_no", "sample_no", F.array_join("path", ".").alias("path"), _stamp("ts").alias("ts"), "value"
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         ingest_events, ingest_headers, ingest_rejects, stitched_by_end, numbered_lines,
         archive_samples, archive_metadata, archive_metric_keys, archive_first_samples, archive_increments,
+        stack_samples, status_samples,
     )
 }

@@ -65,4 +65,12 @@ FROM (SELECT *, unnest(range(1, n_lines + 1)) AS i FROM placed)""",
 steps AS (SELECT *, value - lag(value) OVER (PARTITION BY file, chunk_no, path ORDER BY sample_no) AS inc FROM samples)
 SELECT file, path, max(inc) AS max_inc, max(ts) FILTER (inc = most) AS max_ts
 FROM (SELECT *, max(inc) OVER (PARTITION BY file, path) AS most FROM steps) WHERE inc > 0 GROUP BY file, path""",
+    "stack_samples": f"""WITH {_EVENTS}
+SELECT n // 20000 AS file, CAST(n AS DOUBLE) AS ts, CASE WHEN n % 1000 = 500 THEN 'main/dict/seven' ELSE 'main/' || event_type || '/u' || u END AS stack,
+  CAST(k AS DOUBLE) AS weight, n % 1000 = 500 AS is_time FROM e""",
+    "status_samples": f"""WITH {_EVENTS},
+placed AS (SELECT *, n // 20000 AS file, row_number() OVER (PARTITION BY n // 20000 ORDER BY n) - 1 AS i FROM e)
+SELECT file, CAST(i // 100 AS INT) AS chunk_no, CAST(i % 100 AS INT) AS sample_no, x.path AS path, stamp AS ts, x.value AS value
+FROM (SELECT *, unnest([
+  {{'path': 'serverStatus.a.b', 'value': k}}, {{'path': 'serverStatus.a.c', 'value': d}}, {{'path': 'serverStatus.up', 'value': 1}}]) AS x FROM placed)""",
 }

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from plumeline.functions.flatten import walk_json
 from plumeline.functions.text import clean_function_name
 from plumeline.operators.lookups import with_dictionary
+from plumeline.operators.running import LastValue, with_running
 from plumeline.sources.lines import UTF8, number_lines, read_lines
 
 # Directives and field names of a stack file.
@@ -27,8 +28,7 @@ def read_stacks(
     lines = number_lines(read_lines(spark, paths, UTF8)).withColumn("value", F.rtrim("value"))
     directive = F.col("value").startswith("#")
     given = F.when(F.col("value").startswith(FORMAT), F.split(F.regexp_extract("value", r"^#format\s+(.*)$", 1), ";"))
-    along = Window.partitionBy("infile").orderBy("lineno").rowsBetween(Window.unboundedPreceding, 0)
-    lines = lines.withColumn("fmt", F.last(given, ignorenulls=True).over(along))
+    lines = with_running(lines, ["infile"], ["lineno"], F.col("block"), [LastValue(given, "fmt")])
     names = r"^#stack\s+(\S+)\s+(.*)$"
     dictionary = lines.filter(F.col("value").rlike(names)).select(
         "infile",
