@@ -166,7 +166,8 @@ def _pair(buckets: int):
                 seq, bucket, cell, count = pair_up(_unpacked(batch.column("seq")[k].as_py()), np.asarray(codes, np.int64), np.asarray(ids, np.int64), buckets)
                 number = batch.column("batch")[k].as_py()
                 first = np.flatnonzero(np.diff(bucket, prepend=-1))
-                parts = [pack_cells(cell[lo:hi], count[lo:hi]) for lo, hi in zip(first, np.append(first[1:], len(cell)), strict=True)]
+                ends = np.append(first, len(cell))[1:]
+                parts = [pack_cells(cell[lo:hi], count[lo:hi]) for lo, hi in zip(first, ends, strict=True)]
                 columns = [pa.array([number] * len(first), pa.int64()), pa.array(bucket[first]), pa.array(first, pa.int32()), pa.array(parts, pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names)
                 # The sequence itself is a row without bucket.
