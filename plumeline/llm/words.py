@@ -113,3 +113,14 @@ def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
 def lower_ascii(buf: np.ndarray) -> np.ndarray:
     """A to Z in lower case, all other bytes unchanged."""
     return np.where((buf >= 65) & (buf <= 90), buf + np.uint8(32), buf)
+
+
+def free_names(taken, *names: str) -> list[str]:
+    """``names``, each with as many underscores in front as it needs to be none of ``taken``; case is ignored."""
+    lower = {t.lower() for t in taken}
+    out = []
+    for name in names:
+        while name.lower() in lower:
+            name = f"_{name}"
+        out.append(name)
+    return out
