@@ -277,7 +277,7 @@ def _passages(items: Items, seeds, least: float):
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, least: float = 0.5, size: int = SEED_WORDS) -> DataFrame:
     """The documents without any contaminated passage, with all their columns."""
-    name = "__scanned"
+    (name,) = W.free_names(docs.columns, "scanned")
     for block in _blocks(benchmark):
         items, seeds = _prepared(docs, block, size)
         keyed = docs.withColumn(name, F.col("text").cast("string"))

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from plumeline.llm import words as W
 from plumeline.llm.toxicity import labelled_sample
@@ -181,19 +181,23 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", class_rows
 
 def with_chars(docs: DataFrame) -> DataFrame:
     """``n_chars`` as a number; computed from the text where the table has none."""
+    return docs.withColumn("n_chars", _chars(docs))
+
+
+def _chars(docs: DataFrame) -> Column:
     if "n_chars" in docs.columns:
-        return docs.withColumn("n_chars", F.col("n_chars").cast("bigint"))
-    return docs.withColumn("n_chars", F.length(F.col("text").cast("string")).cast("bigint"))
+        return F.col("n_chars").try_cast("bigint")
+    return F.length(F.col("text").cast("string")).cast("bigint")
 
 
-def _score(machine: Machine, carry: list[str], name: str):
+def _score(machine: Machine, carry: list[str], name: str, text: str, size: str):
     small = Machine(machine.bias, machine.weights.astype(np.float32), machine.factors.astype(np.float32), machine.mean, machine.deviation)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = np.zeros(batch.num_rows)
-            chars = batch.column("__chars").fill_null(0).to_numpy()
-            buf, offsets = W.text_buffer(batch.column("__text"))
+            chars = batch.column(size).fill_null(0).to_numpy()
+            buf, offsets = W.text_buffer(batch.column(text))
             for lo, hi, part, offs in W.groups(buf, offsets):
                 out[lo:hi] = small.margins(*features(part, offs, chars[lo:hi]))
             score = 1 / (1 + np.exp(-np.clip(out, -40, 40)))
@@ -204,12 +208,13 @@ def _score(machine: Machine, carry: list[str], name: str):
 
 def score(docs: DataFrame, machine: Machine, carry: tuple[str, ...] = ("doc_id",), name: str = "score") -> DataFrame:
     """``carry`` and the score (0 to 1) of every row; null and empty texts have no words."""
-    known = with_chars(docs)
-    rows = known.select(*carry, F.col("text").cast("string").alias("__text"), F.col("n_chars").alias("__chars"))
+    text, size = W.free_names(carry, "whole_text", "text_size")
+    rows = docs.select(*carry, F.col("text").cast("string").alias(text), _chars(docs).alias(size))
     kept = [f for f in rows.schema if f.name in carry]
-    return rows.mapInArrow(_score(machine, list(carry), name), T.StructType([*kept, T.StructField(name, T.DoubleType())]))
+    return rows.mapInArrow(_score(machine, list(carry), name, text, size), T.StructType([*kept, T.StructField(name, T.DoubleType())]))
 
 
 def good_documents(docs: DataFrame, machine: Machine, least: float = 0.5) -> DataFrame:
     """The rows of ``docs`` that score ``least`` or more, with all their columns."""
-    return score(docs, machine, tuple(docs.columns), "__score").filter(F.col("__score") >= least).drop("__score")
+    (name,) = W.free_names(docs.columns, "quality_score")
+    return score(docs, machine, tuple(docs.columns), name).filter(F.col(name) >= least).drop(name)

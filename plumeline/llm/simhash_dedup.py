@@ -153,7 +153,8 @@ def keep_one(docs: DataFrame, size: int = SHINGLE, distance: int = 3) -> DataFra
     Documents without id are no smaller than any other, and are kept once for each text.
     """
     groups = near_duplicates(docs, size, distance)
-    dropped = groups.filter("doc_id <> component_id").select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__dropped")).distinct()
-    keyed = docs.withColumn("__text", F.xxhash64(docs["text"].cast("string")))
-    kept = keyed.join(dropped, (keyed["doc_id"].cast("bigint") == F.col("__id")) & (F.col("__text") == F.col("__dropped")), "left_anti")
-    return kept.dropDuplicates(["doc_id", "__text"]).select(*docs.columns)
+    id_, text, dropped_id, dropped_text = W.free_names(docs.columns, "id_of_row", "key_of_text", "dropped_id", "dropped_text")
+    dropped = groups.filter("doc_id <> component_id").select(F.col("doc_id").alias(dropped_id), F.col("text_key").alias(dropped_text)).distinct()
+    keyed = docs.withColumns({id_: docs["doc_id"].cast("bigint"), text: F.xxhash64(docs["text"].cast("string"))})
+    kept = keyed.join(dropped, (keyed[id_] == dropped[dropped_id]) & (keyed[text] == dropped[dropped_text]), "left_anti")
+    return kept.dropDuplicates(["doc_id", text]).select(*docs.columns)

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from plumeline.llm import words as W
 from plumeline.session import staged
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -107,13 +108,14 @@ def mixed_rows(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), repeats: i
     times = plan.groupBy("doc_id", "source", "text_key").agg(
         F.sum(F.ceil(F.try_divide("taken", "size"))).cast("bigint").alias("n_times"), F.count("*").alias("n_equal")
     )
-    keyed = docs.withColumn("__key", F.coalesce(F.md5(F.col("text").cast("string")), F.lit("")))
+    key, id_, source, text_key, n_times, copy = W.free_names(docs.columns, "mix_key", "mix_id", "mix_source", "mix_text", "mix_times", "mix_copy")
+    keyed = docs.withColumn(key, F.coalesce(F.md5(F.col("text").cast("string")), F.lit("")))
     one = times.select(
-        F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("text_key").alias("__text_key"),
-        F.ceil(F.col("n_times") / F.col("n_equal")).cast("int").alias("__times"),
-    ).filter("__times > 0")
+        F.col("doc_id").alias(id_), F.col("source").alias(source), F.col("text_key").alias(text_key),
+        F.ceil(F.col("n_times") / F.col("n_equal")).cast("int").alias(n_times),
+    ).filter(F.col(n_times) > 0)
     met = keyed.join(
         one,
-        F.col("__id").eqNullSafe(keyed["doc_id"].cast("bigint")) & F.col("__source").eqNullSafe(keyed["source"].cast("string")) & (F.col("__text_key") == keyed["__key"]),
+        F.col(id_).eqNullSafe(keyed["doc_id"].cast("bigint")) & F.col(source).eqNullSafe(keyed["source"].cast("string")) & (F.col(text_key) == keyed[key]),
     )
-    return met.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*docs.columns)
+    return met.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(n_times)))).select(*docs.columns)
