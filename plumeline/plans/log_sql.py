@@ -73,6 +73,21 @@ SELECT infile, n AS lineno,
   {_t({0: "v", 1: "v"})} AS duration_millis, {_t({0: "true"})} AS has_sort_stage,
   {_t({0: "CASE WHEN c <> 0 THEN round(v / CAST(c AS DOUBLE), 6) END", 1: "3.0"})} AS ratio, {_t({0: "c"})} AS wait_micros, {_t({6: "p"})} AS new_value
 FROM o WHERE n % 9 NOT IN (7, 8)""",
+    "sharding_messages": f"""WITH {_EVENTS},
+kinds AS (SELECT * FROM (VALUES
+  (0, 'status', NULL, NULL), (1, 'spltLookup', 6, NULL),
+  (2, 'updMeta', 4, [['newCollection', '15'], ['newShard', '18'], ['oldCollection', '8'], ['oldShard', '11']]),
+  (3, 'succeeded', NULL, [['newCollection', '7']]), (4, 'entered critical', NULL, NULL), (5, 'log', NULL, NULL),
+  (6, 'autosplit', 1, [['lastmod', '6'], ['maxChunkSize', '13'], ['nParts', '10'], ['shard', '4']]),
+  (7, 'findAuto', 6, [['numSplits', '12'], ['time', '15']]), (8, 'noDoc', 6, NULL), (9, 'waitRepl', NULL, NULL), (10, 'waitMaj', 8, NULL),
+  (11, 'migComm', 7, NULL), (12, 'finDel', 4, NULL), (13, 'finDel', 2, NULL), (14, 'findAuto', 3, NULL), (15, 'startMig', 4, NULL),
+  (16, 'queryPoss', 4, NULL), (17, 'schedDef', 4, NULL), (18, 'delSched', 2, NULL), (19, 'findAuto', 3, NULL), (20, 'repSucc', NULL, NULL),
+  (21, 'schedDel', 6, NULL), (22, 'startRec', 12, [['epoch', '17'], ['source', '14']]), (23, 'updConfigSet', NULL, [['cluster', '6']]),
+  (24, 'Somenewkind', NULL, NULL)) x(kind, op, place, marks))
+SELECT infile, n AS lineno, op AS shard_op, 't' || place || 'x' || u AS collection,
+  CASE WHEN kind = 0 THEN 'docsLeft=' || n || ';memUsed=' || k
+       ELSE array_to_string(list_transform(marks, lambda m: m[1] || '=t' || m[2] || 'x' || u), ';') END AS stats
+FROM e JOIN kinds ON n % 25 = kind""",
     "log_rejects": f"""WITH {_EVENTS}, {_ORDERS}
 SELECT infile, n AS lineno, 'unreadable json entry' AS error FROM e WHERE n % 8 = 7
 UNION ALL SELECT infile, n, 'unreadable document' FROM o WHERE n % 9 = 7

@@ -178,6 +178,21 @@ def text_log_events(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def sharding_messages(spark: SparkSession, sf: str) -> DataFrame:
+    """Events as lines of every kind of sharding message and of an unknown one; the words of a line are numbered."""
+    starts = [words for words, *_ in textlog.SHARD_MESSAGES] + ["Some new kind"]
+    bodies = []
+    for words in starts:
+        first = len(words.split())
+        bodies.append(f"{words} " + " ".join(f"t{i}x<u>" for i in range(first, 20)))
+    bodies[0] = "moveChunk data transfer progress: mem used: <k> documents remaining to clone: <n>"
+    line = _choice(F.col("event_id") % len(bodies), [f"<at>-0000 I SHARDING [conn<u>] {body}" for body in bodies], _event_values())
+    parsed = textlog.parse_text(_placed(read(spark, sf, "events"), F.col("event_id"), line)).filter("ts IS NOT NULL")
+    events, _ = textlog.text_events(parsed.withColumn("host", F.lit(None).cast("string")), _base())
+    stats = F.array_sort(F.transform(F.map_entries("stats"), lambda e: F.concat_ws("=", e["key"], e["value"])))
+    return events.select("infile", "lineno", "shard_op", "collection", F.array_join(stats, ";").alias("stats"))
+
+
 def log_rejects(spark: SparkSession, sf: str) -> DataFrame:
     """What no reader could take: damaged envelopes, lines without time, unreadable documents."""
     text = textlog.parse_text(text_entries(spark, sf))
@@ -354,7 +369,7 @@ def dominant_types(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        json_log_events, oversize_messages, log_headers, text_log_events, log_rejects, syslog_events, audit_events, search_events,
+        json_log_events, oversize_messages, log_headers, text_log_events, sharding_messages, log_rejects, syslog_events, audit_events, search_events,
         normalise_commands, normalise_updates, extract_parameters, update_by_key, update_repeated, update_stored, profile_tree, sample_documents, dominant_types,
     )
 }
