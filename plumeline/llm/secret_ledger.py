@@ -48,12 +48,12 @@ MORE_RULES = (
     Rule("web_token", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
     Rule("hosting_token", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("chat_token", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
-    Rule("url_login", r"://[^\s:/@]{1,64}:[^\s:/@]{3,64}@"),
+    Rule("url_login", r"://[^\s:/@]+:[^\s:/@]{3,}@"),
 )
 
 
 def spans_of(rule: Rule, text: str = "text") -> Column:
-    """All spans of ``rule`` in a text column, in order, as ``array<struct<rule, start, stop>>``."""
+    """All spans of ``rule`` in a text column, in order, as ``array<struct<rule, start, stop>>``; ``rule`` has the version."""
     pattern = F.lit(rule.pattern)
     matches = F.regexp_extract_all(F.col(text), pattern, F.lit(0))
     if rule.group:
@@ -67,7 +67,7 @@ def spans_of(rule: Rule, text: str = "text") -> Column:
         # A lambda variable can only reach locate() through its call by name.
         at = F.call_function("locate", hit["match"], F.col(text), state["at"])
         stop = at + F.length(hit["match"])
-        span = F.struct(F.lit(rule.name).alias("rule"), (at - 1).cast("bigint").alias("start"), (stop - 1).cast("bigint").alias("stop"))
+        span = F.struct(F.lit(rule.key).alias("rule"), (at - 1).cast("bigint").alias("start"), (stop - 1).cast("bigint").alias("stop"))
         spans = F.when(hit["size"] >= rule.least, F.concat(F.coalesce(state["spans"], F.array().cast(f"array<{SPAN}>")), F.array(span))).otherwise(state["spans"])
         return F.struct(stop.alias("at"), spans.alias("spans"))
 
@@ -118,14 +118,15 @@ def update_ledger(versions: DataFrame, path: str, rules: tuple[Rule, ...] = BASE
 def findings(versions: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = BASE_RULES + MORE_RULES) -> DataFrame:
     """All columns of ``versions`` but the text, with ``blob`` and the ``spans`` of the current rules in order.
 
-    Spans are ordered by start, then by the order of ``rules``.  A null or empty text has no spans.
+    What an older version of a rule found does not count.  Spans are ordered by start, then by the order of ``rules``.  A null or empty text has no spans.
     """
-    names = F.array(*[F.lit(r.name) for r in rules])
+    keys, names = F.array(*[F.lit(r.key) for r in rules]), F.array(*[F.lit(r.name) for r in rules])
+    rank = F.array_position(keys, F.col("s.rule"))
     hits = (
         ledger.filter(F.size("spans") > 0)
         .select("blob", F.explode("spans").alias("s"))
-        .filter(F.array_contains(names, F.col("s.rule")))
-        .select("blob", F.struct(F.col("s.start").alias("start"), F.array_position(names, F.col("s.rule")).alias("rank"), F.col("s.rule").alias("rule"), F.col("s.stop").alias("stop")).alias("s"))
+        .filter(F.array_contains(keys, F.col("s.rule")))
+        .select("blob", F.struct(F.col("s.start").alias("start"), rank.alias("rank"), F.get(names, rank.cast("int") - 1).alias("rule"), F.col("s.stop").alias("stop")).alias("s"))
         .groupBy("blob")
         .agg(F.array_sort(F.collect_set("s")).alias("spans"))
     )

@@ -163,3 +163,7 @@ def test_ledger_scans_only_what_it_lacks(spark, tmp_path):
     todo = sec.unseen(second, sec.read_ledger(spark, path), newer).collect()
     assert len(todo) == 3 and all(r["missing"] == ["hex@2"] for r in todo)
     assert sec.update_ledger(second.limit(0), path, newer).count() == 3
+    # A newer rule that finds less: what the older version found is gone.
+    stricter = (rules[0], sec.Rule("access", "AKIA[0-9]{12,}", version=2), rules[2])
+    found = {(r["path"], r["version"]): r["spans"] for r in sec.findings(second, sec.update_ledger(second, path, stricter), stricter).collect()}
+    assert found["c", 2] == [] and [s["rule"] for s in found["a", 1]] == ["assign"]
