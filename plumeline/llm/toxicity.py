@@ -45,29 +45,43 @@ def code_points(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return np.frombuffer(raw.tobytes().decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), np.uint32), heads[offsets]
 
 
-def gram_features(points: np.ndarray, first: np.ndarray, keep: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """``(document, feature)``, each pair once and in order; just features with ``keep`` set, if given."""
+def _rolled(points: np.ndarray):
+    """``(n, features)`` of the n-grams that begin at every place, for each size n; the last n - 1 reach over the end."""
     values = points.astype(np.uint64)
-    stop = np.repeat(first[1:], np.diff(first))
     rolling = np.zeros(len(values), np.uint64)
-    pairs = []
-    size = 0
     for n in range(1, max(GRAMS) + 1):
-        shifted = np.zeros(len(values), np.uint64)
-        shifted[: max(len(values) - n + 1, 0)] = values[n - 1 :]
-        rolling = rolling * np.uint64(_STEP) + shifted
+        rolling *= np.uint64(_STEP)
+        rolling[: max(len(values) - n + 1, 0)] += values[n - 1 :]
         if n in GRAMS:
-            size += 1
-            feature = (W.mix(rolling, n) >> np.uint64(64 - BITS)).astype(np.int64)
-            use = np.arange(len(values)) + n <= stop
-            if keep is not None:
-                use &= keep[feature]
-            at = np.flatnonzero(use)
-            pairs.append((np.searchsorted(first, at, "right") - 1 << BITS) | feature[at])
+            yield n, (W.mix(rolling, n) >> np.uint64(64 - BITS)).astype(np.int32)
+
+
+def gram_features(points: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``(document, feature)``, each pair once and in order."""
+    stop = np.repeat(first[1:], np.diff(first))
+    pairs = []
+    for n, feature in _rolled(points):
+        at = np.flatnonzero(np.arange(len(points)) + n <= stop)
+        pairs.append((np.searchsorted(first, at, "right") - 1 << BITS) | feature[at].astype(np.int64))
     both = np.unique(np.concatenate(pairs)) if pairs else np.zeros(0, np.int64)
     return both >> BITS, both & ((1 << BITS) - 1)
 
 
+def summed_weights(points: np.ndarray, first: np.ndarray, weights: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """The sum of the weights of each document's features, each feature once; ``place`` is room for a number a feature.
+
+    Writing the places of a document's n-grams by feature leaves the last one of each: those are the features, without a sort.
+    """
+    rolled = list(_rolled(points))
+    out = np.zeros(len(first) - 1)
+    for d, (lo, hi) in enumerate(zip(first[:-1].tolist(), first[1:].tolist(), strict=True)):
+        found = np.concatenate([feature[lo : max(hi - n + 1, lo)] for n, feature in rolled])
+        at = np.arange(len(found), dtype=np.int32)
+        place[found] = at
+        out[d] = weights[found[place[found] == at]].sum()
+    return out
+
+
 def fold(column: str, parts: int) -> Column:
     """crc32 of an id as text, modulo ``parts``; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % parts
@@ -242,15 +256,13 @@ def _score(model: Model, carry: list[str], name: str):
     values, bias = model.weights[used], model.bias
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights = np.zeros(1 << BITS, np.float64)
+        weights, place = np.zeros(1 << BITS, np.float64), np.zeros(1 << BITS, np.int32)
         weights[used] = values
-        keep = weights != 0
         for batch in batches:
             out = np.full(batch.num_rows, bias)
             buf, offsets = W.text_buffer(batch.column("__text"))
             for lo, hi, part, offs in W.groups(buf, offsets):
-                doc, feature = gram_features(*code_points(part, offs), keep)
-                out[lo:hi] += np.bincount(doc, weights[feature], hi - lo)
+                out[lo:hi] += summed_weights(*code_points(part, offs), weights, place)
             score = 1 / (1 + np.exp(-np.clip(out, -40, 40)))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in carry), pa.array(score)], [*carry, name])
 
