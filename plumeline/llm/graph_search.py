@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from plumeline.session import staged
+from plumeline.session import scratch_path, staged
 
 SHARD_NODES = 4096
 DEGREE = 32
@@ -210,13 +210,17 @@ def nearest(index: DataFrame, queries: DataFrame, k: int = 10, beam: int = SEARC
     """
     rows = usable(queries)
     blocks = rows.count() // QUERY_BLOCK + 1
-    found = index.sparkSession.createDataFrame([], "query_id long, vec_id long, score double")
+    spark, schema = index.sparkSession, "query_id long, vec_id long, score double"
+    path = scratch_path(spark, "nearest")
+    spark.createDataFrame([], schema).write.parquet(path)
     for number in range(blocks):
         block = rows.filter(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == number).withColumn("dim", F.size("vector")).toArrow()
         for dim in set(block.column("dim").to_pylist()):
             part = block.filter(pa.compute.equal(block.column("dim"), dim)).combine_chunks()
             vectors = np.asarray(part.column("vector").combine_chunks().flatten(), np.float32).reshape(-1, dim)
             ids = part.column("vec_id").to_numpy()
-            found = found.unionByName(index.mapInArrow(_search(ids, vectors, k, beam), "query_id long, vec_id long, score double"))
+            # Written before the next block is read: the driver holds one.
+            index.mapInArrow(_search(ids, vectors, k, beam), schema).write.mode("append").parquet(path)
+    found = spark.read.parquet(path)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return found.distinct().withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
