@@ -7,7 +7,9 @@ document.  Files must lie where ``pyarrow.fs`` can open them (local or mounted f
 
 from __future__ import annotations
 
+import itertools
 import json
+import operator
 import struct
 import zlib
 from collections.abc import Iterator, Sequence
@@ -25,9 +27,12 @@ SMALLEST_DOCUMENT = 5
 
 #: Schemes that tasks can open.
 OPENED = ("file", "hdfs", "s3", "s3a", "gs", "gcs", "abfs", "abfss")
-#: Bytes of a range, of one read, of text inflated at once, and of a batch of lines.
+#: Bytes of a range, of ranges that one task reads if they are smaller, of one read, of the first look for a line end, of
+#: text inflated at once, and of a batch of lines.
 SPLIT_BYTES = 128 << 20
+TASK_BYTES = 4 << 20
 READ_BYTES = 1 << 20
+LOOK_BYTES = 4 << 10
 INFLATE_BYTES = 1 << 20
 BATCH_BYTES = 4 << 20
 
@@ -71,19 +76,20 @@ class Range(InputPartition):
         self.parts = tuple(parts)
 
 
-def cut_ranges(files: Sequence[tuple[str, int]], split: int) -> list[Range]:
-    """Files cut at multiples of ``split``; small files and ends share a task."""
-    out, held, room = [], [], split
+def cut_ranges(files: Sequence[tuple[str, int]], split: int, task: int = 0) -> list[Range]:
+    """Files cut at multiples of ``split``; small files and ends, or ranges up to ``task`` bytes, share a task."""
+    task = max(split, task)
+    out, held, room = [], [], task
     for uri, size in files:
         for start in range(0, max(size, 1), split):
             part = (uri, start, min(start + split, size), size)
             length = part[2] - part[1]
             if held and length > room:
                 out.append(Range(held))
-                held, room = [], split
+                held, room = [], task
             held.append(part)
             # A file costs something to open, however small it is.
-            room -= max(length, split // 1000)
+            room -= max(length, task // 1000)
     return [*out, Range(held)] if held else out
 
 
@@ -152,14 +158,15 @@ def range_lines(stream, start: int, stop: int, size: int) -> Iterator[list[bytes
         at = start
         if start:
             # The line that reaches over the start belongs to the range before, unless it ends just there.
-            at = start - 1
+            at, look = start - 1, LOOK_BYTES
             stream.seek(at)
             while at < size:
-                piece = stream.read(min(READ_BYTES, size - at))
+                piece = stream.read(min(look, size - at))
                 cut = piece.find(b"\n")
                 at += len(piece) if cut < 0 else cut + 1
                 if cut >= 0:
                     break
+                look = min(4 * look, READ_BYTES)
         stream.seek(at)
         while at < stop:
             piece = stream.read(min(READ_BYTES, stop - at))
@@ -169,30 +176,32 @@ def range_lines(stream, start: int, stop: int, size: int) -> Iterator[list[bytes
             yield piece
             if at >= stop and not piece.endswith(b"\n"):
                 # The last line goes on behind the range.
-                while piece := stream.read(READ_BYTES):
+                look = LOOK_BYTES
+                while piece := stream.read(look):
                     cut = piece.find(b"\n")
                     if cut >= 0:
                         yield piece[: cut + 1]
                         return
                     yield piece
+                    look = min(4 * look, READ_BYTES)
 
     yield from _split_lines(texts())
 
 
 def _line_batches(parts) -> Iterator[pa.RecordBatch]:
-    for uri, start, stop, size in parts:
-        if start >= stop:
-            continue
+    # A file is opened once for all of its ranges that follow each other.
+    for uri, ranges in itertools.groupby((p for p in parts if p[1] < p[2]), operator.itemgetter(0)):
         with _open(uri) as stream:
-            held, room = [], BATCH_BYTES
-            for lines in range_lines(stream, start, stop, size):
-                held += lines
-                room -= sum(map(len, lines))
-                if room <= 0:
+            for _, start, stop, size in ranges:
+                held, room = [], BATCH_BYTES
+                for lines in range_lines(stream, start, stop, size):
+                    held += lines
+                    room -= sum(map(len, lines))
+                    if room <= 0:
+                        yield _of_lines(uri, start, held)
+                        held, room = [], BATCH_BYTES
+                if held:
                     yield _of_lines(uri, start, held)
-                    held, room = [], BATCH_BYTES
-            if held:
-                yield _of_lines(uri, start, held)
 
 
 def _of_lines(uri: str, block: int, lines: list[bytes]) -> pa.RecordBatch:
@@ -293,12 +302,18 @@ def _head_batches(parts, length: int) -> Iterator[pa.RecordBatch]:
 
 
 class _Reader(DataSourceReader):
-    def __init__(self, options):
-        self.ranges = [Range([tuple(p) for p in parts]) for parts in json.loads(options["ranges"])]
+    def __init__(self, options, files):
+        self.files, self.split, self.task = files, int(options["split"]), int(options["task"])
         self.kind, self.known, self.length = options["kind"], json.loads(options["known"]), int(options["length"])
 
+    def __getstate__(self) -> dict:
+        """Every task gets the reader: the list of files is not in it, or tasks and what each reads would both grow with the files."""
+        return {**self.__dict__, "files": None}
+
     def partitions(self) -> Sequence[InputPartition]:
-        return self.ranges
+        if self.known:
+            return [Range([(uri, 0, size, size)]) for uri, size in self.files]
+        return cut_ranges(self.files, self.split, self.task)
 
     def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
         if self.kind == "documents":
@@ -308,7 +323,7 @@ class _Reader(DataSourceReader):
 
 
 class ByteRanges(DataSource):
-    """Lines, first bytes or documents of ``ranges``; used through the functions below."""
+    """Lines, first bytes or documents of ranges of ``files``; used through the functions below."""
 
     @classmethod
     def name(cls) -> str:
@@ -320,23 +335,28 @@ class ByteRanges(DataSource):
         return "infile string, block bigint, value binary"
 
     def reader(self, schema) -> _Reader:
-        return _Reader(self.options)
+        # Tasks get this source as well, and not its files.
+        return _Reader(self.options, [tuple(f) for f in json.loads(self.options.pop("files"))])
 
 
-def _load(spark: SparkSession, kind: str, ranges: list[Range], known: dict[str, int] | None = None, length: int = 0) -> DataFrame:
+def _load(
+    spark: SparkSession, kind: str, files: Sequence[tuple[str, int]], split: int = SPLIT_BYTES, known: dict[str, int] | None = None, length: int = 0
+) -> DataFrame:
     spark.dataSource.register(ByteRanges)
-    options = {"kind": kind, "ranges": json.dumps([r.parts for r in ranges]), "known": json.dumps(known or {}), "length": str(length)}
+    # Ranges that are smaller share tasks, as long as there is a task for every core.
+    task = min(TASK_BYTES, sum(size for _, size in files) // max(spark.sparkContext.defaultParallelism, 1))
+    options = {"kind": kind, "files": json.dumps(files), "split": str(split), "task": str(task), "known": json.dumps(known or {}), "length": str(length)}
     return spark.read.format(ByteRanges.name()).options(**options).load()
 
 
 def file_lines(spark: SparkSession, files: Sequence[tuple[str, int]], split: int = SPLIT_BYTES) -> DataFrame:
     """``infile, block, value``: lines in file order inside a block; gzip files are found by their content, one block each."""
-    return _load(spark, "lines", cut_ranges(files, split))
+    return _load(spark, "lines", files, split)
 
 
 def file_heads(spark: SparkSession, files: Sequence[tuple[str, int]], length: int) -> DataFrame:
     """``infile, block, value``: the first ``length`` bytes of every file."""
-    return _load(spark, "heads", cut_ranges([(uri, 0) for uri, _ in files], SPLIT_BYTES), length=length)
+    return _load(spark, "heads", [(uri, 0) for uri, _ in files], length=length)
 
 
 def file_documents(spark: SparkSession, files: Sequence[tuple[str, int]], split: int = SPLIT_BYTES, known: dict[str, int] | None = None) -> DataFrame:
@@ -344,5 +364,4 @@ def file_documents(spark: SparkSession, files: Sequence[tuple[str, int]], split:
 
     ``known`` gives the place of a document of some files; these files alone are read, each from there to its end as one range.
     """
-    ranges = [Range([(uri, 0, size, size)]) for uri, size in files if uri in known] if known else cut_ranges(files, split)
-    return _load(spark, "documents", ranges, known)
+    return _load(spark, "documents", [f for f in files if f[0] in known] if known else files, split, known)

@@ -252,6 +252,34 @@ def test_every_line_is_in_one_range(monkeypatch, split):
     assert got == [b"one", b"", b"", b"four is a longer line", b"five", b"six", b"seven"]
 
 
+def test_small_ranges_share_tasks_that_carry_no_list_of_files(spark, tmp_path):
+    import json
+
+    from pyspark.serializers import CloudPickleSerializer
+
+    from plumeline.sources import streams
+    from plumeline.sources.lines import number_lines, read_lines
+
+    size, split = 10 << 20, 64 << 10
+    ranges = streams.cut_ranges([("file:///a", size), ("file:///b", 5)], split, 1 << 20)
+    assert [p for r in ranges for p in r.parts] == [p for r in streams.cut_ranges([("file:///a", size), ("file:///b", 5)], split) for p in r.parts]
+    assert len(ranges) == 11
+
+    def pickled(files: int) -> tuple[int, int]:
+        options = {"kind": "lines", "files": json.dumps([(f"file:///f{i}", size) for i in range(files)]), "split": str(split), "task": str(1 << 20), "known": "{}", "length": "0"}
+        source = streams.ByteRanges(options)
+        reader = source.reader(None)
+        return len(CloudPickleSerializer().dumps((source, reader))), len(reader.partitions())
+
+    (few, n), (many, m) = pickled(1), pickled(300)
+    assert few == many and (n, m) == (10, 3000)
+    path = tmp_path / "a.log"
+    path.write_bytes(b"\n".join(b"line %d" % i * 3 for i in range(2000)))
+    lines = read_lines(spark, [str(path)], split_bytes=100)
+    assert lines.select("block").distinct().count() > 300 and lines.rdd.getNumPartitions() <= 2 * spark.sparkContext.defaultParallelism
+    assert [r["value"] for r in number_lines(lines).orderBy("lineno").collect()] == ["line %d" % i * 3 for i in range(2000)]
+
+
 def test_text_offsets_and_nested_ranges(spark, tmp_path):
     (tmp_path / "a.log").write_text(
         "2020-10-26T18:24:16.000+0230 I SHARDING [Balancer] Starting chunk migration for shop.cart [{ k: { a: { b: { c: { d: 1 } } } } }, { k: { a: 5 } }) to s1\n"
