@@ -540,7 +540,7 @@ def key_value_config(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def name_cleanup(spark: SparkSession, sf: str) -> DataFrame:
-    part = read(spark, sf, "part")
+    part = tb.spread(read(spark, sf, "part"), "p_partkey")
     raw = F.concat(
         F.lit("(anonymous namespace)::{lambda}::"), F.col("p_name"), F.lit("<std::map<"), F.col("p_type"),
         F.lit(", int> >::run("), F.col("p_brand"), F.lit(" const&, (x)) const [clone .1]"),

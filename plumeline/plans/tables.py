@@ -9,6 +9,11 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """Rows in even parts, for work that costs far more than reading them: a table may be one row group, and that one task."""
+    return rows.repartition(key)
+
+
 def prop_k() -> F.col:
     """The number in ``events.props``."""
     return F.get_json_object("props", "$.k").cast("bigint")

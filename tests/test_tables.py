@@ -49,3 +49,15 @@ def test_query_runs(spark, name):
 
 def test_entry(spark):
     assert contract.entry(spark).count() == 720
+
+
+def test_brackets_are_counted_run_by_run(spark):
+    from pyspark.sql import functions as F
+
+    from plumeline.functions import text as tx
+
+    row = spark.range(1).select(F.lit("ab" * 500 + "<x<y>z>c>d<e").alias("t"))
+    assert row.select(F.size(tx._runs(F.col("t"), "<", ">"))).first()[0] == 13
+    got = row.select(tx.strip_nested(F.col("t"), "<", ">", "R"), tx.outer_groups(F.col("t"), "<", ">")).first()
+    assert got[0] == "ab" * 500 + "Rce" and got[1] == ["<x<y>z>"]
+    assert row.select(tx.strip_nested(F.lit("a[b[c]]\\d"), "[", "]")).first()[0] == "a\\d"
