@@ -47,6 +47,8 @@ def normalise_commands(df: DataFrame, ratio_mode: str = "integer") -> tuple[Data
         .filter(F.col("__body").isNotNull())
         .withColumn("__doc", stored_to_json(F.col("__body")))
     )
+    # Parsed once: the good and the rejected rows read it.
+    rows = staged(rows, "commands")
     rejects = rows.filter(F.col("__doc").isNull()).select(
         "id", F.col("__body").alias("raw"), F.lit("not a document").alias("error")
     )
@@ -94,6 +96,7 @@ def normalise_updates(df: DataFrame) -> tuple[DataFrame, DataFrame]:
             "__filter": stored_to_json(F.col("Query")),
         }
     )
+    rows = staged(rows, "updates")
     rejects = rows.filter(F.col("__doc").isNull()).select(
         "id", F.col("Update").alias("raw"), F.lit("not a document").alias("error")
     )

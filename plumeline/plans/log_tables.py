@@ -259,7 +259,7 @@ _COMMANDS = [
 
 
 def _stored_commands(spark: SparkSession, sf: str) -> DataFrame:
-    return read(spark, sf, "orders").select(
+    return tb.spread(read(spark, sf, "orders"), "o_orderkey").select(
         F.col("o_orderkey").alias("id"),
         _choice(F.col("o_orderkey") % len(_COMMANDS), _COMMANDS, _order_values()).alias("Command"),
         F.when(F.col("o_orderkey") % 2 == 0, "").otherwise(fill('{ find: "c<c>" }', **_order_values())).alias("originatingCommand"),
@@ -283,7 +283,7 @@ def normalise_updates(spark: SparkSession, sf: str) -> DataFrame:
         ['{ $set: { a.b: <v>, "c d": \'x\' }, $setOnInsert: { n: { $ne: <c> } }, upsert: true }', "{ $set: { e: 1.5e3 } }", "{ $set: [ }"],
         _order_values(),
     )
-    rows = read(spark, sf, "orders").select(
+    rows = tb.spread(read(spark, sf, "orders"), "o_orderkey").select(
         F.col("o_orderkey").alias("id"), update.alias("Update"), fill("{ _id: ObjectId('<c>'), k: { $nin: [ <c> ] } }", **_order_values()).alias("Query")
     )
     good, rejects = cm.normalise_updates(rows)

@@ -51,6 +51,15 @@ def test_entry(spark):
     assert contract.entry(spark).count() == 720
 
 
+def test_stored_commands_are_parsed_once(spark):
+    from plumeline.plans import log_tables
+
+    sf = "/root/testdata/sf0.001"
+    for query, name in ((log_tables.normalise_commands, "/commands-"), (log_tables.normalise_updates, "/updates-")):
+        files = query(spark, sf).inputFiles()
+        assert files and all(name in f for f in files), query.__name__
+
+
 def test_brackets_are_counted_run_by_run(spark):
     from pyspark.sql import functions as F
 
