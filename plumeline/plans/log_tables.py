@@ -12,7 +12,7 @@ from plumeline.operators import profile as pr
 from plumeline.operators import schema_profile as sp
 from plumeline.plans import tables as tb
 from plumeline.plans.tables import prop_k, read
-from plumeline.session import scratch_path
+from plumeline.session import scratch_path, staged
 from plumeline.sources import audit, structured, textlog
 
 # Entries that stand in one block of a rendered file.
@@ -45,9 +45,11 @@ def _event_values(ts: str = "ts") -> dict[str, Column]:
     }
 
 
-def _placed(rows: DataFrame, line: Column, entry: Column) -> DataFrame:
+def _placed(rows: DataFrame, key: str, entry: Column) -> DataFrame:
     """Entries of three files in the columns of the stitching step."""
-    return rows.select(
+    line = F.col(key)
+    # Written, as the conditions on parsed lines, and so the parsing, would else be moved ahead of the spreading.
+    return staged(tb.spread(rows, key), "spread").select(
         F.concat(F.lit("node"), (line % 3).cast("string"), F.lit(".log")).alias("infile"),
         (F.floor(line / BLOCK_LINES) * BLOCK_LINES).cast("bigint").alias("block"),
         line.cast("bigint").alias("lineno"),
@@ -76,7 +78,7 @@ _JSON = [
 def json_entries(spark: SparkSession, sf: str) -> DataFrame:
     """Events as structured log entries: slow operations, connections, replication, transactions, damaged lines."""
     rows = read(spark, sf, "events")
-    return _placed(rows, F.col("event_id"), _choice(F.col("event_id") % len(_JSON), _JSON, _event_values()))
+    return _placed(rows, "event_id", _choice(F.col("event_id") % len(_JSON), _JSON, _event_values()))
 
 
 def _base() -> dict[str, Column]:
@@ -128,7 +130,7 @@ def log_headers(spark: SparkSession, sf: str) -> DataFrame:
     entry = F.lit(None).cast("string")
     for kind, (msg, attr) in _HEADERS.items():
         entry = F.when(F.col("event_type") == kind, fill(line % (msg, attr), **_event_values())).otherwise(entry)
-    placed = _placed(rows, F.col("event_id"), F.coalesce(entry, fill(line % ("Other", '{"k":<k>}'), **_event_values())))
+    placed = _placed(rows, "event_id", F.coalesce(entry, fill(line % ("Other", '{"k":<k>}'), **_event_values())))
     out = structured.log_headers(structured.parse_envelopes(placed).filter("ts IS NOT NULL"))
     return out.select("infile", "restart_id", _stamp("ts").alias("ts"), "lineno", "host", "process", "build", "os", "cmd_line")
 
@@ -163,7 +165,7 @@ def _order_values() -> dict[str, Column]:
 def text_entries(spark: SparkSession, sf: str) -> DataFrame:
     """Orders as text log entries."""
     rows = read(spark, sf, "orders")
-    return _placed(rows, F.col("o_orderkey"), _choice(F.col("o_orderkey") % len(_TEXT), _TEXT, _order_values()))
+    return _placed(rows, "o_orderkey", _choice(F.col("o_orderkey") % len(_TEXT), _TEXT, _order_values()))
 
 
 def text_log_events(spark: SparkSession, sf: str) -> DataFrame:
@@ -187,7 +189,7 @@ def sharding_messages(spark: SparkSession, sf: str) -> DataFrame:
         bodies.append(f"{words} " + " ".join(f"t{i}x<u>" for i in range(first, 20)))
     bodies[0] = "moveChunk data transfer progress: mem used: <k> documents remaining to clone: <n>"
     line = _choice(F.col("event_id") % len(bodies), [f"<at>-0000 I SHARDING [conn<u>] {body}" for body in bodies], _event_values())
-    parsed = textlog.parse_text(_placed(read(spark, sf, "events"), F.col("event_id"), line)).filter("ts IS NOT NULL")
+    parsed = textlog.parse_text(_placed(read(spark, sf, "events"), "event_id", line)).filter("ts IS NOT NULL")
     events, _ = textlog.text_events(parsed.withColumn("host", F.lit(None).cast("string")), _base())
     stats = F.array_sort(F.transform(F.map_entries("stats"), lambda e: F.concat_ws("=", e["key"], e["value"])))
     return events.select("infile", "lineno", "shard_op", "collection", F.array_join(stats, ";").alias("stats"))
@@ -216,7 +218,7 @@ def syslog_events(spark: SparkSession, sf: str) -> DataFrame:
     )
     values = {**_event_values(), "day": F.date_format("ts", "MMM dd HH:mm:ss")}
     # The line of a process has no blank between its name and its number.
-    rows = _placed(read(spark, sf, "events"), F.col("event_id"), fill(line.replace("mongod.27017[<n>]:", "mongod.<n>:"), **values))
+    rows = _placed(read(spark, sf, "events"), "event_id", fill(line.replace("mongod.27017[<n>]:", "mongod.<n>:"), **values))
     events, _ = textlog.text_events(textlog.parse_syslog(rows, 2024).filter("ts IS NOT NULL"), {**_base(), "host": F.col("host")})
     return events.select(
         "infile", "lineno", _stamp("ts").alias("ts"), "host", "connection", "command", "object", "filter_shape", _params().alias("params"),
@@ -229,7 +231,7 @@ def audit_events(spark: SparkSession, sf: str) -> DataFrame:
     plain = '{ "atype" : "<kind>", "ts" : "<at>Z", "param" : { "user" : "u<u>" } }'
     values = {**_event_values(), "kind": F.col("event_type")}
     entry = F.when(F.col("event_id") % 2 == 0, fill(wrapped, **values)).otherwise(fill(plain, **values))
-    parsed = audit.parse_audit(_placed(read(spark, sf, "events"), F.col("event_id"), entry)).filter("ts IS NOT NULL")
+    parsed = audit.parse_audit(_placed(read(spark, sf, "events"), "event_id", entry)).filter("ts IS NOT NULL")
     out = audit.audit_events(parsed, _base())
     return out.select("infile", "lineno", "type", _stamp("ts").alias("ts"), "raw", F.col("log_date").cast("string").alias("log_date"))
 
@@ -238,7 +240,7 @@ def search_events(spark: SparkSession, sf: str) -> DataFrame:
     config = '{"t":"<at>+0000","s":"INFO","svc":"MONGOT","n":"conf<h>","msg":"ConfCallResponse{id=<n>, version=Optional[<k>], analyzerDefinitions=a<u>}"}'
     plain = '{"t":"<at>+0000","s":"WARN","svc":"MONGOT","n":"idx<h>","msg":"plain <k>","attr":{"u":<u>}}'
     entry = F.when(F.col("event_id") % 3 == 0, fill(config, **_event_values())).otherwise(fill(plain, **_event_values()))
-    parsed = audit.parse_search(_placed(read(spark, sf, "events"), F.col("event_id"), entry)).filter("ts IS NOT NULL")
+    parsed = audit.parse_search(_placed(read(spark, sf, "events"), "event_id", entry)).filter("ts IS NOT NULL")
     out = audit.search_events(parsed, _base())
     return out.select(
         "infile", "lineno", "type", _stamp("ts").alias("ts"), "module", "severity", "message", "attr",

@@ -51,6 +51,18 @@ def test_entry(spark):
     assert contract.entry(spark).count() == 720
 
 
+def test_heavy_work_on_table_rows_is_spread(spark):
+    """A table may be one row group: parsing starts behind a shuffle, and no filter takes it ahead of that."""
+    from plumeline.plans import log_tables, table_queries
+
+    sf = "/root/testdata/sf0.001"
+    plan = table_queries.name_cleanup(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(p_partkey" in plan
+    for query in (log_tables.syslog_events, log_tables.text_log_events, log_tables.json_log_events, log_tables.log_rejects):
+        files = query(spark, sf).inputFiles()
+        assert files and all("/spread-" in f for f in files), query.__name__
+
+
 def test_stored_commands_are_parsed_once(spark):
     from plumeline.plans import log_tables
 
