@@ -77,8 +77,8 @@ class Range(InputPartition):
 
 
 def cut_ranges(files: Sequence[tuple[str, int]], split: int, task: int = 0) -> list[Range]:
-    """Files cut at multiples of ``split``; small files and ends, or ranges up to ``task`` bytes, share a task."""
-    task = max(split, task)
+    """Files cut at multiples of ``split``; small files, ends and small ranges share a task of ``task`` bytes (``split`` by default)."""
+    task = task or split
     out, held, room = [], [], task
     for uri, size in files:
         for start in range(0, max(size, 1), split):
@@ -343,8 +343,8 @@ def _load(
     spark: SparkSession, kind: str, files: Sequence[tuple[str, int]], split: int = SPLIT_BYTES, known: dict[str, int] | None = None, length: int = 0
 ) -> DataFrame:
     spark.dataSource.register(ByteRanges)
-    # Ranges that are smaller share tasks, as long as there is a task for every core.
-    task = min(TASK_BYTES, sum(size for _, size in files) // max(spark.sparkContext.defaultParallelism, 1))
+    # Small ranges and files share tasks, as long as there is a task for every core; a larger range is one by itself.
+    task = min(TASK_BYTES, max(sum(size for _, size in files) // max(spark.sparkContext.defaultParallelism, 1), TASK_BYTES >> 6))
     options = {"kind": kind, "files": json.dumps(files), "split": str(split), "task": str(task), "known": json.dumps(known or {}), "length": str(length)}
     return spark.read.format(ByteRanges.name()).options(**options).load()
 

@@ -280,6 +280,15 @@ def test_small_ranges_share_tasks_that_carry_no_list_of_files(spark, tmp_path):
     assert [r["value"] for r in number_lines(lines).orderBy("lineno").collect()] == ["line %d" % i * 3 for i in range(2000)]
 
 
+def test_small_files_do_not_fill_a_task_up_to_the_size_of_a_range(spark, tmp_path):
+    from plumeline.sources.lines import read_lines
+
+    for i in range(16):
+        (tmp_path / f"{i}.log").write_bytes(b"some line\n" * 20_000)
+    lines = read_lines(spark, [str(tmp_path)])
+    assert lines.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism and lines.count() == 320_000
+
+
 def test_text_offsets_and_nested_ranges(spark, tmp_path):
     (tmp_path / "a.log").write_text(
         "2020-10-26T18:24:16.000+0230 I SHARDING [Balancer] Starting chunk migration for shop.cart [{ k: { a: { b: { c: { d: 1 } } } } }, { k: { a: 5 } }) to s1\n"
