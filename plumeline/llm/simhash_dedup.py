@@ -8,6 +8,9 @@ meetings stay rare at any size; every choice is exact.
 
 Equal fingerprints are one row before the join, whatever the size of their group.  Links are connected by alternating
 large-star and small-star steps; every step is a table in the shared folder.
+
+Texts that are less alike differ in more bits than blocks of 64 can tell apart.  ``wide_prints`` gives them longer fingerprints,
+and of each block the bit that the shingles agree on most: the last one to turn when a text is edited.
 """
 
 from __future__ import annotations
@@ -28,6 +31,11 @@ SEED = 42
 _PART_BYTES = 256 << 10
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _MANY_ROUNDS = 60
+#: Bits of a block of a wide fingerprint, and of the mark that names its strongest bit and the value of that.
+MARK_BLOCK = 16
+MARK_BITS = 5
+#: Eight bits as eight counters of a byte each.
+_LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
 
 
 def fingerprint_of(text: bytes | None, size: int = SHINGLE) -> int:
@@ -48,6 +56,37 @@ def fingerprint_of(text: bytes | None, size: int = SHINGLE) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
+def bit_sums(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """How many hashes of each document have each of the 64 bits; ``bounds`` are the first hash of every document, and their number."""
+    first = bounds[:-1]
+    # A counter of a byte holds 255 hashes.
+    parts = np.union1d(first, np.arange(0, len(hashes), 255))
+    data = np.ascontiguousarray(hashes, "<u8").view(np.uint8).reshape(-1, 8)
+    sums = [np.add.reduceat(_LANES[data[:, k]], parts).view(np.uint8).reshape(-1, 8) for k in range(8)]
+    return np.add.reduceat(np.concatenate(sums, axis=1), np.searchsorted(parts, first), axis=0, dtype=np.int32)
+
+
+def wide_prints(hashes: np.ndarray, bounds: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Fingerprints of ``words`` numbers of 64 bits, and the mark of every block of ``MARK_BLOCK`` bits.
+
+    Every document has a hash.  A bit is set if more than half of the document's hashes, scrambled anew for each number, have it
+    set.  A mark is the place of the bit that has the largest majority in its block, and its value.
+    """
+    n, blocks = len(bounds) - 1, 64 // MARK_BLOCK
+    prints, marks = np.zeros((n, words), np.uint64), np.zeros((n, words * blocks), np.uint8)
+    if not n:
+        return prints, marks
+    counts = np.diff(bounds).astype(np.int32)[:, None]
+    for word in range(words):
+        lead = 2 * bit_sums(W.mix(hashes, word + 1), bounds) - counts
+        prints[:, word] = np.packbits(lead > 0, axis=1, bitorder="little").view("<u8").ravel()
+        lead = lead.reshape(n, blocks, MARK_BLOCK)
+        at = np.abs(lead).argmax(2)
+        value = np.take_along_axis(lead, at[:, :, None], 2)[:, :, 0] > 0
+        marks[:, word * blocks : (word + 1) * blocks] = 2 * at + value
+    return prints, marks
+
+
 def _fingerprints(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
