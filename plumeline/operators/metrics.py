@@ -23,6 +23,25 @@ def increments(
     return samples.withColumn("inc", F.coalesce(F.col(value) - F.lag(value).over(w), F.lit(0)))
 
 
+def series_increments(series: DataFrame) -> DataFrame:
+    """The samples of archive series (``decode_series``) with ``inc``, as ``increments`` gives it, inside their rows: nothing is sorted."""
+    steps = F.transform("values", lambda v, i: F.struct(v.alias("value"), (v - F.coalesce(F.get("values", i - 1), "before")).alias("inc")))
+    found = series.select("file", "chunk_no", "path", "first", "starts", F.posexplode(steps).alias("at", "step"))
+    return found.select(
+        "file", "chunk_no", (F.col("first") + F.col("at")).alias("sample_no"), "path",
+        F.timestamp_millis(F.get("starts", F.col("at"))).alias("ts"), "step.value", "step.inc",
+    )
+
+
+def largest_steps(series: DataFrame, by: Sequence[str] = ("file", "path")) -> DataFrame:
+    """``max_increment`` of archive series: each row gives its largest step, so that only a row for some thousand samples is sorted."""
+    steps = F.transform(
+        "values",
+        lambda v, i: F.struct((v - F.coalesce(F.get("values", i - 1), "before")).alias("inc"), F.timestamp_millis(F.get("starts", i)).alias("ts")),
+    )
+    return max_increment(series.select(*by, F.array_max(steps).alias("step")).select(*by, "step.inc", "step.ts"), by)
+
+
 def increments_across(
     samples: DataFrame, series: Sequence[str], order: Sequence[str], chunk: Column, value: str = "value"
 ) -> DataFrame:

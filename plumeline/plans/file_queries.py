@@ -13,7 +13,7 @@ from plumeline.plans.log_tables import _event_values, _order_values, _stamp, fil
 from plumeline.plans.tables import prop_k, read
 from plumeline.session import scratch_path
 from plumeline.sinks.archive import archive_chunks, write_archive
-from plumeline.sources.ftdc import decode_ftdc, read_metrics
+from plumeline.sources.ftdc import decode_ftdc, decode_series, read_metrics
 from plumeline.sources.lines import number_lines, read_lines, short_name, stitch_files
 from plumeline.sources.stacks import read_stacks
 
@@ -115,7 +115,7 @@ def numbered_lines(spark: SparkSession, sf: str) -> DataFrame:
 # Archives -----------------------------------------------------------------------------------------------------------
 
 
-def _archived(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _archives(spark: SparkSession, sf: str) -> str:
     """Events as metric archives: a file for each day, a chunk for each hour, the counts of a day in front."""
     rows = read(spark, sf, "events").withColumn("at", F.col("ts").cast("timestamp"))
     day = F.date_format("at", "yyyy-MM-dd")
@@ -126,7 +126,11 @@ def _archived(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataF
     counts = rows.groupBy(day.alias("file")).agg(F.min("at").alias("at"), F.map_from_arrays(F.array(F.lit("events")), F.array(F.count("*").cast("string"))).alias("entries"))
     path = scratch_path(spark, "archives")
     write_archive(archive_chunks(samples, ["event.id", "event.user", "cents", "event.k"]), path, counts)
-    return decode_ftdc(spark, [path], ARCHIVE_RANGE_BYTES)
+    return path
+
+
+def _archived(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return decode_ftdc(spark, [_archives(spark, sf)], ARCHIVE_RANGE_BYTES)
 
 
 def archive_samples(spark: SparkSession, sf: str) -> DataFrame:
@@ -153,8 +157,9 @@ def archive_first_samples(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def archive_increments(spark: SparkSession, sf: str) -> DataFrame:
-    """The largest step of every metric inside a chunk of a file, from the decoded samples."""
-    best = mt.max_increment(mt.increments(_archived(spark, sf)[0]), ["file", "path"])
+    """The largest step of every metric inside a chunk of a file, from the decoded series."""
+    series = decode_series(spark, [_archives(spark, sf)], ARCHIVE_RANGE_BYTES)[0]
+    best = mt.largest_steps(series, ["file", "path"])
     return best.select(short_name(F.col("file")).alias("file"), F.array_join("path", ".").alias("path"), "max_inc", _stamp("max_ts").alias("max_ts"))
 
 

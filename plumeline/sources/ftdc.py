@@ -21,7 +21,10 @@ METADATA, METRICS = 0, 1
 CLOCK = "start"
 STATUS_LINES = 100
 
-_SERIES = "file string, chunk_no int, path array<string>, starts array<bigint>, values array<bigint>, error string"
+#: Samples of a row of series: a reader holds some thousand rows at once, whatever the size of a chunk.
+SLICE = 1024
+
+_SERIES = "file string, chunk_no int, path array<string>, first int, before bigint, starts array<bigint>, values array<bigint>, error string"
 
 # Element codes of the document format.
 _FIXED = {1: "<d", 8: "<?", 9: "<q", 16: "<i", 17: "<II", 18: "<q"}
@@ -135,15 +138,19 @@ def _series(doc: bytes) -> list[tuple[tuple, np.ndarray]]:
 
 
 def _decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    columns = ["file", "chunk_no", "path", "starts", "values", "error"]
+    columns = ["file", "chunk_no", "path", "first", "before", "starts", "values", "error"]
     for pdf in batches:
         for file, chunk_no, doc in zip(pdf["file"], pdf["chunk_no"], pdf["doc"]):
             try:
                 found = _series(doc)
                 starts = dict(found).get((CLOCK,))
-                rows = [(file, chunk_no, list(p), starts, v, None) for p, v in found]
+                rows = [
+                    (file, chunk_no, list(p), at, v[max(at - 1, 0)], None if starts is None else starts[at : at + SLICE], v[at : at + SLICE], None)
+                    for p, v in found
+                    for at in range(0, len(v), SLICE)
+                ]
             except _DAMAGE as problem:
-                rows = [(file, chunk_no, None, None, None, str(problem))]
+                rows = [(file, chunk_no, None, 0, 0, None, None, str(problem))]
             yield pd.DataFrame(rows, columns=columns)
 
 
@@ -191,30 +198,37 @@ def read_documents(spark: SparkSession, paths: Sequence[str], split_bytes: int =
     return numbered.select("file", "chunk_no", "kind", "doc")
 
 
-def decode_ftdc(spark: SparkSession, paths: Sequence[str], split_bytes: int = SPLIT_BYTES) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Metric samples, metadata and rejected chunks of archive files.
+def decode_series(spark: SparkSession, paths: Sequence[str], split_bytes: int = SPLIT_BYTES) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Series, metadata and rejected chunks of archive files.
 
-    Chunks are spread over the cluster before they are opened, because the
-    samples take far more room than the compressed chunks; they are opened once,
-    into the shared folder.  A chunk without a clock gives samples without time.
+    A series is a metric of a chunk, in rows ``file, chunk_no, path, first, before, starts, values`` of up to ``SLICE`` samples:
+    ``first`` is the number of the first one, ``before`` the value before it (at the begin of a chunk its own), ``starts``
+    their times, NULL in a chunk without a clock.  Chunks are spread over the cluster before they are opened, because the
+    samples take far more room than the compressed chunks; they are opened once, into the shared folder.
     """
     docs = read_documents(spark, paths, split_bytes)
-    chunks = docs.filter(F.col("kind") == METRICS).select("file", "chunk_no", "doc").repartition("file", "chunk_no")
-    series = staged(chunks.mapInPandas(_decode, _SERIES), "archive-series")
-    samples = series.filter(F.col("error").isNull()).select(
-        "file", "chunk_no", "path", "starts", F.posexplode("values").alias("sample_no", "value")
-    ).select(
-        "file", "chunk_no", "sample_no", "path",
-        F.timestamp_millis(F.get("starts", F.col("sample_no"))).alias("ts"), "value",
-    )
+    # By its size alone, the compressed data would be one task's.
+    chunks = docs.filter(F.col("kind") == METRICS).select("file", "chunk_no", "doc").repartition(spark.sparkContext.defaultParallelism, "file", "chunk_no")
+    found = staged(chunks.mapInPandas(_decode, _SERIES), "archive-series")
+    series = found.filter(F.col("error").isNull()).drop("error")
     damaged = docs.filter(F.col("kind") == -1).select("file", "chunk_no", F.lit("not a document").alias("error"))
-    rejects = series.filter(F.col("error").isNotNull()).select("file", "chunk_no", "error").unionByName(damaged)
+    rejects = found.filter(F.col("error").isNotNull()).select("file", "chunk_no", "error").unionByName(damaged)
 
     @F.pandas_udf("string")
     def meta(documents: pd.Series) -> pd.Series:
         return documents.map(lambda d: json.dumps(_plain(_document(bytes(d))[0]).get("doc")))
 
     metadata = docs.filter(F.col("kind") == METADATA).select("file", "chunk_no", meta("doc").alias("doc"))
+    return series, metadata, rejects
+
+
+def decode_ftdc(spark: SparkSession, paths: Sequence[str], split_bytes: int = SPLIT_BYTES) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Metric samples, metadata and rejected chunks of archive files.  A chunk without a clock gives samples without time."""
+    series, metadata, rejects = decode_series(spark, paths, split_bytes)
+    samples = series.select("file", "chunk_no", "path", "first", "starts", F.posexplode("values").alias("at", "value")).select(
+        "file", "chunk_no", (F.col("first") + F.col("at")).alias("sample_no"), "path",
+        F.timestamp_millis(F.get("starts", F.col("at"))).alias("ts"), "value",
+    )
     return samples, metadata, rejects
 
 
