@@ -19,6 +19,7 @@ File format (a Parquet folder in ascending order of part and block; texts are no
 
 from __future__ import annotations
 
+import codecs
 import os
 import re
 import zlib
@@ -40,6 +41,8 @@ PART_TOKENS = 8 << 20
 CACHE_PIECES = 800_000
 _NO_ID = -(1 << 63)
 _BATCH = 256
+#: Blocks that are decoded in step.
+_BLOCKS = 64
 
 
 # Encoding -----------------------------------------------------------------------------------------------------------
@@ -55,13 +58,12 @@ def byte_characters() -> dict[int, str]:
 class _Parts(dict):
     """Ids of single pre-tokens, in characters of the vocabulary; the model is asked once for each."""
 
-    def __init__(self, model, packed: list[bytes]):
+    def __init__(self, model_ids):
         super().__init__()
-        self.tokenize, self.packed = model.tokenize, packed
+        self.model_ids = model_ids
 
     def __missing__(self, mapped: str) -> bytes:
-        packed = self.packed
-        ids = self[mapped] = b"".join([packed[t.id] for t in self.tokenize(mapped)])
+        ids = self[mapped] = self.model_ids(mapped)
         return ids
 
 
@@ -73,17 +75,14 @@ class _Learned(dict):
         self.encoder, self.front, self.lead = encoder, front, lead
 
     def __missing__(self, piece: str) -> bytes:
-        word = piece if piece.isalpha() else piece.rstrip(PieceEncoder.PUNCTUATION)
-        if word.isascii() and word.isalpha():
-            # Most pieces: ASCII letters, with or without punctuation behind them.
-            parts = self.encoder.parts
-            ids = parts[self.front + word]
-            if len(word) < len(piece):
-                ids += parts[piece[len(word) :]]
+        encoder = self.encoder
+        if piece.isalpha() and piece.isascii():
+            # Most pieces.
+            ids = encoder.model_ids(self.front + piece)
         else:
-            ids = self.encoder.compose(piece, self.front)
+            ids = encoder.compose(piece, self)
             if ids is None:
-                (ids,) = self.encoder.direct([self.lead + piece])
+                (ids,) = encoder.direct([self.lead + piece])
         self[piece] = ids
         return ids
 
@@ -117,39 +116,48 @@ class PieceEncoder:
             and not config.get("normalizer") and model.get("type") == "BPE" and not model.get("dropout") and not model.get("ignore_merges")
         )
         self.special = [t["content"] for t in config.get("added_tokens", [])]
-        # A space with white space behind it: without one of these no text has white space on both sides of a space.
-        self.wide = [f" {chr(c)}" for c in range(0x3001) if chr(c).isspace()]
+        # Without a space with white space behind it no text has white space on both sides of a space.
+        self.wide = re.compile(r" \s")
         self.spaced = re.compile(r"\s \s|\s $")
         size = max([*(t["id"] for t in config.get("added_tokens", [])), *model["vocab"].values()]) + 1
         self.kind = np.dtype("<u2" if size <= 1 << 16 else "<u4")
         self.packed = [i.to_bytes(self.kind.itemsize, "little") for i in range(size)]
         self.characters = byte_characters()
+        self.mapped = "".join(self.characters[b] for b in range(256))
+        letters = "".join(c for c in map(chr, range(ord(self.OLD_LETTERS))) if c.isalpha())
+        self.simple = re.compile(f"([{letters}]+)([{re.escape(self.PUNCTUATION)}]*)").fullmatch
         self.space = self.characters[ord(" ")]
         self.pieces = _Learned(self, self.space, " ")
         self.heads = _Learned(self, "", "")
-        self.parts = _Parts(self.tokenizer.model, self.packed)
+        self.parts = _Parts(self.model_ids)
+        self.tokenize = self.tokenizer.model.tokenize
 
     def direct(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _simple(self, run: str, front: str) -> bytes | None:
-        """The ids of letters with punctuation behind them, ``front`` before them; None for any other run."""
-        word = run.rstrip(self.PUNCTUATION)
-        if not word.isalpha():
-            return None
-        mapped = word
-        if not word.isascii():
-            if max(word) >= self.OLD_LETTERS:
-                return None
-            mapped = "".join([self.characters[b] for b in word.encode()])
-        tail = run[len(word) :]
-        return self.parts[front + mapped] + self.parts[tail] if tail else self.parts[front + mapped]
+    def model_ids(self, mapped: str) -> bytes:
+        packed = self.packed
+        return b"".join([packed[t.id] for t in self.tokenize(mapped)])
 
-    def compose(self, piece: str, front: str) -> bytes | None:
+    def _simple(self, run: str, learned: _Learned) -> bytes | None:
+        """The ids of letters with punctuation behind them, where ``learned`` has them; None for any other run."""
+        found = self.simple(run)
+        if found is None:
+            return None
+        word, tail = found.groups()
+        if tail:
+            return learned[word] + self.parts[tail]
+        if word.isascii():
+            return learned[word]
+        return self.model_ids(learned.front + codecs.charmap_decode(word.encode(), "strict", self.mapped)[0])
+
+    def compose(self, piece: str, learned: _Learned) -> bytes | None:
+        if "\n" not in piece:
+            return self._simple(piece, learned)
         first, *lines = piece.split("\n")
-        out = self._simple(first, front)
+        out = self._simple(first, learned)
         for line in lines:
-            more = None if out is None else self._simple(line, "")
+            more = None if out is None else self._simple(line, self.heads)
             if more is None:
                 return None
             out += self.parts[self.characters[ord("\n")]] + more
@@ -159,7 +167,7 @@ class PieceEncoder:
         """Whether a text can't be cut into pieces."""
         if any(t in text for t in self.special):
             return True
-        return (text.endswith(" ") or any(w in text for w in self.wide)) and self.spaced.search(text) is not None
+        return (text.endswith(" ") or self.wide.search(text) is not None) and self.spaced.search(text) is not None
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as packed little-endian numbers."""
@@ -400,8 +408,8 @@ def _read_blocks(lengths: np.ndarray, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, bits = decode_table(lengths)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 16):
-                rows = batch.slice(lo, 16).to_pylist()
+            for lo in range(0, batch.num_rows, _BLOCKS):
+                rows = batch.slice(lo, _BLOCKS).to_pylist()
                 ids = unpack_bits([(r["bits"], _read_numbers(r["checkpoints"]), r["n_tokens"]) for r in rows], table, bits).astype("<u4")
                 out: dict[str, list] = {k: [] for k in ("doc_id", "part", "start", "n_tokens", "ids_crc32", "ids")}
                 at = 0
